@@ -1,0 +1 @@
+"""Retrieval, dataset-quality and experiment analytics as Spark DataFrame operators."""
