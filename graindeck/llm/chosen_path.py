@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graindeck.llm.common import arrow_map, runs_of, stored
@@ -35,6 +35,8 @@ SMALL, LARGE = 256, 4096
 SKETCH, CANDIDATE = 128, 0.64
 #: Shingles of a component that one task verifies; larger components are verified in pairs of blocks.
 BLOCK_SHINGLES = 4_000_000
+#: Bits of the map that picks the texts to verify.
+FILTER_BITS = 1 << 25
 
 _TOKENS = RUNS + RUNS * (DEPTH - 1) * CHILDREN
 _rng = np.random.default_rng(414)
@@ -228,12 +230,24 @@ def links_within(sets: list[np.ndarray], sides: np.ndarray | None, similarity: f
     return counts, forest
 
 
+def _among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows that may have a wanted key, by a bitmap of hashes of FILTER_BITS bits (4 MB), which is broadcast.
+
+    It spares the shuffle rows that no join needs; where hashes coincide a row stays, and the join decides.
+    """
+    bits = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("long")
+    maps = wanted.select(bits(key).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
+    place = F.bitmap_bit_position(bits(key))
+    found = rows.withColumn("bucket", F.bitmap_bucket_number(bits(key))).withColumn("place", place).join(F.broadcast(maps), "bucket")
+    byte = F.conv(F.hex(F.substring("bitmap", (F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     """id, links and label (an id) by members (rid, id, comp, size), for each block pair of each component."""
     sums = members.groupBy("comp").agg(F.ceil(F.sum("size") / F.lit(float(BLOCK_SHINGLES))).alias("blocks"))
     members = members.join(sums, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    kind = dict(docs.dtypes)["doc_id"]
-    texts = docs.select(F.col("doc_id").alias("rid"), "text").join(members.select("rid", "id", "comp", "blocks", "block"), "rid")
+    texts = _among(docs.select(F.col("doc_id").alias("rid"), "text"), members, "rid").join(members.select("rid", "id", "comp", "blocks", "block"), "rid")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -269,7 +283,10 @@ def join(docs: DataFrame) -> DataFrame:
     # one row a set; equal sets have equal sketches, so any of them will do
     reps = rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("rid"), F.count("*").alias("n_copies"), F.max("size").alias("size"), F.any_value("paths").alias("paths"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch"))
     reps = stored(reps, "reps")
-    level, edges = reps.select(F.posexplode("paths").alias("run", "path"), "id", "tokens", "sketch").select(*_NAMES), None
+    # the first split: only classes that share a bucket with another one go on, with their tokens and sketches
+    paths = reps.select("id", F.posexplode("paths").alias("run", "path"))
+    shared = paths.withColumn("n", F.count("*").over(Window.partitionBy("path"))).where("n > 1").select("path", "run", "id")
+    level, edges = shared.join(reps.select("id", "tokens", "sketch"), "id").select(*_NAMES), None
     for d in range(DEPTH):
         done = stored(arrow_map(level.repartition("path").sortWithinPartitions("path"), _level(d), f"{_ROW}, other binary"), f"level{d}")
         found = done.where("path is null").select(F.col("id").alias("a"), F.col("other").alias("b"))
