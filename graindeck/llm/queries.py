@@ -75,4 +75,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from graindeck.llm import oracle
+
+    return oracle.oracle_sql()
