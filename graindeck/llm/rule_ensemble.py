@@ -121,7 +121,7 @@ def grow_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, ra
     return list(rules)
 
 
-def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
+def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600) -> tuple[np.ndarray, float]:
     """Accelerated proximal gradient for the mean logistic loss plus ``penalty`` times the weights' absolute sum."""
     n, d = z.shape
     w, b = np.zeros(d), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
@@ -149,7 +149,7 @@ class RuleEnsemble:
     rules: list[tuple[Rule, float]]
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 2e-4) -> RuleEnsemble:
+    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> RuleEnsemble:
         if not len(y) or y.min() == y.max():
             p = min(max(float(y.mean()) if len(y) else 0.5, 0.001), 0.999)
             return cls(float(np.log(p / (1 - p))), [])

@@ -54,8 +54,9 @@ def codes(token: str) -> np.ndarray:
     return np.array([_PLACE.get(c, _N - 1) for c in token], dtype=np.int64)
 
 
-def transition_model(tokens: list[str], smooth: float = 0.5) -> np.ndarray:
-    """Log probabilities of a character after another (row _N: at the start), with additive smoothing."""
+def transition_model(tokens: list[str], smooth: float = 0.5, floor: float = 0.05) -> np.ndarray:
+    """Log probabilities of a character after another (row _N: at the start): counts smoothed by the characters' own
+    shares, mixed with a ``floor`` of equal shares, so that one unseen pair does not decide a token."""
     counts = np.zeros((_N + 1, _N))
     for t in tokens:
         c = codes(t)
@@ -64,7 +65,7 @@ def transition_model(tokens: list[str], smooth: float = 0.5) -> np.ndarray:
             np.add.at(counts, (c[:-1], c[1:]), 1)
     back = (counts.sum(axis=0) + smooth) / (counts.sum() + smooth * _N)
     counts += 4 * back
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    return np.log((1 - floor) * counts / counts.sum(axis=1, keepdims=True) + floor / _N)
 
 
 def random_strings(n: int, seed: int = 7) -> list[str]:
@@ -74,10 +75,22 @@ def random_strings(n: int, seed: int = 7) -> list[str]:
     return ["".join(rng.choice(kinds[i % len(kinds)]) for _ in range(rng.randint(16, 48))) for i in range(n)]
 
 
+#: Words of names in code, for a corpus that gives none.
+COMMON = (
+    "access account action address application argument array attribute block buffer build button cache channel character check class client code collection color column command "
+    "comment component config configuration connection content context control count current database date default definition description detail directory document element error event "
+    "example exception expression factory field file filter format from function global group handler header height helper identifier image index information input instance interface "
+    "international internal item label language layout length level library list local location manager message method model module name network number object operation option order "
+    "output package page parameter parent password path pattern position process property provider query range record reference region register relation request resource response result "
+    "section security selection sequence server service session setting source state status storage string structure style system table target template text thread time transaction "
+    "transform translation type update user utility validation value variable version view width window worker"
+).split()
+
+
 def joined_words(words: list[str], n: int, seed: int = 8) -> list[str]:
     """Labelled samples of identifiers: words joined as names in code and addresses are."""
     rng = random.Random(seed)
-    words = words or ["get", "value", "index", "name", "table", "user", "count", "file", "data", "test"]
+    words = words or COMMON
     out = []
     for i in range(n):
         parts = [rng.choice(words) for _ in range(rng.randint(1, 4))]
@@ -99,8 +112,11 @@ class MarkovScanner:
     cutoff: float
 
     @classmethod
-    def fit(cls, secrets: list[str], words: list[str], cutoff: float = 0.75) -> MarkovScanner:
-        return cls(transition_model(random_strings(4000) + secrets), transition_model(joined_words(words, 8000) + words), cutoff)
+    def fit(cls, secrets: list[str], words: list[str], least: float = 0.25, false_rate: float = 0.001) -> MarkovScanner:
+        """The cutoff is passed by a share ``false_rate`` of other samples of joined words, and not below ``least``."""
+        out = cls(transition_model(random_strings(4000) + secrets), transition_model(joined_words(words, 8000) + words), least)
+        others = sorted(out.ratio(x) for x in joined_words(words, 4000, seed=9) if len(x) >= 20)
+        return cls(out.random_log, out.ordinary_log, max([least, *others[-1 - int(false_rate * len(others)) :][:1]]))
 
     def ratio(self, token: str) -> float:
         """Mean log-likelihood ratio a character, random against ordinary."""
