@@ -32,11 +32,11 @@ def rounded_percentiles(df: DataFrame, value: str, fractions: dict[str, float],
     """
     from pyspark.sql import Window
 
-    c = df.groupBy(*by, value).agg(F.count("*").alias("n"))
+    c = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*by).orderBy(value)
-    c = c.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
-    place = {k: F.bround((F.col("total") - 1) * F.lit(f), 0) for k, f in fractions.items()}
-    return c.groupBy(*by).agg(*[F.min(F.when(F.col("upto") > p, F.col(value))).alias(k) for k, p in place.items()])
+    c = c.withColumn("_upto", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
+    place = {k: F.bround((F.col("_total") - 1) * F.lit(f), 0) for k, f in fractions.items()}
+    return c.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") > p, F.col(value))).alias(k) for k, p in place.items()])
 
 
 def group_sizes(df: DataFrame, key: Column) -> DataFrame:

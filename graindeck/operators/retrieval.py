@@ -58,19 +58,26 @@ def best_positive_ranks(queries: DataFrame, candidates: DataFrame, exclude_self:
                 s[q["qid"].to_numpy()[:, None] == idx[None, :]] = np.nan
             yield a, a + len(q), s, idx, q["grp"].to_numpy()[:, None] == grp[None, :]
 
+    def loaded() -> Iterator[tuple]:
+        """The blocks in turn; of many, a worker holds one at a time."""
+        for block in blocks:
+            yield block.value
+            if len(blocks) > 1:
+                block.__dict__.pop("_value", None)
+
     def best(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             top, at = np.full(len(pdf), -np.inf), np.full(len(pdf), -1, dtype=np.int64)
-            for block in blocks:
-                for a, b, s, idx, pos in scores(pdf, block.value):
+            for block in loaded():
+                for a, b, s, idx, pos in scores(pdf, block):
                     s = np.where(pos & ~np.isnan(s), s, -np.inf)
                     high = s.max(axis=1)
                     first = np.where(s == high[:, None], idx[None, :], np.iinfo(np.int64).max).min(axis=1)
                     better = (high > top[a:b]) | ((high == top[a:b]) & np.isfinite(high) & (first < at[a:b]))
                     top[a:b], at[a:b] = np.where(better, high, top[a:b]), np.where(better, first, at[a:b])
             ahead = np.zeros(len(pdf), dtype=np.int64)
-            for block in blocks:
-                for a, b, s, idx, _ in scores(pdf, block.value):
+            for block in loaded():
+                for a, b, s, idx, _ in scores(pdf, block):
                     with np.errstate(invalid="ignore"):
                         ahead[a:b] += ((s > top[a:b, None]) | ((s == top[a:b, None]) & (idx[None, :] < at[a:b, None]))).sum(axis=1)
             yield pd.DataFrame({"qid": pdf["qid"], "grp": pdf["grp"], "rank": pd.Series(ahead + 1, index=pdf.index, dtype="Int64").mask(at < 0)})
