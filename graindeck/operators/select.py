@@ -120,27 +120,51 @@ def greedy_quota(candidates: DataFrame, targets: dict[str, int], splits: tuple[s
     return accepted, rejected
 
 
+def rank_in_group(df: DataFrame, group: str, digest: str, key: str, name: str = "rn") -> DataFrame:
+    """0-based rank within a group in the order of a hexadecimal digest, ties by key.
+
+    A group is ranked in 256 ranges of digests, and ranges are counted, so a hot group is not sorted by one task.
+    """
+    part = df.withColumn("part", F.substring(digest, 1, 2))
+    sizes = part.groupBy(group, "part").agg(F.count("*").alias("size"))
+    ahead = F.coalesce(F.sum("size").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = F.row_number().over(Window.partitionBy(group, "part").orderBy(digest, key)) - 1
+    return part.withColumn("here", here).join(sizes.select(group, "part", ahead.alias("ahead")), [group, "part"]).withColumn(name, F.col("ahead") + F.col("here")).drop("part", "here", "ahead")
+
+
 def chunked_epoch(df: DataFrame, group: str, key: str, per_group: int, seed: int, epoch: int = 0) -> DataFrame:
     """Rows in a seeded order within their group, cut to chunks, chunks in a seeded order: column pos.
 
     The global position is a rank over chunks, whose number is the rows' by ``per_group`` at least.
     """
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(priority(f"{seed}:{epoch}", F.col(key)), key)) - 1
-    rows = df.withColumn("rn", rn).withColumn("chunk", F.floor(F.col("rn") / per_group).cast("long"))
+    rows = rank_in_group(df.withColumn("at", priority(f"{seed}:{epoch}", F.col(key))), group, "at", key).drop("at").withColumn("chunk", F.floor(F.col("rn") / per_group).cast("long"))
     chunks = rows.groupBy(group, "chunk").agg(F.count("*").alias("size")).withColumn("place", priority(f"{seed}:{epoch}:chunk", F.concat_ws("\0", F.col(group).cast("string"), F.col("chunk").cast("string"))))
-    chunks = _running(chunks, "place", "size", "before")
+    chunks = running_sum(chunks, "place", "size", "before")
     out = rows.join(chunks.select(group, "chunk", "before"), [group, "chunk"])
     return out.withColumn("pos", F.col("before") + F.col("rn") - F.col("chunk") * per_group).drop("rn", "before")
 
 
-def _running(df: DataFrame, order: str, size: str, name: str, bits: int = 3) -> DataFrame:
-    """Sum of ``size`` over the rows before, in the order of a hexadecimal column, in two levels by its first digits."""
-    part = df.withColumn("range", F.substring(order, 1, bits))
+def range_part(df: DataFrame, key: str, name: str = "range") -> DataFrame:
+    """``df`` with the number of the range that its key falls in; ranges hold about equally many rows, in key order.
+
+    Bounds come from a sample that is chosen by hash, so that two evaluations agree; it has 64 rows a range at most.
+    """
+    parts = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(64 * parts).collect())
+    bounds = sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else []
+    if not bounds:
+        return df.withColumn(name, F.lit(0))
+    return df.withColumn(name, F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col(key))))
+
+
+def running_sum(df: DataFrame, order: str, size: str, name: str) -> DataFrame:
+    """Sum of ``size`` over the rows before, in the order of a unique column: within ranges, and over their sums."""
+    part = range_part(df, order)
     sums = part.groupBy("range").agg(F.sum(size).alias("range_size"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over at most 16^bits ranges
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     offsets = sums.select("range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return part.withColumn("inside", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(offsets, "range").withColumn(name, F.col("offset") + F.col("inside")).drop("range", "inside", "offset")
+    return part.withColumn("inside", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(F.broadcast(offsets), "range").withColumn(name, F.col("offset") + F.col("inside")).drop("range", "inside", "offset")
 
 
 def batches(df: DataFrame, pos: str, size: int, drop_last: bool) -> DataFrame:

@@ -73,7 +73,7 @@ def representative_first(spark: SparkSession, d: str) -> DataFrame:
     ref = df.groupBy("key").agg(F.min("doc_id").alias("ref_ord"), F.count("*").alias("size"))
     rows = df.join(ref, "key").withColumn("representative", F.col("doc_id") == F.col("ref_ord"))
     inside = F.row_number().over(Window.partitionBy("ref_ord").orderBy(~F.col("representative"), "source", "doc_id"))
-    offsets = select._running(ref.select("ref_ord", "size", F.lpad(F.hex("ref_ord"), 16, "0").alias("at")), "at", "size", "before", 14)
+    offsets = select.running_sum(ref.select("ref_ord", "size"), "ref_ord", "size", "before")
     return rows.withColumn("inside", inside).join(offsets.select("ref_ord", "before"), "ref_ord").select("doc_id", "ref_ord", "representative", (F.col("before") + F.col("inside")).cast("long").alias("place"))
 
 

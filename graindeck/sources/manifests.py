@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from graindeck.functions.text import first_filled, normalized, words
+from graindeck.operators.select import running_sum
 from graindeck.schema import CANONICAL, CLASSIFICATION, GROUPED, MULTI_CAPTION, ConstraintError, filled, require, require_functional, require_unique
 
 
@@ -49,12 +50,8 @@ def multi_caption(rows: DataFrame, split: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _numbered(df: DataFrame, key: str) -> DataFrame:
-    """0-based rank of a unique key in two levels: within ranges of keys, and the ranges' sizes."""
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(n, key).withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ranged.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1).join(F.broadcast(before), "part").withColumn("idx", F.col("rn") + F.col("before")).drop("part", "rn", "before")
+    """0-based rank of a unique key."""
+    return running_sum(df.withColumn("one", F.lit(1)), key, "one", "idx").drop("one")
 
 
 def one_to_one(rows: DataFrame, split: str, source: str) -> DataFrame:
