@@ -54,24 +54,25 @@ class FactorizationMachine:
     factors: np.ndarray
 
     @classmethod
-    def fit(cls, docs: list[np.ndarray], y: np.ndarray, k: int = 6, epochs: int = 250, rate: float = 0.05, l2: float = 2e-4, seed: int = 5) -> FactorizationMachine:
+    def fit(cls, docs: list[np.ndarray], y: np.ndarray, k: int = 6, epochs: int = 250, rate: float = 0.05, l2: float = 1e-5, weight: float = 2.0, seed: int = 5) -> FactorizationMachine:
+        """docs: sorted hashes of each document's terms. Rows of label 1 count ``weight`` times, as they are the rarer."""
         n, pos = len(y), float(y.sum()) if len(y) else 0.0
         if not n or not 0 < pos < n:
             p = min(max(pos / n if n else 0.5, 0.001), 0.999)
             return cls(np.zeros(0, np.uint32), float(np.log(p / (1 - p))), np.zeros(0), np.zeros((0, k)))
-        flat, row = np.concatenate(docs), np.repeat(np.arange(n), [len(d) for d in docs])
-        terms, at = np.unique(flat, return_inverse=True)
-        total = np.bincount(at, minlength=len(terms)).astype(float)
-        with_y = np.bincount(at, weights=y[row], minlength=len(terms))
-        # signed chi-square of term against label
+        terms, total = np.unique(np.concatenate(docs), return_counts=True)
+        found, count = np.unique(np.concatenate([d for d, on in zip(docs, y, strict=True) if on]), return_counts=True)
+        with_y = np.zeros(len(terms))
+        with_y[np.searchsorted(terms, found)] = count
+        # chi-square of term against label
         expect, rest = total * pos / n, n - total
         chi = (with_y - expect) ** 2 * n / np.maximum(total * rest * (pos / n) * (1 - pos / n), 1e-9)
         order = np.lexsort((terms, -chi))[:MAX_TERMS]
         chosen = np.sort(order[(chi[order] > 12) & (total[order] >= 3)])
-        new = np.full(len(terms), -1)
-        new[chosen] = np.arange(len(chosen))
-        keep = new[at] >= 0
-        col, row = new[at[keep]], row[keep]
+        inputs = terms[chosen]
+        del terms, total, with_y, expect, rest, chi, order
+        own = [np.flatnonzero(np.isin(inputs, d, assume_unique=True)) for d in docs]
+        col, row = np.concatenate(own), np.repeat(np.arange(n), [len(x) for x in own])
         d = len(chosen)
         rng = np.random.default_rng(seed)
         w, v, b = np.zeros(d), rng.normal(0, 0.02, (d, k)), float(np.log(pos / (n - pos)))
@@ -83,11 +84,12 @@ class FactorizationMachine:
                 return np.bincount(index, weights=values, minlength=size)
             return np.stack([np.bincount(index, weights=values[:, j], minlength=size) for j in range(values.shape[1])], axis=1)
 
+        cost = np.where(y > 0, weight, 1.0) / n
         for t in range(1, epochs + 1):
             vc = v[col]
             s = summed(vc, row, n)
             out = b + summed(w[col], row, n) + 0.5 * (s**2 - summed(vc**2, row, n)).sum(axis=1)
-            g = (1 / (1 + np.exp(-np.clip(out, -40, 40))) - y) / n
+            g = (1 / (1 + np.exp(-np.clip(out, -40, 40))) - y) * cost
             gw = summed(g[row], col, d) + l2 * w
             gv = summed(g[row, None] * (s[row] - vc), col, d) + l2 * v
             gb = g.sum()
@@ -98,7 +100,7 @@ class FactorizationMachine:
             sb[0] += 0.1 * (gb - sb[0])
             sb[1] += 0.001 * (gb**2 - sb[1])
             b -= rate * (sb[0] / (1 - 0.9**t)) / (np.sqrt(sb[1] / (1 - 0.999**t)) + 1e-8)
-        return cls(terms[chosen], b, w, v)
+        return cls(inputs, b, w, v)
 
     def score_terms(self, present: list[int]) -> float:
         """Score of a document with these inputs (positions in ``terms``)."""
