@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graindeck.functions.stats import finite
-from graindeck.operators import quality, runlog
+from graindeck.operators import drift, quality, runlog
 from graindeck.operators.decide import gate
+from graindeck.schema import ConstraintError
 
 
 def recovery_inventory(expected: DataFrame, retained: DataFrame, history: DataFrame, run: str, step: str) -> DataFrame:
@@ -39,3 +40,21 @@ def asset_inventory(files: DataFrame) -> DataFrame:
 def reference_report(refs: DataFrame, files: DataFrame, ref: str, path: str) -> DataFrame:
     """References by status."""
     return quality.resolve_references(refs, files, ref, path).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def final_gate(stages: DataFrame, run: str, passed: str, *shared: str) -> DataFrame:
+    """By run, whether every stage passed and each shared field has one value over them."""
+    same = [((F.min(c) == F.max(c)) & (F.count(c) == F.count("*"))).alias(f"same_{c}") for c in shared]
+    out = stages.groupBy(run).agg(F.count("*").alias("n_stages"), F.bool_and(F.coalesce(passed, F.lit(False))).alias("stages_passed"), *same)
+    ok = F.col("stages_passed")
+    for c in shared:
+        ok = ok & F.col(f"same_{c}")
+    return out.withColumn("passed", ok)
+
+
+def init_parity(reference: DataFrame, observed: DataFrame, name: str, index: str, value: str, atol: float, rtol: float) -> DataFrame:
+    """Values of two models (name, index, value) against each other; other names or shapes are an error."""
+    pairs = reference.select(name, index, F.col(value).alias("r")).join(observed.select(name, index, F.col(value).alias("o")), [name, index], "full")
+    if bad := pairs.where("r is null or o is null").limit(1).collect():
+        raise ConstraintError(f"a value on one side only: {bad[0][name]}[{bad[0][index]}]")
+    return drift.parity(pairs, name, "r", "o", atol, rtol)

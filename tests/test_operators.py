@@ -9,6 +9,7 @@ from graindeck.functions import text as T
 from graindeck.functions.hashing import blake2b_hex, priority
 from graindeck.functions.stats import warmup_cosine
 from graindeck.operators import decide, drift, loss, quality, runlog, select
+from graindeck.plans import verify
 from graindeck.schema import ConstraintError
 
 
@@ -161,3 +162,12 @@ def test_strict_pairs(spark):
     with pytest.raises(ConstraintError):
         decide.paired(a, b, ["k"], "v")
     assert decide.delta_points(decide.paired(a.where("k = 1"), b, ["k"], "v")).collect()[0].mean_pp == 30.0
+
+
+def test_final_gate_and_parity(spark):
+    stages = spark.createDataFrame([("a", True, "x"), ("a", True, "x"), ("b", True, "x"), ("b", None, "x"), ("c", True, "x"), ("c", True, "y")], "run string, ok boolean, digest string")
+    assert {r.run: r.passed for r in verify.final_gate(stages, "run", "ok", "digest").collect()} == {"a": True, "b": False, "c": False}
+    a = spark.createDataFrame([("w", 0, 1.0), ("w", 1, 2.0)], "name string, i int, v double")
+    assert verify.init_parity(a, a.withColumn("v", F.col("v") + 1e-9), "name", "i", "v", 1e-6, 0.0).collect()[0].close
+    with pytest.raises(ConstraintError):
+        verify.init_parity(a, a.where("i = 0"), "name", "i", "v", 1e-6, 0.0)
