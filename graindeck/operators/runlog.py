@@ -41,10 +41,16 @@ def log_intervals(log: DataFrame, run: str, step: str, value: str, every: int) -
     return log.groupBy(run, window.alias("window")).agg(F.count("*").alias("steps"), F.max(step).alias("end_step"), F.round(F.avg(value), 6).alias("mean_value"))
 
 
-def step_gaps(log: DataFrame, run: str, step: str, last: int, every: int, terminal: bool = True) -> DataFrame:
-    """Expected steps 0, every, ... and, if asked, the last one, that are missing; and steps not expected."""
-    expected = F.array_distinct(F.concat(F.sequence(F.lit(0), F.lit(last), F.lit(every)), F.array(F.lit(last)) if terminal else F.array().cast("array<int>")))
-    want = log.select(run).distinct().select(run, F.explode(expected).alias(step)).withColumn(step, F.col(step).cast("long"))
+def expected_steps(log: DataFrame, run: str, step: str, last: int | None, every: int, terminal: bool = True) -> DataFrame:
+    """Steps 0, every, ... and, if asked, the last one, of each run; without ``last``, up to the run's own last step."""
+    own = log.groupBy(run).agg((F.max(step) if last is None else F.lit(last)).cast("long").alias("last"))
+    grid = F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(every).cast("long"))
+    return own.select(run, F.explode(F.array_union(grid, F.array("last")) if terminal else grid).alias(step))
+
+
+def step_gaps(log: DataFrame, run: str, step: str, last: int | None, every: int, terminal: bool = True) -> DataFrame:
+    """Expected steps that are missing, and steps not expected."""
+    want = expected_steps(log, run, step, last, every, terminal)
     have = log.select(run, F.col(step).cast("long").alias(step)).distinct()
     return want.join(have, [run, step], "left_anti").withColumn("kind", F.lit("missing")).unionByName(have.join(want, [run, step], "left_anti").withColumn("kind", F.lit("unexpected")))
 

@@ -17,7 +17,7 @@ def recovery_inventory(expected: DataFrame, retained: DataFrame, history: DataFr
     return out.select(run, step, F.when(F.col("kept"), "present").when(F.col("noted"), "recoverable").otherwise("lost").alias("status"))
 
 
-def verify_run(log: DataFrame, run: str, step: str, value: str, last: int, every: int) -> DataFrame:
+def verify_run(log: DataFrame, run: str, step: str, value: str, last: int | None, every: int) -> DataFrame:
     """By run: finite values, increasing steps, no gaps, an improvement on the start, and whether all hold."""
     gaps = runlog.step_gaps(log, run, step, last, every).groupBy(run).agg(F.count("*").alias("n_gaps"))
     change = runlog.change_from_start(log, run, step, value).select(run, "change")

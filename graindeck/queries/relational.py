@@ -59,12 +59,12 @@ def symmetric_difference(spark: SparkSession, d: str) -> DataFrame:
     return quality.set_difference(l.where("l_returnflag = 'R' and l_quantity > 30").select(F.col("l_partkey").alias("k")), l.where("l_returnflag = 'A' and l_quantity > 30").select("l_partkey"))
 
 
-@query("with a as (select user_id % 50 as x, user_id % 31 as y from events where event_id % 2 = 0 and event_id < 900 group by all), b as (select user_id % 31 as y, user_id % 50 as x from events where event_id % 2 = 1 and event_id < 900 group by all) select x, y, 'left' as side from (select x, y from a except select x, y from b) union all select x, y, 'right' from (select x, y from b except select x, y from a)")
+@query("with a as (select cast(user_id as varchar) as x, event_type as y from events where value > 50 group by all), b as (select cast(user_id as varchar) as x, event_type as y from events where value <= 50 group by all) select x, y, 'left' as side from (select x, y from a except select x, y from b) union all select x, y, 'right' from (select x, y from b except select x, y from a)")
 def reciprocity(spark: SparkSession, d: str) -> DataFrame:
     """Edges that the other direction lacks."""
-    e = table(spark, d, "events").select((F.col("user_id") % 50).alias("x"), (F.col("user_id") % 31).alias("y"), "event_id").where("event_id < 900")
-    turned = e.where("event_id % 2 = 1").select(F.col("y").alias("x"), F.col("x").alias("y"))
-    return quality.edges_not_reciprocal(e.where("event_id % 2 = 0"), turned)
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("x"), F.col("event_type").alias("y"), "value")
+    turned = e.where("value <= 50").select(F.col("y").alias("x"), F.col("x").alias("y"))
+    return quality.edges_not_reciprocal(e.where("value > 50"), turned)
 
 
 @query("select text_kind, count(*) as n from (select 'document' as text_kind, text from documents union all select 'benchmark', text from benchmark union all select 'turn', text from conversations) group by 1")
