@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
+import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -59,13 +62,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+def discarded(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that no result reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.stored_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def trimmed() -> None:
+    """Give memory that a worker no longer uses back to the system; workers outlive their tasks."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+
+    A plan is let go of in steps, first by Python, then by the JVM, so it takes more than one collection.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

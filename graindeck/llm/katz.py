@@ -27,12 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graindeck.llm.common import arrow_map, fold_of, released, runs_of, stored
+from graindeck.llm.common import arrow_map, fold_of, released, runs_of, stored, trimmed
 
 #: Tokens of a chunk, counts that Good-Turing discounts reach to, and first words whose bigrams are dealt by both words.
 CHUNK_TOKENS, REACH, HEAVY = 1_000_000, 5, 4096
 
 _END = b""
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -43,12 +44,15 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def packed(a: np.ndarray) -> bytes:
-    """Integers as planes of bytes, most significant first, which compress well where they are small or sorted."""
-    return np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T[::-1]).tobytes()
+    """Numbers of eight bytes as compressed planes of bytes; planes of small or sorted numbers take little room."""
+    a = a if a.dtype == np.float64 else a.astype(np.int64)
+    return len(a).to_bytes(8, "little") + _ZSTD.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T), asbytes=True)
 
 
-def unpacked(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(8, -1)[::-1].T).view("<i8").ravel()
+def unpacked(b: bytes, kind: type = np.int64) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    planes = np.frombuffer(_ZSTD.decompress(b[8:], 8 * n), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).ravel()
 
 
 def mixed(a: np.ndarray) -> np.ndarray:
@@ -130,8 +134,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _chunks(docs: DataFrame, modulus: int, held_out: int, chunk_tokens: int) -> DataFrame:
-    """Chunks: ids of the documents, and a = lengths and folds, b = word places of the tokens, c = word hashes."""
-    kind = dict(docs.dtypes)["doc_id"]
+    """Chunks: a = lengths and folds, b = places of the tokens' words, c = sorted word hashes, d = the words' places in
+    that order, e = ids of the documents as an Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lens, held, places, parts, number, size = [], [], [], _Places(), [], 0, 0
@@ -144,9 +148,13 @@ def _chunks(docs: DataFrame, modulus: int, held_out: int, chunk_tokens: int) ->
             to = np.empty_like(order)
             to[order] = np.arange(len(order))
             words = list(places)
-            hashes = np.array([xxhash.xxh3_64_intdigest(words[i]) for i in order], dtype=np.uint64).view(np.int64)
-            out = [pa.array([home + number], type=pa.int64()), pa.array([ids], type=pa.list_(id_type)), *[pa.array([packed(x)], type=pa.binary()) for x in (np.array(lens) * 2 + np.array(held), to[flat], hashes)]]
-            return pa.RecordBatch.from_arrays(out, names=["chunk", "ids", "a", "b", "c"])
+            hashes = np.array([xxhash.xxh3_64_intdigest(words[i]) for i in order], dtype=np.uint64)
+            by_hash = np.argsort(hashes)
+            names = pa.RecordBatch.from_arrays([pa.array(ids, type=id_type)], names=["doc_id"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, names.schema) as out:
+                out.write_batch(names)
+            return _batch([(home + number, 0, 0, *[packed(x) for x in (np.array(lens) * 2 + np.array(held), to[flat], hashes[by_hash].view(np.int64), by_hash)], sink.getvalue().to_pybytes())])
 
         for b in batches:
             id_type = b.schema.field(0).type
@@ -160,17 +168,16 @@ def _chunks(docs: DataFrame, modulus: int, held_out: int, chunk_tokens: int) ->
                 if size >= chunk_tokens:
                     yield flush()
                     ids, lens, held, places, parts, number, size = [], [], [], _Places(), [], number + 1, 0
+                    trimmed()
         if ids:
             yield flush()
 
-    return arrow_map(docs.select("doc_id", "text"), run, f"chunk bigint, ids array<{kind}>, a binary, b binary, c binary")
+    return arrow_map(docs.select("doc_id", "text"), run, _CHUNK)
 
 
-def _by_part(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that puts n-grams of a part together, each part sorted by hash, and the parts' ends."""
-    part = (h.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((h, part))
-    return order, np.cumsum(np.bincount(part, minlength=parts))
+def _ends(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Where the ranges of equal width, one a part, end among sorted hashes."""
+    return np.cumsum(np.bincount(((hashes.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), minlength=parts))
 
 
 def _send_words(parts: int):
@@ -178,16 +185,14 @@ def _send_words(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, lens, tokens, hashes in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
-                lens, tokens, hashes = unpacked(lens), unpacked(tokens), unpacked(hashes)
+            for chunk, *blobs in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+                lens, tokens, hashes, places = map(unpacked, blobs)
                 train = np.repeat(lens & 1, lens >> 1) == 0
-                counts = np.bincount(tokens[train], minlength=len(hashes))
-                order, ends = _by_part(hashes, parts)
+                counts = np.bincount(tokens[train], minlength=len(hashes))[places]
                 at = 0
-                for p, end in enumerate(ends):
+                for p, end in enumerate(_ends(hashes, parts)):
                     if end > at:
-                        own = order[at:end]
-                        yield _batch([(chunk, 0, p, packed(hashes[own]), packed(counts[own]))])
+                        yield _batch([(chunk, 0, p, packed(hashes[at:end]), packed(counts[at:end]))])
                     at = end
 
     return run
@@ -221,22 +226,24 @@ class _Chunk:
 
     def __init__(self, rows: list[tuple], parts: int, bi_parts: int, bar: int):
         own = next(r for r in rows if r[1] == 0)
-        self.lens, self.tokens, hashes = unpacked(own[3]), unpacked(own[4]), unpacked(own[5])
-        order, _ = _by_part(hashes, parts)
+        self.lens, places = unpacked(own[3]), unpacked(own[6])
+        self.tokens = unpacked(own[4]).astype(np.int32)
         answers = sorted((r for r in rows if r[1] == 1), key=lambda r: r[2])
-        self.counts, self.ids = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
-        self.counts[order] = np.concatenate([unpacked(r[3]) for r in answers])
-        self.ids[order] = np.concatenate([unpacked(r[4]) for r in answers])
+        self.counts, self.ids = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
+        self.counts[places] = np.concatenate([unpacked(r[3]) for r in answers])
+        self.ids[places] = np.concatenate([unpacked(r[4]) for r in answers])
         self.sizes = self.lens >> 1
         # the word before a text's first is the end
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[0] = self.tokens[-1]
-        pair = before * len(hashes) + self.tokens
-        self.pairs, self.which = np.unique(pair, return_inverse=True)
+        pair = np.roll(self.tokens, 1).astype(np.int64)
+        pair *= len(places)
+        pair += self.tokens
+        pairs, which = np.unique(pair, return_inverse=True)
+        del pair
+        self.which = which.astype(np.int32)
         train = np.repeat(self.lens & 1, self.sizes) == 0
-        self.seen = np.bincount(self.which[train], minlength=len(self.pairs))
-        self.first, self.second = np.divmod(self.pairs, len(hashes))
+        self.seen = np.bincount(which[train], minlength=len(pairs)).astype(np.int32)
+        del which
+        self.first, self.second = ((x).astype(np.int32) for x in np.divmod(pairs, len(places)))
         heavy = self.counts[self.first] > bar
         key = mixed(self.ids[self.first]) ^ np.where(heavy, mixed(mixed(self.ids[self.second]).view(np.int64)), np.uint64(0))
         self.part = (key % np.uint64(bi_parts)).astype(np.int64)
@@ -259,6 +266,7 @@ class _Chunk:
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     for _, t in runs_of(batches):
         yield list(zip(*[t.column(i).to_pylist() for i in range(len(_COLUMNS))], strict=True))
+        trimmed()
 
 
 def _send_pairs(parts: int, bi_parts: int, bar: int):
@@ -298,17 +306,18 @@ def _count_pairs(model: Model):
             for chunk, f, s in zip(chunks, first, second, strict=True):
                 own, mine = at[begin : begin + len(s)], where[begin_first : begin_first + len(f)]
                 begin, begin_first = begin + len(s), begin_first + len(f)
-                yield _batch([(chunk, 3, part, packed(counts[own]), packed(rare[mine].ravel()), packed(more[mine]), sums[mine].tobytes())])
+                yield _batch([(chunk, 3, part, packed(counts[own]), packed(rare[mine].ravel()), packed(more[mine]), packed(sums[mine]))])
             heavy = np.flatnonzero(words & 1)
             if len(heavy):
-                yield _batch([(0, 8, part, packed(words[heavy] >> 1), packed(rare[heavy].ravel()), packed(more[heavy]), sums[heavy].tobytes())])
+                yield _batch([(0, 8, part, packed(words[heavy] >> 1), packed(rare[heavy].ravel()), packed(more[heavy]), packed(sums[heavy]))])
             yield _batch([(0, 9, part, packed(np.bincount(c[c <= REACH + 1], minlength=REACH + 2)[1:]))])
+            trimmed()
 
     return run
 
 
 def _score(model: Model, parts: int, bi_parts: int, bar: int):
-    """Scores by document of a chunk, in the chunk's order; kind 5: a = lengths and folds, b = known tokens, c, d = scores."""
+    """Scores of a chunk's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _chunk_rows(batches):
@@ -318,7 +327,7 @@ def _score(model: Model, parts: int, bi_parts: int, bar: int):
             p = uni[x.second].copy()  # after unknown words
             for part, own, begin, first in x.slices():
                 r = answers[part]
-                c, rare, more, below = unpacked(r[3]), unpacked(r[4]).reshape(-1, REACH), unpacked(r[5]), np.frombuffer(r[6])
+                c, rare, more, below = unpacked(r[3]), unpacked(r[4]).reshape(-1, REACH), unpacked(r[5]), unpacked(r[6], np.float64)
                 heavy = x.counts[first] > bar
                 if heavy.any():
                     rare, more, below = rare.copy(), more.copy(), below.copy()
@@ -332,8 +341,9 @@ def _score(model: Model, parts: int, bi_parts: int, bar: int):
             log = np.add.reduceat(np.log10(p)[x.which], starts)
             flat = np.add.reduceat(model.base(x.counts)[x.tokens], starts)
             known = np.add.reduceat((x.counts > 0)[x.tokens].astype(np.int64), starts)
-            ids = next(r for r in rows if r[1] == 0)
-            yield _batch([(ids[0], 5, 0, packed(x.lens), packed(known), flat.tobytes(), log.tobytes())])
+            ids = pa.ipc.open_stream(next(r for r in rows if r[1] == 0)[7]).read_all().column(0).combine_chunks()
+            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+            yield pa.RecordBatch.from_arrays([ids, pa.array((x.lens & 1) == 1), pa.array(x.sizes), pa.array(known), pa.array(np.full(len(x.lens), model.total)), pa.array(flat), pa.array(log)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -343,10 +353,12 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, chunk_tokens: in
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     chunks = stored(_chunks(docs, modulus, held_out, chunk_tokens), "chunks")
-    # a partition of the exchanges has about the tokens of two chunks
-    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count() // 2, 1)
-    words = arrow_map(chunks.select("chunk", "a", "b", "c"), _send_words(many), _CHUNK)
-    answers = stored(arrow_map(words.select("part", "chunk", "a", "b").repartition(many, "part").sortWithinPartitions("part"), _count_words(many), _CHUNK), "unigrams")
+    # a part of the exchanges has about the tokens of a chunk; a task takes some parts one after the other
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = max(least, chunks.count())
+    tasks = max(least, many // 4)
+    answers = stored(arrow_map(arrow_map(chunks.select("chunk", "a", "b", "c", "d"), _send_words(many), _CHUNK).select("part", "chunk", "a", "b").repartition(tasks, "part").sortWithinPartitions("part"), _count_words(many), _CHUNK), "unigrams")
+    released(spark)
     model = Model()
     totals = [unpacked(r[0]) for r in answers.where("kind = 9").select("a").collect()]
     if totals:
@@ -354,31 +366,17 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, chunk_tokens: in
         model.types, model.total, model.n_uni = s[0], s[1], s[2:]
     model.ready()
     bar = max(1, model.total // HEAVY)
-    own = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("part"), "a", "b", "c", F.lit(None).cast("binary").alias("d"), F.lit(None).cast("binary").alias("e"))
+    own = chunks.withColumn("c", F.lit(None).cast("binary"))
     known = own.unionByName(answers.where("kind = 1"))
     pairs = arrow_map(known.repartition("chunk").sortWithinPartitions("chunk"), _send_pairs(many, many, bar), _CHUNK)
-    pairs = stored(arrow_map(pairs.select("part", "chunk", "a", "b", "c", "d", "e").repartition(many, "part").sortWithinPartitions("part"), _count_pairs(model), _CHUNK), "bigrams")
+    pairs = stored(arrow_map(pairs.select("part", "chunk", "a", "b", "c", "d", "e").repartition(tasks, "part").sortWithinPartitions("part"), _count_pairs(model), _CHUNK), "bigrams")
     released(spark)
     totals = [unpacked(r[0]) for r in pairs.where("kind = 9").select("a").collect()]
     if totals:
         model.n_bi = np.sum(totals, axis=0).tolist()
     for a, b, c, d in pairs.where("kind = 8").select("a", "b", "c", "d").collect():  # at most HEAVY words in each part
-        for i, rare, more, below in zip(unpacked(a).tolist(), unpacked(b).reshape(-1, REACH), unpacked(c), np.frombuffer(d), strict=True):
+        for i, rare, more, below in zip(unpacked(a).tolist(), unpacked(b).reshape(-1, REACH), unpacked(c), unpacked(d, np.float64), strict=True):
             old = model.heavy.get(i, (np.zeros(REACH, np.int64), 0, 0.0))
             model.heavy[i] = (old[0] + rare, old[1] + int(more), old[2] + float(below))
     model.ready()
-    scored = arrow_map(known.unionByName(pairs.where("kind = 3")).repartition("chunk").sortWithinPartitions("chunk"), _score(model, many, many, bar), _CHUNK)
-    return _documents(scored.select("chunk", "a", "b", "c", "d").join(chunks.select("chunk", "ids"), "chunk"), kind, model.total)
-
-
-def _documents(scored: DataFrame, kind: str, total: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                lens, known = unpacked(b.column(1)[i].as_py()), unpacked(b.column(2)[i].as_py())
-                flat, log = np.frombuffer(b.column(3)[i].as_py()), np.frombuffer(b.column(4)[i].as_py())
-                ids = b.column(5)[i].values
-                yield pa.RecordBatch.from_arrays([ids, pa.array((lens & 1) == 1), pa.array(lens >> 1), pa.array(known), pa.array(np.full(len(lens), total)), pa.array(flat), pa.array(log)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return arrow_map(scored, run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-
+    return arrow_map(known.unionByName(pairs.where("kind = 3")).repartition("chunk").sortWithinPartitions("chunk"), _score(model, many, many, bar), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
