@@ -64,8 +64,8 @@ def pareto_frontier(df: DataFrame, loss: str, recall: str) -> DataFrame:
     not a join of all pairs.
     """
     best = df.groupBy(loss).agg(F.max(recall).alias("best_here"))
-    span = best.agg(F.min(loss).alias("lo"), F.greatest(F.max(loss) - F.min(loss), F.lit(1e-300)).alias("width"))
-    best = best.crossJoin(F.broadcast(span)).withColumn("range", F.floor((F.col(loss) - F.col("lo")) / F.col("width") * RANGES)).drop("lo", "width")  # one row
+    low, width = df.agg(F.min(loss)).scalar(), df.agg(F.greatest(F.max(loss) - F.min(loss), F.lit(1e-300))).scalar()
+    best = best.withColumn("range", F.floor((F.col(loss) - low) / width * RANGES))
     before = lambda *p: Window.partitionBy(*p).rowsBetween(Window.unboundedPreceding, -1)
     tops = best.groupBy("range").agg(F.max("best_here").alias("top")).withColumn("top_before", F.max("top").over(before(F.lit(0)).orderBy("range"))).drop("top")
     best = best.withColumn("best_before", F.max("best_here").over(before("range").orderBy(loss))).join(F.broadcast(tops), "range")
@@ -76,9 +76,8 @@ def pareto_frontier(df: DataFrame, loss: str, recall: str) -> DataFrame:
 
 def ranking(df: DataFrame, eligible: str, order: list[Column], fall_back: bool = False) -> DataFrame:
     """Eligible rows by several keys with their place; with fall_back all rows if none is eligible."""
-    any_ok = df.agg(F.bool_or(eligible).alias("any_ok"))
-    rows = df.crossJoin(F.broadcast(any_ok))  # one row
-    rows = rows.where(F.col(eligible) | (~F.coalesce("any_ok", F.lit(False)) if fall_back else F.lit(False))).drop("any_ok")
+    none = ~F.coalesce(df.agg(F.bool_or(eligible)).scalar(), F.lit(False)) if fall_back else F.lit(False)
+    rows = df.where(F.col(eligible) | none)
     return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 

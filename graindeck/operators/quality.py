@@ -43,8 +43,7 @@ def group_sizes(df: DataFrame, key: Column) -> DataFrame:
     """AG9: one row: groups, singletons, p50 and p95 (AG6), largest."""
     sizes = df.groupBy(key.alias("key")).agg(F.count("*").alias("size"))
     p = rounded_percentiles(sizes, "size", {"p50": 0.5, "p95": 0.95})
-    total = sizes.agg(F.count("*").alias("n_groups"), F.count_if(F.col("size") == 1).alias("n_singletons"), F.max("size").alias("largest"))
-    return total.crossJoin(F.broadcast(p))  # one row each
+    return sizes.agg(F.count("*").alias("n_groups"), F.count_if(F.col("size") == 1).alias("n_singletons"), F.max("size").alias("largest")).select("*", *[p.select(c).scalar().alias(c) for c in p.columns])
 
 
 def size_histogram(df: DataFrame, key: Column) -> DataFrame:

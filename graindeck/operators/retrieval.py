@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from graindeck.functions.stats import lower_median
 
+#: Classes that a row is scored against at most.
+MAX_CLASSES = 10_000
+
 #: Bytes of a block of candidates.
 BLOCK_BYTES = 64 << 20
 
@@ -113,11 +116,19 @@ def prototypes(df: DataFrame, label: str, vec: str) -> DataFrame:
 
 
 def classify(df: DataFrame, protos: DataFrame, key: str, label: str, vec: str) -> DataFrame:
-    """The label whose prototype scores highest, ties to the smallest. Prototypes: one a class."""
+    """The label whose prototype scores highest, ties to the smallest.
+
+    Prototypes are one a class, a fixed small set (more than MAX_CLASSES is an error): they become one array that every
+    row is scored against where it stands.
+    """
     from graindeck.functions.vector import dot
+    from graindeck.schema import ConstraintError
 
-    scored = df.select(key, F.col(label).alias("truth"), vec).crossJoin(F.broadcast(protos.select(F.col(label).alias("cls"), "proto")))
-    return scored.groupBy(key, "truth").agg(F.max_by("cls", F.struct(dot(F.col(vec), F.col("proto")), -F.col("cls"))).alias("predicted"))
+    if protos.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ConstraintError(f"more than {MAX_CLASSES} classes")
+    every = protos.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("cls"), "proto")))).scalar()
+    scores = F.transform(F.col("classes"), lambda c: F.struct(dot(F.col("v"), c["proto"]).alias("s"), (-c["cls"]).alias("c")))
+    return df.select(key, F.col(label).alias("truth"), F.col(vec).alias("v"), every.alias("classes")).select(key, "truth", (-F.array_max(scores)["c"]).alias("predicted"))
 
 
 def accuracy(pred: DataFrame) -> tuple[DataFrame, DataFrame]:

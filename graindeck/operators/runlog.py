@@ -71,7 +71,7 @@ def coverage(seen: DataFrame, pool: DataFrame, row: str, group: str) -> DataFram
     """AG25: distinct rows and groups seen, and shares of the pool."""
     a = seen.agg(F.countDistinct(row).alias("rows_seen"), F.countDistinct(group).alias("groups_seen"))
     b = pool.agg(F.countDistinct(row).alias("rows_all"), F.countDistinct(group).alias("groups_all"))
-    out = a.crossJoin(F.broadcast(b))  # one row each
+    out = a.select("*", *[b.select(c).scalar().alias(c) for c in b.columns])
     return out.withColumn("row_share", F.round(F.col("rows_seen") / F.col("rows_all"), 6)).withColumn("group_share", F.round(F.col("groups_seen") / F.col("groups_all"), 6))
 
 

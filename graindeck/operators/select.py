@@ -172,8 +172,7 @@ def batches(df: DataFrame, pos: str, size: int, drop_last: bool) -> DataFrame:
     out = df.withColumn("batch_no", F.floor(F.col(pos) / size).cast("long")).withColumn("slot", (F.col(pos) % size).cast("long"))
     if not drop_last:
         return out
-    n = df.agg(F.count("*").alias("n"))
-    return out.crossJoin(F.broadcast(n)).where((F.col("batch_no") + 1) * size <= F.col("n")).drop("n")  # one row
+    return out.where((F.col("batch_no") + 1) * size <= df.agg(F.count("*")).scalar())
 
 
 def rotating_plan(sizes: list[int], order: list[int], cursors: list[int], batch_size: int, per_group: int, drop_last: bool) -> tuple[list[list[tuple[int, int]]], list[int]]:
