@@ -25,7 +25,7 @@ from graindeck.llm.common import SPACE_WORD, stored
 LEVELS = ("domain", "lang", "source")
 
 #: Rows of a leaf in one range of its order, on average.
-RANGE_ROWS = 4_000
+RANGE_ROWS = 1_000
 
 
 def token_count(text: Column) -> Column:
