@@ -90,12 +90,16 @@ class LicenseScanner:
         self.seeds = rng.integers(1, 2**63, bands * rows, dtype=np.uint64)
         self.templates: list[tuple[str, frozenset[int], int]] = []
         self.lengths: dict[int, dict[int, list[int]]] = {}  # window length in shingles -> band key -> templates
+        self.needed: dict[int, int] = {}  # window length -> shingles that the smallest template needs
         for name, text in sorted({(str(n), t) for n, t in templates if n is not None and t is not None}):
             s = shingles(self.hashes.of(words_of(text)), size)
             if not len(s):
                 continue
-            self.templates.append((name, frozenset(s.tolist()), len(s)))
+            own = frozenset(s.tolist())
+            self.templates.append((name, own, len(s)))
             length = 1 << max(1, math.ceil(math.log2(len(s))))
+            # places of shingles, repeats included, so their number is not below that of distinct ones
+            self.needed[length] = min(self.needed.get(length, len(s)), math.ceil(containment * len(own) - 1e-9))
             table = self.lengths.setdefault(length, {})
             for key in self.band_keys(self.minima(s)[None, :])[0]:
                 table.setdefault(int(key), []).append(len(self.templates) - 1)
@@ -113,28 +117,23 @@ class LicenseScanner:
             key = mixed(key * _MULT + m[:, :, r])
         return key
 
-    def windows(self, s: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the overlapping windows that hold a shingle of any template, and their minima.
+    def windows(self, s: np.ndarray, near: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the overlapping windows, and their minima. ``near``: which shingles any template has.
 
-        Windows without such a shingle share no minimum with a template but by a collision of hashes.
+        A window whose surroundings hold fewer such shingles than the smallest template of this length needs for its
+        containment cannot be verified, so its minima are not worked out.
         """
-        stride = max(1, length // 4)
-        n = len(s)
-        near = np.isin(s, self.vocabulary)
-        if not near.any():
-            return np.zeros(0, np.int64), np.zeros((0, len(self.seeds)), np.uint64)
-        places = np.flatnonzero(near)
-        last = max(0, -(-(n - length) // stride))
-        lo = np.maximum(0, -(-(places - length + 1) // stride))
-        hi = np.minimum(last, places // stride)
-        starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True)] or [np.zeros(0, np.int64)])) * stride
-        padded = np.concatenate([s, np.zeros(max(0, int(starts.max(initial=0)) + length - n), np.uint64)])
-        index = starts[:, None] + np.arange(length)
-        inside = index < n
-        rows = padded[index]
+        stride, n = max(1, length // 4), len(s)
+        starts = np.arange(0, max(0, -(-(n - length) // stride)) + 1) * stride
+        upto = np.r_[0, np.cumsum(near)]
+        held = upto[np.minimum(n, starts + 2 * length)] - upto[np.maximum(0, starts - length)]
+        starts = starts[held >= self.needed[length]]
         out = np.empty((len(starts), len(self.seeds)), np.uint64)
-        for i, seed in enumerate(self.seeds):
-            out[:, i] = np.where(inside, mixed(rows ^ seed), _NONE).min(axis=1)
+        for a in range(0, len(starts), step := max(1, 2_000_000 // (length * len(self.seeds)))):
+            index = starts[a : a + step, None] + np.arange(length)
+            rows = mixed(s[np.minimum(index, n - 1)][:, :, None] ^ self.seeds)
+            rows[index >= n] = _NONE
+            out[a : a + step] = rows.min(axis=1)
         return starts, out
 
     def find(self, text: str | None) -> list[tuple[str, int, float]]:
@@ -144,8 +143,11 @@ class LicenseScanner:
         best: dict[str, tuple[float, int]] = {}
         if not len(s) or not len(self.vocabulary):
             return []
+        near = self.vocabulary[np.minimum(np.searchsorted(self.vocabulary, s), len(self.vocabulary) - 1)] == s
+        if not near.any():
+            return []
         for length, table in self.lengths.items():
-            starts, m = self.windows(s, length)
+            starts, m = self.windows(s, near, length)
             for a in range(0, len(starts), 4096):
                 keys = self.band_keys(m[a : a + 4096])
                 hit = np.isin(keys, self.keys[length])
