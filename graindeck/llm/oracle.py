@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from graindeck.llm.mixing import LEVELS
 from graindeck.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_SHARE, MIX_WEIGHTS
-from graindeck.llm.risk_rules import GRID, RULES
+from graindeck.llm.risk_rules import GRID, LOSS, RULES
 
 #: Words of the decontamination contract and of the other contracts.
 LETTER_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -81,7 +81,7 @@ h as (select lang, rule, x, y from v join y using (doc_id) where not base_failed
 g as (select unnest([{_GRID}]) as g),
 k as (select lang, rule, g, count(*) filter (y <> 0) as good, count(*) filter (y <> 0 and x > g) as lost, count(*) filter (y = 0) as bad, count(*) filter (y = 0 and x > g) as caught from h, g group by all),
 m as (select count(distinct (lang, rule)) * {len(GRID)} as tests from h),
-a as (select *, caught / greatest(1, bad) - lost / good as gain from k, m where good > 0 and lost < good * (0.05::double / {len(RULES)})
+a as (select *, caught / greatest(1, bad) - {LOSS} * lost / good as gain from k, m where good > 0 and lost < good * (0.05::double / {len(RULES)})
   and list_sum(list_transform(range(0, lost + 1), lambda j: exp(lgamma(good + 1) - lgamma(j + 1) - lgamma(good - j + 1) + j * ln(0.05::double / {len(RULES)}) + (good - j) * ln(1 - 0.05::double / {len(RULES)})))) <= 0.05::double / tests),
 cut as (select lang, rule, arg_max(g, (gain, g)) as g from a where gain > 0 group by lang, rule),
 rejected as (select distinct doc_id from v join cut using (lang, rule) where x > g)

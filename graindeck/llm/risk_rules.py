@@ -4,7 +4,8 @@ Each rule rejects a document whose statistic is above a cutoff. Labelled documen
 (a language), a cutoff is admissible if the exact binomial upper bound of its false rejections, of documents labelled
 good, is at most the rule's share of ``risk``; the level is corrected for the number of strata, rules and cutoffs
 tried (Bonferroni), so with probability 1 - ``level`` no stratum loses more than ``risk`` of its good documents. Of
-the admissible cutoffs the one is taken that separates the labels best; without one, the rule is off there.
+the admissible cutoffs the one is taken that separates the labels best, a lost share of good documents weighing LOSS
+times a caught share of bad ones; without one, the rule is off there.
 
 Defined results: a null text has no words, so its counts are 0 and it fails the base rule; an empty text likewise;
 repeated rows are each judged; documents without a label take part in no bound; a document labelled more than once
@@ -27,6 +28,9 @@ RULES = ("symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate")
 #: Cutoffs tried for each rule.
 GRID = tuple(x / 200 for x in (1, 2, 4, 6, 10, 15, 20, 30, 40, 50, 60, 80, 100, 120, 140, 160, 180))
 
+#: Weight of the share of good documents lost, against that of bad ones caught.
+LOSS = 5
+
 #: Languages with a stratum of their own at most, the most labelled ones; the rest are one stratum.
 MAX_STRATA = 64
 
@@ -107,7 +111,7 @@ def cutoffs(counts: DataFrame, labels: DataFrame, label: str = "quality", risk:
         for i, g in enumerate(GRID):
             lost, caught = sum(good[i + 1 :]), sum(bad[i + 1 :])
             if sum(good) and admissible(lost, sum(good), risk / len(RULES), level / tests):
-                gain = caught / max(1, sum(bad)) - lost / sum(good)
+                gain = caught / max(1, sum(bad)) - LOSS * lost / sum(good)
                 if gain > 0 and (best is None or gain >= best[0]):
                     best = (gain, g)
         if best:
