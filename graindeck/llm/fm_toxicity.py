@@ -54,8 +54,11 @@ class FactorizationMachine:
     factors: np.ndarray
 
     @classmethod
-    def fit(cls, docs: list[np.ndarray], y: np.ndarray, k: int = 6, epochs: int = 250, rate: float = 0.05, l2: float = 1e-5, weight: float = 2.0, seed: int = 5) -> FactorizationMachine:
-        """docs: sorted hashes of each document's terms. Rows of label 1 count ``weight`` times, as they are the rarer."""
+    def fit(cls, docs: list[np.ndarray], y: np.ndarray, k: int = 6, epochs: int = 250, rate: float = 0.05, prior: float = 0.03, weight: float = 2.0, seed: int = 5) -> FactorizationMachine:
+        """docs: sorted hashes of each document's terms. Rows of label 1 count ``weight`` times, as they are the rarer.
+
+        ``prior`` is the penalty against the summed loss, so its part of the mean loss shrinks as rows are added.
+        """
         n, pos = len(y), float(y.sum()) if len(y) else 0.0
         if not n or not 0 < pos < n:
             p = min(max(pos / n if n else 0.5, 0.001), 0.999)
@@ -84,7 +87,7 @@ class FactorizationMachine:
                 return np.bincount(index, weights=values, minlength=size)
             return np.stack([np.bincount(index, weights=values[:, j], minlength=size) for j in range(values.shape[1])], axis=1)
 
-        cost = np.where(y > 0, weight, 1.0) / n
+        cost, l2 = np.where(y > 0, weight, 1.0) / n, prior / n
         for t in range(1, epochs + 1):
             vc = v[col]
             s = summed(vc, row, n)
