@@ -284,8 +284,9 @@ def _send_pairs(parts: int, bi_parts: int, bar: int):
 
 
 def _count_pairs(model: Model):
-    """Answers: kind 3, a = bigram counts; by first word b = bigrams seen 1..REACH times, c = summed counts of the
-    others, d = summed unigram probabilities. Of heavy words, kind 8 has a = id, b, c, d. Kind 9: counts of counts."""
+    """Answers: kind 3, a = bigram counts, e = which first words have more: b = bigrams seen 1..REACH times, c = summed
+    counts of the others, d = summed unigram probabilities. Only first words of an unseen bigram of the chunk, or
+    without rare bigrams, need those. Of heavy words, kind 8 has a = id, b, c, d. Kind 9: counts of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in runs_of(batches):
@@ -303,10 +304,13 @@ def _count_pairs(model: Model):
             more = np.bincount(owner, weights=np.where(c > REACH, c, 0), minlength=len(words)).astype(np.int64)
             sums = np.bincount(owner, weights=p[there], minlength=len(words))
             begin = begin_first = 0
-            for chunk, f, s in zip(chunks, first, second, strict=True):
+            for chunk, f, z, s in zip(chunks, first, sizes, second, strict=True):
                 own, mine = at[begin : begin + len(s)], where[begin_first : begin_first + len(f)]
                 begin, begin_first = begin + len(s), begin_first + len(f)
-                yield _batch([(chunk, 3, part, packed(counts[own]), packed(rare[mine].ravel()), packed(more[mine]), packed(sums[mine]))])
+                unseen = np.bincount(np.repeat(np.arange(len(f)), z), weights=counts[own] == 0, minlength=len(f)) > 0
+                asked = unseen | (rare[mine].sum(axis=1) == 0)
+                mine = mine[asked]
+                yield _batch([(chunk, 3, part, packed(counts[own]), packed(rare[mine].ravel()), packed(more[mine]), packed(sums[mine]), packed(asked))])
             heavy = np.flatnonzero(words & 1)
             if len(heavy):
                 yield _batch([(0, 8, part, packed(words[heavy] >> 1), packed(rare[heavy].ravel()), packed(more[heavy]), packed(sums[heavy]))])
@@ -327,12 +331,12 @@ def _score(model: Model, parts: int, bi_parts: int, bar: int):
             p = uni[x.second].copy()  # after unknown words
             for part, own, begin, first in x.slices():
                 r = answers[part]
-                c, rare, more, below = unpacked(r[3]), unpacked(r[4]).reshape(-1, REACH), unpacked(r[5]), unpacked(r[6], np.float64)
-                heavy = x.counts[first] > bar
-                if heavy.any():
-                    rare, more, below = rare.copy(), more.copy(), below.copy()
-                    for i in np.flatnonzero(heavy):
-                        rare[i], more[i], below[i] = model.heavy[int(x.ids[first[i]])]
+                c, asked = unpacked(r[3]), unpacked(r[7]) == 1
+                # of the others all bigrams were seen and one of them is rare, so their scale is 1 and no weight is needed
+                rare, more, below = np.zeros((len(first), REACH), np.int64), np.zeros(len(first), np.int64), np.zeros(len(first))
+                rare[asked], more[asked], below[asked] = unpacked(r[4]).reshape(-1, REACH), unpacked(r[5]), unpacked(r[6], np.float64)
+                for i in np.flatnonzero(x.counts[first] > bar):
+                    rare[i], more[i], below[i] = model.heavy[int(x.ids[first[i]])]
                 alpha, scale = model.backoff(x.counts[first], rare, more, below)
                 spread = np.diff(np.r_[begin, len(own)])
                 alpha, scale, base = np.repeat(alpha, spread), np.repeat(scale, spread), np.repeat(x.counts[first], spread)
