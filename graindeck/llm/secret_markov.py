@@ -1,7 +1,8 @@
 """Secret scans: patterns, and character Markov models of random strings and of ordinary identifiers.
 
 Two second-order models over character classes and characters give log-likelihoods of a candidate token; where the
-ratio of random to ordinary per character passes a cutoff, the token is a secret that no pattern names.
+ratio of random to ordinary per character passes a cutoff, the token is a secret that no pattern names. Every maximal
+token of LEAST or more characters is judged, with or without digits; shorter ones are not told apart and left alone.
 
 Defined results: a null text is empty and has no spans; repeated rows are each scanned; an empty table gives an
 empty result. Of spans that start together the kind listed first in KINDS comes first. Offsets are code points.
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +27,16 @@ from graindeck.llm.common import arrow_map
 #: Texts whose ordinary tokens the identifier model is trained on at most.
 MAX_TRAIN = 2_000
 
+#: Characters of the shortest token that the models judge, and the lengths from which a cutoff of its own holds.
+LEAST = 16
+BANDS = (LEAST, 18, 20, 24, 32)
+
 KINDS = ("assign", "access", "hex", "markov")
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}")
+_TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
 
@@ -75,7 +81,7 @@ def random_strings(n: int, seed: int = 7) -> list[str]:
     return ["".join(rng.choice(kinds[i % len(kinds)]) for _ in range(rng.randint(16, 48))) for i in range(n)]
 
 
-#: Words of names in code, for a corpus that gives none.
+#: Words of names in code, ordinary in any corpus.
 COMMON = (
     "access account action address application argument array attribute block buffer build button cache channel character check class client code collection color column command "
     "comment component config configuration connection content context control count current database date default definition description detail directory document element error event "
@@ -105,33 +111,75 @@ def joined_words(words: list[str], n: int, seed: int = 8) -> list[str]:
     return out
 
 
+def plain_strings(words: list[str], n: int, seed: int = 10) -> list[str]:
+    """Labelled samples of other ordinary tokens: names of constants, paths with numbers, times, numbers, and rules."""
+    rng = random.Random(seed)
+    words = words or COMMON
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    out = []
+    for i in range(n):
+        parts = [rng.choice(words) for _ in range(rng.randint(2, 4))]
+        day = (str(rng.randint(1900, 2099)), f"{rng.randint(1, 12):02d}", f"{rng.randint(1, 31):02d}")
+        clock = tuple(f"{rng.randint(0, 59):02d}" for _ in range(3))
+        if i % 6 == 0:
+            out.append("_".join(parts).upper())
+        elif i % 6 == 1:
+            out.append("/".join(x for p in parts for x in (p, digits(rng.randint(1, 4)))))
+        elif i % 6 == 2:
+            out.append("-".join((*day, *clock)) if i % 12 == 2 else "".join(day) + "T" + "".join(clock) + "Z")
+        elif i % 6 == 3:
+            out.append(digits(rng.randint(16, 30)) if i % 12 == 3 else "-".join(digits(rng.randint(2, 5)) for _ in range(rng.randint(4, 6))))
+        elif i % 6 == 4:
+            out.append(rng.choice("-_/+") * rng.randint(16, 60))
+        else:
+            out.append(rng.choice(ALPHABET[:-1]) * rng.randint(16, 40) if i % 12 == 5 else ("+" + "-" * rng.randint(2, 12)) * rng.randint(2, 4) + "+")
+    return out
+
+
 @dataclass
 class MarkovScanner:
     random_log: np.ndarray
     ordinary_log: np.ndarray
-    cutoff: float
+    cutoffs: tuple[float, ...]  # by BANDS
 
     @classmethod
     def fit(cls, secrets: list[str], words: list[str], least: float = 0.25, false_rate: float = 0.001) -> MarkovScanner:
-        """The cutoff is passed by a share ``false_rate`` of other samples of joined words, and not below ``least``."""
-        out = cls(transition_model(random_strings(4000) + secrets), transition_model(joined_words(words, 8000) + words), least)
-        others = sorted(out.ratio(x) for x in joined_words(words, 4000, seed=9) if len(x) >= 20)
-        return cls(out.random_log, out.ordinary_log, max([least, *others[-1 - int(false_rate * len(others)) :][:1]]))
+        """The cutoff of each of BANDS is passed by a share ``false_rate`` of other ordinary samples of its lengths, and
+        not below ``least``."""
+        ordinary = lambda n, seed: [*joined_words(words, n, seed), *joined_words(COMMON, n // 2, seed + 1), *plain_strings(words, n // 4, seed + 2), *plain_strings(COMMON, n // 4, seed + 3)]
+        out = cls(transition_model(random_strings(4000) + secrets), transition_model(ordinary(8000, 8) + words), ())
+        others: list[list[float]] = [[] for _ in BANDS]
+        for x in ordinary(20000, 11):
+            if len(x) >= LEAST:
+                others[bisect_right(BANDS, len(x)) - 1].append(out.ratio(x))
+        return cls(out.random_log, out.ordinary_log, tuple(max([least, *sorted(o)[-1 - int(false_rate * len(o)) :][:1]]) for o in others))
+
+    @property
+    def cutoff(self) -> float:
+        """The largest cutoff: beyond it a token of any length is a secret."""
+        return max(self.cutoffs)
+
+    def judged(self, token: str) -> bool:
+        """Whether a token of LEAST or more characters is a random string."""
+        return self.ratio(token) >= self.cutoffs[bisect_right(BANDS, len(token)) - 1]
 
     def ratio(self, token: str) -> float:
-        """Mean log-likelihood ratio a character, random against ordinary."""
+        """Mean log-likelihood ratio a character, random against ordinary; the third and later of equal characters in
+        a row, as in a rule or filler, never speak for random."""
         c = codes(token)
         if not len(c):
             return 0.0
         before = np.r_[_N, c[:-1]]
-        return float((self.random_log[before, c] - self.ordinary_log[before, c]).mean())
+        each = self.random_log[before, c] - self.ordinary_log[before, c]
+        again = np.r_[False, c[1:] == c[:-1]]
+        return float(np.where(again & np.r_[False, again[:-1]], np.minimum(each, 0), each).mean())
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """Base spans, and all spans: the base ones and tokens beyond the cutoff that overlap none of them."""
         base = base_spans(text)
         more = []
         for m in _TOKEN.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, _, e in base) and not m.group().isdigit() and self.ratio(m.group()) >= self.cutoff:
+            if not any(s < m.end() and m.start() < e for s, _, e in base) and self.judged(m.group()):
                 more.append((m.start(), 3, m.end()))
         return base, sorted(base + more)
 

@@ -139,6 +139,22 @@ def test_secrets(spark):
     assert out.columns == docs.columns and out.where("text like '%abcdef0123%'").count() == 0 and out.where("doc_id = 5").first().text == "plain words here"
 
 
+def test_secrets_short_or_without_digits():
+    model = secret_markov.MarkovScanner.fit([], [])
+    found = lambda x: [e - s for s, k, e in model.spans(f"see {x} here")[1] if k == 3]
+    for x in ("x9Kq2LmZ7Pw4Rt8V", "x9Kq2LmZ7Pw4Rt8Vb3N", "QmXzRtWvLpKsJdHgFbNcYqTzXwVk"):
+        assert found(x) == [len(x)]
+    rng = np.random.default_rng(6)
+    letters = ["".join(rng.choice(list(secret_markov.ALPHABET[:52]), n)) for n in rng.integers(16, 33, 300)]
+    assert np.mean([found(x) != [] for x in letters]) > 0.97
+    short = [x[:19] for x in secret_markov.random_strings(300, seed=98)]
+    assert np.mean([found(x) != [] for x in short if len(x) >= 16]) > 0.95
+    plain = [x for x in secret_markov.joined_words([], 2000, seed=97) + secret_markov.plain_strings([], 2000, seed=97) if len(x) >= 16]
+    assert np.mean([found(x) != [] for x in plain]) < 0.005
+    for x in ("internationalization", "MAX_CONNECTION_COUNT", "2024-01-01-12-30-00", "-" * 40, "a" * 20, "4054205407814823"):
+        assert found(x) == []
+
+
 def brute_katz(texts, train):
     """Probabilities by the definition, word by word, with dictionaries."""
     from collections import Counter
