@@ -8,8 +8,9 @@ again, into as many children as keeps a similar pair together. RUNS independent
 ``recall()``. What the sketches hold possible is verified exactly on the whole sets.
 
 Defined results: a document without words is in a class of its own with no links; of one to four words, its set is
-the run of them all. A null doc_id is kept; a class of null ids only has a null class_id. Repeated rows share a
-class. An empty table gives an empty result. Words are those of the decontamination contract (A-Z lowered).
+the run of them all. A null doc_id has copies and links like any other; a class of null ids only has a null class_id.
+Repeated rows share a class. An empty table gives an empty result. Words are those of the decontamination contract
+(A-Z lowered).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from graindeck.llm.common import arrow_map, runs_of, stored
 from graindeck.llm.license_minhash import WordHashes, mixed, shingles
@@ -257,6 +259,18 @@ def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     # an id may have two rows in docs; those whose set is not this one are left out, and of equal ones one stays
     rows = arrow_map(texts.select("rid", "text", "id", "comp", "blocks", "block"), sets, "id binary, comp binary, blocks bigint, block bigint, shingles binary").where("shingles is not null")
+    nameless = members.where("rid is null").select("id", "comp", "blocks", "block")
+    if not nameless.isEmpty():  # sets of null ids only have no row to fetch by id: their rows are found by the set
+
+        def own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for b in batches:
+                found = [s for t in b.column(0) if len(s := shingle_set(words_of(t.as_py()), hashes))]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], type=pa.binary()), pa.array([s.tobytes() for s in found], type=pa.binary())], names=["id", "shingles"])
+
+        own = arrow_map(docs.where("doc_id is null").select("text"), own_sets, "id binary, shingles binary")
+        own = _among(own, nameless, "id").groupBy("id").agg(F.any_value("shingles").alias("shingles"))
+        rows = rows.union(own.join(nameless, "id").select("id", "comp", "blocks", "block", "shingles"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
     rows = rows.withColumn("p", pairs).select(F.xxhash64("comp", "p.i", "p.j").alias("task"), F.col("comp"), F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "id", "shingles", "blocks")
 
@@ -275,10 +289,8 @@ def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     return arrow_map(rows.repartition("task").sortWithinPartitions("task"), verify, "id binary, links bigint, label binary, blocks bigint")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the documents linked to it, over any number of links), copy_id (the
-    smallest doc_id with the same set), n_copies and n_links (different sets of similarity 0.8 or more) of every row."""
-    kind = dict(docs.dtypes)["doc_id"]
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id and id (of the set) of every row; id, copy_id, n_copies, n_links, class_id and label of every set."""
     rows = stored(_sketched(docs), "sketched")
     # one row a set; equal sets have equal sketches, so any of them will do
     reps = rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("rid"), F.count("*").alias("n_copies"), F.max("size").alias("size"), F.any_value("paths").alias("paths"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch"))
@@ -301,17 +313,49 @@ def join(docs: DataFrame) -> DataFrame:
     every = reps.select("id", "rid", "n_copies").join(counts, "id", "left").select("id", "rid", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "id").alias("label"))
     every = stored(every, "classes")
     classes = every.groupBy("label").agg(F.min("rid").alias("class_id"))
-    every = every.join(classes, "label").select("id", F.col("rid").alias("copy_id"), "n_copies", "n_links", "class_id")
+    return rows.select("doc_id", "id"), every.join(classes, "label").select("id", F.col("rid").alias("copy_id"), "n_copies", "n_links", "class_id", "label")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the documents linked to it, over any number of links), copy_id (the
+    smallest doc_id with the same set), n_copies and n_links (different sets of similarity 0.8 or more) of every row."""
+    return _joined(docs, *_classes(docs))
+
+
+def _joined(docs: DataFrame, rows: DataFrame, every: DataFrame) -> DataFrame:
+    kind = dict(docs.dtypes)["doc_id"]
     out = rows.select("doc_id", "id").join(every, "id", "left")
     return out.select("doc_id", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).cast(kind).alias("class_id"), F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).cast(kind).alias("copy_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _nameless(docs: DataFrame, every: DataFrame) -> DataFrame:
+    """Of documents with a null doc_id one of each class without an id, and those without words."""
+    at, name = docs.columns.index("text"), "_set"
+    while name in docs.columns:
+        name = "_" + name
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            sets = [shingle_set(words_of(t.as_py()), hashes) for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_id(s) if len(s) else None for s in sets], type=pa.binary())], names=[*b.schema.names, name])
+
+    rows = arrow_map(docs, run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+    first = every.where("class_id is null").groupBy("label").agg(F.min("id").alias(name)).select(name)
+    kept = rows.join(first, name, "left_semi").dropDuplicates([name])
+    return rows.where(F.col(name).isNull()).select(*docs.columns).union(kept.select(*docs.columns))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, of which one of each class stays: the one with the smallest doc_id.
 
-    Rows that share a doc_id stay or go together, but of those that also share the text one stays.
+    Rows that share a doc_id stay or go together, but of those that also share the text one stays. A row with a null
+    doc_id goes if a row of its class has an id; of a class of null ids only one row stays.
     """
-    drop = join(docs).where("doc_id <> class_id").select("doc_id").distinct()
+    rows, every = _classes(docs)
+    drop = _joined(docs, rows, every).where("doc_id <> class_id").select("doc_id").distinct()
+    if not rows.where("doc_id is null").isEmpty():
+        docs = docs.where("doc_id is not null").union(_nameless(docs.where("doc_id is null"), every))
     out = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
     again = stored(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
     if again.isEmpty():

@@ -124,6 +124,21 @@ def test_join_edges(spark):
     assert chosen_path.recall(0.8) > 0.999 and chosen_path.recall(0.8, depth=1) > 0.99999
 
 
+def test_join_null_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    # 1 and 2 are linked only through the set whose rows all have a null id
+    chain = [(1, " ".join(words[:48])), (None, " ".join(words[:54])), (None, " ".join(words[:54])), (2, " ".join(words))]
+    rows = [*chain, (None, "p q r"), (None, "P q, r"), (None, None), (None, ""), (7, "far off from all of it")]
+    df = clash(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [tuple(r) for r in chosen_path.join(df).select("doc_id", "class_id", "n_copies", "n_links").collect()]
+    want = [(1, 1, 1, 1), (None, 1, 2, 2), (None, 1, 2, 2), (2, 1, 1, 1), (None, None, 2, 0), (None, None, 2, 0), (None, None, 1, 0), (None, None, 1, 0), (7, 7, 1, 0)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = chosen_path.one_of_each(df)
+    found = kept.collect()
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in found) == ["1", "7", "None", "None", "None"]
+    assert sum((r.text or "").lower().startswith("p") for r in found) == 1
+
+
 def test_components(spark):
     chain = [(bytes([i]), bytes([i + 1])) for i in range(40)] + [(b"\xf0", b"\xf1"), (b"\xf0", b"\xf0")]
     got = {bytes(r.id): bytes(r.label) for r in chosen_path.components(spark.createDataFrame(chain, "a binary, b binary")).collect()}
