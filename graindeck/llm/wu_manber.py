@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from graindeck.llm.common import arrow_map
 
@@ -160,23 +161,32 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, table_bytes: i
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: int = 20) -> DataFrame:
     """The documents, with all their columns, that are not contaminated.
 
-    A row is judged where it stands. Only a benchmark beyond one table is judged by scan() and joined back.
+    A row is judged where it stands, whatever its id; further blocks of items add mappings to the same stage, in which
+    a row carries its stretches so far.
     """
+    out, names, at, state = docs, docs.columns, docs.columns.index("text"), "_stretches"
+    while state in names:
+        state = "_" + state
     blocks = list(_blocks(benchmark, TABLE_BYTES))
-    if len(blocks) > 1:
-        bad = scan(docs, benchmark, size, share=share).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
-    held = docs.sparkSession.sparkContext.broadcast(blocks[0])
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, _ = matchers(held.value, size)
-        for b in batches:
-            keep = []
-            for t in b.column(at):
-                words = words_of(t.as_py())
-                hit = covered(find(words, tables)[0])
-                keep.append(not (hit > 0 and share * hit >= len(words)))
-            yield b.filter(pa.array(keep, type=pa.bool_()))
-
-    return arrow_map(docs, run, docs.schema)
+    for number, block in enumerate(blocks):
+        held, final = docs.sparkSession.sparkContext.broadcast(block), number == len(blocks) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, first=number == 0, final=final) -> Iterator[pa.RecordBatch]:
+            tables, _ = matchers(held.value, size)
+            for b in batches:
+                keep, carried = [], []
+                for i, t in enumerate(b.column(at)):
+                    words = words_of(t.as_py())
+                    stretches = find(words, tables)[0]
+                    if not first:
+                        stretches += [tuple(x) for x in np.frombuffer(b.column(len(names))[i].as_py(), dtype=np.int32).reshape(-1, 2).tolist()]
+                    if final:
+                        hit = covered(stretches)
+                        keep.append(not (hit > 0 and share * hit >= len(words)))
+                    else:
+                        carried.append(np.array(stretches, dtype=np.int32).tobytes())
+                own = pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names)
+                yield own.filter(pa.array(keep, type=pa.bool_())) if final else pa.RecordBatch.from_arrays([*own.columns, pa.array(carried, type=pa.binary())], names=[*names, state])
+
+        out = arrow_map(out, run, docs.schema if final else StructType([*docs.schema.fields, StructField(state, BinaryType())]))
+    return out

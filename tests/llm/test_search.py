@@ -192,6 +192,16 @@ def test_windows_on_the_table(spark):
     assert wu_manber.scan(d.limit(0), b).count() == 0 and {r.n_hit for r in wu_manber.scan(d, b.limit(0)).collect()} == {0}
 
 
+@pytest.mark.parametrize("table_bytes", [1 << 20, 60])
+def test_clean_judges_rows_in_place(spark, monkeypatch, table_bytes):
+    monkeypatch.setattr(wu_manber, "TABLE_BYTES", table_bytes)
+    items = [(i, " ".join(f"k{i}n{j}" for j in range(14))) for i in range(3)]
+    docs = [(None, items[0][1]), (None, "fine"), (5, items[2][1]), (5, "fine too"), (6, items[1][1] + " c" * 300), (7, " ".join(items[i][1] + " c" * 150 for i in range(3)))]
+    d = clash(spark.createDataFrame(docs, "doc_id long, text string"))
+    out = wu_manber.clean(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert out.columns == d.columns and sorted(r.text for r in out.collect()) == sorted(["fine", "fine too", docs[4][1]])
+
+
 # Quality rules
 
 
