@@ -38,7 +38,7 @@ def audit(rows: DataFrame, preview: int = 20) -> dict:
         p = quality.rounded_percentiles(lengths, n, {"p50": 0.5, "p95": 0.95, "max": 1.0}).first()
         out[{"w": "words", "c": "characters"}[n]] = p.asDict() if p else {}
     for n, c in (("countries", T.country(stem)), ("zooms", T.zoom(stem))):
-        out[n] = {r[0]: r[1] for r in quality.counts(rows, c).orderBy(F.desc("n"), "value").limit(1000).collect()}
+        out[n] = {r[0]: r[1] for r in quality.counts(rows, c).orderBy(F.desc("n"), "value").collect()}
     out["most_common"] = [(r.value, r.n) for r in quality.most_common(rows, key, "id", preview).collect()]
     return out
 

@@ -107,8 +107,10 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def markdown_table(df: DataFrame, order: str) -> str:
-    """SK10: a table of a small result; floats with six digits."""
-    rows = df.orderBy(order).limit(1000).collect()
+    """SK10: a table of a small result, more than 1,000 rows are an error; floats with six digits."""
+    rows = df.orderBy(order).limit(1001).collect()
+    if len(rows) > 1000:
+        raise ConstraintError("a table of more than 1,000 rows")
     show = lambda v: "" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *["| " + " | ".join(show(v) for v in r) + " |" for r in rows]]
     return "\n".join(lines) + "\n"

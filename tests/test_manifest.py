@@ -19,6 +19,12 @@ def test_canonical_and_audit(spark):
     assert manifest.of_split(spark.createDataFrame([("Train ",), ("val",)], "split string"), "train").count() == 1
 
 
+def test_audit_counts_every_zoom(spark):
+    rows = spark.range(1100).select(F.col("id").cast("string").alias("id"), F.format_string("a_DE_%d.jpg", "id").alias("image"), F.lit("a field").alias("caption"))
+    a = manifest.audit(rows)
+    assert a["countries"] == {"DE": 1100} and len(a["zooms"]) == 1100
+
+
 def test_text_audit(spark):
     rows = spark.createDataFrame([("a", "One two"), ("b", " one  TWO "), ("c", "one two three four five six seven")], "id string, caption string")
     a = manifest.text_audit(rows, 8)

@@ -158,3 +158,9 @@ def test_stream_resumes(spark, tmp_path):
     run()
     got = {r.id: (r.queue_size, r.oldest) for r in spark.read.parquet(out).collect()}
     assert got == {i: (min(i, 3), None if i == 0 else max(0, i - 3) * 10) for i in range(10)}
+
+
+def test_markdown_table_refuses_long_results(spark):
+    assert len(publish.markdown_table(spark.range(1000), "id").splitlines()) == 1002
+    with pytest.raises(ConstraintError):
+        publish.markdown_table(spark.range(1001), "id")
