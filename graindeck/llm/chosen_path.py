@@ -7,10 +7,17 @@ probability of their similarity. Buckets that are small are compared by brute fo
 again, into as many children as keeps a similar pair together. RUNS independent recursions bring the recall to
 ``recall()``. What the sketches hold possible is verified exactly on the whole sets.
 
+No task holds a large bucket. It is cut by salt into parts of about SMALL rows; in a part, rows close to a pivot are
+linked to it, and only pivots, with the distance of the farthest row they stand for, go on to be compared with those
+of the other parts. So a bucket of near copies shrinks to a few pivots where it stands. A bucket with more than
+PIVOTS of them holds unlike rows and is split by the next samples; after the last ones, its pivots are compared in
+pairs of blocks.
+
 Defined results: a document without words is in a class of its own with no links; of one to four words, its set is
 the run of them all. A null doc_id has copies and links like any other; a class of null ids only has a null class_id.
-Repeated rows share a class. An empty table gives an empty result. Words are those of the decontamination contract
-(A-Z lowered).
+Repeated rows share a class, and a text of any length is one set. Ties: of equal ids the set with the smaller hash
+comes first. An empty table gives an empty result; columns other than doc_id and text are ignored, whatever their
+names. Words are those of the decontamination contract (A-Z lowered).
 """
 
 from __future__ import annotations
@@ -20,23 +27,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from graindeck.llm.common import arrow_map, runs_of, stored
+from graindeck.llm.common import Run, arrow_map, runs_of
 from graindeck.llm.license_minhash import WordHashes, mixed, shingles
 from graindeck.llm.wu_manber import words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Independent recursions, their depth, and the children a bucket's row goes to from the second level on.
 RUNS, DEPTH, CHILDREN = 8, 3, 2
-#: Rows of a bucket that is compared whole; at the last level, rows of a bucket compared whole before pivots are used.
-SMALL, LARGE = 256, 4096
+#: Rows of a bucket, or of a salted part of one, that are compared by one task; pivots of a bucket that is not split any
+#: further; pivots in a block after the last split.
+SMALL, PIVOTS, BLOCK = 256, 1024, 1024
 #: Coordinates of a sketch, and the share of equal ones from which a pair is verified: 4.6 deviations below 0.8.
 SKETCH, CANDIDATE = 128, 0.64
-#: Shingles of a component that one task verifies; larger components are verified in pairs of blocks.
-BLOCK_SHINGLES = 4_000_000
+#: Shingles and sets of a component that one task verifies; larger components are verified in pairs of blocks.
+BLOCK_SHINGLES, BLOCK_SETS = 4_000_000, 4_096
 #: Bits of the map that picks the texts to verify.
 FILTER_BITS = 1 << 25
 
@@ -87,74 +95,145 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def bucket_edges(ids: list[bytes], sketches: np.ndarray) -> list[tuple[bytes, bytes]]:
-    """A forest that connects all pairs of the bucket whose sketches are close."""
-    n, least = len(ids), int(np.ceil(CANDIDATE * SKETCH))
-    forest = Forest(n)
-    if n <= LARGE:
-        for i in range(n - 1):
-            for j in np.flatnonzero((sketches[i + 1 :] == sketches[i]).sum(axis=1) >= least):
-                forest.join(i, i + 1 + int(j))
-    else:
-        # Jaccard distance is a metric: if y is within 0.2 of x, and x within 0.25 of a pivot, y is within 0.45 of the
-        # pivot. So rows near a pivot need comparing with pivots only, linked from a similarity of 0.55 less the error.
-        near, wide, pivots = int(0.75 * SKETCH), int(0.55 * SKETCH - 4.6 * 0.5 * SKETCH**0.5 * 0.9), []
-        for i in range(n):
-            alike = (sketches[pivots] == sketches[i]).sum(axis=1) if pivots else np.zeros(0, int)
-            for j in np.flatnonzero(alike >= wide):
-                forest.join(i, pivots[int(j)])
-            if not len(alike) or alike.max() < near:
-                pivots.append(i)
-    return [(ids[i], ids[forest.root(i)]) for i in range(n) if forest.root(i) != i]
+#: Equal coordinates from which a row is linked to a pivot that then stands for it.
+NEAR = int(0.75 * SKETCH)
+#: Deviation of the share of equal coordinates of sets of similarity 0.8.
+DEVIATION = (SIMILARITY * (1 - SIMILARITY) / SKETCH) ** 0.5
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, far_a: np.ndarray, far_b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of ``a`` the rows of ``b`` for which either may stand for a row of a similar pair.
+
+    Jaccard distance is a metric: if x and y are within 0.2 of each other, and x within ``far`` of its pivot, the pivots
+    are within 0.2 and both distances. 4.6 deviations are allowed for each distance that was estimated.
+    """
+    far_b = far_b / SKETCH
+    for i in range(len(a)):
+        f = far_a[i] / SKETCH
+        least = SIMILARITY - f - far_b - 4.6 * DEVIATION * np.sqrt(1 + (f > 0) + (far_b > 0))
+        yield i, np.flatnonzero((b == a[i]).sum(axis=1) >= np.ceil(least * SKETCH))
+
+
+def bucket_edges(ids: list[bytes], sketches: np.ndarray, far: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """A forest that connects all pairs of the bucket that are close."""
+    forest = Forest(len(ids))
+    for i, near in close_pairs(sketches, sketches, far, far):
+        for j in near:
+            if j > i:
+                forest.join(i, int(j))
+    return [(ids[i], ids[forest.root(i)]) for i in range(len(ids)) if forest.root(i) != i]
 
 
-_ROW = "path bigint, run int, id binary, tokens binary, sketch binary"
-_NAMES = ["path", "run", "id", "tokens", "sketch"]
+def pivots(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's pivot, the rows that are pivots, and how many coordinates their farthest row differs in."""
+    of, chosen, far = np.arange(len(sketches)), [], []
+    for i in range(len(sketches)):
+        alike = (sketches[chosen] == sketches[i]).sum(axis=1) if chosen else np.zeros(0, int)
+        if len(alike) and alike.max() >= NEAR:
+            k = int(alike.argmax())
+            of[i] = chosen[k]
+            far[k] = max(far[k], SKETCH - int(alike[k]))
+        else:
+            chosen.append(i)
+            far.append(0)
+    return of, np.array(chosen, dtype=np.int64), np.array(far, dtype=np.int64)
 
 
-def _level(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Compare small buckets (rows: path null, id and other) and split the rest (rows: child path)."""
-    last = level == DEPTH - 1
+#: Rows of buckets: far is null but of pivots. Links found are rows with other.
+_ROW = "grp bigint, path bigint, run int, id binary, tokens binary, sketch binary, far int, side int, other binary"
+_NAMES = ["grp", "path", "run", "id", "tokens", "sketch", "far", "side", "other"]
+
+
+def _links(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    n = len(found)
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+    columns = [pa.nulls(n, k) for k in kinds]
+    columns[3], columns[8] = (pa.array(list(x), type=pa.binary()) for x in (zip(*found, strict=True) if n else ((), ())))
+    return pa.RecordBatch.from_arrays(columns, names=_NAMES)
+
+
+def _matrix(t: pa.Table) -> tuple[list[bytes], np.ndarray]:
+    return t.column(3).to_pylist(), np.frombuffer(b"".join(t.column(5).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets that are whole (side 1): links. Salted parts of larger ones: links to pivots, and the pivots."""
+    for _, t in runs_of(batches):
+        t = t.sort_by("id")
+        ids, sketches = _matrix(t)
+        if t.column(7)[0].as_py() == 1:
+            yield _links(bucket_edges(ids, sketches, np.zeros(len(ids), np.int64)))
+            continue
+        of, chosen, far = pivots(sketches)
+        yield _links([(ids[i], ids[j]) for i, j in enumerate(of.tolist()) if i != j])
+        kept = t.take(pa.array(chosen)).set_column(6, "far", pa.array(far, type=pa.int32())).combine_chunks()
+        yield from (pa.RecordBatch.from_arrays(b.columns, names=_NAMES) for b in kept.to_batches())
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the pivots of a bucket: all of one block, or those of a block (side 0) with those of another (1)."""
+    for _, t in runs_of(batches):
+        t = t.sort_by("id")
+        ids, sketches = _matrix(t)
+        far, side = t.column(6).to_numpy(), t.column(7).to_numpy()
+        if side.min() == side.max():
+            yield _links(bucket_edges(ids, sketches, far))
+            continue
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        near = close_pairs(sketches[a], sketches[b], far[a], far[b])
+        yield _links([(ids[a[i]], ids[b[j]]) for i, found in near for j in found])
+
+
+def _children(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The paths that rows go on by: for each child one more sampled token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[list, list] = ([], [])
-
-        def edges() -> pa.RecordBatch:
-            n, kinds = len(found[0]), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            cols = [pa.nulls(n, k) for k in kinds]
-            cols[2], cols[5] = pa.array(found[0], type=pa.binary()), pa.array(found[1], type=pa.binary())
-            found[0].clear()
-            found[1].clear()
-            return pa.RecordBatch.from_arrays(cols, names=[*_NAMES, "other"])
-
-        for whole, t in runs_of(batches, None if last else SMALL):
-            n = t.num_rows
-            if whole and n < 2:
-                continue
-            if whole or last:
-                ids = t.column(2).to_pylist()
-                sketches = np.frombuffer(b"".join(t.column(4).to_pylist()), dtype=np.uint8).reshape(n, SKETCH)
-                order = sorted(range(n), key=ids.__getitem__)
-                for a, b in bucket_edges([ids[i] for i in order], sketches[order]):
-                    found[0].append(a)
-                    found[1].append(b)
-                if len(found[0]) >= 4096:
-                    yield edges()
-                continue
-            t = t.combine_chunks()
-            path = t.column(0).to_numpy().astype(np.uint64)
-            first = t.column(1).to_numpy().astype(np.int64) * (DEPTH - 1) * CHILDREN + level * CHILDREN
-            deep = np.frombuffer(b"".join(t.column(3).to_pylist()), dtype=np.uint32).reshape(n, -1)
+        for b in batches:
+            n = b.num_rows
+            path = b.column(1).to_numpy().astype(np.uint64)
+            first = b.column(2).to_numpy().astype(np.int64) * (DEPTH - 1) * CHILDREN + (level - 1) * CHILDREN
+            deep = np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=np.uint32).reshape(n, -1)
             for c in range(CHILDREN):
                 token = deep[np.arange(n), first + c].astype(np.uint64) << np.uint64(20)
                 child = mixed(path * np.uint64(31) + np.uint64(c + 1) + token).astype(np.int64)
-                cols = [pa.array(child), *[t.column(i).combine_chunks() for i in range(1, 5)], pa.nulls(n, pa.binary())]
-                yield pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in cols], names=[*_NAMES, "other"])
-        yield edges()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(child), *b.columns[2:]], names=_NAMES)
 
     return run
 
 
+def _gathered(df: DataFrame, *by: Column | str) -> DataFrame:
+    return df.withColumn("grp", F.xxhash64(*by)).select(*_NAMES).repartition("grp").sortWithinPartitions("grp")
+
+
+def _candidates(run: Run, level: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all rows whose sketches are close and that share a last bucket in any of the runs."""
+    none = {"grp": F.lit(0).cast("bigint"), "far": F.lit(None).cast("int"), "side": F.lit(1), "other": F.lit(None).cast("binary")}
+    level, found = level.withColumns(none), None
+    for depth in range(DEPTH):
+        sizes = level.groupBy("path").count().where("count > 1")
+        parts = F.ceil(F.col("count") / SMALL)
+        salt = F.pmod(F.xxhash64("id"), parts)
+        level = level.join(sizes, "path").withColumn("side", F.when(parts == 1, 1).otherwise(0))
+        done = run.stored(arrow_map(_gathered(level.withColumn("salt", salt), "path", "salt"), _parts, _ROW), f"parts{depth}")
+        left = done.where("far is not null")
+        most = left.groupBy("path").agg(F.count("*").alias("most"))
+        if depth < DEPTH - 1:
+            most, wide = most.where(F.col("most") <= PIVOTS), most.where(F.col("most") > PIVOTS).select("path")
+        # all pivots of a bucket meet, in blocks if there are many
+        blocks = F.ceil(F.col("most") / BLOCK)
+        block = F.pmod(F.xxhash64("id", F.lit(5)), blocks)
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j")))
+        met = left.join(most, "path").withColumn("block", block).withColumn("p", F.explode(pairs)).withColumn("side", (F.col("block") != F.col("p.i")).cast("int"))
+        across = run.stored(arrow_map(_gathered(met, "path", "p.i", "p.j"), _across, _ROW), f"across{depth}")
+        for links in (done, across):
+            links = links.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
+            found = links if found is None else found.union(links)
+        if depth == DEPTH - 1 or wide.isEmpty():
+            break
+        level = run.stored(arrow_map(level.select(*_NAMES).join(wide, "path", "left_semi").select(*_NAMES), _children(depth + 1), _ROW), f"level{depth + 1}")
+    return found
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -179,56 +258,75 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, id binary, size bigint, paths array<bigint>, tokens binary, sketch binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(run: Run, edges: DataFrame) -> DataFrame:
     """id and label, the smallest id connected to it, of all ids of the edges (a, b).
 
     Each round contracts every id into the smallest of its neighbours and itself; the rounds needed grow with the
     logarithm of a component's diameter. Rounds are cut by written tables.
     """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = run.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     labels = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("label", F.col("id"))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "low")
-        labels = stored(labels.join(low, labels["label"] == low["u"], "left").select("id", F.coalesce("m", "label").alias("label")), "labels")
+        low = run.stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "low")
+        labels = run.stored(labels.join(low, labels["label"] == low["u"], "left").select("id", F.coalesce("m", "label").alias("label")), "labels")
         to_a, to_b = low.select(F.col("u").alias("a"), F.col("m").alias("ma")), low.select(F.col("u").alias("b"), F.col("m").alias("mb"))
         edges = edges.join(to_a, "a").join(to_b, "b").where("ma <> mb").select(F.greatest("ma", "mb").alias("a"), F.least("ma", "mb").alias("b")).distinct()
-        edges = stored(edges, "edges")
+        edges = run.stored(edges, "edges")
     return labels
 
 
 def links_within(sets: list[np.ndarray], sides: np.ndarray | None, similarity: float = SIMILARITY) -> tuple[np.ndarray, Forest]:
     """Links of each set to the others with an exact Jaccard similarity of at least ``similarity``, and their forest.
 
-    sides: if given, only pairs of different sides count. Sets are distinct and sorted.
+    sides: if given, only pairs of different sides count. Sets are distinct and sorted. Tokens that more than half of the
+    sets have are counted by who lacks them, so near copies, which share most tokens, cost what they differ in: shared
+    tokens are the pair's rare ones, the common ones, less those that one of them lacks, plus those that both lack.
     """
     n, forest = len(sets), Forest(len(sets))
     counts, sizes = np.zeros(n, dtype=np.int64), np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    _, token = np.unique(flat, return_inverse=True)
-    order = np.argsort(token, kind="stable")
-    owners = np.repeat(np.arange(n), sizes)[order]  # documents of each token, token by token
-    df = np.bincount(token)
-    begin = np.cumsum(df) - df
-    at = 0
+    tokens, token = np.unique(np.concatenate(sets), return_inverse=True)
+    df = np.bincount(token, minlength=len(tokens))
+    row = np.repeat(np.arange(n), sizes)
+    common = np.flatnonzero(2 * df > n)
+    # which common tokens a set lacks: all of them, less those it has
+    rank = np.full(len(tokens), -1)
+    rank[common] = np.arange(len(common))
+    has = rank[token] >= 0
+    held = np.bincount(row[has], minlength=n)
+    gaps = [np.zeros(0, np.int64)] * n
+    if len(common):
+        ends = np.cumsum(held)
+        have = rank[token[has]]
+        for i in range(n):
+            if held[i] < len(common):
+                lacking = np.ones(len(common), dtype=bool)
+                lacking[have[ends[i] - held[i] : ends[i]]] = False
+                gaps[i] = common[lacking]
+    lacks = len(common) - held
+    keys = np.r_[token[~has], np.concatenate(gaps)] if n else token
+    owner = np.r_[row[~has], np.repeat(np.arange(n), lacks)]
+    order = np.argsort(keys, kind="stable")
+    owners, times = owner[order], np.bincount(keys, minlength=len(tokens))  # sets of each token, token by token
+    begin = np.cumsum(times) - times
+    by_set = np.argsort(owner, kind="stable")
+    mine, upto = keys[by_set], np.cumsum(np.bincount(owner, minlength=n))
     for i in range(n):
-        own = token[at : at + sizes[i]]
-        at += sizes[i]
-        own = own[df[own] > 1]
-        if not len(own):
-            continue
-        lens = df[own]
+        own = mine[upto[i - 1] if i else 0 : upto[i]]
+        own = own[times[own] > 1]
+        lens = times[own]
         ends = np.cumsum(lens)
-        both = np.bincount(owners[np.arange(ends[-1]) + np.repeat(begin[own] - (ends - lens), lens)], minlength=n)
+        both = len(common) - lacks - lacks[i]
+        if len(own):
+            both = both + np.bincount(owners[np.arange(ends[-1]) + np.repeat(begin[own] - (ends - lens), lens)], minlength=n)
         # similarity as a ratio of whole numbers, compared without rounding at 0.8 = 4 / 5
         hit = both * 5 >= 4 * (sizes[i] + sizes - both) if similarity == 0.8 else both >= similarity * (sizes[i] + sizes - both)
         hit[i] = False
         if sides is not None:
             hit &= sides != sides[i]
         counts[i] = hit.sum()
-        for j in np.flatnonzero(hit):
-            if j > i:
-                forest.join(i, int(j))
+        for j in np.flatnonzero(hit[i + 1 :]):
+            forest.join(i, i + 1 + int(j))
     return counts, forest
 
 
@@ -247,7 +345,7 @@ def _among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     """id, links and label (an id) by members (rid, id, comp, size), for each block pair of each component."""
-    sums = members.groupBy("comp").agg(F.ceil(F.sum("size") / F.lit(float(BLOCK_SHINGLES))).alias("blocks"))
+    sums = members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("size") / F.lit(float(BLOCK_SHINGLES))), F.ceil(F.count("*") / F.lit(float(BLOCK_SETS)))).alias("blocks"))
     members = members.join(sums, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     texts = _among(docs.select(F.col("doc_id").alias("rid"), "text"), members, "rid").join(members.select("rid", "id", "comp", "blocks", "block"), "rid")
 
@@ -289,29 +387,26 @@ def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     return arrow_map(rows.repartition("task").sortWithinPartitions("task"), verify, "id binary, links bigint, label binary, blocks bigint")
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _classes(run: Run, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id and id (of the set) of every row; id, copy_id, n_copies, n_links, class_id and label of every set."""
-    rows = stored(_sketched(docs), "sketched")
+    rows = run.stored(_sketched(docs), "sketched")
     # one row a set; equal sets have equal sketches, so any of them will do
-    reps = rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("rid"), F.count("*").alias("n_copies"), F.max("size").alias("size"), F.any_value("paths").alias("paths"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch"))
-    reps = stored(reps, "reps")
-    # the first split: only classes that share a bucket with another one go on, with their tokens and sketches
+    first = [F.any_value(c).alias(c) for c in ("paths", "tokens", "sketch")]
+    reps = run.stored(rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("rid"), F.count("*").alias("n_copies"), F.max("size").alias("size"), *first), "reps")
+    # the first split: only sets that share a bucket with another one go on, with their tokens and sketches
     paths = reps.select("id", F.posexplode("paths").alias("run", "path"))
-    shared = paths.withColumn("n", F.count("*").over(Window.partitionBy("path"))).where("n > 1").select("path", "run", "id")
-    level, edges = shared.join(reps.select("id", "tokens", "sketch"), "id").select(*_NAMES), None
-    for d in range(DEPTH):
-        done = stored(arrow_map(level.repartition("path").sortWithinPartitions("path"), _level(d), f"{_ROW}, other binary"), f"level{d}")
-        found = done.where("path is null").select(F.col("id").alias("a"), F.col("other").alias("b"))
-        edges = found if edges is None else edges.union(found)
-        level = done.where("path is not null").select(*_NAMES)
-    near = components(edges)
+    several = paths.groupBy("path").count().where("count > 1").select("path")
+    shared = paths.join(several, "path")
+    edges = _candidates(run, shared.join(reps.select("id", "tokens", "sketch"), "id"))
+    near = components(run, edges)
     members = near.join(reps.select("id", "rid", "size"), "id").select("rid", "id", F.col("label").alias("comp"), "size")
-    checked = stored(_verified(docs, stored(members, "members")), "verified")
+    checked = run.stored(_verified(docs, run.stored(members, "members")), "verified")
     counts = checked.groupBy("id").agg(F.sum("links").alias("n_links"), F.max("blocks").alias("blocks"), F.min("label").alias("own"))
-    wide = components(checked.where("blocks > 1 and id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))).withColumnRenamed("label", "joined")
-    counts = counts.join(wide, "id", "left").select("id", "n_links", F.coalesce(F.when(F.col("blocks") > 1, F.coalesce("joined", "id")), "own").alias("label"))
+    wide = components(run, checked.where("blocks > 1 and id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))).withColumnRenamed("label", "joined")
+    label = F.coalesce(F.when(F.col("blocks") > 1, F.coalesce("joined", "id")), "own").alias("label")
+    counts = counts.join(wide, "id", "left").select("id", "n_links", label)
     every = reps.select("id", "rid", "n_copies").join(counts, "id", "left").select("id", "rid", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "id").alias("label"))
-    every = stored(every, "classes")
+    every = run.stored(every, "classes")
     classes = every.groupBy("label").agg(F.min("rid").alias("class_id"))
     return rows.select("doc_id", "id"), every.join(classes, "label").select("id", F.col("rid").alias("copy_id"), "n_copies", "n_links", "class_id", "label")
 
@@ -319,45 +414,58 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the documents linked to it, over any number of links), copy_id (the
     smallest doc_id with the same set), n_copies and n_links (different sets of similarity 0.8 or more) of every row."""
-    return _joined(docs, *_classes(docs))
+    with Run(docs.sparkSession) as run:
+        return run.result(_joined(docs, *_classes(run, docs)), "jaccard")
 
 
 def _joined(docs: DataFrame, rows: DataFrame, every: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     out = rows.select("doc_id", "id").join(every, "id", "left")
-    return out.select("doc_id", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).cast(kind).alias("class_id"), F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).cast(kind).alias("copy_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    own = lambda c: F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col(c)).cast(kind).alias(c)
+    more = lambda c, n: F.coalesce(c, F.lit(n)).cast("long").alias(c)
+    return out.select("doc_id", own("class_id"), own("copy_id"), more("n_copies", 1), more("n_links", 0))
 
 
-def _nameless(docs: DataFrame, every: DataFrame) -> DataFrame:
-    """Of documents with a null doc_id one of each class without an id, and those without words."""
-    at, name = docs.columns.index("text"), "_set"
-    while name in docs.columns:
-        name = "_" + name
+def _with_set(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the id of each row's set, null without words."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
             sets = [shingle_set(words_of(t.as_py()), hashes) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_id(s) if len(s) else None for s in sets], type=pa.binary())], names=[*b.schema.names, name])
+            ids = pa.array([set_id(s) if len(s) else None for s in sets], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, name])
 
-    rows = arrow_map(docs, run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
-    first = every.where("class_id is null").groupBy("label").agg(F.min("id").alias(name)).select(name)
-    kept = rows.join(first, name, "left_semi").dropDuplicates([name])
-    return rows.where(F.col(name).isNull()).select(*docs.columns).union(kept.select(*docs.columns))
+    return arrow_map(docs, run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+
+
+def _one_a_class(odd: DataFrame, every: DataFrame) -> DataFrame:
+    """Of rows whose doc_id does not tell them apart: one of each class whose class_id is theirs, the one with the
+    smallest set and text, and all rows without words."""
+    columns, name = odd.columns, "_set"
+    while name in columns:
+        name = "_" + name
+    rows = _with_set(odd, name)
+    classes = every.select(F.col("id").alias(f"{name}_id"), F.col("label").alias(f"{name}_label"), F.col("class_id").alias(f"{name}_class"))
+    found = rows.join(classes, F.col(name) == F.col(f"{name}_id")).where(F.col("doc_id").eqNullSafe(F.col(f"{name}_class")))
+    one = found.groupBy(f"{name}_label").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.struct(name, "text")).alias(name))
+    return rows.where(F.col(name).isNull()).select(*columns).union(one.select(f"{name}.*"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, of which one of each class stays: the one with the smallest doc_id.
 
-    Rows that share a doc_id stay or go together, but of those that also share the text one stays. A row with a null
-    doc_id goes if a row of its class has an id; of a class of null ids only one row stays.
+    Rows are told apart by doc_id. Where that is null, or the same for several rows, each row is judged by its own set:
+    of the rows of a class that have its smallest doc_id (or of a class of null ids only) one stays.
     """
-    rows, every = _classes(docs)
-    drop = _joined(docs, rows, every).where("doc_id <> class_id").select("doc_id").distinct()
-    if not rows.where("doc_id is null").isEmpty():
-        docs = docs.where("doc_id is not null").union(_nameless(docs.where("doc_id is null"), every))
-    out = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    again = stored(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
-    if again.isEmpty():
-        return out
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    with Run(docs.sparkSession) as run:
+        rows, every = _classes(run, docs)
+        copies = _joined(docs, rows, every).where("doc_id <> class_id").select("doc_id").distinct()
+        again = run.result(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+        gone = run.result(copies.union(again).distinct(), "gone")
+        out = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
+        odd = docs.where("doc_id is null").union(docs.join(again, "doc_id", "left_semi").select(*docs.columns))
+        if odd.isEmpty():
+            return out
+        return out.union(run.result(_one_a_class(odd, every), "odd").select(*docs.columns))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import time
@@ -43,50 +44,77 @@ def fold_of(value, modulus: int) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine, a
-    temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and all runs on one machine, as in tests, a
+    temporary folder is made and set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir()
     if found and not isinstance(found, str):
         found = found.get() if found.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; it has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(found)
         found = sc._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts the lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_path = path
-    return out
+def deleted(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def discarded(*tables: DataFrame) -> None:
-    """Delete tables made by ``stored`` that no result reads any more."""
-    for t in tables:
-        spark = t.sparkSession
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.stored_path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+class Run:
+    """The tables of one call of an operator, in a folder of their own below the shared one.
+
+    A stored table cuts the lineage and outlives executors. When the ``with`` block ends, by an error too, the folder is
+    deleted; what the call returns is written by ``result`` beside it and is all that stays.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.home = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Run:
+        return self
+
+    def __exit__(self, *error) -> None:
+        deleted(self.spark, self.home)
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.stored_path = path
+        return out
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table of this run."""
+        return self._written(df, f"{self.home}/{name}-{uuid.uuid4().hex}")
+
+    def discarded(self, *tables: DataFrame) -> None:
+        """Delete tables that no later step reads."""
+        for t in tables:
+            deleted(self.spark, t.stored_path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as the table that stays when the run's own are deleted."""
+        return self._written(df, f"{shared_dir(self.spark)}/results/{name}-{uuid.uuid4().hex}")
 
 
 def trimmed() -> None:
-    """Give memory that a worker no longer uses back to the system; workers outlive their tasks."""
+    """Give memory that a worker no longer uses back to the system, where that is possible; workers outlive tasks."""
     gc.collect()
     pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None:
+        trim(0)
 
 
 def released(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+    """Let Spark drop the shuffle files of plans that nothing refers to any more, before the next step writes its own.
 
-    A plan is let go of in steps, first by Python, then by the JVM, so it takes more than one collection.
+    Spark drops them when the JVM collects a plan, which a driver with much memory may not do for hours. A plan is let
+    go of in steps, first by Python, then by the JVM, so it takes more than one collection.
     """
     for _ in range(3):
         gc.collect()

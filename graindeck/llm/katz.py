@@ -1,18 +1,26 @@
-"""LM scoring: a Katz back-off bigram model with Good-Turing discounts and exactly normalised back-off weights.
+"""LM scoring: a Katz back-off model of any order with Good-Turing discounts and exactly normalised back-off weights.
 
 The model covers the words of the training texts, the end of a text and one event for all unknown words; over these
-the probabilities after any word sum to 1. A token is evaluated recursively: by its discounted bigram count if the
-bigram was seen, else by the back-off weight of the word before times its own discounted unigram probability.
-
-Counts are exact and of the whole corpus. Texts are tokenised once into chunks of a bounded number of tokens. Counts
-travel as sorted columns of integers, in two exchanges by n-gram: a chunk sends each partition the n-grams that
-belong there and gets their counts back in the same order. Unigrams belong by the word's 64-bit hash, bigrams by
-their first word, those of very frequent first words by both. The answers, partitioned by n-gram and chunk, are the
-model's tables. Only totals, counts of counts and the sums of at most HEAVY frequent words reach the driver.
+the probabilities after any history sum to 1. A token is evaluated recursively: by its discounted count if its n-gram
+was seen, else by the back-off weight of the words before it times its probability after one word less, down to the
+discounted unigram. The first word of a text follows an end; histories never reach over the start of a text.
+
+Counts of counts are smoothed by a line through their logarithms, so the Good-Turing discounts lie between 0 and 1 on
+any corpus. Counts are exact and of the whole corpus. Texts are tokenised once into chunks of a bounded number of
+tokens. For each order a chunk sends its n-grams, dealt by the hash of their context (those of very frequent contexts
+by the word too), as sorted columns of integers, and gets their counts and the sums of their contexts back. A context
+that occurs in one chunk only is worked out there and not sent. These answers, by n-gram and chunk, are the model's
+tables.
+
+A chunk deals to FAN realms, so rows grow in proportion to the input. Beyond GROUP chunks the exchange has more
+levels: what GROUP chunks sent to a realm is merged, dealt to FAN realms of its own, and the answers come back the
+same way; every task then still holds a bounded number of n-grams. Only totals, counts of counts and the sums of at
+most HEAVY frequent contexts reach the driver.
 
 Defined results: a null text is empty and has one token, its end; repeated rows are each scored, and counted if in
-the training fold; an empty table gives an empty result; without training texts all tokens are unknown and the
-score is 0 (the one event has probability 1).
+the training fold; ties do not arise, as nothing is ranked; a text of any length is part of one chunk; columns other
+than doc_id and text are ignored, whatever their names; an empty table gives an empty result; without training texts
+all tokens are unknown and the score is 0 (the one event has probability 1).
 """
 
 from __future__ import annotations
@@ -24,13 +32,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graindeck.llm.common import arrow_map, fold_of, released, runs_of, stored, trimmed
+from graindeck.llm.common import Run, arrow_map, fold_of, released, runs_of, trimmed
 
-#: Tokens of a chunk, counts that Good-Turing discounts reach to, and first words whose bigrams are dealt by both words.
-CHUNK_TOKENS, REACH, HEAVY = 1_000_000, 5, 4096
+#: Words of the longest n-gram, and counts that Good-Turing discounts reach to.
+ORDER, REACH = 3, 5
+#: Tokens of a chunk, realms that a chunk deals to, and chunks whose n-grams meet in one step.
+CHUNK_TOKENS, FAN, GROUP = 500_000, 64, 512
+#: Contexts whose n-grams are dealt by their word too: those with more than this share of the tokens, so at most HEAVY.
+HEAVY = 65_536
+#: Slopes of the line through the counts of counts: what a corpus of words can have.
+STEEPEST, FLATTEST = -6.0, -1.1
 
 _END = b""
 _ZSTD = pa.Codec("zstd", compression_level=1)
@@ -46,7 +60,8 @@ def tokens_of(text: str | None) -> list[bytes]:
 def packed(a: np.ndarray) -> bytes:
     """Numbers of eight bytes as compressed planes of bytes; planes of small or sorted numbers take little room."""
     a = a if a.dtype == np.float64 else a.astype(np.int64)
-    return len(a).to_bytes(8, "little") + _ZSTD.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T), asbytes=True)
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T)
+    return len(a).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
 
 
 def unpacked(b: bytes, kind: type = np.int64) -> np.ndarray:
@@ -64,57 +79,70 @@ def mixed(a: np.ndarray) -> np.ndarray:
 def good_turing(of: list[int], reach: int = REACH) -> np.ndarray:
     """Discounts (index r for a count of r, 1 beyond ``reach``) from the numbers of n-grams seen 1, 2, ... times.
 
-    Where the counts of counts give no discounts between 0 and 1 (small corpora), absolute discounting takes over.
+    With n_r smoothed to a r^b, Turing's r* = (r + 1) n_(r+1) / n_r gives r* / r = (1 + 1/r)^(b+1). Katz's correction
+    keeps the mass that is freed that of the n-grams seen once, though counts beyond ``reach`` stay as they are.
     """
-    d = np.ones(reach + 2)
-    n = [0, *of]
-    if all(n[r] > 0 for r in range(1, reach + 2)):
-        cut = (reach + 1) * n[reach + 1] / n[1]
-        if cut < 1:
-            d[1 : reach + 1] = [((r + 1) * n[r + 1] / (r * n[r]) - cut) / (1 - cut) for r in range(1, reach + 1)]
-            if np.all((d[1 : reach + 1] > 0.01) & (d[1 : reach + 1] < 1)):
-                return d
-    off = min(0.9, max(0.1, n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.5))
-    d[1 : reach + 1] = [(r - off) / r for r in range(1, reach + 1)]
+    r, n = np.arange(1, reach + 2), np.array(of, dtype=np.float64)
+    slope = -2.0
+    if (n > 0).sum() > 1:
+        slope = float(np.polyfit(np.log(r[n > 0]), np.log(n[n > 0]), 1)[0])
+    power = min(max(slope, STEEPEST), FLATTEST) + 1
+    d, cut = np.ones(reach + 2), (reach + 1.0) ** power
+    d[1 : reach + 1] = ((1 + 1 / r[:reach]) ** power - cut) / (1 - cut)
     return d
 
 
+@dataclass
+class Sums:
+    """Of contexts by key: n-grams seen 1..REACH times, summed counts of the others, summed lower probabilities."""
+
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    rare: np.ndarray = field(default_factory=lambda: np.zeros((0, REACH), np.int64))
+    more: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    below: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        return self.rare[at], self.more[at], self.below[at]
+
+
 @dataclass
 class Model:
-    """What all chunks share: totals and discounts. n_uni, n_bi: n-grams seen 1..REACH+1 times."""
+    """What all chunks share: totals, discounts by order, sums of heavy contexts by order.
+
+    seen: by order, the numbers of n-grams seen 1..REACH+1 times.
+    """
 
     total: int = 0
     types: int = 0
-    n_uni: list[int] = field(default_factory=lambda: [0] * (REACH + 1))
-    n_bi: list[int] = field(default_factory=lambda: [0] * (REACH + 1))
-    heavy: dict[int, tuple] = field(default_factory=dict)
+    seen: list[list[int]] = field(default_factory=lambda: [[0] * (REACH + 1)])
+    heavy: dict[int, Sums] = field(default_factory=dict)
 
     def ready(self) -> Model:
-        self.d_uni, self.d_bi = good_turing(self.n_uni), good_turing(self.n_bi)
-        lost = sum((1 - self.d_uni[r]) * r * self.n_uni[r - 1] for r in range(1, REACH + 1)) / max(1, self.total)
+        self.d = [good_turing(n) for n in self.seen]
+        lost = sum((1 - self.d[0][r]) * r * self.seen[0][r - 1] for r in range(1, REACH + 1)) / max(1, self.total)
         # without any rare word nothing is freed: then all counts give way to one more event
-        self.scale = 1.0 if lost > 0 else self.total / (self.total + 1)
+        self.base_total = max(1, self.total) + (lost <= 0 and self.total > 0)
         self.unknown = lost if lost > 0 else 1 / (self.total + 1)
+        self.bar = max(1, self.total // HEAVY)
         return self
 
+    def discounted(self, order: int, counts: np.ndarray, base: np.ndarray | int) -> np.ndarray:
+        """Probabilities of seen n-grams; ``base``: the count of the context, and 1 if that context has no rare ones."""
+        return self.d[order - 1][np.minimum(counts, REACH + 1)] * counts / base
+
     def unigram(self, c: np.ndarray) -> np.ndarray:
         """Probabilities of words with these training counts; 0 is the event of all unknown words."""
-        p = self.d_uni[np.minimum(c, REACH + 1)] * c * self.scale / max(1, self.total)
-        return np.where(c > 0, p, self.unknown)
-
-    def backoff(self, count: np.ndarray, rare: np.ndarray, more: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Back-off weight and scale of seen bigrams by first word.
-
-        count: of the first word; rare: bigrams (n, REACH) seen 1..REACH times; more: summed counts of the others;
-        below: summed unigram probabilities of the words seen after it.
-        """
-        r = np.arange(1, REACH + 1)
-        mass = ((rare * r) @ self.d_bi[1 : REACH + 1] + more) / np.maximum(count, 1)
-        scale = np.where(mass < 1 - 1e-12, 1.0, count / (count + 1.0))
-        left = 1 - mass * scale
-        return left / np.maximum(1 - below, 1e-300), scale
-
-    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, self.discounted(1, c, self.base_total), self.unknown)
+
+    def backoff(self, order: int, count: np.ndarray, rare: np.ndarray, more: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Back-off weights of contexts, and which of them have no rare n-gram: their counts give way to one event."""
+        full = rare.sum(axis=1) == 0
+        kept = ((rare * np.arange(1, REACH + 1)) @ self.d[order - 1][1 : REACH + 1] + more) / (np.maximum(count, 1) + full)
+        return (1 - kept) / np.maximum(1 - below, 1e-300), full
+
+    def flat(self, c: np.ndarray) -> np.ndarray:
+        """Add-one unigrams."""
         return np.log10((c + 1) / (self.total + (self.types + 1)))
 
 
@@ -124,13 +152,25 @@ class _Places(dict):
         return n
 
 
-_CHUNK = "chunk bigint, kind int, part int, a binary, b binary, c binary, d binary, e binary"
-_COLUMNS = ["chunk", "kind", "part", "a", "b", "c", "d", "e"]
+#: Rows of all exchanges. kind: _OWN (a chunk), _SLICE (n-grams), _SPREAD (counts of counts), _MAP (how slices were
+#: merged), _FOUND (answers), _HEAVY (sums of a part of a context).
+_ROW = "grp bigint, realm bigint, src bigint, kind int, a binary, b binary, c binary, d binary, e binary, f binary"
+_NAMES = ["grp", "realm", "src", "kind", "a", "b", "c", "d", "e", "f"]
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 6)
+_OWN, _SLICE, _SPREAD, _MAP, _FOUND, _HEAVY = range(6)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5)
-    return pa.RecordBatch.from_arrays([pa.array([r[i] if i < len(r) else None for r in rows], type=k) for i, k in enumerate(kinds)], names=_COLUMNS)
+def _batch(*row) -> pa.RecordBatch:
+    """One row: grp, realm, src, kind and up to six binaries."""
+    row = (*row, *[None] * (len(_KINDS) - len(row)))
+    return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(row, _KINDS, strict=True)], names=_NAMES)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of equal grp together, in the order of kind, realm and source."""
+    for _, t in runs_of(batches):
+        yield sorted(t.to_pylist(), key=lambda r: (r["kind"], r["realm"], r["src"]))
+        trimmed()
 
 
 def _chunks(docs: DataFrame, modulus: int, held_out: int, chunk_tokens: int) -> DataFrame:
@@ -148,13 +188,14 @@ def _chunks(docs: DataFrame, modulus: int, held_out: int, chunk_tokens: int) ->
             to = np.empty_like(order)
             to[order] = np.arange(len(order))
             words = list(places)
-            hashes = np.array([xxhash.xxh3_64_intdigest(words[i]) for i in order], dtype=np.uint64)
+            hashes = np.array([xxhash.xxh3_64_intdigest(words[i]) for i in order], dtype=np.uint64).view(np.int64)
             by_hash = np.argsort(hashes)
             names = pa.RecordBatch.from_arrays([pa.array(ids, type=id_type)], names=["doc_id"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, names.schema) as out:
                 out.write_batch(names)
-            return _batch([(home + number, 0, 0, *[packed(x) for x in (np.array(lens) * 2 + np.array(held), to[flat], hashes[by_hash].view(np.int64), by_hash)], sink.getvalue().to_pybytes())])
+            columns = (np.array(lens) * 2 + np.array(held), to[flat], np.diff(hashes[by_hash], prepend=0), by_hash)
+            return _batch(home + number, 0, home + number, _OWN, *[packed(x) for x in columns], sink.getvalue().to_pybytes())
 
         for b in batches:
             id_type = b.schema.field(0).type
@@ -172,215 +213,411 @@ def _chunks(docs: DataFrame, modulus: int, held_out: int, chunk_tokens: int) ->
         if ids:
             yield flush()
 
-    return arrow_map(docs.select("doc_id", "text"), run, _CHUNK)
+    return arrow_map(docs.select("doc_id", "text"), run, _ROW)
+
+
+# n-grams on their way: sorted by realm and key; key: the context's, word: the last word's id (of single words, the key
+# is the hash and the word 0); low: the count of the n-gram less its first word, base: that of its context's
+
+
+def _realms(keys: np.ndarray, words: np.ndarray, heavy: np.ndarray, level: int, fan: int) -> np.ndarray:
+    h = mixed(keys) ^ np.where(heavy, mixed(words.astype(np.uint64) + np.uint64(77)), np.uint64(0))
+    return ((h >> np.uint64(3)) // np.uint64(fan**level) % np.uint64(fan)).astype(np.int64)
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+
+
+def _ranges(sorted_realms: np.ndarray, fan: int) -> Iterator[tuple[int, int, int]]:
+    """Realm, begin and end of each that occurs."""
+    ends = np.cumsum(np.bincount(sorted_realms, minlength=fan))
+    for r, end in enumerate(ends):
+        begin = ends[r - 1] if r else 0
+        if end > begin:
+            yield r, int(begin), int(end)
+
+
+def _slice(realm: int, src: int, keys, words, low, seen, shared, base, heavy) -> pa.RecordBatch:
+    at = _starts(keys)
+    columns = (np.diff(keys[at], prepend=0), np.diff(np.r_[at, len(keys)]), words, low, seen * 2 + shared, base[at] * 2 + heavy[at])
+    return _batch(0, realm, src, _SLICE, *[packed(x) for x in columns])
+
+
+class _Slices:
+    """The slices of a realm, together: distinct n-grams in the order of key and word, and where each slice's are."""
 
+    def __init__(self, rows: list[dict]):
+        rows = [r for r in rows if r["kind"] == _SLICE]
+        parts = [[unpacked(r[c]) for c in "abcdef"] for r in rows]
+        self.sources = [r["src"] for r in rows]
+        self.contexts_of = [len(p[0]) for p in parts]
+        self.grams_of = [len(p[2]) for p in parts]
+        every = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*([np.cumsum(p[0]), *p[1:]] for p in parts), strict=True)]
+        keys, sizes, words, low, seen, base = every if every else [np.zeros(0, np.int64)] * 6
+        del parts
+        self.keys, first, self.context_at = np.unique(keys, return_index=True, return_inverse=True)
+        self.base, self.heavy = base[first] >> 1, (base[first] & 1) == 1
+        row = np.repeat(self.context_at, sizes)
+        ids, column = np.unique(words, return_inverse=True)
+        _, one, self.gram_at = np.unique(row * max(1, len(ids)) + column, return_index=True, return_inverse=True)
+        self.owner, self.words, self.low = row[one], words[one], low[one]
+        self.counts = np.bincount(self.gram_at, weights=seen >> 1, minlength=len(one)).astype(np.int64)
+        self.shared = (np.bincount(self.gram_at, minlength=len(one)) > 1) | (np.bincount(self.gram_at, weights=seen & 1, minlength=len(one)) > 0)
 
-def _ends(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Where the ranges of equal width, one a part, end among sorted hashes."""
-    return np.cumsum(np.bincount(((hashes.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), minlength=parts))
+    def each(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Source, places of its contexts, places of its n-grams."""
+        c = g = 0
+        for src, n, m in zip(self.sources, self.contexts_of, self.grams_of, strict=True):
+            yield src, self.context_at[c : c + n], self.gram_at[g : g + m]
+            c, g = c + n, g + m
 
 
-def _send_words(parts: int):
-    """Unigrams of each chunk to their parts: a = hashes, b = training counts."""
+def _spread(rows: list[dict]) -> np.ndarray:
+    """Counts of counts that chunks found on their own."""
+    return sum((unpacked(r["a"]) for r in rows if r["kind"] == _SPREAD), np.zeros(REACH + 1, np.int64))
+
+
+def _merge(level: int, fan: int):
+    """What a group of sources sent to a realm as one source that deals to the realm's own realms. _MAP rows say where a
+    slice's n-grams are (a), where its contexts begin in it (b) and where in the merged one (c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, *blobs in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
-                lens, tokens, hashes, places = map(unpacked, blobs)
-                train = np.repeat(lens & 1, lens >> 1) == 0
-                counts = np.bincount(tokens[train], minlength=len(hashes))[places]
-                at = 0
-                for p, end in enumerate(_ends(hashes, parts)):
-                    if end > at:
-                        yield _batch([(chunk, 0, p, packed(hashes[at:end]), packed(counts[at:end]))])
-                    at = end
+        for rows in _rows(batches):
+            realm, group, s = rows[0]["realm"], rows[0]["grp"] & 0xFFFFFFFF, _Slices(rows)
+            keys, heavy, base = s.keys[s.owner], s.heavy[s.owner], s.base[s.owner]
+            part = _realms(keys, s.words, heavy, level, fan)
+            order = np.lexsort((keys, part))
+            to, first = np.empty_like(order), np.empty(len(s.keys), np.int64)
+            to[order] = np.arange(len(order))
+            first[s.owner[order][::-1]] = np.arange(len(order))[::-1]
+            for p, lo, hi in _ranges(part[order], fan):
+                own = order[lo:hi]
+                yield _slice(realm * fan + p, group, keys[own], s.words[own], s.low[own], s.counts[own], s.shared[own], base[own], heavy[own])
+            for src, contexts, at in s.each():
+                yield _batch(0, realm, src, _MAP, packed(to[at]), packed(_starts(s.owner[at])), packed(first[contexts]))
+            yield _batch(0, realm * fan, group, _SPREAD, packed(_spread(rows)))
 
     return run
 
 
-def _count_words(parts: int):
-    """Answers: kind 1, a = training counts, b = ids; totals: kind 9, a = types, tokens, counts of counts."""
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers to a merged source, back to the sources it was merged of."""
+    for rows in _rows(batches):
+        answers = [r for r in rows if r["kind"] == _FOUND]
+        if not answers:
+            continue
+        counts, ids, asked, rare, more = (np.concatenate([unpacked(r[c]) for r in answers]) for c in "abfcd")
+        below = np.concatenate([unpacked(r["e"], np.float64) for r in answers])
+        rare, place = rare.reshape(-1, REACH), np.cumsum(asked) - 1
+        for r in rows:
+            if r["kind"] == _MAP:
+                at, begin, first = (unpacked(r[c]) for c in "abc")
+                with_sums, flags = asked[first] == 1, np.zeros(len(at), np.int64)
+                mine = place[first[with_sums]]
+                flags[begin[with_sums]] = 1
+                sums = (packed(rare[mine].ravel()), packed(more[mine]), packed(below[mine]))
+                yield _batch(0, r["realm"], r["src"], _FOUND, packed(counts[at]), packed(ids[at]), *sums, packed(flags))
+
+
+def _count(order: int, model: Model, realms: int):
+    """Answers by n-gram: a = counts and whether several sources have it, b = ids of single words, f = which n-grams come with the sums of their context, c, d,
+    e = those sums (see Sums). Of the n-grams of a context one brings them, and only if one of them was never seen or
+    none is rare. Sums of heavy contexts come by key; the total of a realm is its kinds of words, their counts and
+    counts of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in runs_of(batches):
-            part = t.column(0)[0].as_py()
-            chunks, hashes, counts = t.column(1).to_pylist(), [unpacked(x) for x in t.column(2).to_pylist()], [unpacked(x) for x in t.column(3).to_pylist()]
-            _, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-            # ids are small for frequent words and distinct over parts
-            ids = np.empty_like(sums)
-            ids[np.argsort(-sums, kind="stable")] = np.arange(len(sums)) * parts + part
-            begin = 0
-            for chunk, h in zip(chunks, hashes, strict=True):
-                own = at[begin : begin + len(h)]
-                begin += len(h)
-                yield _batch([(chunk, 1, part, packed(sums[own]), packed(ids[own]))])
-            seen = sums[sums > 0]
-            yield _batch([(0, 9, part, packed(np.r_[len(seen), seen.sum(), np.bincount(seen[seen <= REACH + 1], minlength=REACH + 2)[1:]]))])
+        for rows in _rows(batches):
+            realm, s = rows[0]["realm"], _Slices(rows)
+            there = s.counts > 0
+            owner, c = s.owner[there], s.counts[there]
+            n = len(s.keys)
+            ids = np.zeros(len(s.counts), np.int64)
+            rare = more = below = full = None
+            if order == 1:
+                # ids are small for frequent words and distinct over realms
+                ids[np.argsort(-s.counts, kind="stable")] = np.arange(len(ids)) * realms + realm
+            else:
+                rare = np.stack([np.bincount(owner[c == r], minlength=n) for r in range(1, REACH + 1)], axis=1)
+                more = np.bincount(owner, weights=np.where(c > REACH, c, 0), minlength=n).astype(np.int64)
+                lower = model.discounted(order - 1, s.low[there], s.base[owner])
+                below = np.bincount(owner, weights=lower, minlength=n)
+                full = rare.sum(axis=1) == 0
+            for src, contexts, at in s.each():
+                columns = [packed(s.counts[at] * 2 + s.shared[at]), packed(ids[at])]
+                if order == 1:
+                    yield _batch(0, realm, src, _FOUND, *columns, *[packed(np.zeros(0, np.int64))] * 3, packed(np.zeros(len(at), np.int64)))
+                    continue
+                begin = _starts(s.owner[at])
+                unseen = np.add.reduceat((s.counts[at] == 0).astype(np.int64), begin) > 0 if len(at) else np.zeros(0, bool)
+                ask = (unseen | full[contexts]) & ~s.heavy[contexts]
+                asked, mine = np.zeros(len(at), np.int64), contexts[ask]
+                asked[begin[ask]] = 1
+                yield _batch(0, realm, src, _FOUND, *columns, packed(rare[mine].ravel()), packed(more[mine]), packed(below[mine]), packed(asked))
+            if order > 1 and s.heavy.any():
+                h = s.heavy
+                yield _batch(0, realm, 0, _HEAVY, packed(s.keys[h]), packed(rare[h].ravel()), packed(more[h]), packed(below[h]))
+            totals = np.bincount(c[c <= REACH + 1], minlength=REACH + 2)[1:] + _spread(rows)
+            yield _batch(0, realm, 0, _SPREAD, packed(np.r_[len(c), c.sum(), totals]))
 
     return run
 
 
+def _exchange(run: Run, sends: DataFrame, order: int, model: Model, sources: int, fan: int, group: int) -> DataFrame:
+    """Answers to the slices that sources sent, by realm and source."""
+    least = int(run.spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = F.col("kind")
+
+    def gathered(df: DataFrame, grp: Column) -> DataFrame:
+        return df.withColumn("grp", grp.cast("bigint")).repartition(max(least, fan), "grp").sortWithinPartitions("grp")
+
+    levels = []
+    while sources > group:
+        sources = -(-sources // group)
+        met = F.col("realm") * F.lit(1 << 32) + F.pmod(F.xxhash64("src"), F.lit(sources))
+        merged = run.stored(arrow_map(gathered(sends, met), _merge(len(levels) + 1, fan), _ROW), f"merged{order}")
+        sends = merged.where(kind != _MAP)
+        levels.append((merged, met))
+    answers = run.stored(arrow_map(gathered(sends, F.col("realm")), _count(order, model, fan ** (len(levels) + 1)), _ROW), f"counted{order}")
+    found, rest = answers.where(kind == _FOUND), answers.where(kind != _FOUND)
+    for merged, met in reversed(levels):
+        back = found.withColumn("grp", F.floor(F.col("realm") / fan) * F.lit(1 << 32) + F.col("src"))
+        both = back.unionByName(merged.where(kind == _MAP).withColumn("grp", met))
+        found = run.stored(arrow_map(gathered(both, F.col("grp")), _split, _ROW), f"split{order}")
+        run.discarded(merged)
+    return found.unionByName(rest) if levels else answers
+
+
+@dataclass
+class _Grams:
+    """Distinct n-grams of a chunk: place of prefix and suffix among those of the order below, training counts here and
+    in all, place of the last word, key as a context, and whether no other chunk has it. which: of each token, -1 where
+    the text has begun too late."""
+
+    which: np.ndarray
+    prefix: np.ndarray
+    suffix: np.ndarray
+    own: np.ndarray
+    last: np.ndarray
+    key: np.ndarray
+    counts: np.ndarray | None = None
+    alone: np.ndarray | None = None
+    p: np.ndarray | None = None
+
+
 class _Chunk:
-    """A chunk with the training counts and ids of its words."""
-
-    def __init__(self, rows: list[tuple], parts: int, bi_parts: int, bar: int):
-        own = next(r for r in rows if r[1] == 0)
-        self.lens, places = unpacked(own[3]), unpacked(own[6])
-        self.tokens = unpacked(own[4]).astype(np.int32)
-        answers = sorted((r for r in rows if r[1] == 1), key=lambda r: r[2])
-        self.counts, self.ids = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
-        self.counts[places] = np.concatenate([unpacked(r[3]) for r in answers])
-        self.ids[places] = np.concatenate([unpacked(r[4]) for r in answers])
+    """A chunk and what it knows of its n-grams up to an order, from the answers to the orders that were exchanged."""
+
+    def __init__(self, rows: list[dict], model: Model, fan: int):
+        self.model, self.fan = model, fan
+        own = next(r for r in rows if r["kind"] == _OWN)
+        self.src, self.names = own["src"], own["e"]
+        self.lens = unpacked(own["a"])
         self.sizes = self.lens >> 1
-        # the word before a text's first is the end
-        pair = np.roll(self.tokens, 1).astype(np.int64)
-        pair *= len(places)
-        pair += self.tokens
-        pairs, which = np.unique(pair, return_inverse=True)
-        del pair
-        self.which = which.astype(np.int32)
-        train = np.repeat(self.lens & 1, self.sizes) == 0
-        self.seen = np.bincount(which[train], minlength=len(pairs)).astype(np.int32)
-        del which
-        self.first, self.second = ((x).astype(np.int32) for x in np.divmod(pairs, len(places)))
-        heavy = self.counts[self.first] > bar
-        key = mixed(self.ids[self.first]) ^ np.where(heavy, mixed(mixed(self.ids[self.second]).view(np.int64)), np.uint64(0))
-        self.part = (key % np.uint64(bi_parts)).astype(np.int64)
-        known = np.flatnonzero(self.counts[self.first] > 0)
-        self.order = known[np.lexsort((self.second[known], self.ids[self.first[known]], self.part[known]))]
-        self.ends = np.cumsum(np.bincount(self.part[self.order], minlength=bi_parts))
-
-    def slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Part, its bigrams, where its first words begin among them, and those words."""
-        at = 0
-        for p, end in enumerate(self.ends):
-            if end > at:
-                own = self.order[at:end]
-                first = self.first[own]
-                begin = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-                yield p, own, begin, first[begin]
-            at = end
-
-
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    for _, t in runs_of(batches):
-        yield list(zip(*[t.column(i).to_pylist() for i in range(len(_COLUMNS))], strict=True))
-        trimmed()
+        self.held = np.repeat(self.lens & 1, self.sizes) == 1
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.place = np.arange(self.sizes.sum()) - np.repeat(starts, self.sizes)  # of a token in its text
+        self.answers: dict[int, list[dict]] = {}
+        for r in rows:
+            if r["kind"] == _FOUND:
+                self.answers.setdefault(r["order"], []).append(r)
+        tokens, by_hash = unpacked(own["b"]), unpacked(own["d"])
+        found = self.answers[1]
+        counts, self.ids = np.empty(len(by_hash), np.int64), np.empty(len(by_hash), np.int64)
+        order = by_hash[_word_order(unpacked(own["c"]), fan)]
+        counts[order] = np.concatenate([unpacked(r["a"]) for r in found])
+        alone, counts = (counts & 1) == 0, counts >> 1
+        self.ids[order] = np.concatenate([unpacked(r["b"]) for r in found])
+        seen = np.bincount(tokens[~self.held], minlength=len(counts))
+        words = np.arange(len(counts))
+        self.orders = [_Grams(tokens, words, words, seen, words, self.ids, counts, alone, model.unigram(counts))]
+        self.full = np.zeros(len(counts), dtype=bool)  # of the words, as contexts
+
+    def grow(self) -> None:
+        """The n-grams of the next order."""
+        low, n = self.orders[-1], len(self.orders) + 1
+        there = self.place >= n - 2
+        before = np.roll(low.which, 1)  # the word before a text's first is the end
+        pair = before[there] * len(low.own) + low.which[there]
+        pairs, at = np.unique(pair, return_inverse=True)
+        which = np.full(len(there), -1, dtype=np.int64)
+        which[there] = at
+        prefix, suffix = np.divmod(pairs, max(1, len(low.own)))
+        last = low.last[suffix]
+        key = mixed(low.key[prefix] * np.int64(0x1000193) + self.ids[last]).view(np.int64)
+        self.orders.append(_Grams(which, prefix, suffix, np.bincount(at[~self.held[there]], minlength=len(pairs)), last, key))
+
+    def sent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the highest order the n-grams to send, sorted, and their realms: those after known contexts that other chunks
+        have too."""
+        g, low = self.orders[-1], self.orders[-2]
+        out = np.flatnonzero((~low.alone & (low.counts > 0))[g.prefix])
+        keys, heavy = low.key[g.prefix[out]], low.counts[g.prefix[out]] > self.model.bar
+        part = _realms(keys, self.ids[g.last[out]], heavy, 0, self.fan)
+        order = np.lexsort((keys, part))
+        return out[order], part[order]
+
+    def slices(self) -> Iterator[pa.RecordBatch]:
+        g, low, n = self.orders[-1], self.orders[-2], len(self.orders)
+        out, part = self.sent()
+        base = np.full(len(low.own), self.model.base_total) if n == 2 else self.orders[-3].counts + self.full
+        for p, lo, hi in _ranges(part, self.fan):
+            own = out[lo:hi]
+            first, second = g.prefix[own], g.suffix[own]
+            under = base[second] if n == 2 else base[low.prefix[second]]
+            yield _slice(p, self.src, low.key[first], self.ids[g.last[own]], low.counts[second], g.own[own], 0, under, low.counts[first] > self.model.bar)
+        alone = g.own[low.alone[g.prefix] & (g.own > 0)]
+        yield _batch(0, self.src % self.fan, self.src, _SPREAD, packed(np.bincount(alone[alone <= REACH + 1], minlength=REACH + 2)[1:]))
+
+    def learn(self) -> None:
+        """Counts and probabilities of the highest order, from the answers."""
+        g, low, n, model = self.orders[-1], self.orders[-2], len(self.orders), self.model
+        out, _ = self.sent()
+        g.counts, g.alone = g.own.copy(), low.alone[g.prefix]  # right where the context is in this chunk only, or unknown
+        weight, full = np.ones(len(low.own)), np.zeros(len(low.own), dtype=bool)
+        found = self.answers.get(n, [])
+        if len(out):
+            counts = np.concatenate([unpacked(r["a"]) for r in found])
+            g.counts[out], g.alone[out] = counts >> 1, (counts & 1) == 0
+            asked = np.concatenate([unpacked(r["f"]) for r in found]) == 1
+            rare, more = (np.concatenate([unpacked(r[c]) for r in found]) for c in "cd")
+            below = np.concatenate([unpacked(r["e"], np.float64) for r in found])
+            contexts = g.prefix[out[asked]]
+            weight[contexts], full[contexts] = model.backoff(n, low.counts[contexts], rare.reshape(-1, REACH), more, below)
+            heavy = np.unique(g.prefix[out])
+            heavy = heavy[low.counts[heavy] > model.bar]
+            if len(heavy):
+                weight[heavy], full[heavy] = model.backoff(n, low.counts[heavy], *model.heavy[n].of(low.key[heavy]))
+        alone = np.flatnonzero(low.alone[g.prefix] & (g.own > 0))
+        if len(alone):
+            contexts, owner = np.unique(g.prefix[alone], return_inverse=True)
+            c = g.own[alone]
+            rare = np.stack([np.bincount(owner[c == r], minlength=len(contexts)) for r in range(1, REACH + 1)], axis=1)
+            more = np.bincount(owner, weights=np.where(c > REACH, c, 0)).astype(np.int64)
+            below = np.bincount(owner, weights=low.p[g.suffix[alone]])
+            weight[contexts], full[contexts] = model.backoff(n, low.counts[contexts], rare, more, below)
+        base = np.maximum(low.counts, 1) + full
+        g.p = np.where(g.counts > 0, model.discounted(n, g.counts, base[g.prefix]), weight[g.prefix] * low.p[g.suffix])
+        self.full = full
+
+    def scores(self) -> pa.RecordBatch:
+        words = self.orders[0]
+        log = np.log10(words.p)[words.which]
+        for g in self.orders[1:]:
+            there = g.which >= 0
+            log[there] = np.log10(g.p)[g.which[there]]
+        starts = np.cumsum(self.sizes) - self.sizes
+        total = lambda x: np.add.reduceat(x, starts)
+        flat, known = total(self.model.flat(words.counts)[words.which]), total((words.counts > 0)[words.which].astype(np.int64))
+        ids = pa.ipc.open_stream(self.names).read_all().column(0).combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        n = pa.array(np.full(len(self.lens), self.model.total))
+        columns = [ids, pa.array((self.lens & 1) == 1), pa.array(self.sizes), pa.array(known), n, pa.array(flat), pa.array(total(log))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
+def _word_order(hash_steps: np.ndarray, fan: int) -> np.ndarray:
+    """The order in which a chunk sends its words: by realm, and within it by hash."""
+    hashes = np.cumsum(hash_steps)
+    nothing = np.zeros(len(hashes), np.int64)
+    return np.argsort(_realms(hashes, nothing, nothing == 1, 0, fan), kind="stable")
+
+
+def _send_words(fan: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                lens, tokens, steps, by_hash = (unpacked(r[c]) for c in "abcd")
+                train = np.repeat(lens & 1, lens >> 1) == 0
+                order = _word_order(steps, fan)
+                counts = np.bincount(tokens[train], minlength=len(by_hash))[by_hash][order]
+                hashes, none = np.cumsum(steps)[order], np.zeros(len(order), np.int64)
+                for p, lo, hi in _ranges(_realms(hashes, none, none == 1, 0, fan), fan):
+                    nothing = none[lo:hi]
+                    yield _slice(p, r["src"], hashes[lo:hi], nothing, nothing, counts[lo:hi], 0, nothing, nothing)
 
+    return run
 
-def _send_pairs(parts: int, bi_parts: int, bar: int):
-    """Bigrams of each chunk to their parts: a = ids of first words, b = their numbers of bigrams, c = ids of second
-    words, d = training counts of those, e = training counts of the bigrams."""
 
+def _known(rows: Iterator[pa.RecordBatch], model: Model, upto: int, fan: int) -> Iterator[_Chunk]:
+    """Chunks with all they know of the orders below ``upto``, and its n-grams."""
+    for group in _rows(rows):
+        for r in group:
+            r["order"], r["realm"] = r["realm"] >> 32, r["realm"] & 0xFFFFFFFF
+        chunk = _Chunk(sorted(group, key=lambda r: (r["kind"], r["order"], r["realm"])), model, fan)
+        for n in range(2, upto + 1):
+            chunk.grow()
+            if n in chunk.answers or n < upto:
+                chunk.learn()
+        yield chunk
+
+
+def _send(model: Model, order: int, fan: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _chunk_rows(batches):
-            x = _Chunk(rows, parts, bi_parts, bar)
-            for p, own, begin, first in x.slices():
-                second = x.second[own]
-                yield _batch([(rows[0][0], 2, p, *[packed(v) for v in (x.ids[first] * 2 + (x.counts[first] > bar), np.diff(np.r_[begin, len(own)]), x.ids[second], x.counts[second], x.seen[own])])])
+        for chunk in _known(batches, model, order, fan):
+            yield from chunk.slices()
 
     return run
 
 
-def _count_pairs(model: Model):
-    """Answers: kind 3, a = bigram counts, e = which first words have more: b = bigrams seen 1..REACH times, c = summed
-    counts of the others, d = summed unigram probabilities. Only first words of an unseen bigram of the chunk, or
-    without rare bigrams, need those. Of heavy words, kind 8 has a = id, b, c, d. Kind 9: counts of counts."""
-
+def _score(model: Model, order: int, fan: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in runs_of(batches):
-            part, chunks = t.column(0)[0].as_py(), t.column(1).to_pylist()
-            first, sizes, second, below, seen = [[unpacked(x) for x in t.column(i).to_pylist()] for i in range(2, 7)]
-            words, where = np.unique(np.concatenate(first), return_inverse=True)
-            row = np.repeat(where, np.concatenate(sizes))
-            other, column = np.unique(np.concatenate(second), return_inverse=True)
-            _, one, at = np.unique(row * len(other) + column, return_index=True, return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate(seen)).astype(np.int64)
-            p = model.unigram(np.concatenate(below)[one])
-            there = counts > 0
-            owner, c = row[one][there], counts[there]
-            rare = np.stack([np.bincount(owner[c == r], minlength=len(words)) for r in range(1, REACH + 1)], axis=1)
-            more = np.bincount(owner, weights=np.where(c > REACH, c, 0), minlength=len(words)).astype(np.int64)
-            sums = np.bincount(owner, weights=p[there], minlength=len(words))
-            begin = begin_first = 0
-            for chunk, f, z, s in zip(chunks, first, sizes, second, strict=True):
-                own, mine = at[begin : begin + len(s)], where[begin_first : begin_first + len(f)]
-                begin, begin_first = begin + len(s), begin_first + len(f)
-                unseen = np.bincount(np.repeat(np.arange(len(f)), z), weights=counts[own] == 0, minlength=len(f)) > 0
-                asked = unseen | (rare[mine].sum(axis=1) == 0)
-                mine = mine[asked]
-                yield _batch([(chunk, 3, part, packed(counts[own]), packed(rare[mine].ravel()), packed(more[mine]), packed(sums[mine]), packed(asked))])
-            heavy = np.flatnonzero(words & 1)
-            if len(heavy):
-                yield _batch([(0, 8, part, packed(words[heavy] >> 1), packed(rare[heavy].ravel()), packed(more[heavy]), packed(sums[heavy]))])
-            yield _batch([(0, 9, part, packed(np.bincount(c[c <= REACH + 1], minlength=REACH + 2)[1:]))])
-            trimmed()
+        for chunk in _known(batches, model, order, fan):
+            if chunk.orders[-1].counts is None:  # all contexts are of this chunk only
+                chunk.learn()
+            yield chunk.scores()
 
     return run
 
 
-def _score(model: Model, parts: int, bi_parts: int, bar: int):
-    """Scores of a chunk's documents."""
+def _heavy_sums(answers: DataFrame) -> Sums:
+    """Sums of the heavy contexts over realms; at most HEAVY rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _chunk_rows(batches):
-            x = _Chunk(rows, parts, bi_parts, bar)
-            answers = {r[2]: r for r in rows if r[1] == 3}
-            uni = model.unigram(x.counts)
-            p = uni[x.second].copy()  # after unknown words
-            for part, own, begin, first in x.slices():
-                r = answers[part]
-                c, asked = unpacked(r[3]), unpacked(r[7]) == 1
-                # of the others all bigrams were seen and one of them is rare, so their scale is 1 and no weight is needed
-                rare, more, below = np.zeros((len(first), REACH), np.int64), np.zeros(len(first), np.int64), np.zeros(len(first))
-                rare[asked], more[asked], below[asked] = unpacked(r[4]).reshape(-1, REACH), unpacked(r[5]), unpacked(r[6], np.float64)
-                for i in np.flatnonzero(x.counts[first] > bar):
-                    rare[i], more[i], below[i] = model.heavy[int(x.ids[first[i]])]
-                alpha, scale = model.backoff(x.counts[first], rare, more, below)
-                spread = np.diff(np.r_[begin, len(own)])
-                alpha, scale, base = np.repeat(alpha, spread), np.repeat(scale, spread), np.repeat(x.counts[first], spread)
-                p[own] = np.where(c > 0, model.d_bi[np.minimum(c, REACH + 1)] * c * scale / base, alpha * uni[x.second[own]])
-            starts = np.cumsum(x.sizes) - x.sizes
-            log = np.add.reduceat(np.log10(p)[x.which], starts)
-            flat = np.add.reduceat(model.base(x.counts)[x.tokens], starts)
-            known = np.add.reduceat((x.counts > 0)[x.tokens].astype(np.int64), starts)
-            ids = pa.ipc.open_stream(next(r for r in rows if r[1] == 0)[7]).read_all().column(0).combine_chunks()
-            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            yield pa.RecordBatch.from_arrays([ids, pa.array((x.lens & 1) == 1), pa.array(x.sizes), pa.array(known), pa.array(np.full(len(x.lens), model.total)), pa.array(flat), pa.array(log)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for b in batches:
+            for r in b.to_pylist():
+                columns = [unpacked(r["a"]), *unpacked(r["b"]).reshape(-1, REACH).T, unpacked(r["c"]), unpacked(r["d"], np.float64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", *[f"r{i}" for i in range(REACH)], "more", "below"])
 
-    return run
+    parts = arrow_map(answers.where(F.col("kind") == _HEAVY), run, "key bigint, " + ", ".join(f"r{i} bigint" for i in range(REACH)) + ", more bigint, below double")
+    # in the order of the values, so that a sum of doubles does not depend on partitions
+    sums = parts.groupBy("key").agg(*[F.sum(f"r{i}") for i in range(REACH)], F.sum("more"), F.array_sort(F.collect_list("below")))
+    rows = sorted(sums.collect())
+    if not rows:
+        return Sums()
+    return Sums(np.array([r[0] for r in rows]), np.array([r[1 : REACH + 1] for r in rows]), np.array([r[REACH + 1] for r in rows]), np.array([sum(r[REACH + 2]) for r in rows]))
 
 
-def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = ORDER, chunk_tokens: int = CHUNK_TOKENS, fan: int = FAN, group: int = GROUP) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (Katz), log10."""
-    spark = docs.sparkSession
-    kind = dict(docs.dtypes)["doc_id"]
-    chunks = stored(_chunks(docs, modulus, held_out, chunk_tokens), "chunks")
-    # a part of the exchanges has about the tokens of a chunk; a task takes some parts one after the other
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    many = max(least, chunks.count())
-    tasks = max(least, many // 4)
-    answers = stored(arrow_map(arrow_map(chunks.select("chunk", "a", "b", "c", "d"), _send_words(many), _CHUNK).select("part", "chunk", "a", "b").repartition(tasks, "part").sortWithinPartitions("part"), _count_words(many), _CHUNK), "unigrams")
-    released(spark)
-    model = Model()
-    totals = [unpacked(r[0]) for r in answers.where("kind = 9").select("a").collect()]
-    if totals:
-        s = np.sum(totals, axis=0).tolist()
-        model.types, model.total, model.n_uni = s[0], s[1], s[2:]
-    model.ready()
-    bar = max(1, model.total // HEAVY)
-    own = chunks.withColumn("c", F.lit(None).cast("binary"))
-    known = own.unionByName(answers.where("kind = 1"))
-    pairs = arrow_map(known.repartition("chunk").sortWithinPartitions("chunk"), _send_pairs(many, many, bar), _CHUNK)
-    pairs = stored(arrow_map(pairs.select("part", "chunk", "a", "b", "c", "d", "e").repartition(tasks, "part").sortWithinPartitions("part"), _count_pairs(model), _CHUNK), "bigrams")
-    released(spark)
-    totals = [unpacked(r[0]) for r in pairs.where("kind = 9").select("a").collect()]
-    if totals:
-        model.n_bi = np.sum(totals, axis=0).tolist()
-    for a, b, c, d in pairs.where("kind = 8").select("a", "b", "c", "d").collect():  # at most HEAVY words in each part
-        for i, rare, more, below in zip(unpacked(a).tolist(), unpacked(b).reshape(-1, REACH), unpacked(c), unpacked(d, np.float64), strict=True):
-            old = model.heavy.get(i, (np.zeros(REACH, np.int64), 0, 0.0))
-            model.heavy[i] = (old[0] + rare, old[1] + int(more), old[2] + float(below))
-    model.ready()
-    return arrow_map(known.unionByName(pairs.where("kind = 3")).repartition("chunk").sortWithinPartitions("chunk"), _score(model, many, many, bar), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    with Run(docs.sparkSession) as run:
+        model, known = learned(run, docs, modulus, held_out, order, chunk_tokens, fan, group)
+        schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+        return run.result(arrow_map(known, _score(model, order, fan), schema), "katz")
+
+
+def learned(run: Run, docs: DataFrame, modulus: int, held_out: int, order: int, chunk_tokens: int, fan: int, group: int) -> tuple[Model, DataFrame]:
+    """The model, and chunks with the answers to all their n-grams."""
+    chunks = run.stored(_chunks(docs, modulus, held_out, chunk_tokens), "chunks")
+    sources, least = chunks.count(), int(run.spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, sources // 4)
+    model, answers, known = Model().ready(), [], chunks
+    for n in range(1, order + 1):
+        sends = arrow_map(known, _send(model, n, fan) if n > 1 else _send_words(fan), _ROW)
+        found = _exchange(run, sends, n, model, sources, fan, group)
+        released(run.spark)
+        totals = [unpacked(r[0]) for r in found.where(F.col("kind") == _SPREAD).select("a").collect()]
+        s = np.sum(totals, axis=0).tolist() if totals else [0] * (REACH + 3)
+        if n == 1:
+            model.types, model.total, model.seen = s[0], s[1], [s[2:]]
+        else:
+            model.seen, model.heavy[n] = [*model.seen, s[2:]], _heavy_sums(found)
+        model.ready()
+        by_order = F.col("realm") + F.lit(n << 32)
+        answers.append(found.where(F.col("kind") == _FOUND).withColumn("grp", F.col("src")).withColumn("realm", by_order))
+        known = chunks.withColumn("e", F.lit(None).cast("binary")) if n < order else chunks
+        for a in answers:
+            known = known.unionByName(a)
+        known = known.repartition(tasks, "grp").sortWithinPartitions("grp")
+    return model, known

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graindeck.llm.common import SPACE_WORD, stored
+from graindeck.llm.common import SPACE_WORD, Run
 
 LEVELS = ("domain", "lang", "source")
 
@@ -79,29 +79,30 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], b
 
     budget: the tokens to take, as a column over ``total_tokens``, the number of tokens there are.
     """
-    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text(domain).alias("domain"), text(F.col("lang")).alias("lang"), text(F.col("source")).alias("source"), token_count(F.col("text")).alias("n_tokens"))
-    rows = stored(rows.where(F.col("n_tokens") > 0), "mix")
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows"))
-    shares = stored(budgets(leaves, weights, budget, epochs), "shares").select(*LEVELS, F.col("n_tokens").alias("leaf_tokens"), "n_rows", "share")
-    every = rows.join(F.broadcast(shares) if _small(shares) else shares, list(LEVELS))
-    # whole epochs are taken of every document; the last one is a prefix of its order
-    every = every.withColumn("whole", F.floor(F.col("share") / F.col("leaf_tokens")))
-    every = every.withColumn("rest", F.col("share") - F.col("whole") * F.col("leaf_tokens"))
-    digest = F.sha2(F.encode(F.concat_ws("|", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), F.col("doc_id").cast("string")), "UTF-8"), 256)
-    every = every.withColumn("place", F.substring(digest, 1, 16))
-    ranges = F.greatest(F.lit(1.0), F.ceil(F.col("n_rows") / F.lit(float(RANGE_ROWS))))
-    every = every.withColumn("part", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * ranges).cast("int"))
-    sums = every.groupBy(*LEVELS, "part").agg(F.sum("n_tokens").alias("part_tokens"))
-    ahead = Window.partitionBy(*LEVELS).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*LEVELS, "part", F.coalesce(F.sum("part_tokens").over(ahead), F.lit(0)).alias("offset"))
-    here = Window.partitionBy(*LEVELS, "part").orderBy("place", "doc_id")
-    # rows before this one and its ties: the running sum with ties (a range frame) less that of its own ties
-    ties = Window.partitionBy(*LEVELS, "part", "place", "doc_id")
-    first = F.sum("n_tokens").over(here.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("n_tokens").over(ties)
-    every = every.join(offsets, [*LEVELS, "part"]).withColumn("begins", F.col("offset") + first)
-    copies = (F.col("whole") + F.when(F.col("begins") < F.col("rest"), 1).otherwise(0)).cast("long")
-    return every.withColumn("copies", copies).where("copies > 0").select("doc_id", *LEVELS, "n_tokens", "copies")
+    with Run(docs.sparkSession) as run:
+        text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+        rows = docs.select("doc_id", text(domain).alias("domain"), text(F.col("lang")).alias("lang"), text(F.col("source")).alias("source"), token_count(F.col("text")).alias("n_tokens"))
+        rows = run.stored(rows.where(F.col("n_tokens") > 0), "mix")
+        leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows"))
+        shares = run.stored(budgets(leaves, weights, budget, epochs), "shares").select(*LEVELS, F.col("n_tokens").alias("leaf_tokens"), "n_rows", "share")
+        every = rows.join(F.broadcast(shares) if _small(shares) else shares, list(LEVELS))
+        # whole epochs are taken of every document; the last one is a prefix of its order
+        every = every.withColumn("whole", F.floor(F.col("share") / F.col("leaf_tokens")))
+        every = every.withColumn("rest", F.col("share") - F.col("whole") * F.col("leaf_tokens"))
+        digest = F.sha2(F.encode(F.concat_ws("|", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), F.col("doc_id").cast("string")), "UTF-8"), 256)
+        every = every.withColumn("place", F.substring(digest, 1, 16))
+        ranges = F.greatest(F.lit(1.0), F.ceil(F.col("n_rows") / F.lit(float(RANGE_ROWS))))
+        every = every.withColumn("part", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * ranges).cast("int"))
+        sums = every.groupBy(*LEVELS, "part").agg(F.sum("n_tokens").alias("part_tokens"))
+        ahead = Window.partitionBy(*LEVELS).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sums.select(*LEVELS, "part", F.coalesce(F.sum("part_tokens").over(ahead), F.lit(0)).alias("offset"))
+        here = Window.partitionBy(*LEVELS, "part").orderBy("place", "doc_id")
+        # rows before this one and its ties: the running sum with ties (a range frame) less that of its own ties
+        ties = Window.partitionBy(*LEVELS, "part", "place", "doc_id")
+        first = F.sum("n_tokens").over(here.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("n_tokens").over(ties)
+        every = every.join(offsets, [*LEVELS, "part"]).withColumn("begins", F.col("offset") + first)
+        copies = (F.col("whole") + F.when(F.col("begins") < F.col("rest"), 1).otherwise(0)).cast("long")
+        return run.result(every.withColumn("copies", copies).where("copies > 0").select("doc_id", *LEVELS, "n_tokens", "copies"), "mix")
 
 
 def _small(df: DataFrame, most: int = 20_000) -> bool:

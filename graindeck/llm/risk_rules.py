@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graindeck.llm.common import SPACE_WORD, stored
+from graindeck.llm.common import SPACE_WORD, Run
 
 WINDOW = 8
 
@@ -141,6 +141,7 @@ def verdict(found: dict[tuple[str, str], float]) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", risk: float = 0.05, level: float = 0.05) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every document."""
-    counts = stored(with_counts(docs, ["doc_id", "lang"]), "counts")
+    with Run(docs.sparkSession) as run:
+        counts = run.result(with_counts(docs, ["doc_id", "lang"]), "counts")
     kept = verdict(cutoffs(counts, labels, label, risk, level))
     return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & kept).alias("kept"))

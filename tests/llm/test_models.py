@@ -1,14 +1,16 @@
 """Operators that learn: accuracy on held-out rows of the smallest tables and on small planted cases."""
 
+import functools
 import math
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graindeck.llm import crf_langid, fm_toxicity, katz, queries, rule_ensemble, secret_markov
-from graindeck.llm.common import fold, fold_of
+from graindeck.llm.common import Run, fold, fold_of
 
 DOCS = "doc_id long, text string, lang string, source string"
 MID = "/root/testdata/sf0.01"
@@ -155,49 +157,101 @@ def test_secrets_short_or_without_digits():
         assert found(x) == []
 
 
-def brute_katz(texts, train):
+def brute_katz(texts, train, order):
     """Probabilities by the definition, word by word, with dictionaries."""
-    from collections import Counter
-
-    uni, bi = Counter(), Counter()
+    counts = [Counter() for _ in range(order)]
     for t, on in zip(texts, train, strict=True):
         if on:
-            w = katz.tokens_of(t)
-            uni.update(w)
-            bi.update(zip([b"", *w[:-1]], w, strict=True))
-    m = katz.Model(sum(uni.values()), len(uni), [sum(c == r for c in uni.values()) for r in range(1, katz.REACH + 2)], [sum(c == r for c in bi.values()) for r in range(1, katz.REACH + 2)]).ready()
-    pu = lambda w: float(m.unigram(np.array([uni[w]]))[0])
-
+            w = [b"", *katz.tokens_of(t)]
+            counts[0].update(w[1:])
+            for n in range(2, order + 1):
+                counts[n - 1].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    uni = counts[0]
+    seen = [[sum(c == r for c in k.values()) for r in range(1, katz.REACH + 2)] for k in counts]
+    m = katz.Model(sum(uni.values()), len(uni), seen).ready()
+    follow = [defaultdict(list) for _ in range(order)]
+    for n in range(1, order):
+        for g in counts[n]:
+            follow[n][g[:-1]].append(g[-1])
+
+    @functools.cache
     def p(h, w):
-        if not uni[h]:
-            return pu(w)
-        seen = [x for (a, x) in bi if a == h]
-        d = {x: m.d_bi[min(bi[h, x], katz.REACH + 1)] * bi[h, x] / uni[h] for x in seen}
-        mass = sum(d.values())
-        scale = 1.0 if mass < 1 - 1e-12 else uni[h] / (uni[h] + 1.0)
-        alpha = (1 - mass * scale) / (1 - sum(pu(x) for x in seen))
-        return d[w] * scale if w in d else alpha * pu(w)
+        """After the tuple of words ``h``."""
+        if not h:
+            return float(m.unigram(np.array([uni[w]]))[0])
+        n = len(h)
+        base = uni[h[0]] if n == 1 else counts[n - 1][h]
+        if not base:
+            return p(h[1:], w)
+        c = {x: counts[n][(*h, x)] for x in follow[n][h]}
+        if all(x > katz.REACH for x in c.values()):
+            base += 1
+        d = {x: m.d[n][min(k, katz.REACH + 1)] * k / base for x, k in c.items()}
+        if w in d:
+            return d[w]
+        return (1 - math.fsum(d.values())) / (1 - math.fsum(p(h[1:], x) for x in c)) * p(h[1:], w)
 
     return p, uni, m
 
 
-@pytest.mark.parametrize("chunk", [20, 10_000])
-def test_katz_equals_definition(spark, chunk):
+def histories(w, order):
+    """Of each token the words before it: at least the end that precedes a text, and no word of another text."""
+    w = [b"", *w]
+    return [tuple(w[max(0, i - order + 1) : i]) if order > 1 else () for i in range(1, len(w))]
+
+
+def katz_corpus():
     rng = np.random.default_rng(8)
     vocabulary = [f"w{int(x)}" for x in rng.zipf(1.5, 400) % 60]
-    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 15))).upper() for _ in range(80)] + ["unseen words", None, "é É \x0b x"]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 15))).upper() for _ in range(80)]
+    return texts + ["unseen words", None, "", "é É \x0b x", " ".join(["long w1"] * 900)] + ["the same words in each of them"] * 9
+
+
+@pytest.mark.parametrize("order,chunk,fan,group", [(2, 10_000, 64, 512), (3, 10_000, 64, 512), (3, 40, 4, 512), (3, 20, 2, 4), (4, 60, 3, 2), (1, 60, 3, 2)])
+@pytest.mark.parametrize("heavy", [65_536, 12])
+def test_katz_equals_definition(spark, monkeypatch, order, chunk, fan, group, heavy):
+    """One step and several levels, with and without contexts that are dealt by their words."""
+    monkeypatch.setattr(katz, "HEAVY", heavy)
+    texts = katz_corpus()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
     train = [fold_of(i, 7) != 2 for i in range(len(texts))]
-    p, uni, m = brute_katz(texts, train)
-    for h in [b"", b"w1", b"w2", b"never", *list(uni)[:20]]:
-        assert sum(p(h, w) for w in [*uni, b"unknown"]) == pytest.approx(1, abs=1e-9)
-    got = {r.doc_id: r for r in katz.score(docs, chunk_tokens=chunk).collect()}
-    assert len(got) == len(texts)
+    p, uni, m = brute_katz(texts, train, order)
+    asked = {h for t in texts for h in histories(katz.tokens_of(t), order)}
+    for h in [*sorted(asked)[:60], *[x[:order - 1] for x in ((b"never", b"w1"), (b"w1", b"never"))]]:
+        assert math.fsum(p(h, w) for w in [*uni, b"unknown"]) == pytest.approx(1, abs=1e-9)
+    found = katz.score(docs, order=order, chunk_tokens=chunk, fan=fan, group=group).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(got) == len(found) == len(texts)
     for i, t in enumerate(texts):
         w, r = katz.tokens_of(t), got[i]
         assert (r.n_tokens, r.train_tokens, r.held_out, r.n_known) == (len(w), m.total, not train[i], sum(uni[x] > 0 for x in w))
         assert r.base_score == pytest.approx(sum(math.log10((uni[x] + 1) / (m.total + len(uni) + 1)) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip([b"", *w[:-1]], w, strict=True)))
+        assert r.score == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip(histories(w, order), w, strict=True))), (i, t)
+
+
+def test_discounts_apply_on_the_table(spark):
+    """Good-Turing by a line through the counts of counts, on the table too: no order falls back to another discount."""
+    with Run(spark) as run:
+        model, _ = katz.learned(run, spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), 7, 2, 3, katz.CHUNK_TOKENS, katz.FAN, katz.GROUP)
+    assert len(model.d) == 3
+    for d, n in zip(model.d, model.seen, strict=True):
+        r = np.arange(1, katz.REACH + 1)
+        assert np.all((d[r] > 0) & (d[r] < 1)) and np.all(np.diff(d[r]) > 0)
+        slope = np.polyfit(np.log(np.arange(1, katz.REACH + 2)), np.log(n), 1)[0]
+        turing, cut = (1 + 1 / r) ** (slope + 1), (katz.REACH + 1) ** (slope + 1)
+        assert np.allclose(d[r], (turing - cut) / (1 - cut))
+        off = r * (1 - d[r])
+        assert off.max() - off.min() > 0.05  # not one number taken off every count
+
+
+def test_rows_exchanged_grow_with_the_input(spark):
+    """A chunk deals to the same number of realms, however many chunks there are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    with Run(spark) as run:
+        chunks = run.stored(katz._chunks(docs, 7, 2, 5_000), "chunks")
+        n = chunks.count()
+        sent = chunks.mapInArrow(katz._send_words(16), katz._ROW)
+        assert n > 50 and sent.count() <= 16 * n
 
 
 def test_katz_edges(spark):
@@ -207,3 +261,4 @@ def test_katz_edges(spark):
     held = spark.createDataFrame([(i, "a b") for i in range(50) if fold_of(i, 7) == 2], "doc_id long, text string")
     assert {(x.score, x.base_score, x.train_tokens) for x in katz.score(held).collect()} == {(0.0, 0.0, 0)}
     assert np.array_equal(katz.unpacked(katz.packed(np.array([1, -5, 2**40]))), [1, -5, 2**40]) and len(katz.unpacked(katz.packed(np.zeros(0, np.int64)))) == 0
+    assert np.allclose(katz.good_turing([0] * 6), katz.good_turing([4, 1, 0, 0, 0, 0])) and np.all(katz.good_turing([5, 5, 5, 5, 5, 5])[1:6] < 1)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 from collections import defaultdict
@@ -10,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graindeck.llm import chosen_path, license_minhash, mixing, queries, risk_rules, wu_manber
+from graindeck.llm import chosen_path, katz, license_minhash, mixing, queries, risk_rules, wu_manber
+from graindeck.llm.common import Run, shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -84,25 +86,74 @@ def test_join_equals_brute_force(spark):
     assert joined(spark, rows) == brute_join(rows)
 
 
-@pytest.mark.parametrize("small,large,block", [(3, 4096, 4_000_000), (3, 8, 4_000_000), (256, 4096, 600)])
-def test_join_splits_and_blocks(spark, monkeypatch, small, large, block):
-    """Recursion, pivots and block pairs, at sizes that make small data use them."""
-    monkeypatch.setattr(chosen_path, "BLOCK_SHINGLES", block)
+@pytest.mark.parametrize("small,pivots,block,shingles,sets", [(3, 1024, 1024, 4_000_000, 4096), (3, 2, 1024, 4_000_000, 4096), (4, 3, 2, 4_000_000, 4096), (256, 1024, 1024, 600, 4096), (256, 1024, 1024, 4_000_000, 3)])
+def test_join_splits_and_blocks(spark, monkeypatch, small, pivots, block, shingles, sets):
+    """Salted parts, recursion, blocks of pivots and of sets, at sizes that make small data use them."""
+    for name, value in (("SMALL", small), ("PIVOTS", pivots), ("BLOCK", block), ("BLOCK_SHINGLES", shingles), ("BLOCK_SETS", sets)):
+        monkeypatch.setattr(chosen_path, name, value)
     rows = near_copies(9, 8, 150)
-    old_level, old_edges = chosen_path._level, chosen_path.bucket_edges
+    assert joined(spark, rows) == brute_join(rows)
 
-    def level(d):
-        def run(batches):
-            chosen_path.SMALL, chosen_path.LARGE = small, large
-            yield from old_level(d)(batches)
 
-        return run
+def test_links_within_equal_all_pairs():
+    rng = np.random.default_rng(5)
+    base = np.arange(1, 80, dtype=np.uint64) * np.uint64(977)
+    sets = []
+    for _ in range(90):  # near copies, half copies and others
+        own = base[rng.random(len(base)) > rng.choice([0.02, 0.1, 0.5, 1.0])]
+        sets.append(np.unique(np.r_[own, rng.integers(0, 2**40, rng.integers(1, 9), dtype=np.uint64)]))
+    sides = rng.integers(0, 2, len(sets))
+    alike = lambda x, y: len(np.intersect1d(x, y)) * 5 >= 4 * len(np.union1d(x, y))
+    for side in (None, sides):
+        want = [sum(i != j and (side is None or side[i] != side[j]) and alike(x, y) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+        counts, forest = chosen_path.links_within(sets, side)
+        assert counts.tolist() == want and sum(want) > 100
+        for i, x in enumerate(sets):
+            assert all(forest.root(i) == forest.root(j) for j, y in enumerate(sets) if i != j and (side is None or side[i] != side[j]) and alike(x, y))
+    assert chosen_path.links_within([base], None)[0].tolist() == [0]
+
+
+def test_a_large_bucket_of_near_copies(spark):
+    """Thousands of near copies of one text: a part of the bucket is a few rows, and all links are counted."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(1500):
+        t = list(base)
+        for _ in range(i % 4):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    assert joined(spark, rows) == brute_join(rows)
+    ids = [bytes([i]) for i in range(200)]
+    same = np.tile(rng.randbytes(chosen_path.SKETCH), 200)
+    of, chosen, far = chosen_path.pivots(np.frombuffer(bytes(same), np.uint8).reshape(200, -1))
+    assert set(of) == {0} and len(chosen) == 1 and far.tolist() == [0] and len(ids) == 200
 
-    monkeypatch.setattr(chosen_path, "_level", level)
-    got, want = joined(spark, rows), brute_join(rows)
-    wrong = [i for i in want if got[i] != want[i]]
-    assert len(wrong) <= 0.01 * len(rows)
-    assert chosen_path.bucket_edges is old_edges
+
+def test_one_of_each_judges_rows_that_share_an_id(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, words), (5, words + " more"), (5, "a text of its own, not like the others"), (5, "a text of its own, not like the others"), (5, None), (5, None), (8, words.upper()), (None, words), (None, "only here"), (9, "only here")]
+    df = clash(spark.createDataFrame(rows, "doc_id long, text string")).repartition(3)
+    kept = chosen_path.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(3, words), (5, ""), (5, ""), (5, rows[2][1]), (9, "only here")]
+
+
+def test_runs_leave_only_their_results(spark):
+    """What an operator stores on the way is deleted, also after an error."""
+    home = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    docs = spark.createDataFrame([(i, f"text {i % 4} of a small table with some words in it", "en", f"s{i % 2}") for i in range(12)], DOCS)
+    tables = lambda: sorted(str(p) for p in (home / "tables").glob("*"))
+    before = tables()
+    chosen_path.join(docs)
+    chosen_path.one_of_each(docs)
+    katz.score(docs)
+    mixing.mix(docs, F.col("source"), {}, F.col("total_tokens") * 0.5)
+    risk_rules.judge(docs, docs.selectExpr("doc_id", "1 as quality"))
+    bad = docs.withColumn("text", F.when(F.col("doc_id") < 99, F.raise_error(F.lit("no"))).cast("string"))
+    with pytest.raises(Exception):
+        katz.score(bad)
+    assert tables() == before
 
 
 def test_join_on_the_table(spark):
@@ -141,7 +192,8 @@ def test_join_null_ids(spark):
 
 def test_components(spark):
     chain = [(bytes([i]), bytes([i + 1])) for i in range(40)] + [(b"\xf0", b"\xf1"), (b"\xf0", b"\xf0")]
-    got = {bytes(r.id): bytes(r.label) for r in chosen_path.components(spark.createDataFrame(chain, "a binary, b binary")).collect()}
+    with Run(spark) as run:
+        got = {bytes(r.id): bytes(r.label) for r in chosen_path.components(run, spark.createDataFrame(chain, "a binary, b binary")).collect()}
     assert got == {bytes([i]): b"\x00" for i in range(41)} | {b"\xf0": b"\xf0", b"\xf1": b"\xf0"}
 
 
