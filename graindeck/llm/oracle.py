@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from graindeck.llm.mixing import LEVELS
 from graindeck.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_SHARE, MIX_WEIGHTS
-from graindeck.llm.risk_rules import GRID, LOSS, RULES
+from graindeck.llm.risk_rules import GRID, LOSS, RULES, TEST_DIGITS
 
 #: Words of the decontamination contract and of the other contracts.
 LETTER_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -69,20 +69,30 @@ select doc_id, domain, lang, source, n_tokens, cast(whole + case when begins < r
 
 _GRID = ", ".join(f"{g}::double" for g in GRID)
 
+_P = f"(0.05::double / {len(RULES)})"
+_CDF = f"list_sum(list_transform(range(0, lost + 1), lambda j: exp(lgamma(good + 1) - lgamma(j + 1) - lgamma(good - j + 1) + j * ln({_P}) + (good - j) * ln(1 - {_P}))))"
+_TEST = ", ".join(f"'{x}'" for x in TEST_DIGITS)
+
 RULES_SQL = rf"""
-with d as (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text, {SPACE_WORDS} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents),
+with d as (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text, {SPACE_WORDS} as w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents),
 win as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8)),
-again as (select doc_id, count(distinct i + k) as n_repeat_words from (select doc_id, i, unnest(range(0, 8)) as k from (select *, count(*) over (partition by doc_id, s) as c from win) where c > 1) group by doc_id),
-c as (select doc_id, lang, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(regexp_extract_all(text, '\p{{Lu}}')) as n_upper from d left join again using (doc_id)),
+again as (select doc_id, count(distinct i + k) as n_repeat_words
+  from (select doc_id, i, unnest(range(0, 8)) as k from (select *, count(*) over (partition by doc_id, s) as c from win) where c > 1) group by doc_id),
+c as (select doc_id, lang, text, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+  coalesce(n_repeat_words, 0) as n_repeat_words, len(regexp_extract_all(text, '\p{{Lu}}')) as n_upper from d left join again using (doc_id)),
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from c),
-v as (select doc_id, lang, base_failed, unnest({list(RULES)!r}) as rule, unnest([n_symbols / greatest(word_chars, 1), n_dup_lines / greatest(n_words, 1), n_repeat_words / greatest(n_words, 1), n_upper / greatest(word_chars, 1)]) as x from b),
+v as (select doc_id, lang, text, base_failed, unnest({list(RULES)!r}) as rule, unnest([n_symbols / greatest(word_chars, 1), n_dup_lines / greatest(n_words, 1),
+  n_repeat_words / greatest(n_words, 1), n_upper / greatest(word_chars, 1)]) as x from b),
 y as (select doc_id, max(quality) as y from labels where doc_id is not null and quality is not null group by doc_id),
-h as (select lang, rule, x, y from v join y using (doc_id) where not base_failed),
+h as (select lang, rule, text, any_value(x) as x, max(y) as y from v join y using (doc_id)
+  where not base_failed and substr(sha256(doc_id::varchar), 1, 1) not in ({_TEST}) group by lang, rule, text),
 g as (select unnest([{_GRID}]) as g),
-k as (select lang, rule, g, count(*) filter (y <> 0) as good, count(*) filter (y <> 0 and x > g) as lost, count(*) filter (y = 0) as bad, count(*) filter (y = 0 and x > g) as caught from h, g group by all),
+k as (select lang, rule, g, count(*) filter (y <> 0) as good, count(*) filter (y <> 0 and x > g) as lost, count(*) filter (y = 0) as bad,
+  count(*) filter (y = 0 and x > g) as caught from h, g group by all),
 m as (select count(distinct (lang, rule)) * {len(GRID)} as tests from h),
-a as (select *, caught / greatest(1, bad) - {LOSS} * lost / good as gain from k, m where good > 0 and lost < good * (0.05::double / {len(RULES)})
-  and list_sum(list_transform(range(0, lost + 1), lambda j: exp(lgamma(good + 1) - lgamma(j + 1) - lgamma(good - j + 1) + j * ln(0.05::double / {len(RULES)}) + (good - j) * ln(1 - 0.05::double / {len(RULES)})))) <= 0.05::double / tests),
+a as (select *, caught / greatest(1, bad) - {LOSS} * lost / good as gain from k, m where good > 0 and lost < good * {_P} and {_CDF} <= 0.05::double / tests),
 cut as (select lang, rule, arg_max(g, (gain, g)) as g from a where gain > 0 group by lang, rule),
 rejected as (select distinct doc_id from v join cut using (lang, rule) where x > g)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from rejected) as kept from b"""

@@ -276,23 +276,57 @@ def test_counts_equal_brute_force(spark):
 
 
 def test_judgement(spark):
+    """False rejections among documents whose labels set no cutoff."""
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     out = risk_rules.judge(docs, labels)
-    r = {(x.quality, x.kept): x["count"] for x in out.join(labels, "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()}
-    assert r.get((1, False), 0) <= 0.05 * r[1, True] and r[0, False] > 0
+    tested = out.where(risk_rules.held_out()).join(labels, "doc_id").where("not base_failed")
+    r = {(x.quality, x.kept): x["count"] for x in tested.groupBy("quality", "kept").count().collect()}
+    assert r[1, True] > 500 and r.get((1, False), 0) <= 0.05 * r[1, True] and r[0, False] > 0
     assert out.where("kept and base_failed").count() == 0
     assert risk_rules.judge(docs.limit(0), labels).count() == 0
     few = risk_rules.judge(docs.limit(50), labels.limit(0))
     assert few.where("kept = base_failed").count() == 0  # without labels no rule is on
 
 
-def test_binomial_bound():
-    for n, p in ((20, 0.1), (300, 0.02), (50, 0.5)):
-        for k in range(0, n + 1, 3):
-            want = sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
-            assert risk_rules.binomial_cdf(k, n, p) == pytest.approx(want)
-    assert risk_rules.admissible(0, 300, 0.01, 0.05) and not risk_rules.admissible(0, 298, 0.01, 0.05)
+def planted_rules(spark, strata, good=400):
+    """By stratum ``good`` texts labelled good, without symbols, and 100 labelled bad, of symbols."""
+    rows = []
+    for s, sign in strata:
+        for i in range(good + 100):
+            words = [f"{s}word{i}x{j}" for j in range(30)]
+            rows.append((len(rows), " ".join(words + ["#" * (sign if i >= good else 0)] * 5), s, "src", int(i < good)))
+    df = spark.createDataFrame(rows, DOCS + ", quality int")
+    return clash(df.drop("quality")), df.select("doc_id", "quality")
+
+
+def test_rules_hold_in_every_stratum(spark):
+    """More strata than any cap, one named like a pool, one without labels, one too small to certify a cutoff."""
+    many = [(f"l{i}", 40) for i in range(70)]
+    docs, labels = planted_rules(spark, [("*", 40), ("en", 40), *many], 460)
+    small, some = planted_rules(spark, [("small", 40)], 20)
+    small, some = (x.withColumn("doc_id", F.col("doc_id") + 10**6) for x in (small, some))
+    other = docs.where("lang = 'en'").withColumns({"doc_id": F.col("doc_id") + 10**7, "lang": F.lit("unseen")})
+    out = risk_rules.judge(docs.union(small).union(other), labels.union(some), risk=0.2).join(docs.union(small).union(other).select("doc_id", "lang"), "doc_id")
+    gone = {r.lang: r.n for r in out.where("not kept and not base_failed").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert gone == {s: 100 for s in ["*", "en", *[x for x, _ in many]]}
+
+
+def test_copies_are_one_trial(spark):
+    docs, labels = planted_rules(spark, [("en", 40)], 30)
+    again = docs.crossJoin(spark.range(40).withColumnRenamed("id", "copy")).withColumn("doc_id", F.col("doc_id") * 1000 + F.col("copy")).drop("copy")
+    marks = labels.crossJoin(spark.range(40).withColumnRenamed("id", "copy")).select((F.col("doc_id") * 1000 + F.col("copy")).alias("doc_id"), "quality")
+    assert risk_rules.judge(again, marks).where("not kept").count() == 0  # 1,200 good rows, yet 30 texts
+
+
+def test_binomial_bound(spark):
+    cases = [(k, n, p) for n, p in ((20, 0.1), (300, 0.02), (50, 0.5), (4000, 0.0125)) for k in range(0, int(n * p), max(1, n // 60))]
+    df = spark.createDataFrame(cases, "k long, n long, p double")
+    for p in {c[2] for c in cases}:
+        for r in df.where(F.col("p") == p).select("k", "n", risk_rules.binomial_cdf(F.col("k"), F.col("n"), p).alias("got")).collect():
+            assert r.got == pytest.approx(sum(math.comb(r.n, j) * p**j * (1 - p) ** (r.n - j) for j in range(r.k + 1)), rel=1e-8)
+    x = spark.createDataFrame([(0, 300), (0, 298), (10**6, 10**9)], "k long, n long").select(risk_rules.admissible(F.col("k"), F.col("n"), 0.01, F.lit(0.05))).collect()
+    assert [r[0] for r in x] == [True, False, True]
 
 
 # License scans
