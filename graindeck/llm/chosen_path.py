@@ -139,21 +139,20 @@ def pivots(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of, np.array(chosen, dtype=np.int64), np.array(far, dtype=np.int64)
 
 
-#: Rows of buckets: far is null but of pivots. Links found are rows with other.
-_ROW = "grp bigint, path bigint, run int, id binary, tokens binary, sketch binary, far int, side int, other binary"
-_NAMES = ["grp", "path", "run", "id", "tokens", "sketch", "far", "side", "other"]
+#: Rows of buckets: side is 1 of whole ones, far is null but of pivots. Links found are rows with other.
+_ROW = "grp bigint, path bigint, id binary, sketch binary, far int, side int, other binary"
+_NAMES = ["grp", "path", "id", "sketch", "far", "side", "other"]
+_KINDS = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
 
 
 def _links(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    n = len(found)
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-    columns = [pa.nulls(n, k) for k in kinds]
-    columns[3], columns[8] = (pa.array(list(x), type=pa.binary()) for x in (zip(*found, strict=True) if n else ((), ())))
+    columns = [pa.nulls(len(found), k) for k in _KINDS]
+    columns[2], columns[6] = (pa.array([x[i] for x in found], type=pa.binary()) for i in (0, 1))
     return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
 def _matrix(t: pa.Table) -> tuple[list[bytes], np.ndarray]:
-    return t.column(3).to_pylist(), np.frombuffer(b"".join(t.column(5).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+    return t["id"].to_pylist(), np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +160,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, t in runs_of(batches):
         t = t.sort_by("id")
         ids, sketches = _matrix(t)
-        if t.column(7)[0].as_py() == 1:
+        if t["side"][0].as_py() == 1:
             yield _links(bucket_edges(ids, sketches, np.zeros(len(ids), np.int64)))
             continue
         of, chosen, far = pivots(sketches)
         yield _links([(ids[i], ids[j]) for i, j in enumerate(of.tolist()) if i != j])
-        kept = t.take(pa.array(chosen)).set_column(6, "far", pa.array(far, type=pa.int32())).combine_chunks()
+        kept = t.take(pa.array(chosen)).set_column(4, "far", pa.array(far, type=pa.int32())).combine_chunks()
         yield from (pa.RecordBatch.from_arrays(b.columns, names=_NAMES) for b in kept.to_batches())
 
 
@@ -175,7 +174,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, t in runs_of(batches):
         t = t.sort_by("id")
         ids, sketches = _matrix(t)
-        far, side = t.column(6).to_numpy(), t.column(7).to_numpy()
+        far, side = t["far"].to_numpy(), t["side"].to_numpy()
         if side.min() == side.max():
             yield _links(bucket_edges(ids, sketches, far))
             continue
@@ -185,52 +184,58 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _children(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The paths that rows go on by: for each child one more sampled token."""
+    """The paths that rows (path, run, id, tokens) go on by: for each child one more sampled token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
-            path = b.column(1).to_numpy().astype(np.uint64)
-            first = b.column(2).to_numpy().astype(np.int64) * (DEPTH - 1) * CHILDREN + (level - 1) * CHILDREN
-            deep = np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=np.uint32).reshape(n, -1)
+            path = b.column(0).to_numpy().astype(np.uint64)
+            first = b.column(1).to_numpy().astype(np.int64) * (DEPTH - 1) * CHILDREN + (level - 1) * CHILDREN
+            deep = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint32).reshape(n, -1)
             for c in range(CHILDREN):
                 token = deep[np.arange(n), first + c].astype(np.uint64) << np.uint64(20)
                 child = mixed(path * np.uint64(31) + np.uint64(c + 1) + token).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(child), *b.columns[2:]], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(child), b.column(1), b.column(2)], names=["path", "run", "id"])
 
     return run
 
 
 def _gathered(df: DataFrame, *by: Column | str) -> DataFrame:
-    return df.withColumn("grp", F.xxhash64(*by)).select(*_NAMES).repartition("grp").sortWithinPartitions("grp")
+    nothing = {"far": "int", "side": "int", "other": "binary"}
+    df = df.withColumns({c: F.lit(None).cast(k) for c, k in nothing.items() if c not in df.columns}).withColumn("grp", F.xxhash64(*by))
+    return df.select(*_NAMES).repartition("grp").sortWithinPartitions("grp")
 
 
-def _candidates(run: Run, level: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all rows whose sketches are close and that share a last bucket in any of the runs."""
-    none = {"grp": F.lit(0).cast("bigint"), "far": F.lit(None).cast("int"), "side": F.lit(1), "other": F.lit(None).cast("binary")}
-    level, found = level.withColumns(none), None
+def _candidates(run: Run, paths: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all sets whose sketches are close and that share a last bucket in any of the runs.
+
+    Paths (path, run, id) carry no sketches and tokens; sets get theirs where they are compared or go on. Sizes of
+    buckets are written first, so joins with them are of two tables and Spark can split a path that has many rows.
+    """
+    sketches, tokens, found = reps.select("id", "sketch"), reps.select("id", "tokens"), None
     for depth in range(DEPTH):
-        sizes = level.groupBy("path").count().where("count > 1")
-        parts = F.ceil(F.col("count") / SMALL)
-        salt = F.pmod(F.xxhash64("id"), parts)
-        level = level.join(sizes, "path").withColumn("side", F.when(parts == 1, 1).otherwise(0))
-        done = run.stored(arrow_map(_gathered(level.withColumn("salt", salt), "path", "salt"), _parts, _ROW), f"parts{depth}")
+        sizes = run.stored(paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{depth}")
+        level = run.stored(paths.join(sizes, "path").withColumn("side", (F.col("size") <= SMALL).cast("int")), f"level{depth}")
+        salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / SMALL))
+        done = run.stored(arrow_map(_gathered(level.join(sketches, "id"), "path", salt), _parts, _ROW), f"parts{depth}")
         left = done.where("far is not null")
-        most = left.groupBy("path").agg(F.count("*").alias("most"))
-        if depth < DEPTH - 1:
-            most, wide = most.where(F.col("most") <= PIVOTS), most.where(F.col("most") > PIVOTS).select("path")
+        most = run.stored(left.groupBy("path").agg(F.count("*").alias("most")), f"pivots{depth}")
+        last = depth == DEPTH - 1
         # all pivots of a bucket meet, in blocks if there are many
         blocks = F.ceil(F.col("most") / BLOCK)
         block = F.pmod(F.xxhash64("id", F.lit(5)), blocks)
         pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j")))
-        met = left.join(most, "path").withColumn("block", block).withColumn("p", F.explode(pairs)).withColumn("side", (F.col("block") != F.col("p.i")).cast("int"))
+        met = left.join(most if last else most.where(F.col("most") <= PIVOTS), "path").withColumn("block", block).withColumn("p", F.explode(pairs))
+        met = met.withColumn("side", (F.col("block") != F.col("p.i")).cast("int"))
         across = run.stored(arrow_map(_gathered(met, "path", "p.i", "p.j"), _across, _ROW), f"across{depth}")
         for links in (done, across):
             links = links.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
             found = links if found is None else found.union(links)
-        if depth == DEPTH - 1 or wide.isEmpty():
-            break
-        level = run.stored(arrow_map(level.select(*_NAMES).join(wide, "path", "left_semi").select(*_NAMES), _children(depth + 1), _ROW), f"level{depth + 1}")
+        wide = most.where(F.col("most") > PIVOTS)
+        if last or wide.isEmpty():
+            return found
+        on = level.join(wide.select("path"), "path", "left_semi").join(tokens, "id").select("path", "run", "id", "tokens")
+        paths = run.stored(arrow_map(on, _children(depth + 1), "path bigint, run int, id binary"), f"paths{depth + 1}")
     return found
 
 
@@ -393,11 +398,7 @@ def _classes(run: Run, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # one row a set; equal sets have equal sketches, so any of them will do
     first = [F.any_value(c).alias(c) for c in ("paths", "tokens", "sketch")]
     reps = run.stored(rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("rid"), F.count("*").alias("n_copies"), F.max("size").alias("size"), *first), "reps")
-    # the first split: only sets that share a bucket with another one go on, with their tokens and sketches
-    paths = reps.select("id", F.posexplode("paths").alias("run", "path"))
-    several = paths.groupBy("path").count().where("count > 1").select("path")
-    shared = paths.join(several, "path")
-    edges = _candidates(run, shared.join(reps.select("id", "tokens", "sketch"), "id"))
+    edges = _candidates(run, reps.select("id", F.posexplode("paths").alias("run", "path")), reps)
     near = components(run, edges)
     members = near.join(reps.select("id", "rid", "size"), "id").select("rid", "id", F.col("label").alias("comp"), "size")
     checked = run.stored(_verified(docs, run.stored(members, "members")), "verified")

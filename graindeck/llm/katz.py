@@ -8,9 +8,9 @@ discounted unigram. The first word of a text follows an end; histories never rea
 Counts of counts are smoothed by a line through their logarithms, so the Good-Turing discounts lie between 0 and 1 on
 any corpus. Counts are exact and of the whole corpus. Texts are tokenised once into chunks of a bounded number of
 tokens. For each order a chunk sends its n-grams, dealt by the hash of their context (those of very frequent contexts
-by the word too), as sorted columns of integers, and gets their counts and the sums of their contexts back. A context
+by the word too), as sorted columns of word ids, and gets their counts and the sums of their contexts back. A context
 that occurs in one chunk only is worked out there and not sent. These answers, by n-gram and chunk, are the model's
-tables.
+tables. Words get their ids in the first exchange: small ones for frequent words, so that sorted columns pack well.
 
 A chunk deals to FAN realms, so rows grow in proportion to the input. Beyond GROUP chunks the exchange has more
 levels: what GROUP chunks sent to a realm is merged, dealt to FAN realms of its own, and the answers come back the
@@ -216,18 +216,32 @@ def _chunks(docs: DataFrame, modulus: int, held_out: int, chunk_tokens: int) ->
     return arrow_map(docs.select("doc_id", "text"), run, _ROW)
 
 
-# n-grams on their way: sorted by realm and key; key: the context's, word: the last word's id (of single words, the key
-# is the hash and the word 0); low: the count of the n-gram less its first word, base: that of its context's
+# n-grams on their way: sorted by realm, context and word. A context is the ids of its words (of single words, the hash
+# of the word, which is its own context). low: the count of the n-gram less its first word, base: that of its context's
 
 
-def _realms(keys: np.ndarray, words: np.ndarray, heavy: np.ndarray, level: int, fan: int) -> np.ndarray:
-    h = mixed(keys) ^ np.where(heavy, mixed(words.astype(np.uint64) + np.uint64(77)), np.uint64(0))
-    return ((h >> np.uint64(3)) // np.uint64(fan**level) % np.uint64(fan)).astype(np.int64)
+def _key(context: list[np.ndarray]) -> np.ndarray:
+    """A hash of the context's ids; of one id, the id."""
+    key = context[0]
+    for ids in context[1:]:
+        key = _longer(key, ids)
+    return key
 
 
-def _starts(keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin."""
-    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+def _longer(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return mixed(key * np.int64(0x1000193) + ids).view(np.int64)
+
+
+def _realms(keys: np.ndarray, words: np.ndarray, heavy: np.ndarray | None, level: int, fan: int) -> np.ndarray:
+    h = mixed(keys)
+    if heavy is not None and heavy.any():
+        h ^= np.where(heavy, mixed(words.astype(np.uint64) + np.uint64(77)), np.uint64(0))
+    return ((h >> np.uint64(3)) // np.uint64(fan**level) % np.uint64(fan)).astype(np.uint16 if fan <= 1 << 16 else np.int64)
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
 
 
 def _ranges(sorted_realms: np.ndarray, fan: int) -> Iterator[tuple[int, int, int]]:
@@ -239,25 +253,50 @@ def _ranges(sorted_realms: np.ndarray, fan: int) -> Iterator[tuple[int, int, int
             yield r, int(begin), int(end)
 
 
-def _slice(realm: int, src: int, keys, words, low, seen, shared, base, heavy) -> pa.RecordBatch:
-    at = _starts(keys)
-    columns = (np.diff(keys[at], prepend=0), np.diff(np.r_[at, len(keys)]), words, low, seen * 2 + shared, base[at] * 2 + heavy[at])
-    return _batch(0, realm, src, _SLICE, *[packed(x) for x in columns])
+def _slice(realm: int, src: int, context: list[np.ndarray], owner: np.ndarray, words, low, seen, shared, base, heavy) -> pa.RecordBatch:
+    """context, base and heavy are by context, the rest by n-gram; owner: the place of its context, ascending."""
+    at = _starts(owner)
+    own = owner[at]
+    first, *more = [c[own] for c in context]
+    steps = np.diff(words, prepend=0)
+    steps[at] = words[at]
+    columns = (np.diff(np.r_[at, len(owner)]), steps, low, seen * 2 + shared, base[own] * 2 + heavy[own])
+    names = b"".join(len(x).to_bytes(8, "little") + x for x in (packed(np.diff(first, prepend=0)), *map(packed, more)))
+    return _batch(0, realm, src, _SLICE, names, *[packed(x) for x in columns])
+
+
+def _opened(row: dict) -> list:
+    """Context ids, numbers of n-grams, words, low, seen, base of a slice."""
+    context, at = [], 0
+    while at < len(row["a"]):
+        size = int.from_bytes(row["a"][at : at + 8], "little")
+        context.append(unpacked(row["a"][at + 8 : at + 8 + size]))
+        at += 8 + size
+    context[0] = np.cumsum(context[0])
+    sizes, steps, low, seen, base = (unpacked(row[c]) for c in "bcdef")
+    words, begin = np.cumsum(steps), np.cumsum(sizes) - sizes
+    words -= np.repeat(words[begin] - steps[begin], sizes)
+    return [context, sizes, words, low, seen, base]
 
 
 class _Slices:
-    """The slices of a realm, together: distinct n-grams in the order of key and word, and where each slice's are."""
+    """The slices of a realm, together: distinct n-grams in the order of context and word, and where each slice's are."""
 
     def __init__(self, rows: list[dict]):
         rows = [r for r in rows if r["kind"] == _SLICE]
-        parts = [[unpacked(r[c]) for c in "abcdef"] for r in rows]
+        parts = [_opened(r) for r in rows]
         self.sources = [r["src"] for r in rows]
-        self.contexts_of = [len(p[0]) for p in parts]
+        self.contexts_of = [len(p[1]) for p in parts]
         self.grams_of = [len(p[2]) for p in parts]
-        every = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*([np.cumsum(p[0]), *p[1:]] for p in parts), strict=True)]
-        keys, sizes, words, low, seen, base = every if every else [np.zeros(0, np.int64)] * 6
+        none = np.zeros(0, np.int64)
+        context = [np.concatenate(x) for x in zip(*(p[0] for p in parts), strict=True)] or [none]
+        sizes, words, low, seen, base = (np.concatenate([none, *(p[i] for p in parts)]) for i in range(1, 6))
         del parts
-        self.keys, first, self.context_at = np.unique(keys, return_index=True, return_inverse=True)
+        self.context_at = np.zeros(len(sizes), np.int64)
+        for ids in context:
+            values, at = np.unique(ids, return_inverse=True)
+            _, first, self.context_at = np.unique(self.context_at * max(1, len(values)) + at, return_index=True, return_inverse=True)
+        self.context = [ids[first] for ids in context]
         self.base, self.heavy = base[first] >> 1, (base[first] & 1) == 1
         row = np.repeat(self.context_at, sizes)
         ids, column = np.unique(words, return_inverse=True)
@@ -286,15 +325,14 @@ def _merge(level: int, fan: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _rows(batches):
             realm, group, s = rows[0]["realm"], rows[0]["grp"] & 0xFFFFFFFF, _Slices(rows)
-            keys, heavy, base = s.keys[s.owner], s.heavy[s.owner], s.base[s.owner]
-            part = _realms(keys, s.words, heavy, level, fan)
-            order = np.lexsort((keys, part))
-            to, first = np.empty_like(order), np.empty(len(s.keys), np.int64)
+            part = _realms(_key(s.context)[s.owner], s.words, s.heavy[s.owner], level, fan)
+            order = np.argsort(part, kind="stable")
+            to, first = np.empty_like(order), np.empty(len(s.base), np.int64)
             to[order] = np.arange(len(order))
             first[s.owner[order][::-1]] = np.arange(len(order))[::-1]
             for p, lo, hi in _ranges(part[order], fan):
                 own = order[lo:hi]
-                yield _slice(realm * fan + p, group, keys[own], s.words[own], s.low[own], s.counts[own], s.shared[own], base[own], heavy[own])
+                yield _slice(realm * fan + p, group, s.context, s.owner[own], s.words[own], s.low[own], s.counts[own], s.shared[own], s.base, s.heavy)
             for src, contexts, at in s.each():
                 yield _batch(0, realm, src, _MAP, packed(to[at]), packed(_starts(s.owner[at])), packed(first[contexts]))
             yield _batch(0, realm * fan, group, _SPREAD, packed(_spread(rows)))
@@ -332,7 +370,7 @@ def _count(order: int, model: Model, realms: int):
             realm, s = rows[0]["realm"], _Slices(rows)
             there = s.counts > 0
             owner, c = s.owner[there], s.counts[there]
-            n = len(s.keys)
+            n = len(s.base)
             ids = np.zeros(len(s.counts), np.int64)
             rare = more = below = full = None
             if order == 1:
@@ -357,7 +395,7 @@ def _count(order: int, model: Model, realms: int):
                 yield _batch(0, realm, src, _FOUND, *columns, packed(rare[mine].ravel()), packed(more[mine]), packed(below[mine]), packed(asked))
             if order > 1 and s.heavy.any():
                 h = s.heavy
-                yield _batch(0, realm, 0, _HEAVY, packed(s.keys[h]), packed(rare[h].ravel()), packed(more[h]), packed(below[h]))
+                yield _batch(0, realm, 0, _HEAVY, packed(_key(s.context)[h]), packed(rare[h].ravel()), packed(more[h]), packed(below[h]))
             totals = np.bincount(c[c <= REACH + 1], minlength=REACH + 2)[1:] + _spread(rows)
             yield _batch(0, realm, 0, _SPREAD, packed(np.r_[len(c), c.sum(), totals]))
 
@@ -422,13 +460,8 @@ class _Chunk:
         for r in rows:
             if r["kind"] == _FOUND:
                 self.answers.setdefault(r["order"], []).append(r)
-        tokens, by_hash = unpacked(own["b"]), unpacked(own["d"])
-        found = self.answers[1]
-        counts, self.ids = np.empty(len(by_hash), np.int64), np.empty(len(by_hash), np.int64)
-        order = by_hash[_word_order(unpacked(own["c"]), fan)]
-        counts[order] = np.concatenate([unpacked(r["a"]) for r in found])
-        alone, counts = (counts & 1) == 0, counts >> 1
-        self.ids[order] = np.concatenate([unpacked(r["b"]) for r in found])
+        tokens, self.ids, found = unpacked(own["b"]), np.cumsum(unpacked(own["c"])), unpacked(own["d"])
+        counts, alone = found >> 1, (found & 1) == 0
         seen = np.bincount(tokens[~self.held], minlength=len(counts))
         words = np.arange(len(counts))
         self.orders = [_Grams(tokens, words, words, seen, words, self.ids, counts, alone, model.unigram(counts))]
@@ -445,28 +478,34 @@ class _Chunk:
         which[there] = at
         prefix, suffix = np.divmod(pairs, max(1, len(low.own)))
         last = low.last[suffix]
-        key = mixed(low.key[prefix] * np.int64(0x1000193) + self.ids[last]).view(np.int64)
+        key = _longer(low.key[prefix], self.ids[last])
         self.orders.append(_Grams(which, prefix, suffix, np.bincount(at[~self.held[there]], minlength=len(pairs)), last, key))
 
     def sent(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of the highest order the n-grams to send, sorted, and their realms: those after known contexts that other chunks
-        have too."""
+        """Of the highest order the n-grams to send, by realm, and those: the ones after known contexts that other chunks have
+        too. Places of n-grams are in the order of their words' ids."""
         g, low = self.orders[-1], self.orders[-2]
         out = np.flatnonzero((~low.alone & (low.counts > 0))[g.prefix])
-        keys, heavy = low.key[g.prefix[out]], low.counts[g.prefix[out]] > self.model.bar
-        part = _realms(keys, self.ids[g.last[out]], heavy, 0, self.fan)
-        order = np.lexsort((keys, part))
+        heavy = low.counts > self.model.bar
+        part = _realms(low.key[g.prefix[out]], self.ids[g.last[out]], heavy[g.prefix[out]], 0, self.fan)
+        order = np.argsort(part, kind="stable")
         return out[order], part[order]
 
     def slices(self) -> Iterator[pa.RecordBatch]:
         g, low, n = self.orders[-1], self.orders[-2], len(self.orders)
         out, part = self.sent()
-        base = np.full(len(low.own), self.model.base_total) if n == 2 else self.orders[-3].counts + self.full
+        if n == 2:
+            base = np.full(len(low.own), self.model.base_total)
+        else:  # an n-gram less its first word follows the context's suffix
+            base = (self.orders[-3].counts + self.full)[low.suffix]
+        context, at = [], np.arange(len(low.own))
+        for grams in reversed(self.orders[:-1]):
+            context.insert(0, self.ids[grams.last[at]])
+            at = grams.prefix[at]
+        heavy = low.counts > self.model.bar
         for p, lo, hi in _ranges(part, self.fan):
             own = out[lo:hi]
-            first, second = g.prefix[own], g.suffix[own]
-            under = base[second] if n == 2 else base[low.prefix[second]]
-            yield _slice(p, self.src, low.key[first], self.ids[g.last[own]], low.counts[second], g.own[own], 0, under, low.counts[first] > self.model.bar)
+            yield _slice(p, self.src, context, g.prefix[own], self.ids[g.last[own]], low.counts[g.suffix[own]], g.own[own], 0, base, heavy)
         alone = g.own[low.alone[g.prefix] & (g.own > 0)]
         yield _batch(0, self.src % self.fan, self.src, _SPREAD, packed(np.bincount(alone[alone <= REACH + 1], minlength=REACH + 2)[1:]))
 
@@ -517,11 +556,11 @@ class _Chunk:
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def _word_order(hash_steps: np.ndarray, fan: int) -> np.ndarray:
-    """The order in which a chunk sends its words: by realm, and within it by hash."""
+def _word_order(hash_steps: np.ndarray, fan: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, realms and the order in which a chunk sends its words: by realm, and within it by hash."""
     hashes = np.cumsum(hash_steps)
-    nothing = np.zeros(len(hashes), np.int64)
-    return np.argsort(_realms(hashes, nothing, nothing == 1, 0, fan), kind="stable")
+    realms = _realms(hashes, hashes, None, 0, fan)
+    return hashes, realms, np.argsort(realms, kind="stable")
 
 
 def _send_words(fan: int):
@@ -530,12 +569,29 @@ def _send_words(fan: int):
             for r in b.to_pylist():
                 lens, tokens, steps, by_hash = (unpacked(r[c]) for c in "abcd")
                 train = np.repeat(lens & 1, lens >> 1) == 0
-                order = _word_order(steps, fan)
-                counts = np.bincount(tokens[train], minlength=len(by_hash))[by_hash][order]
-                hashes, none = np.cumsum(steps)[order], np.zeros(len(order), np.int64)
-                for p, lo, hi in _ranges(_realms(hashes, none, none == 1, 0, fan), fan):
-                    nothing = none[lo:hi]
-                    yield _slice(p, r["src"], hashes[lo:hi], nothing, nothing, counts[lo:hi], 0, nothing, nothing)
+                counts = np.bincount(tokens[train], minlength=len(by_hash))[by_hash]
+                hashes, realms, order = _word_order(steps, fan)
+                none = np.zeros(len(order), np.int64)
+                for p, lo, hi in _ranges(realms[order], fan):
+                    own = order[lo:hi]
+                    yield _slice(p, r["src"], [hashes], own, none[own], none[own], counts[own], 0, none, none)
+
+    return run
+
+
+def _settle(fan: int):
+    """Chunks with what was found of their words: a = lengths and folds, b = places of the tokens' words in the order of
+    their ids, c = those ids, d = counts and whether other chunks have the word, e = ids of the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _rows(batches):
+            own, *found = rows
+            _, _, order = _word_order(unpacked(own["c"]), fan)
+            counts, ids = (np.concatenate([unpacked(r[c]) for r in found]) for c in "ab")
+            by_id, place = np.argsort(ids), np.empty(len(ids), np.int64)
+            place[unpacked(own["d"])[order][by_id]] = np.arange(len(ids))
+            columns = (place[unpacked(own["b"])], np.diff(ids[by_id], prepend=0), counts[by_id])
+            yield _batch(own["src"], 0, own["src"], _OWN, own["a"], *[packed(x) for x in columns], own["e"])
 
     return run
 
@@ -602,11 +658,10 @@ def learned(run: Run, docs: DataFrame, modulus: int, held_out: int, order: int,
     chunks = run.stored(_chunks(docs, modulus, held_out, chunk_tokens), "chunks")
     sources, least = chunks.count(), int(run.spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(least, sources // 4)
-    model, answers, known = Model().ready(), [], chunks
+    model, answers, known = Model().ready(), None, chunks
     for n in range(1, order + 1):
         sends = arrow_map(known, _send(model, n, fan) if n > 1 else _send_words(fan), _ROW)
         found = _exchange(run, sends, n, model, sources, fan, group)
-        released(run.spark)
         totals = [unpacked(r[0]) for r in found.where(F.col("kind") == _SPREAD).select("a").collect()]
         s = np.sum(totals, axis=0).tolist() if totals else [0] * (REACH + 3)
         if n == 1:
@@ -615,9 +670,13 @@ def learned(run: Run, docs: DataFrame, modulus: int, held_out: int, order: int,
             model.seen, model.heavy[n] = [*model.seen, s[2:]], _heavy_sums(found)
         model.ready()
         by_order = F.col("realm") + F.lit(n << 32)
-        answers.append(found.where(F.col("kind") == _FOUND).withColumn("grp", F.col("src")).withColumn("realm", by_order))
-        known = chunks.withColumn("e", F.lit(None).cast("binary")) if n < order else chunks
-        for a in answers:
-            known = known.unionByName(a)
-        known = known.repartition(tasks, "grp").sortWithinPartitions("grp")
+        own = found.where(F.col("kind") == _FOUND).withColumn("grp", F.col("src")).withColumn("realm", by_order)
+        answers = own if answers is None or n == 2 else answers.unionByName(own)
+        known = chunks.withColumn("e", F.lit(None).cast("binary")) if 1 < n < order else chunks
+        known = known.unionByName(answers).repartition(tasks, "grp").sortWithinPartitions("grp")
+        if n == 1:
+            known = run.stored(arrow_map(known, _settle(fan), _ROW), "settled")
+            run.discarded(chunks, found)
+            chunks = known
+        released(run.spark)
     return model, known
