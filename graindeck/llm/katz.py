@@ -170,7 +170,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Rows of equal grp together, in the order of kind, realm and source."""
     for _, t in runs_of(batches):
         yield sorted(t.to_pylist(), key=lambda r: (r["kind"], r["realm"], r["src"]))
-        trimmed()
+    trimmed()
 
 
 def _chunks(docs: DataFrame, modulus: int, held_out: int, chunk_tokens: int) -> DataFrame:
@@ -201,7 +201,7 @@ def _chunks(docs: DataFrame, modulus: int, held_out: int, chunk_tokens: int) ->
             id_type = b.schema.field(0).type
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 words = tokens_of(t.as_py())
-                parts.append(np.array([places[w] for w in words], dtype=np.int64))
+                parts.append(np.fromiter(map(places.__getitem__, words), np.int64, len(words)))
                 ids.append(i)
                 lens.append(len(words))
                 held.append(fold_of(i, modulus) == held_out)
@@ -209,9 +209,9 @@ def _chunks(docs: DataFrame, modulus: int, held_out: int, chunk_tokens: int) ->
                 if size >= chunk_tokens:
                     yield flush()
                     ids, lens, held, places, parts, number, size = [], [], [], _Places(), [], number + 1, 0
-                    trimmed()
         if ids:
             yield flush()
+        trimmed()
 
     return arrow_map(docs.select("doc_id", "text"), run, _ROW)
 
@@ -676,7 +676,7 @@ def learned(run: Run, docs: DataFrame, modulus: int, held_out: int, order: int,
         known = known.unionByName(answers).repartition(tasks, "grp").sortWithinPartitions("grp")
         if n == 1:
             known = run.stored(arrow_map(known, _settle(fan), _ROW), "settled")
-            run.discarded(chunks, found)
+            run.discarded(chunks)
             chunks = known
         released(run.spark)
     return model, known
