@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of an Arrow batch sent to a Python worker; keeps a batch of long texts within a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
@@ -122,13 +123,24 @@ def released(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches small enough for long texts."""
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow over batches of at most BATCH_ROWS rows and BATCH_BYTES bytes (or one row), whatever size they come in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def small() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                step = max(1, min(BATCH_ROWS, b.num_rows * BATCH_BYTES // max(1, b.nbytes)))
+                for i in range(0, b.num_rows, step):
+                    yield b.slice(i, step)
+
+        return iter(fn(small()))
+
+    # Spark reads these when the plan runs, so they stay set in the session: a batch that crosses to Python is bounded
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
-    return df.mapInArrow(fn, schema)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[bool, pa.Table]]:
@@ -154,6 +166,13 @@ def runs_of(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Itera
         yield held.column(0)[0].as_py() != beyond, held
 
 
+def one_text_each(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """The documents of the ids in ``picked``, one row for each id (of repeated ids the smallest text), so there are no
+    more rows than ids. ``picked`` has a bounded number of rows and is broadcast."""
+    more = [F.any_value(c).alias(c) for c in picked.columns if c != "doc_id"]
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), *more)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, bound: int) -> DataFrame:
     """At most ``bound`` labelled documents (doc_id, text, label) of the training fold.
 
@@ -167,5 +186,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )
-    picked = one.orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return one_text_each(docs, one.orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id").limit(bound))
