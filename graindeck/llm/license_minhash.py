@@ -1,18 +1,23 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates; exact containment verifies.
 
-A template of w words is looked for in windows of about its length that start every ``stride`` words. Windows and
+Templates are whole license texts (the files beside this module, named by their SPDX ids) and short notices. A
+template of w words is looked for in windows of about its length that start every quarter of it. Windows and
 templates share a band of equal minimum hashes with a probability set by ``bands`` and ``rows``: a window of
 Jaccard similarity j to a template is retrieved with probability 1 - (1 - j^rows)^bands (see ``recall``). What is
-retrieved is verified by the exact share of the template's shingles that the window's surroundings contain.
+retrieved is verified by the exact share of the template's shingles that the window's surroundings contain. Shingles
+are of five words, those of notices of fewer than LONG words of two.
 
 Defined results: null and empty texts have no license; templates repeat freely; an empty template table finds
-nothing; repeated documents are each scanned. Of templates found at one place all are listed, sorted by name.
+nothing; repeated documents are each scanned; a text of any length is scanned whole; columns other than doc_id and
+text are ignored, whatever their names. Of templates found at one place all are listed, sorted by name; of equal
+containments (ties) the first place and the smaller name count.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,7 @@ from graindeck.llm.common import arrow_map
 from graindeck.llm.wu_manber import words_of
 
 # Opening sentences of well-known public licenses, and the short notices that stand for them.
-TEMPLATES = (
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -36,11 +41,18 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
-SHINGLE, BANDS, ROWS, CONTAINMENT = 2, 16, 2, 0.8
+#: Words of a shingle of notices and of longer templates, words from which a template is long, and bands.
+SHORT, SHINGLE, LONG, BANDS, ROWS, CONTAINMENT = 2, 5, 60, 16, 2, 0.8
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def templates() -> list[tuple[str, str]]:
+    """Names and texts of all templates: a few hundred kilobytes."""
+    texts = [(p.name.removesuffix(".txt"), p.read_text(encoding="utf-8", errors="replace")) for p in sorted(Path(__file__).with_name("licenses").glob("*.txt"))]
+    return [*NOTICES, *texts]
+
+
 def recall(j: float, bands: int = BANDS, rows: int = ROWS) -> float:
     """Probability that a window of similarity j to a template is retrieved."""
     return 1 - (1 - j**rows) ** bands
@@ -82,8 +94,10 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-class LicenseScanner:
-    def __init__(self, templates: list[tuple[str, str]], size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, containment: float = CONTAINMENT):
+class WindowScanner:
+    """Templates whose shingles have one size."""
+
+    def __init__(self, templates: list[tuple[str, str]], size: int, bands: int = BANDS, rows: int = ROWS, containment: float = CONTAINMENT):
         self.size, self.bands, self.rows, self.containment = size, bands, rows, containment
         self.hashes = WordHashes()
         rng = np.random.default_rng(20)
@@ -136,10 +150,9 @@ class LicenseScanner:
             out[a : a + step] = rows.min(axis=1)
         return starts, out
 
-    def find(self, text: str | None) -> list[tuple[str, int, float]]:
-        """Name, first word and containment of the best place of each template name found."""
-        w = words_of(text)
-        s = shingles(self.hashes.of(w), self.size)
+    def find(self, hashes: np.ndarray) -> list[tuple[str, int, float]]:
+        """Name, first word and containment of the best place of each template name found, in the hashes of words."""
+        s = shingles(hashes, self.size)
         best: dict[str, tuple[float, int]] = {}
         if not len(s) or not len(self.vocabulary):
             return []
@@ -153,26 +166,49 @@ class LicenseScanner:
                 hit = np.isin(keys, self.keys[length])
                 tried = {(int(starts[a + i]), t) for i, j in zip(*np.nonzero(hit), strict=True) for t in table[int(keys[i, j])]}
                 for start, t in tried:
-                    name, want, size = self.templates[t]
-                    lo, hi = max(0, start - length), start + 2 * length  # a template may begin between two windows
-                    share = len(want.intersection(s[lo:hi].tolist())) / len(want)
+                    name = self.templates[t][0]
+                    share = self.contained(s, start, length, t)
                     if share >= self.containment and (share, -start) > best.get(name, (0.0, -(10**12))):
                         best[name] = (share, -start)
         return sorted((name, -start, share) for name, (share, start) in best.items())
 
+    def contained(self, s: np.ndarray, start: int, length: int, t: int) -> float:
+        """The share of a template's shingles around a window; a template may begin between two windows."""
+        want = self.templates[t][1]
+        return len(want.intersection(s[max(0, start - length) : start + 2 * length].tolist())) / len(want)
+
+
+class LicenseScanner:
+    def __init__(self, templates: list[tuple[str, str]], **settings):
+        self.hashes = WordHashes()
+        known = [(str(n), t, len(words_of(t))) for n, t in templates if n is not None and t is not None]
+        by_size = ((SHORT, [(n, t) for n, t, k in known if k < LONG]), (SHINGLE, [(n, t) for n, t, k in known if k >= LONG]))
+        self.parts = [WindowScanner(own, size, **settings) for size, own in by_size if own]
+
+    def find(self, text: str | None) -> list[tuple[str, int, float]]:
+        """Name, first word and containment of the best place of each license found."""
+        hashes, best = self.hashes.of(words_of(text)), {}
+        for part in self.parts:
+            for name, start, share in part.find(hashes):
+                best[name] = max(best.get(name, (0.0, 0)), (share, -start))
+        return sorted((name, -start, share) for name, (share, start) in best.items())
+
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, **settings) -> DataFrame:
-    """doc_id, the sorted licenses found, their number and the largest containment (0 if none) of every document."""
+def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, **settings) -> DataFrame:
+    """doc_id, the sorted licenses found, their number, the largest containment (0 if none) and its license, of every
+    document. texts: names and texts of templates, a small table; by default ``templates()``."""
     kind = dict(docs.dtypes)["doc_id"]
-    held = docs.sparkSession.sparkContext.broadcast(list(templates))
+    held = docs.sparkSession.sparkContext.broadcast(templates() if texts is None else list(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = LicenseScanner(held.value, **settings)
         for b in batches:
             found = [scanner.find(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([",".join(n for n, _, _ in f) for f in found], type=pa.string()), pa.array([len(f) for f in found], type=pa.int64()), pa.array([max((x for _, _, x in f), default=0.0) for f in found], type=pa.float64())],
-                names=["doc_id", "licenses", "n_licenses", "containment"],
-            )
-
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, licenses string, n_licenses bigint, containment double")
+            top = [min(f, key=lambda x: (-x[2], x[0])) if f else (None, 0, 0.0) for f in found]
+            columns = [
+                pa.array([",".join(n for n, _, _ in f) for f in found], type=pa.string()), pa.array([len(f) for f in found], type=pa.int64()),
+                pa.array([x[2] for x in top], type=pa.float64()), pa.array([x[0] for x in top], type=pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "licenses", "n_licenses", "containment", "best_license"])
+
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, licenses string, n_licenses bigint, containment double, best_license string")
