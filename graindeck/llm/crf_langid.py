@@ -3,23 +3,26 @@
 Each word's label scores come from its affixes, its character n-grams and lexicons of frequent words; learned
 transitions link neighbours, so a word that could belong to two languages takes the language of its
 surroundings, also where a text switches. Forward-backward gives every word's label probabilities; a text's
-language is the label with the highest mean probability over its words.
+language is the label with the highest mean probability over its words, and the words' own labels tell where it
+switches. A run of letters longer than PIECE, as in scripts without spaces, is several positions of the chain, so that
+all of it is read.
 
 The field is learned from words of labelled texts, chained into sequences that switch between languages.
 
 Defined results: a text that is null or has no letters is ``und`` with score 0; so is every text if nothing could be
-learned. Repeated rows are each labelled; an empty table gives an empty result. Ties go to the smaller label.
+learned. Repeated rows are each labelled; a text of any length is read whole; an empty table gives an empty result.
+Ties go to the smaller label. Columns other than doc_id, text and (in learning) lang are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +30,14 @@ from graindeck.llm.common import arrow_map, fold
 
 #: Labelled texts that the field is learned from at most, over all languages, and words taken of each.
 MAX_TRAIN, TRAIN_WORDS = 3_000, 80
-#: Languages that are learned at most: the most frequent ones.
-MAX_LABELS = 64
+#: Languages that are learned at most: the most frequent ones (a bound of the model's size; others cannot be predicted).
+MAX_LABELS = 256
 
 UNKNOWN = "und"
 BITS = 15
-_WORD = re.compile(r"[^\W\d_]+")
-_WIDE = 16  # characters of a word that n-grams are taken of; suffixes are of the whole word
+#: Characters of the longest position of a chain.
+PIECE = 16
+_WORD = regex.compile(rf"\p{{L}}[\p{{L}}\p{{M}}]{{0,{PIECE - 1}}}")
 _CACHE = 300_000
 
 
@@ -45,7 +49,7 @@ def word_features(words: list[str]) -> np.ndarray:
     """Hashed features, a row a word; 0 stands for none."""
     n, mask = len(words), np.uint64((1 << BITS) - 1)
     size = np.array([len(w) for w in words])
-    head = np.array(words, dtype=f"U{_WIDE}").view(np.uint32).reshape(n, _WIDE).astype(np.uint64)
+    head = np.array(words, dtype=f"U{PIECE}").view(np.uint32).reshape(n, PIECE).astype(np.uint64)
     tail = np.array([w[-4:][::-1] for w in words], dtype="U4").view(np.uint32).reshape(n, 4).astype(np.uint64)
 
     def hashed(kind: int, chars: list[np.ndarray], there: np.ndarray) -> np.ndarray:
@@ -60,7 +64,7 @@ def word_features(words: list[str]) -> np.ndarray:
         out.append(hashed(k, [head[:, i] for i in range(k)], size >= k))
         out.append(hashed(10 + k, [tail[:, i] for i in range(k)], size >= k))
     for k in (2, 3):
-        for i in range(_WIDE - k + 1):
+        for i in range(PIECE - k + 1):
             out.append(hashed(20 + k, [head[:, i + j] for j in range(k)], size >= i + k))
     return np.stack(out, axis=1).astype(np.int32)
 
@@ -234,22 +238,28 @@ class LanguageField:
         return of
 
     def predictor(self):
-        """A function from texts to (labels, scores)."""
+        """A function from texts to (label, score, words, switches, shares): a switch is a word whose own label is not the
+        one before it; shares are the words' labels by name, for those that occur."""
         tag = self.tagger()
 
-        def of(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        def of(texts: list[str | None]) -> list[tuple[str, float, int, int, dict[str, float]]]:
             if len(self.labels) < 2:  # nothing to tell apart
-                names = [(self.labels[0] if self.labels and words_of(t) else UNKNOWN) for t in texts]
-                return names, [float(x != UNKNOWN) for x in names]
+                words = [len(words_of(t)) for t in texts]
+                only = self.labels[0] if self.labels else UNKNOWN
+                return [(only, float(only != UNKNOWN), n, 0, {only: 1.0} if only != UNKNOWN else {}) if n else (UNKNOWN, 0.0, 0, 0, {}) for n in words]
             p, sizes = tag(texts)
-            ends = np.cumsum(sizes)
-            full = sizes > 0
-            mean = np.add.reduceat(p, (ends - sizes)[full], axis=0) / sizes[full, None] if full.any() else np.zeros((0, len(self.labels)))
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            for i, row in zip(np.flatnonzero(full), mean, strict=True):
-                j = int(row.argmax())
-                names[i], scores[i] = self.labels[j], min(1.0, float(row[j]))
-            return names, scores
+            ends, out = np.cumsum(sizes), []
+            for n, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+                if not n:
+                    out.append((UNKNOWN, 0.0, 0, 0, {}))
+                    continue
+                own = p[end - n : end]
+                mean, each = own.mean(axis=0), own.argmax(axis=1)
+                counts = np.bincount(each, minlength=len(self.labels))
+                j = int(mean.argmax())
+                shares = {self.labels[i]: float(counts[i] / n) for i in np.flatnonzero(counts)}
+                out.append((self.labels[j], min(1.0, float(mean[j])), n, int((each[1:] != each[:-1]).sum()), shares))
+            return out
 
         return of
 
@@ -267,7 +277,9 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, bound: int = MAX_TRA
     each = max(1, bound // len(sizes))
     h = F.xxhash64("doc_id", F.lit(29))
     share = F.coalesce(*[F.when(F.col("lang") == y, F.lit(min(1.0, 2.0 * each / n))) for y, n in sizes.items()])
-    sample = train.where((F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30))) < share).select("lang", "text", h.alias("h"))
+    picked = train.where((F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30))) < share)
+    # repeated ids count once, so there are no more rows than ids
+    sample = picked.groupBy("doc_id").agg(F.min_by("lang", F.struct("text", "lang")).alias("lang"), F.min("text").alias("text")).select("lang", "text", h.alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -288,16 +300,38 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, bound: int = MAX_TRA
 
 
 def predict(docs: DataFrame, model: LanguageField) -> DataFrame:
-    """doc_id, lang_pred and score of every document. The model's size is set by BITS and MAX_LABELS."""
+    """doc_id, lang_pred, score, n_words, n_switches and shares (of the words' labels) of every document. The model, whose
+    size BITS and MAX_LABELS bound, is broadcast."""
     kind = dict(docs.dtypes)["doc_id"]
     held = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.float64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = held.value.predictor()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                names, scores = of(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], names=["doc_id", "lang_pred", "score"])
+                rows = of(part.column(1).to_pylist())
+                columns = [pa.array([list(r[j].items()) if j == 4 else r[j] for r in rows], type=k) for j, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "lang_pred", "score", "n_words", "n_switches", "shares"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double, n_words bigint, n_switches bigint, shares map<string,double>")
+
+
+def label_words(docs: DataFrame, model: LanguageField) -> DataFrame:
+    """doc_id and words (word, label, p) of every document, in the order of the text."""
+    kind = dict(docs.dtypes)["doc_id"]
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    words = pa.list_(pa.struct([("word", pa.string()), ("label", pa.string()), ("p", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, tag = held.value.labels, held.value.tagger()
+        for b in batches:
+            out = []
+            for t in b.column(1):
+                own = words_of(t.as_py())
+                p = tag([t.as_py()])[0] if len(labels) > 1 else np.ones((len(own), len(labels)))
+                out.append([{"word": w, "label": labels[int(x.argmax())] if labels else UNKNOWN, "p": float(x.max(initial=0.0))} for w, x in zip(own, p, strict=True)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, type=words)], names=["doc_id", "words"])
+
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, words array<struct<word: string, label: string, p: double>>")

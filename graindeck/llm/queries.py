@@ -39,7 +39,7 @@ def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = crf_langid.predict(docs, crf_langid.fit(docs))
-    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
 
 
 def op5_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
