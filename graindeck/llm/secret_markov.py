@@ -1,11 +1,15 @@
 """Secret scans: patterns, and character Markov models of random strings and of ordinary identifiers.
 
-Two second-order models over character classes and characters give log-likelihoods of a candidate token; where the
-ratio of random to ordinary per character passes a cutoff, the token is a secret that no pattern names. Every maximal
-token of LEAST or more characters is judged, with or without digits; shorter ones are not told apart and left alone.
+Two second-order models over characters, one of random strings and one of ordinary tokens, give log-likelihoods of a
+candidate token; where their mean ratio a character passes a cutoff, the token is a secret that no pattern names. A
+transition after two characters falls back on the one after the last, and that on the shares of the characters. Every
+maximal token of LEAST or more characters is judged, with or without digits; shorter ones are not told apart from
+ordinary words and left alone, unless a pattern names them.
 
 Defined results: a null text is empty and has no spans; repeated rows are each scanned; an empty table gives an
-empty result. Of spans that start together the kind listed first in KINDS comes first. Offsets are code points.
+empty result; of spans that start together the kind listed first in KINDS comes first (ties); a text of any length is
+scanned whole, in time linear in it; columns other than doc_id and text are ignored or kept, whatever their names.
+Offsets are code points.
 """
 
 from __future__ import annotations
@@ -22,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graindeck.llm.common import arrow_map
+from graindeck.llm.common import arrow_map, one_text_each
 
-#: Texts whose ordinary tokens the identifier model is trained on at most.
-MAX_TRAIN = 2_000
+#: Documents that the models are trained on at most, and the words and secrets that each of them gives at most.
+MAX_TRAIN, WORDS_EACH, SECRETS_EACH = 2_000, 40, 20
 
 #: Characters of the shortest token that the models judge, and the lengths from which a cutoff of its own holds.
 LEAST = 16
@@ -61,17 +65,23 @@ def codes(token: str) -> np.ndarray:
 
 
 def transition_model(tokens: list[str], smooth: float = 0.5, floor: float = 0.05) -> np.ndarray:
-    """Log probabilities of a character after another (row _N: at the start): counts smoothed by the characters' own
-    shares, mixed with a ``floor`` of equal shares, so that one unseen pair does not decide a token."""
-    counts = np.zeros((_N + 1, _N))
+    """Log probabilities (before last, last, next) of a character; _N stands for the start.
+
+    Counts after two characters are smoothed by those after one, these by the characters' own shares, and all are mixed
+    with a ``floor`` of equal shares, so that one unseen transition does not decide a token.
+    """
+    size = _N + 1
+    counts = np.zeros((size, size, _N))
     for t in tokens:
-        c = codes(t)
-        if len(c):
-            counts[_N, c[0]] += 1
-            np.add.at(counts, (c[:-1], c[1:]), 1)
-    back = (counts.sum(axis=0) + smooth) / (counts.sum() + smooth * _N)
-    counts += 4 * back
-    return np.log((1 - floor) * counts / counts.sum(axis=1, keepdims=True) + floor / _N)
+        c = np.r_[_N, _N, codes(t)]
+        np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
+    once = counts.sum(axis=0)
+    share = (once.sum(axis=0) + smooth) / (once.sum() + smooth * _N)
+    once += 4 * share
+    once /= once.sum(axis=1, keepdims=True)
+    counts += 8 * once
+    counts /= counts.sum(axis=2, keepdims=True)
+    return np.log((1 - floor) * counts + floor / _N)
 
 
 def random_strings(n: int, seed: int = 7) -> list[str]:
@@ -169,17 +179,21 @@ class MarkovScanner:
         c = codes(token)
         if not len(c):
             return 0.0
-        before = np.r_[_N, c[:-1]]
-        each = self.random_log[before, c] - self.ordinary_log[before, c]
+        last = np.r_[_N, c[:-1]]
+        before = np.r_[_N, last[:-1]]
+        each = self.random_log[before, last, c] - self.ordinary_log[before, last, c]
         again = np.r_[False, c[1:] == c[:-1]]
         return float(np.where(again & np.r_[False, again[:-1]], np.minimum(each, 0), each).mean())
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """Base spans, and all spans: the base ones and tokens beyond the cutoff that overlap none of them."""
         base = base_spans(text)
-        more = []
+        taken = merged(base)
+        more, at = [], 0
         for m in _TOKEN.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, _, e in base) and self.judged(m.group()):
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            if (at == len(taken) or taken[at][0] >= m.end()) and self.judged(m.group()):
                 more.append((m.start(), 3, m.end()))
         return base, sorted(base + more)
 
@@ -188,15 +202,21 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def redacted(text: str, spans: list[Span], mark: str = "[REDACTED]") -> str:
-    """The text with the union of the spans replaced, each stretch by one mark."""
-    out, at, merged = [], 0, []
+def merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """The union of the spans as stretches that do not overlap, in order; spans that only touch stay apart."""
+    out: list[tuple[int, int]] = []
     for s, _, e in sorted(spans):
-        if merged and s < merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], e)
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
         else:
-            merged.append([s, e])
-    for s, e in merged:
+            out.append((s, e))
+    return out
+
+
+def redacted(text: str, spans: list[Span], mark: str = "[REDACTED]") -> str:
+    """The text with the union of the spans replaced, each stretch by one mark."""
+    out, at = [], 0
+    for s, e in merged(spans):
         out += [text[at:s], mark]
         at = e
     return "".join([*out, text[at:]])
@@ -205,9 +225,10 @@ def redacted(text: str, spans: list[Span], mark: str = "[REDACTED]") -> str:
 def fit(docs: DataFrame, bound: int = MAX_TRAIN) -> MarkovScanner:
     """Train on samples labelled by the patterns: their secrets are random strings, other words ordinary.
 
-    At most ``bound`` documents, those whose ids come first by hash, give up to 40 words and 20 secrets each.
+    At most ``bound`` documents, those whose ids come first by hash (repeated ids count once), give up to WORDS_EACH words
+    and SECRETS_EACH secrets each. What is scanned is bounded by nothing.
     """
-    picked = docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id").limit(bound).distinct()
+    picked = docs.where("doc_id is not null").groupBy("doc_id").agg(F.lit(1).alias("one")).orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id").limit(bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,14 +236,13 @@ def fit(docs: DataFrame, bound: int = MAX_TRAIN) -> MarkovScanner:
             for t in b.column(0):
                 text = t.as_py() or ""
                 found = base_spans(text)
-                secrets.append([_ASSIGN.match(text[s:e])[2] if k == 0 else text[s:e] for s, k, e in found][:20])
+                secrets.append([_ASSIGN.match(text[s:e])[2] if k == 0 else text[s:e] for s, k, e in found][:SECRETS_EACH])
                 plain = re.findall(r"[A-Za-z]{3,20}", redacted(text, found, " "))
-                words.append(plain[:: max(1, len(plain) // 40)][:40])
+                words.append(plain[:: max(1, len(plain) // WORDS_EACH)][:WORDS_EACH])
             kind = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(secrets, type=kind), pa.array(words, type=kind)], names=["secrets", "words"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text")
-    rows = arrow_map(sample, run, "secrets array<string>, words array<string>").collect()
+    rows = arrow_map(one_text_each(docs, picked).select("text"), run, "secrets array<string>, words array<string>").collect()
     secrets = sorted(x for r in rows for x in r[0] if re.search("[0-9]", x) and len(x) >= 12)
     return MarkovScanner.fit(secrets, sorted(x for r in rows for x in r[1]))
 

@@ -231,7 +231,7 @@ def test_windows_equal_brute_force(spark, table_bytes):
     rng = random.Random(1)
     item = lambda n: " ".join(rng.choice("ab") for _ in range(n))
     items = [(1, item(20)), (2, item(13)), (30, item(5)), (4, "Zebra"), (5, None), (6, "?!"), (7, item(15)), (7, item(15)), (8, "Ünder the x")]
-    docs = [(i, " ".join(rng.choice("abab") for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(100, None), (101, ""), (102, "a zebra; ünder THE x"), (103, items[0][1] + " c " * 400), (104, items[0][1].upper().replace(" ", "--"))]
+    docs = [(i, " ".join(rng.choice("abab") for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(100, None), (101, ""), (102, "a zebra; ünder THE x"), (103, items[0][1] + " c " * 400), (105, "a b " * 12_000), (104, items[0][1].upper().replace(" ", "--"))]
     assert scanned(spark, docs, items, table_bytes=table_bytes) == brute_windows(docs, items)
 
 
@@ -245,15 +245,27 @@ def test_windows_on_the_table(spark):
 
 
 @pytest.mark.parametrize("table_bytes", [1 << 20, 60])
-def test_clean_judges_rows_in_place(spark, monkeypatch, table_bytes):
-    monkeypatch.setattr(wu_manber, "TABLE_BYTES", table_bytes)
+def test_clean_judges_rows_in_place(spark, table_bytes):
     items = [(i, " ".join(f"k{i}n{j}" for j in range(14))) for i in range(3)]
     docs = [(None, items[0][1]), (None, "fine"), (5, items[2][1]), (5, "fine too"), (6, items[1][1] + " c" * 300), (7, " ".join(items[i][1] + " c" * 150 for i in range(3)))]
     d = clash(spark.createDataFrame(docs, "doc_id long, text string"))
-    out = wu_manber.clean(d, spark.createDataFrame(items, "item_id long, text string"))
+    out = wu_manber.clean(d, spark.createDataFrame(items, "item_id long, text string"), table_bytes=table_bytes)
     assert out.columns == d.columns and sorted(r.text for r in out.collect()) == sorted(["fine", "fine too", docs[4][1]])
 
 
+def test_shared_windows_and_small_tables(spark):
+    """A window that many items share is one pattern; a table whose slots all collide only shifts less."""
+    shared = " ".join(f"s{i}" for i in range(13))
+    items = [(i, f"{shared} own{i}") for i in range(300)]
+    docs = [(1, f"x {shared} y"), (2, " ".join(f"s{i}" for i in range(1, 13))), (3, f"a b c {shared} own7")]
+    assert scanned(spark, docs, items) == brute_windows(docs, items)
+    table = wu_manber.WuManber.build(13, [(i, wu_manber.words_of(t)) for i, t in items], slots=0)
+    assert len(table.shift) == 256 and len(table.begin) == 301
+    for _, t in docs:
+        w = wu_manber.words_of(t)
+        assert [s for s, _ in table.search(w)] == [i for i in range(len(w) - 12) if w[i : i + 13] in [x[j : j + 13] for x in map(wu_manber.words_of, [t for _, t in items]) for j in (0, 1)]]
+
+
 # Quality rules
 
 
@@ -333,24 +345,54 @@ def test_binomial_bound(spark):
 
 
 def test_licenses(spark):
-    apache = license_minhash.TEMPLATES[1][1]
+    apache = license_minhash.NOTICES[1][1]
     docs = [(1, None), (2, ""), (3, "words " * 300 + apache + " more words" * 300), (4, "Released under the MIT License. And: " + "filler text " * 50 + "Licensed under CC BY-NC 4.0."), (5, "the license of this work"), (6, apache.upper().replace(" ", "\n * ")), (7, "x " * 60_000), (7, "released  UNDER the mit license")]
     df = clash(spark.createDataFrame(docs, "doc_id long, text string"))
     got = sorted((r.doc_id, r.licenses) for r in license_minhash.scan(df).collect())
     assert got == [(1, ""), (2, ""), (3, "Apache-2.0"), (4, "CC-BY-NC-4.0,MIT"), (5, ""), (6, "Apache-2.0"), (7, ""), (7, "MIT")]
-    assert {r.n_licenses for r in license_minhash.scan(df, templates=[]).collect()} == {0} and license_minhash.scan(df.limit(0)).count() == 0
+    assert {r.n_licenses for r in license_minhash.scan(df, []).collect()} == {0} and license_minhash.scan(df.limit(0)).count() == 0
+
+
+def brute_licenses(scanner, text):
+    """Every template at every window, by exact containment alone, without bands or the count of known shingles."""
+    hashes, best = scanner.hashes.of(wu_manber.words_of(text)), {}
+    for part in scanner.parts:
+        s = license_minhash.shingles(hashes, part.size)
+        for t, (name, _, n) in enumerate(part.templates):
+            length = 1 << max(1, math.ceil(math.log2(n)))
+            for start in range(0, max(1, len(s) - length + length // 4) if len(s) else 0, max(1, length // 4)):
+                share = part.contained(s, start, length, t)
+                if share >= part.containment and (share, -start) > best.get(name, (0.0, 1)):
+                    best[name] = (share, -start)
+    return sorted((name, share) for name, (share, _) in best.items())
+
+
+def test_licenses_equal_brute_force(spark):
+    """On the table and on whole license texts, as they are, edited, cut, reflowed and between other words."""
+    rng, texts = random.Random(2), license_minhash.templates()
+    scanner = license_minhash.LicenseScanner(texts)
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    whole = [(n, t) for n, t in texts if len(wu_manber.words_of(t)) >= license_minhash.LONG]
+    assert len({n for n, _ in whole}) >= 15
+    for name, t in whole:
+        w = t.split()
+        edited = [x if rng.random() > 0.01 else "other" for x in w]
+        docs += [t, "before " * 40 + " ".join(edited) + " after" * 90, " ".join(w[: len(w) // 2]).upper(), "# " + "\n# ".join(w)]
+    found = [[(n, s) for n, _, s in scanner.find(t)] for t in docs]
+    assert found == [brute_licenses(scanner, t) for t in docs]
+    for i, (name, _) in enumerate(whole):
+        full, edited, _, marked = found[len(found) - 4 * len(whole) + 4 * i :][:4]
+        assert name in dict(full) and name in dict(edited) and name in dict(marked)
+    assert license_minhash.recall(0.5) > 0.98
 
 
-def test_license_bands_equal_brute_force(spark):
-    """Every place where a template is contained to 0.8 or more is found by the bands."""
-    sf = "/root/testdata/sf0.1"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    want = {"Apache-2.0": "licensed under the apache license, version 2.0.", "MIT": "released under the mit license.", "CC-BY-NC-4.0": "licensed under cc by-nc 4.0.", "GPL-3.0": "this work is licensed under the gnu general public license, version 3."}
+def test_license_lines_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    lines = {"Apache-2.0": "licensed under the apache license, version 2.0.", "MIT": "released under the mit license.", "CC-BY-NC-4.0": "licensed under cc by-nc 4.0.", "GPL-3.0": "this work is licensed under the gnu general public license, version 3."}
     found = {r.doc_id: r.licenses.split(",") for r in license_minhash.scan(docs).where("n_licenses > 0").collect()}
-    for name, line in want.items():
+    for name, line in lines.items():
         ids = {r.doc_id for r in docs.where(F.lower("text").contains(line)).select("doc_id").collect()}
         assert ids and ids <= {i for i, n in found.items() if name in n}
-    assert license_minhash.recall(0.5) > 0.98
 
 
 # Mixing
