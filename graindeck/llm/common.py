@@ -11,6 +11,7 @@ import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -66,11 +67,27 @@ def deleted(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Paths of the result tables of this process, in the order they were made.
+_RESULTS: list[str] = []
+
+
+@contextmanager
+def results_within(spark: SparkSession) -> Iterator[None]:
+    """Result tables made within the block are deleted at its end; what is to stay has to be written before."""
+    begin = len(_RESULTS)
+    try:
+        yield
+    finally:
+        for path in _RESULTS[begin:]:
+            deleted(spark, path)
+        del _RESULTS[begin:]
+
+
 class Run:
     """The tables of one call of an operator, in a folder of their own below the shared one.
 
     A stored table cuts the lineage and outlives executors. When the ``with`` block ends, by an error too, the folder is
-    deleted; what the call returns is written by ``result`` beside it and is all that stays.
+    deleted; what the call returns is written by ``result`` beside it and is all that stays (see ``results_within``).
     """
 
     def __init__(self, spark: SparkSession):
@@ -100,12 +117,17 @@ class Run:
 
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as the table that stays when the run's own are deleted."""
-        return self._written(df, f"{shared_dir(self.spark)}/results/{name}-{uuid.uuid4().hex}")
+        _RESULTS.append(f"{shared_dir(self.spark)}/results/{name}-{uuid.uuid4().hex}")
+        return self._written(df, _RESULTS[-1])
 
 
-def trimmed() -> None:
-    """Give memory that a worker no longer uses back to the system, where that is possible; workers outlive tasks."""
-    gc.collect()
+def trimmed(cycles: bool = True) -> None:
+    """Give memory that a worker no longer uses back to the system, where that is possible; workers outlive tasks.
+
+    cycles: look for objects that refer to each other, too, which takes longer.
+    """
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None:
         trim(0)

@@ -4,8 +4,10 @@ Terms are words and their prefixes, hashed to 32 bits. Terms associated with the
 the machine's inputs; it learns a weight for each and, through factors, a weight for each pair, so that two terms
 which mean little alone (an insult word and a group mention) can count together.
 
-Defined results: null and empty texts have no terms and get the bias as score; repeated rows are each scored; an
-empty table gives an empty result; without labels of both kinds the score is the training share of label 1.
+Defined results: null and empty texts have no terms and get the bias as score; repeated rows are each scored, and count
+once in the sample; terms of one hash (ties) are one term; a text of any length is read whole; an empty table gives an
+empty result; without labels of both kinds the score is the training share of label 1. Columns other than doc_id and text
+are ignored (in scores) or kept (in cleaning), whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from graindeck.llm.common import arrow_map, fold, labelled_sample
 #: Labelled documents that the model is fitted on at most.
 MAX_TRAIN = 12_000
 
-#: Hashed terms that the machine takes as inputs at most.
-MAX_TERMS = 4_000
-
+#: The model's size: hashed terms that it takes as inputs at most, those of the largest association with the label; the
+#: chi-square and the documents from which a term is one; and the lengths of the prefixes that are terms too.
+MAX_TERMS, LEAST_CHI, LEAST_DOCS = 4_000, 12, 3
 PREFIXES = (3, 4, 5, 6)
 
 _WORD = re.compile(r"[^\W_]+")
@@ -71,7 +73,7 @@ class FactorizationMachine:
         expect, rest = total * pos / n, n - total
         chi = (with_y - expect) ** 2 * n / np.maximum(total * rest * (pos / n) * (1 - pos / n), 1e-9)
         order = np.lexsort((terms, -chi))[:MAX_TERMS]
-        chosen = np.sort(order[(chi[order] > 12) & (total[order] >= 3)])
+        chosen = np.sort(order[(chi[order] > LEAST_CHI) & (total[order] >= LEAST_DOCS)])
         inputs = terms[chosen]
         del terms, total, with_y, expect, rest, chi, order
         own = [np.flatnonzero(np.isin(inputs, d, assume_unique=True)) for d in docs]

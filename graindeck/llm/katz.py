@@ -170,6 +170,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Rows of equal grp together, in the order of kind, realm and source."""
     for _, t in runs_of(batches):
         yield sorted(t.to_pylist(), key=lambda r: (r["kind"], r["realm"], r["src"]))
+        trimmed(cycles=False)
     trimmed()
 
 
@@ -209,6 +210,7 @@ def _chunks(docs: DataFrame, modulus: int, held_out: int, chunk_tokens: int) ->
                 if size >= chunk_tokens:
                     yield flush()
                     ids, lens, held, places, parts, number, size = [], [], [], _Places(), [], number + 1, 0
+                    trimmed(cycles=False)
         if ids:
             yield flush()
         trimmed()

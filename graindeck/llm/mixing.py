@@ -11,8 +11,9 @@ token sums give each range's offset, and rows are ordered within a range only.
 
 Defined results: null domains, languages and sources are values of their own (""); null texts have 0 tokens and are
 never taken; repeated rows are each counted and may each be taken; ties in the order are cut by doc_id, and rows
-that tie even then are taken or left together; an empty table gives an empty result. Names missing from the
-weights have weight 1; negative weights count as 0.
+that tie even then are taken or left together; a text of any length is counted whole; an empty table gives an empty
+result. Names missing from the weights have weight 1; negative weights count as 0. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ Shallow boosted trees over text statistics propose conjunctive rules (every path
 logistic regression keeps few of them, and what is kept is compiled to one Spark column expression.
 
 Defined results: a null or empty text has all statistics 0 and is scored like any other; repeated rows are each
-scored; an empty table gives an empty result; without labels of both kinds the score is the training share of
-label 1 (0.5 without any label). Other columns are ignored, whatever their names.
+scored, and count once in the sample; a value equal to a threshold (a tie) is not above it; a text of any length is read
+whole; an empty table gives an empty result; without labels of both kinds the score is the training share of label 1
+(0.5 without any label). Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graindeck.llm import chosen_path, katz, license_minhash, mixing, queries, risk_rules, wu_manber
+from graindeck.llm import chosen_path, fm_toxicity, katz, license_minhash, mixing, queries, risk_rules, secret_markov, wu_manber
 from graindeck.llm.common import Run, shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -459,8 +459,9 @@ def test_mix_equals_brute_force(spark, monkeypatch, share, epochs):
 
 def test_mix_edges(spark):
     df = spark.createDataFrame([(1, "a b", None, None), (1, "a b", None, None), (2, None, "en", "s"), (3, "", "en", "s"), (None, "c", "en", "s")], DOCS)
-    r = mixing.mix(df, queries.domain(), {}, F.col("total_tokens") * 3, 2, 0).collect()
-    assert sorted((str(x.doc_id), x.n_tokens, x.copies) for x in r) == [("1", 2, 2), ("1", 2, 2), ("None", 1, 2)]
+    df = df.union(spark.createDataFrame([(6, "long text " * 40_000, "en", "s")], DOCS))
+    r = mixing.mix(clash(df), queries.domain(), {}, F.col("total_tokens") * 3, 2, 0).collect()
+    assert sorted((str(x.doc_id), x.n_tokens, x.copies) for x in r) == [("1", 2, 2), ("1", 2, 2), ("6", 80_000, 2), ("None", 1, 2)]
     assert mixing.mix(df.limit(0), queries.domain(), {}, F.col("total_tokens") * 0.5).count() == 0
 
 
@@ -479,8 +480,69 @@ def test_pipeline(spark):
     now = {r.doc_id: r.text for r in kept.collect()}
     assert 600 < len(now) < len(before)
     assert all(t == before[i] or "[REDACTED]" in t for i, t in now.items())
+    home = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    there = {str(p) for p in [*home.glob("*"), *home.glob("results/*"), *home.glob("tables/*")]}
     out = {r.doc_id: r.copies for r in corpus_pipeline.run(spark, sf).collect()}
+    left = {str(p) for p in [*home.glob("*"), *home.glob("results/*"), *home.glob("tables/*")]} - there
+    assert len(left) == 1 and [p.name for p in pathlib.Path(left.pop()).iterdir()] == ["mixture"]  # only the result
     assert out and set(out) <= set(now)
     joined_classes = {c for i, (c, _, _) in brute_join(list(before.items())).items()}
     assert len(set(now) - joined_classes) <= len(before) - len(joined_classes)
     assert np.isfinite(sum(out.values()))
+
+
+def odd_documents(spark):
+    rows = [
+        (1, None, "en", "src0"), (2, "", None, None), (3, " \n\t", "en", "src1"), (4, "x " * 60_000, "en", "src0"), (5, "plain words in a short text", "en", "src2"), (5, "plain words in a short text", "en", "src2"),
+        (None, "plain words in a short text", "en", "src2"), (None, "nobody has this one", "de", "src3"), (7, "the key is token=abcdef123456 here", "de", "src3"), (8, "the key is token=abcdef123456 here", "de", "src3"),
+        (9, "tail " * 30 + "é😀 ½", "fr", "src9999999999"), (9, "another text with the same id", "fr", ""),
+    ]
+    return clash(spark.createDataFrame(rows, DOCS)).withColumn("score", F.lit("x")).withColumn("_set", F.lit(1))
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, ties, clashing names, empty tables: what the docstrings say."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        docs = odd_documents(spark)
+        out = stage(spark, docs, sf)
+        rows = sorted(((str(r.doc_id), r.text) for r in out.collect()), key=str) if name != "mixture" else None
+        if name != "mixture":
+            assert out.columns == docs.columns, name
+        every = sorted(((str(r.doc_id), r.text) for r in docs.collect()), key=str)
+        if name in ("toxicity", "decontamination"):
+            assert rows == every
+        elif name == "secrets":
+            assert [i for i, _ in rows] == [i for i, _ in every] and sum(t is None for _, t in rows) == 1 and not any("abcdef123456" in (t or "") for _, t in rows)
+        elif name == "near_duplicates":
+            assert [i for i, _ in rows] == ["1", "2", "3", "4", "5", "7", "9", "9", "None"]
+        else:
+            taken = [r.doc_id for r in out.collect()]
+            assert taken and not {1, 2, 3} & set(taken) and taken.count(5) in (0, 2)
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_pipeline_equals_its_operators(spark):
+    """All five stages against plain versions of their rules, on the whole smallest table."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    score = {r.doc_id: r.score for r in fm_toxicity.score(docs, fm_toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))).collect()}
+    kept = {i: r.text for i, r in rows.items() if score[i] < 0.7}
+    classes = brute_join(list(kept.items()))
+    kept = {i: t for i, t in kept.items() if classes[i][0] == i}
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    windows = brute_windows(list(kept.items()), items)
+    kept = {i: t for i, t in kept.items() if not windows[i][4]}
+    left = docs.where(F.col("doc_id").isin(list(kept)))
+    model = secret_markov.fit(left)
+    texts = {i: secret_markov.redacted(t, model.spans(t)[1]) for i, t in kept.items()}
+    weights = queries.MIX_WEIGHTS
+    number = lambda s: int((re.search(r"[0-9]{1,9}$", s or "") or ["999999999"])[0]) % 4
+    leaves = [(i, f"d{number(rows[i].source)}", rows[i].lang or "", rows[i].source or "", len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in texts.items()]
+    want = brute_mix(leaves, weights, queries.MIX_SHARE, queries.MIX_EPOCHS, queries.MIX_SEED)
+    assert {r.doc_id: r.copies for r in corpus_pipeline.run(spark, sf).collect()} == want and len(want) > 20
