@@ -46,6 +46,14 @@ def pixels_sha256(width: Column, height: Column, rgb: Column) -> Column:
     return F.sha2(F.concat(F.encode(F.format_string("RGB:%dx%d:", width, height), "UTF-8"), rgb), 256)
 
 
+def tensor_sha256(dtype: Column, shape: Column, data: Column) -> Column:
+    """H6: digest of a tensor (type name, array of sizes, bytes): the length of its description as eight bytes, the
+    description as compact JSON, and the bytes."""
+    header = F.concat(F.lit('{"dtype":"'), dtype, F.lit('","shape":['), F.array_join(shape.cast("array<string>"), ","), F.lit("]}")).cast("binary")
+    size = F.unhex(F.lpad(F.hex(F.length(header).cast("bigint")), 16, F.lit("0")))
+    return F.sha2(F.concat(size, header, data), 256)
+
+
 def state_fingerprint(names: Column, digests: Column) -> Column:
     """H6: one digest of the named parts' digests, in the order of the names."""
     parts = F.array_sort(F.zip_with(names, digests, lambda n, d: F.concat(n, F.lit("="), d)))

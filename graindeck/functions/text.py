@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from graindeck.schema import IMAGE_SUFFIXES
+
 #: Unicode whitespace as Python's split() has it; Java's \s lacks the separators 1C to 1F.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -38,9 +40,14 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def stripped(text: Column) -> Column:
+    """Without whitespace at the ends, as Python's strip()."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def first_sentence(text: Column) -> Column:
-    """Up to the first whitespace that follows a full stop, exclamation or question mark."""
-    return F.element_at(F.split(F.trim(text), r"(?<=[.!?])\s+", 2), 1)
+    """Up to the first whitespace that follows a full stop, exclamation or question mark; whitespace of any script."""
+    return F.element_at(F.split(stripped(text), r"(?U)(?<=[.!?])[\s\x1c-\x1f]+", 2), 1)
 
 
 def token_count(text: Column, special: int = 2) -> Column:
@@ -49,10 +56,12 @@ def token_count(text: Column, special: int = 2) -> Column:
 
 
 def fit_words(text: Column, most: int) -> Column:
-    """S8 with a whitespace tokenizer: whole words that fit ``most`` tokens, trailing " ,;:" taken off when cut."""
+    """S8 with a whitespace tokenizer: whole words that fit ``most`` tokens, trailing " ,;:" taken off when cut. A text of
+    which nothing is left is an error."""
     w = words(text)
-    cut = F.array_join(F.slice(w, 1, most - 2), " ")
-    return F.when(F.size(w) + 2 <= most, F.array_join(w, " ")).otherwise(F.regexp_replace(cut, r"[ ,;:]+$", ""))
+    cut = F.regexp_replace(F.array_join(F.slice(w, 1, max(0, most - 2)), " "), r"[ ,;:]+$", "")
+    nothing = F.raise_error(F.concat(F.lit(f"no word fits {most} tokens: "), F.substring(text, 1, 40))).cast("string")
+    return F.when(F.size(w) + 2 <= most, F.array_join(w, " ")).when(cut == "", nothing).otherwise(cut)
 
 
 def fit_words_with(encode_length: Callable[[str], int], most: int):
@@ -76,6 +85,9 @@ def fit_words_with(encode_length: Callable[[str], int], most: int):
     return fit
 
 
+#: Fixed pattern: country and zoom at the end of a file's name.
+COUNTRY_ZOOM = r"_([A-Z]{2})_(\d+)?$"
+
 #: Fixed pattern: the mark before a caption's summary, and the text that the summary follows in a context.
 SUMMARY_MARK = r"(?i)(?:^|\s)It\s+shows\s*:\s*(.+?)\s*$"
 CONTEXT = "An aerial image. It shows: "
@@ -99,12 +111,12 @@ def caption_from(field: Column, mode: str = "auto") -> Column:
 
 def country(stem: Column) -> Column:
     """Two capital letters before the zoom at a name's end."""
-    return F.coalesce(F.nullif(F.regexp_extract(stem, r"_([A-Z]{2})_(\d+)?$", 1), F.lit("")), F.lit("unknown"))
+    return F.coalesce(F.nullif(F.regexp_extract(stem, COUNTRY_ZOOM, 1), F.lit("")), F.lit("unknown"))
 
 
 def zoom(stem: Column) -> Column:
     """S4."""
-    return F.coalesce(F.nullif(F.regexp_extract(stem, r"_([A-Z]{2})_(\d+)?$", 2), F.lit("")), F.lit("unknown"))
+    return F.coalesce(F.nullif(F.regexp_extract(stem, COUNTRY_ZOOM, 2), F.lit("")), F.lit("unknown"))
 
 
 def stem(path: Column) -> Column:
@@ -122,9 +134,9 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(path), r"\\", "/"), r"^(\./)+", "")
 
 
-def safe_path(path: Column, suffixes: tuple[str, ...] = (".jpeg", ".jpg", ".png", ".tif", ".tiff")) -> Column:
-    """relative, without parent steps, with an image suffix."""
-    tail = F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1))
+def safe_path(path: Column, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> Column:
+    """relative, without parent steps, with an image suffix; a name that is only a suffix has none."""
+    tail = F.lower(F.regexp_extract(path, r"[^/](\.[A-Za-z0-9]+)$", 1))
     return path.isNotNull() & (path != "") & ~path.rlike(r"^([A-Za-z]:)?/") & ~path.rlike(r"(^|/)\.\.(/|$)") & tail.isin(list(suffixes))
 
 

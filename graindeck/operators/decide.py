@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graindeck.operators.select import range_part
 from graindeck.schema import ConstraintError
 
-#: Ranges that the frontier's losses are cut into.
-RANGES = 1024
-
-
 def paired(a: DataFrame, b: DataFrame, keys: list[str], value: str, strict: bool = True) -> DataFrame:
     """Rows of equal keys side by side (left_value, right_value); strict: a key on one side only is an error."""
     left, right = a.select(*keys, F.col(value).alias("left_value")), b.select(*keys, F.col(value).alias("right_value"))
@@ -23,23 +20,23 @@ def paired(a: DataFrame, b: DataFrame, keys: list[str], value: str, strict: bool
 def delta_points(pairs: DataFrame, *by: str) -> DataFrame:
     """AG23: differences in percentage points within a pair, then mean and sample deviation over pairs (AG4)."""
     d = pairs.withColumn("delta", 100 * (F.col("left_value") - F.col("right_value")))
-    return d.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.round(F.avg("delta"), 6).alias("mean_pp"), F.round(F.stddev_samp("delta"), 6).alias("std_pp"))
+    return d.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.avg("delta").alias("mean_pp"), F.stddev_samp("delta").alias("std_pp"))
 
 
 def leaf_statistics(leaves: DataFrame, path: str, value: str) -> DataFrame:
     """AG21 over trees flattened to (path, value): mean and sample deviation at each leaf."""
-    return leaves.groupBy(path).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"))
+    return leaves.groupBy(path).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
 
 
 def leaf_difference(a: DataFrame, b: DataFrame, path: str, value: str) -> DataFrame:
     """AG22: left less right at each leaf."""
-    return paired(a, b, [path], value).select(path, F.round(F.col("left_value") - F.col("right_value"), 6).alias("difference"))
+    return paired(a, b, [path], value).select(path, (F.col("left_value") - F.col("right_value")).alias("difference"))
 
 
 def difference_of_differences(df: DataFrame, key: str, arm: str, phase: str, value: str, arms: tuple[str, str], phases: tuple[str, str]) -> DataFrame:
     """(arm 1 after - before) - (arm 0 after - before) for each key."""
     at = lambda a, p: F.avg(F.when((F.col(arm) == a) & (F.col(phase) == p), F.col(value)))
-    return df.groupBy(key).agg(F.round((at(arms[1], phases[1]) - at(arms[1], phases[0])) - (at(arms[0], phases[1]) - at(arms[0], phases[0])), 6).alias("dd"))
+    return df.groupBy(key).agg(((at(arms[1], phases[1]) - at(arms[1], phases[0])) - (at(arms[0], phases[1]) - at(arms[0], phases[0]))).alias("dd"))
 
 
 def gate(df: DataFrame, rules: dict[str, Column], *by: str) -> DataFrame:
@@ -63,9 +60,7 @@ def pareto_frontier(df: DataFrame, loss: str, recall: str) -> DataFrame:
     enough to know the best recall at each smaller loss: a running maximum over ranges of losses, and within them,
     not a join of all pairs.
     """
-    best = df.groupBy(loss).agg(F.max(recall).alias("best_here"))
-    low, width = df.agg(F.min(loss)).scalar(), df.agg(F.greatest(F.max(loss) - F.min(loss), F.lit(1e-300))).scalar()
-    best = best.withColumn("range", F.floor((F.col(loss) - low) / width * RANGES))
+    best = range_part(df.groupBy(loss).agg(F.max(recall).alias("best_here")), loss)
     before = lambda *p: Window.partitionBy(*p).rowsBetween(Window.unboundedPreceding, -1)
     tops = best.groupBy("range").agg(F.max("best_here").alias("top")).withColumn("top_before", F.max("top").over(before(F.lit(0)).orderBy("range"))).drop("top")
     best = best.withColumn("best_before", F.max("best_here").over(before("range").orderBy(loss))).join(F.broadcast(tops), "range")

@@ -22,12 +22,12 @@ def distribution(value: str) -> list[Column]:
         "mean": F.avg(c), "std": F.stddev_pop(c), "min": F.min(c), "p05": linear_percentile(c, 0.05),
         "median": F.expr(f"percentile_disc(0.5) within group (order by `{value}`)"), "p95": linear_percentile(c, 0.95), "max": F.max(c),
     }
-    return [F.round(x, 6).alias(f"{value}_{k}") for k, x in named.items()]
+    return [x.alias(f"{value}_{k}") for k, x in named.items()]
 
 
 def fractions_above(value: str, thresholds: tuple[float, ...] = (1e-4, 1e-3, 1e-2)) -> list[Column]:
     """AG15: shares strictly above each threshold."""
-    return [F.round(F.avg((F.col(value) > t).cast("double")), 6).alias(f"above_{i}") for i, t in enumerate(thresholds)]
+    return [F.avg((F.col(value) > t).cast("double")).alias(f"above_{i}") for i, t in enumerate(thresholds)]
 
 
 def drift_summary(pairs: DataFrame, a: str, b: str, *by: str) -> DataFrame:

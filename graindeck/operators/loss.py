@@ -40,15 +40,15 @@ def group_losses(rows: DataFrame, batch: str, pos: str, a: str, b: str, group: s
 
 def weighted_loss(losses: DataFrame) -> DataFrame:
     """AG17: losses weighted by batch size, a short last batch included."""
-    return losses.agg(F.sum("size").alias("n"), F.round(F.sum(F.col("loss") * F.col("size")) / F.sum("size"), 6).alias("loss"))
+    return losses.agg(F.sum("size").alias("n"), (F.sum(F.col("loss") * F.col("size")) / F.sum("size")).alias("loss"))
 
 
 def batch_diagnostics(rows: DataFrame, batch: str, group: str) -> DataFrame:
     """AG24: by batch: rows, groups, positives a query, off-diagonal positives, share of rows alone in their group."""
     c = rows.groupBy(batch, group).agg(F.count("*").alias("n"))
     return c.groupBy(batch).agg(
-        F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), F.round(F.sum(F.col("n") * F.col("n")) / F.sum("n"), 6).alias("positives_per_query"),
-        F.sum(F.col("n") * (F.col("n") - 1)).alias("off_diagonal"), F.round(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)) / F.sum("n"), 6).alias("singleton_share"),
+        F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("positives_per_query"),
+        F.sum(F.col("n") * (F.col("n") - 1)).alias("off_diagonal"), (F.count_if(F.col("n") == 1) / F.sum("n")).alias("singleton_share"),
     )
 
 

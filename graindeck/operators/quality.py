@@ -13,16 +13,24 @@ def counts(df: DataFrame, key: Column, name: str = "value") -> DataFrame:
     return df.groupBy(key.alias(name)).agg(F.count("*").alias("n"))
 
 
+def digest(key: Column) -> Column:
+    return F.unhex(F.sha2(key.cast("string").cast("binary"), 256))
+
+
 def duplicate_rate(df: DataFrame, key: Column, *by: str) -> DataFrame:
-    """AG2: rows, distinct values, rows beyond the first of each value, and their share."""
-    grouped = df.withColumn("key", key).groupBy(*by, "key").agg(F.count("*").alias("n"))
+    """AG2: rows, distinct values, rows beyond the first of each value, and their share. Values are compared by a 256-bit
+    digest, so that long ones are not shuffled."""
+    grouped = df.withColumn("key", digest(key)).groupBy(*by, "key").agg(F.count("*").alias("n"))
     out = grouped.groupBy(*by).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_distinct"))
-    return out.withColumn("n_duplicates", F.col("n_rows") - F.col("n_distinct")).withColumn("rate", F.round(F.col("n_duplicates") / F.col("n_rows"), 6))
+    return out.withColumn("n_duplicates", F.col("n_rows") - F.col("n_distinct")).withColumn("rate", F.col("n_duplicates") / F.col("n_rows"))
 
 
 def most_common(df: DataFrame, key: Column, order: str, k: int = 20) -> DataFrame:
-    """AG3: the k most frequent values, ties by first appearance."""
-    return df.groupBy(key.alias("value")).agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "first").limit(k)
+    """AG3: the k most frequent values, ties by first appearance (``order`` is unique). Values are counted by digest; only
+    the rows where the k first appear are read again for theirs."""
+    keyed = df.select(F.col(order).alias("first"), key.alias("value"))
+    top = keyed.groupBy(digest(F.col("value")).alias("d")).agg(F.count("*").alias("n"), F.min("first").alias("first")).orderBy(F.desc("n"), "first").limit(k)
+    return keyed.join(F.broadcast(top.drop("d")), "first").select("value", "n", "first").orderBy(F.desc("n"), "first")
 
 
 def rounded_percentiles(df: DataFrame, value: str, fractions: dict[str, float], *by: str) -> DataFrame:
@@ -41,14 +49,14 @@ def rounded_percentiles(df: DataFrame, value: str, fractions: dict[str, float],
 
 def group_sizes(df: DataFrame, key: Column) -> DataFrame:
     """AG9: one row: groups, singletons, p50 and p95 (AG6), largest."""
-    sizes = df.groupBy(key.alias("key")).agg(F.count("*").alias("size"))
+    sizes = df.groupBy(digest(key).alias("key")).agg(F.count("*").alias("size"))
     p = rounded_percentiles(sizes, "size", {"p50": 0.5, "p95": 0.95})
     return sizes.agg(F.count("*").alias("n_groups"), F.count_if(F.col("size") == 1).alias("n_singletons"), F.max("size").alias("largest")).select("*", *[p.select(c).scalar().alias(c) for c in p.columns])
 
 
 def size_histogram(df: DataFrame, key: Column) -> DataFrame:
     """AG10: number of groups by size."""
-    return df.groupBy(key.alias("key")).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_groups"))
+    return df.groupBy(digest(key).alias("key")).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_groups"))
 
 
 def overlap(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import random
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,40 +87,47 @@ def in_prefixes(path: Column, prefixes: Iterable[str]) -> Column:
     return F.element_at(F.split(path, "/"), 1).isin(list(prefixes))
 
 
+class Claims:
+    """What accepted rows hold, by kind: no value of a kind may be held twice."""
+
+    def __init__(self) -> None:
+        self.held: defaultdict[str, set[str]] = defaultdict(set)
+
+    def refusal(self, wanted: dict[str, list[str]]) -> str | None:
+        """The first kind of which a value is held already, or wanted twice."""
+        return next((k for k, v in wanted.items() if len({*v}) < len(v) or not self.held[k].isdisjoint(v)), None)
+
+    def take(self, wanted: dict[str, list[str]]) -> None:
+        for k, v in wanted.items():
+            self.held[k].update(v)
+
+
 def greedy_quota(candidates: DataFrame, targets: dict[str, int], splits: tuple[str, ...] = ("train", "val"), most: int = 1_000_000) -> tuple[list[dict], Counter]:
-    """Accept candidates (split, priority, path, object, group, short, detail) in priority order.
+    """Fill each split's places, half of them for short captions and then half for detailed ones, with the next
+    candidates (split, priority, path, object, group, short, detail) that claim nothing an accepted one holds.
 
-    In each split the first half of the target becomes "short", the rest "detail"; a candidate is rejected if its
-    object, group or either caption was used before, in any split. Every decision depends on all before it, so this
-    is a fold on the driver over ranked rows; it reads them in order and raises beyond ``most`` rows.
+    A claim is the object, the group and both normalised captions, over all splits; refusals are counted by the first
+    kind. Every decision depends on all before it, so this folds ranked rows on the driver, read in order as long as
+    places are left; more than ``most`` rows read, or too few to fill the places, are errors.
     """
-    used_objects, used_groups, used_captions, rejected, accepted, read = set(), set(), set(), Counter(), [], 0
+    claims, refused, accepted, read = Claims(), Counter(), [], 0
+    keyed = candidates.withColumn("short_key", normalized(F.col("short"))).withColumn("detail_key", normalized(F.col("detail")))
     for split in splits:
-        half, counts = targets[split] // 2, Counter()
-        ranked = candidates.where(F.col("split") == split).withColumn("short_key", normalized(F.col("short"))).withColumn("detail_key", normalized(F.col("detail"))).orderBy("priority", "path")
-        for row in ranked.toLocalIterator():
-            read += 1
-            if read > most:
+        rows = keyed.where(F.col("split") == split).orderBy("priority", "path").toLocalIterator()
+        places = [k for k in ("short", "detail") for _ in range(targets[split] // 2)]
+        while places:
+            row = next(rows, None)
+            if row is None:
+                raise ConstraintError(f"not enough candidates for {split}: {dict(Counter(places))} places are left")
+            if (read := read + 1) > most:
                 raise ConstraintError(f"more than {most} candidates for a sequential selection")
-            kind = "short" if counts["short"] < half else "detail"
-            if counts[kind] >= half:
-                break
-            forms = {row["short_key"], row["detail_key"]}
-            if row["object"] in used_objects:
-                rejected["duplicate_object"] += 1
-            elif row["group"] in used_groups:
-                rejected["duplicate_group"] += 1
-            elif len(forms) != 2 or forms & used_captions:
-                rejected["caption_collision"] += 1
+            wanted = {"duplicate_object": [row["object"]], "duplicate_group": [row["group"]], "caption_collision": [row["short_key"], row["detail_key"]]}
+            if why := claims.refusal(wanted):
+                refused[why] += 1
             else:
-                accepted.append(row.asDict() | {"caption_kind": kind})
-                counts[kind] += 1
-                used_objects.add(row["object"])
-                used_groups.add(row["group"])
-                used_captions |= forms
-        if counts["short"] != half or counts["detail"] != half:
-            raise ConstraintError(f"not enough candidates for {split}: {dict(counts)} of {half} each")
-    return accepted, rejected
+                claims.take(wanted)
+                accepted.append(row.asDict() | {"caption_kind": places.pop(0)})
+    return accepted, refused
 
 
 def rank_in_group(df: DataFrame, group: str, digest: str, key: str, name: str = "rn") -> DataFrame:
@@ -175,70 +185,89 @@ def batches(df: DataFrame, pos: str, size: int, drop_last: bool) -> DataFrame:
     return out.where((F.col("batch_no") + 1) * size <= df.agg(F.count("*")).scalar())
 
 
-def rotating_plan(sizes: list[int], order: list[int], cursors: list[int], batch_size: int, per_group: int, drop_last: bool) -> tuple[list[list[tuple[int, int]]], list[int]]:
-    """Batches of (group, row of the group), each group giving its next rows in rotation.
+def rotating_plan(sizes: np.ndarray, order: np.ndarray, cursors: np.ndarray, batch_size: int, per_group: int, drop_last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Batches in which each group in turn gives its next rows, at most ``per_group``, wrapping around.
 
-    A group's cursor moves only when a batch that it is in is emitted. Sequential by nature; it works on one number
-    a group, and rows are joined to the plan afterwards.
+    Returns runs (batch, first slot, group, first row, rows) and the groups' new cursors, which move for emitted batches
+    only. A group offers min(size, per_group) rows; a batch ends with the group whose offer fills it, what that group
+    offers beyond is not carried over. So batch ends follow from prefix sums of the offers, by binary search.
     """
-    at, plan, batch, moved = list(cursors), [], [], {}
-
-    def emit() -> None:
-        nonlocal batch, moved
-        plan.append(batch)
-        for g, c in moved.items():
-            at[g] = c
-        batch, moved = [], {}
-
-    for g in order:
-        take = min(sizes[g], per_group, batch_size - len(batch))
-        batch += [(g, (at[g] + i) % sizes[g]) for i in range(take)]
-        moved[g] = (at[g] + take) % sizes[g]
-        if len(batch) == batch_size:
-            emit()
-    if batch and not drop_last:
-        emit()
-    return plan, at
-
-
-class ResumableSampler:
-    """ST3: an epoch's batches by seed; the position moves when a batch is consumed, not when it is read ahead."""
-
-    def __init__(self, rows: int, batch_size: int, seed: int, drop_last: bool = True):
-        if rows < 1 or batch_size < 1:
-            raise ValueError("rows and batch size are positive")
-        self.rows, self.batch_size, self.seed, self.drop_last, self.epoch, self.offset = rows, batch_size, seed, drop_last, 0, 0
+    offer = np.minimum(sizes[order], per_group)
+    upto = np.cumsum(offer)
+    ends, before = [], 0
+    while (end := int(np.searchsorted(upto, before + batch_size))) < len(upto):
+        ends.append(end)
+        before = int(upto[end])
+    last = np.array(ends, dtype=np.int64)
+    batch = np.searchsorted(last, np.arange(len(order)))
+    base = np.r_[0, upto[last]][batch]
+    slot = upto - offer - base
+    rows = np.minimum(offer, batch_size - slot)
+    on = (batch < len(last)) | (not drop_last)
+    group = order[on]
+    runs = np.stack([batch[on], slot[on], group, cursors[group], rows[on]], axis=1)
+    moved = cursors.copy()
+    moved[group] = (cursors[group] + rows[on]) % sizes[group]
+    return runs, moved
+
+
+def rotating_epochs(sizes: np.ndarray, orders: Iterable[np.ndarray], batch_size: int, per_group: int, drop_last: bool) -> Iterator[np.ndarray]:
+    """The runs of one epoch after the other, (epoch, batch, first slot, group, first row, rows)."""
+    cursors = np.zeros(len(sizes), dtype=np.int64)
+    for epoch, order in enumerate(orders):
+        runs, cursors = rotating_plan(sizes, order, cursors, batch_size, per_group, drop_last)
+        yield np.insert(runs, 0, epoch, axis=1)
+
+
+@dataclass(frozen=True)
+class EpochPosition:
+    """ST3: where a run is in its seeded epochs, by batches consumed; what is read ahead moves nothing."""
+
+    rows: int
+    batch_size: int
+    seed: int
+    drop_last: bool = True
+    epoch: int = 0
+    offset: int = 0
+
+    def __post_init__(self) -> None:
+        numbers = (self.rows, self.batch_size, self.seed, self.epoch, self.offset)
+        if any(type(x) is not int for x in numbers) or type(self.drop_last) is not bool or min(self.rows, self.batch_size) < 1 or self.epoch < 0 or not 0 <= self.offset <= self.batches:
+            raise ValueError(f"no position of a run: {self}")
 
     @property
-    def batches_per_epoch(self) -> int:
-        return self.rows // self.batch_size if self.drop_last else -(-self.rows // self.batch_size)
-
-    def order(self) -> list[int]:
-        import hashlib
-
-        return sorted(range(self.rows), key=lambda i: hashlib.sha256(f"{self.seed}:{self.epoch}\0{i}".encode()).digest())
-
-    def __iter__(self) -> Iterator[list[int]]:
-        order, n = self.order(), self.batches_per_epoch
-        for b in range(self.offset, n):
-            yield order[b * self.batch_size : (b + 1) * self.batch_size]
-
-    def advance(self) -> None:
-        if self.offset >= self.batches_per_epoch:
-            raise RuntimeError("the epoch is over or empty")
-        self.offset += 1
-        if self.offset == self.batches_per_epoch:
-            self.epoch, self.offset = self.epoch + 1, 0
-
-    def state(self) -> dict:
-        return {"rows": self.rows, "batch_size": self.batch_size, "seed": self.seed, "drop_last": self.drop_last, "epoch": self.epoch, "offset": self.offset}
-
-    @classmethod
-    def restored(cls, state: dict, **expected) -> ResumableSampler:
-        if bad := {k for k, v in expected.items() if state.get(k) != v}:
-            raise ValueError(f"the state is of another sampler: {sorted(bad)}")
-        out = cls(state["rows"], state["batch_size"], state["seed"], state["drop_last"])
-        if not (type(state["epoch"]) is type(state["offset"]) is int and state["epoch"] >= 0 and 0 <= state["offset"] <= out.batches_per_epoch):
-            raise ValueError("the state's position is invalid")
-        out.epoch, out.offset = state["epoch"], state["offset"]
-        return out
+    def batches(self) -> int:
+        """Of an epoch."""
+        return (self.rows if self.drop_last else self.rows + self.batch_size - 1) // self.batch_size
+
+    def after(self, consumed: int = 1) -> EpochPosition:
+        """The position after that many more batches."""
+        if not self.batches:
+            raise RuntimeError("an epoch has no batch")
+        epochs, offset = divmod(self.offset + consumed, self.batches)
+        return replace(self, epoch=self.epoch + epochs, offset=offset)
+
+    def resumed(self, state: dict) -> EpochPosition:
+        """The position that a saved state (``dataclasses.asdict``) names, if it is one of this run."""
+        own = ("rows", "batch_size", "seed", "drop_last")
+        if bad := [k for k in own if state.get(k) != getattr(self, k)]:
+            raise ValueError(f"the state is of another run: {bad}")
+        return replace(self, epoch=state["epoch"], offset=state["offset"])
+
+
+def epoch_batches(df: DataFrame, key: str, at: EpochPosition) -> DataFrame:
+    """ST3: the rows that are left of the position's epoch, with batch_no and slot: a seeded order of a unique key, ranked
+    over ranges."""
+    ranked = running_sum(df.withColumn("order_key", priority(f"{at.seed}:{at.epoch}", F.col(key))).withColumn("one", F.lit(1)), "order_key", "one", "pos")
+    out = ranked.drop("order_key", "one").withColumn("batch_no", F.floor(F.col("pos") / at.batch_size).cast("long")).withColumn("slot", (F.col("pos") % at.batch_size).cast("long"))
+    return out.drop("pos").where((F.col("batch_no") >= at.offset) & (F.col("batch_no") < at.batches))
+
+
+def seeded_shuffle(items: list, seed: int, most: int = 1_000_000) -> list:
+    """H3, L3: a list in the order that ``random.Random(seed)`` shuffles it to; the generator is sequential, so this is for
+    lists that fit the driver, and longer ones are an error (there, ``hash_top`` is the seeded order)."""
+    if len(items) > most:
+        raise ConstraintError(f"more than {most} rows for a sequential shuffle")
+    out = list(items)
+    random.Random(seed).shuffle(out)
+    return out

@@ -29,7 +29,7 @@ def verify_run(log: DataFrame, run: str, step: str, value: str, last: int | None
 
 def downstream_summary(reports: DataFrame, model: str, dataset: str, value: str, asset: str) -> DataFrame:
     """Mean value by model, with every dataset seen once and one asset digest over all."""
-    return reports.groupBy(model).agg(F.count("*").alias("n_reports"), F.countDistinct(dataset).alias("n_datasets"), F.round(F.avg(value), 6).alias("mean_value"), ((F.min(asset) == F.max(asset)) & (F.count(asset) == F.count("*"))).alias("same_assets"))
+    return reports.groupBy(model).agg(F.count("*").alias("n_reports"), F.countDistinct(dataset).alias("n_datasets"), F.avg(value).alias("mean_value"), ((F.min(asset) == F.max(asset)) & (F.count(asset) == F.count("*"))).alias("same_assets"))
 
 
 def asset_inventory(files: DataFrame) -> DataFrame:

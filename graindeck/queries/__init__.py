@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,5 +25,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
+    """``df`` with these columns, or all doubles, rounded for a comparison; operators never round."""
+    names = names or tuple(n for n, k in df.dtypes if k == "double")
+    return df.withColumns({n: F.round(n, places) for n in names})
+
+
 def load() -> None:
-    from graindeck.queries import decisions, quality, relational, runlog, selection, streams, vectors  # noqa: F401
+    from graindeck.queries import decisions, gates, quality, relational, runlog, scans, selection, streams, vectors  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graindeck.operators import decide
 from graindeck.plans import verify
-from graindeck.queries import query
+from graindeck.queries import query, rounded
 from graindeck.schema import table
 
 _ARMS = "with a as (select l_linestatus as arm, l_linenumber as seed, l_returnflag as dataset, avg(l_discount) as v, avg(l_tax) as w, avg(l_quantity) as q, count(*) as n from lineitem group by all) "
@@ -25,7 +25,7 @@ def paired_delta_mean_std(spark: SparkSession, d: str) -> DataFrame:
     """AG23, AG4, J16: differences within a seed, then mean and deviation."""
     a = _arms(spark, d)
     pairs = decide.paired(a.where("arm = 'F'"), a.where("arm = 'O'"), ["seed", "dataset"], "v", strict=False)
-    return decide.delta_points(pairs, "dataset")
+    return rounded(decide.delta_points(pairs, "dataset"))
 
 
 _LEAF = _ARMS + ", l as (select arm, seed, 'metrics.' || dataset || '.' || m as path, x from (select arm, seed, dataset, unnest(['discount', 'tax', 'quantity']) as m, unnest([v, w, q]) as x from a)) "
@@ -39,20 +39,20 @@ def _leaves(spark: SparkSession, d: str) -> DataFrame:
 @query(_LEAF + "select path, count(*) as n, round(avg(x), 6) as mean, round(stddev_samp(x), 6) as std from l group by path")
 def nested_statistics(spark: SparkSession, d: str) -> DataFrame:
     """AG21 in long form."""
-    return decide.leaf_statistics(_leaves(spark, d), "path", "x")
+    return rounded(decide.leaf_statistics(_leaves(spark, d), "path", "x"))
 
 
 @query(_LEAF + "select f.path, round(f.x - o.x, 6) as difference from (select path, avg(x) as x from l where seed = 1 group by path) f join (select path, avg(x) as x from l where seed = 2 group by path) o using (path)")
 def nested_delta(spark: SparkSession, d: str) -> DataFrame:
     """AG22."""
     l = _leaves(spark, d).groupBy("path", "seed").agg(F.avg("x").alias("x"))  # noqa: E741
-    return decide.leaf_difference(l.where("seed = 1"), l.where("seed = 2"), "path", "x")
+    return rounded(decide.leaf_difference(l.where("seed = 1"), l.where("seed = 2"), "path", "x"))
 
 
 @query(_ARMS + "select seed, round((avg(v) filter (arm = 'F' and dataset = 'R') - avg(v) filter (arm = 'F' and dataset = 'A')) - (avg(v) filter (arm = 'O' and dataset = 'R') - avg(v) filter (arm = 'O' and dataset = 'A')), 6) as dd from a group by seed")
 def diff_of_diffs(spark: SparkSession, d: str) -> DataFrame:
     """D4."""
-    return decide.difference_of_differences(_arms(spark, d), "seed", "arm", "dataset", "v", ("O", "F"), ("A", "R"))
+    return rounded(decide.difference_of_differences(_arms(spark, d), "seed", "arm", "dataset", "v", ("O", "F"), ("A", "R")))
 
 
 @query(_ARMS + "select dataset, bool_and(v > 0.04) as discount_ok, bool_and(w <= 0.05) as tax_ok, bool_and(n > 10) as rows_ok, bool_and(v > 0.04) and bool_and(w <= 0.05) and bool_and(n > 10) as passed from a group by dataset")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graindeck.functions import text as T
 from graindeck.functions.hashing import content_crc32
 from graindeck.operators import quality, select
-from graindeck.queries import query
+from graindeck.queries import query, rounded
 from graindeck.schema import table
 
 #: The normalised key (S1) in DuckDB.
@@ -31,13 +31,13 @@ def caption_norm_dups(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select count(*) as n_rows, count(distinct {N}) as n_distinct, count(*) - count(distinct {N}) as n_duplicates, round((count(*) - count(distinct {N})) / count(*), 6) as rate from documents")
 def duplicate_rate(spark: SparkSession, d: str) -> DataFrame:
     """AG2."""
-    return quality.duplicate_rate(_docs(spark, d), T.normalized(F.col("text")))
+    return rounded(quality.duplicate_rate(_docs(spark, d), T.normalized(F.col("text"))))
 
 
 @query(f"select source, count(*) as n_rows, count(distinct {N}) as n_distinct, count(*) - count(distinct {N}) as n_duplicates, round((count(*) - count(distinct {N})) / count(*), 6) as rate from documents group by source")
 def duplicate_rate_by_source(spark: SparkSession, d: str) -> DataFrame:
     """AG2 by source."""
-    return quality.duplicate_rate(_docs(spark, d), T.normalized(F.col("text")), "source")
+    return rounded(quality.duplicate_rate(_docs(spark, d), T.normalized(F.col("text")), "source"))
 
 
 @query(f"""with w as (select lang, len({WORDS}) as n from documents),
@@ -164,10 +164,17 @@ def cross_split_object_exclusion(spark: SparkSession, d: str) -> DataFrame:
     return select.one_split_only(df, "key", "split").select("doc_id", "split")
 
 
-_DROP = r"list_filter(list_distinct(list_transform(list_filter(string_split({b}, ' '), lambda w: not list_contains(string_split({a}, ' '), w)), lambda w: trim(w, '.,;:!?()[]{{}}\"'''))), lambda w: w not in ('a','an','the','of','with','and','or','by','in','on','for','to','from','near','around','is','are','at','as','its'))"
+_STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_MARKS = T.PUNCTUATION.replace("'", "''")
 
 
-@query("with t as (select c.conv_id, c.turn, " + NORM.format("c.text") + " as a, " + NORM.format("n.text") + " as b from conversations c join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1) select conv_id, turn, a <> b and len(" + _DROP.replace('\\"', '"').format(a="a", b="b") + ") >= 3 as differs from t")
+def _added(a: str, b: str) -> str:
+    """Bare words of b that a has not, without stop words, in DuckDB."""
+    new = f"list_filter(string_split({b}, ' '), lambda w: not list_contains(string_split({a}, ' '), w))"
+    return f"list_filter(list_distinct(list_transform({new}, lambda w: trim(w, '{_MARKS}'))), lambda w: w not in ({_STOPS}))"
+
+
+@query("with t as (select c.conv_id, c.turn, " + NORM.format("c.text") + " as a, " + NORM.format("n.text") + " as b from conversations c join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1) select conv_id, turn, a <> b and len(" + _added("a", "b") + ") >= 3 as differs from t")
 def meaningful_difference(spark: SparkSession, d: str) -> DataFrame:
     """each turn against the next."""
     c = table(spark, d, "conversations")

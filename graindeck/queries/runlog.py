@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graindeck.functions.stats import finite, warmup_cosine
 from graindeck.operators import runlog
 from graindeck.plans import verify
-from graindeck.queries import query
+from graindeck.queries import query, rounded
 from graindeck.schema import table
 
 LOG = "with log as (select event_type as run, row_number() over (partition by event_type order by event_id) as step, value, event_id, user_id from events) "
@@ -23,7 +23,7 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 @query(LOG + ", r as (select *, row_number() over (partition by run order by step desc) as down from log) select run, count(*) as n, arg_min(value, step) as first_value, arg_max(value, step) as last_value, min(value) as min_value, max(value) as max_value, round(avg(value) filter (step <= 10), 6) as first_mean, round(avg(value) filter (down <= 10), 6) as last_mean from r group by run")
 def series_summary(spark: SparkSession, d: str) -> DataFrame:
     """AG18."""
-    return runlog.series_summary(_log(spark, d), "run", "step", "value")
+    return rounded(runlog.series_summary(_log(spark, d), "run", "step", "value"), "first_mean", "last_mean")
 
 
 @query(LOG + "select run, arg_min(step, (value, step)) as best_step, min(value) as best_value from log group by run")
@@ -35,7 +35,7 @@ def argmin_step(spark: SparkSession, d: str) -> DataFrame:
 @query(LOG + ", c as (select run, arg_min(value, step) as start_value, min(value) as best_value from log group by run) select run, start_value, best_value, round(best_value - start_value, 6) as change, round((best_value - start_value) / nullif(start_value, 0), 6) as relative_change from c")
 def change_from_start(spark: SparkSession, d: str) -> DataFrame:
     """AG20."""
-    return runlog.change_from_start(_log(spark, d), "run", "step", "value")
+    return rounded(runlog.change_from_start(_log(spark, d), "run", "step", "value"), "change", "relative_change")
 
 
 @query(LOG + ", b as (select run, step, value, min(value) over (partition by run order by step rows between unbounded preceding and 1 preceding) as before from log) select run, step, value, least(before, value) as best, before is null or value < before as improved from b")
@@ -47,7 +47,7 @@ def running_best(spark: SparkSession, d: str) -> DataFrame:
 @query(LOG + 'select run, (step + 49) // 50 as "window", count(*) as steps, max(step) as end_step, round(avg(value), 6) as mean_value from log group by 1, 2')
 def log_intervals(spark: SparkSession, d: str) -> DataFrame:
     """ST5."""
-    return runlog.log_intervals(_log(spark, d), "run", "step", "value", 50)
+    return rounded(runlog.log_intervals(_log(spark, d), "run", "step", "value", 50))
 
 
 #: Checkpoints are due every 25 steps; those of some users stand for the ones that were lost.
@@ -71,17 +71,17 @@ def monotonic_check(spark: SparkSession, d: str) -> DataFrame:
     return runlog.not_increasing(_log(spark, d).select("run", "event_id", "user_id"), "run", "event_id", "user_id")
 
 
-@query(LOG + ", p as (select run, value < lag(value) over (partition by run order by step) as down from log where step <= 3) select run, coalesce(bool_and(down), true) as declines from p group by run")
+@query(LOG + ", p as (select run, value < lag(value) over (partition by run order by step) as down from log) select run, coalesce(bool_and(down), true) as declines from p group by run")
 def monotone_decline(spark: SparkSession, d: str) -> DataFrame:
-    """W12 over the first three steps."""
-    return runlog.monotone_decline(_log(spark, d).where("step <= 3"), "run", "step", "value")
+    """W12."""
+    return runlog.monotone_decline(_log(spark, d), "run", "step", "value")
 
 
 @query("with s as (select * from events where value > 150) select (select count(distinct user_id) from s) as rows_seen, (select count(distinct event_type) from s) as groups_seen, (select count(distinct user_id) from events) as rows_all, (select count(distinct event_type) from events) as groups_all, round((select count(distinct user_id) from s) / (select count(distinct user_id) from events), 6) as row_share, round((select count(distinct event_type) from s) / (select count(distinct event_type) from events), 6) as group_share")
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     """AG25."""
     e = table(spark, d, "events")
-    return runlog.coverage(e.where("value > 150"), e, "user_id", "event_type")
+    return rounded(runlog.coverage(e.where("value > 150"), e, "user_id", "event_type"))
 
 
 @query(LOG + "select run, (step - 1) // 4 as optimizer_step, count(*) as micro_steps, round(avg(value), 6) as mean_value from log group by 1, 2")

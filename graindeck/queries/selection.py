@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,30 +90,49 @@ def batch_slices(spark: SparkSession, d: str) -> DataFrame:
     return select.batches(_docs(spark, d).select("doc_id"), "doc_id", 16, True)
 
 
-@query()
-def greedy_quota(spark: SparkSession, d: str) -> DataFrame:
-    """A sequential selection, tested against a plain loop."""
+def quota_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Turns with the next one as detail; conversations as objects, a role of one as a group."""
     c = table(spark, d, "conversations")
     n = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("detail"))
-    rows = c.join(n, ["conv_id", "turn"]).select(
-        F.when(F.col("conv_id") % 5 == 0, "val").otherwise("train").alias("split"), F.concat_ws("/", "conv_id", "turn").alias("path"), F.col("conv_id").alias("object"), F.concat_ws(":", "conv_id", "role").alias("group"), F.col("text").alias("short"), "detail",
-    ).withColumn("priority", priority(11, F.col("path")))
-    accepted, _ = select.greedy_quota(rows, {"train": 8, "val": 2})
+    split = F.when(F.col("conv_id") % 5 == 0, "val").otherwise("train").alias("split")
+    path, group = F.concat_ws("/", "conv_id", "turn").alias("path"), F.concat_ws(":", "conv_id", "role").alias("group")
+    rows = c.join(n, ["conv_id", "turn"]).select(split, path, F.col("conv_id").alias("object"), group, F.col("text").alias("short"), "detail")
+    return rows.withColumn("priority", priority(11, F.col("path")))
+
+
+@query()
+def greedy_quota(spark: SparkSession, d: str) -> DataFrame:
+    """A sequential selection, tested against a plain loop over the same table."""
+    accepted, _ = select.greedy_quota(quota_candidates(spark, d), {"train": 8, "val": 2})
     return spark.createDataFrame([(r["split"], r["path"], r["caption_kind"], i) for i, r in enumerate(accepted)], "split string, path string, caption_kind string, place int")
 
 
+def epoch_orders(n: int) -> list[np.ndarray]:
+    """Two orders of n groups, each by a multiplicative hash."""
+    return [np.array(sorted(range(n), key=lambda g: ((epoch * 7919 + g) * 2654435761 % 4294967296, g))) for epoch in range(2)]
+
+
 @query()
 def rotating_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Two epochs of group batches with rotating cursors, joined back to rows; tested against a plain loop."""
-    df = _docs(spark, d).select("doc_id", "source")
-    sizes = df.groupBy("source").agg(F.count("*").alias("n")).orderBy("source").collect()
-    cursors, rows = [0] * len(sizes), []
-    for epoch in range(2):
-        order = sorted(range(len(sizes)), key=lambda g: (hash((epoch * 7919 + g) * 2654435761 % 4294967296), g))
-        plan, cursors = select.rotating_plan([r["n"] for r in sizes], order, cursors, 16, 3, True)
-        rows += [(epoch, b, s, sizes[g]["source"], i) for b, batch in enumerate(plan) for s, (g, i) in enumerate(batch)]
-    from pyspark.sql import Window
+    """Two epochs of group batches with rotating cursors; tested against a plain loop over the same table.
 
-    numbered = df.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
-    plan = spark.createDataFrame(rows, "epoch int, batch_no int, slot int, source string, i int")
-    return plan.join(numbered, ["source", "i"]).select("epoch", "batch_no", "slot", "doc_id")
+    The driver works on one number a group; runs of rows are expanded and joined to the rows by the executors.
+    """
+    df = _docs(spark, d).select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    sizes = df.groupBy("source").agg(F.count("*").alias("n")).orderBy("source").collect()
+    counts = np.array([r["n"] for r in sizes], dtype=np.int64)
+    runs = np.concatenate(list(select.rotating_epochs(counts, epoch_orders(len(counts)), 16, 3, True)) or [np.zeros((0, 6), np.int64)])
+    rows = [(*r[:3], sizes[r[3]]["source"], *r[4:], int(counts[r[3]])) for r in runs.tolist()]
+    plan = spark.createDataFrame(rows, "epoch long, batch_no long, first_slot long, source string, first_row long, n long, size long")
+    plan = plan.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("i", (F.col("first_row") + F.col("k")) % F.col("size"))
+    numbered = select.rank_in_group(df.withColumn("at", priority(9, F.col("doc_id"))), "source", "at", "doc_id", "i")
+    return plan.join(numbered, ["source", "i"]).select("epoch", "batch_no", (F.col("first_slot") + F.col("k")).alias("slot"), "doc_id")
+
+
+@query("""with o as (select doc_id, row_number() over (order by substr(sha256('9:1' || chr(0) || doc_id), 1, 32)) - 1 as pos, count(*) over () as n from documents)
+select doc_id, pos // 16 as batch_no, pos % 16 as slot from o where pos // 16 >= 3 and pos // 16 < n // 16""")
+def resumed_epoch(spark: SparkSession, d: str) -> DataFrame:
+    """ST3: what is left of the second epoch after three batches."""
+    df = _docs(spark, d).select("doc_id")
+    start = select.EpochPosition(df.count(), 16, 9)
+    return select.epoch_batches(df, "doc_id", start.after(start.batches + 3))

@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graindeck.plans import publish
 from graindeck.queries import query
 from graindeck.schema import table
+from graindeck.session import new_folder
 from graindeck.streaming import queue
 
 
-def _place(spark: SparkSession) -> str:
-    """A folder below the session's checkpoint folder, or, where none is set (tests), below the warehouse."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/streams/{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, d: str) -> DataFrame:
     """The table as a stream: its folder, or the folder of its file with the file's name as a filter."""
     schema = table(spark, d, "events").schema
@@ -34,7 +26,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 @query("with t as (select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, round(avg(value), 6) as mean_value from events group by 1, 2) select * from t where window_start + interval '1 hour' <= (select max(ts) - interval '10 minutes' from events)")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Event-time windows with a watermark: those that the watermark has passed are final."""
-    at = _place(spark)
+    at = new_folder(spark)
     out = queue.windowed_counts(_events(spark, d), "ts", "event_type", "value")
     queue.run_to_end(out, f"{at}/out", f"{at}/state")
     return spark.read.schema("window_start timestamp, event_type string, n bigint, mean_value double").parquet(f"{at}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
@@ -43,7 +35,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 @query("with r as (select event_type, event_id, user_id, row_number() over (partition by event_type order by event_id) - 1 as i from events) select event_type, event_id, user_id, least(i, 32) as queue_size, case when i = 0 then null when i <= 32 then first_value(user_id) over w else lag(user_id, 32) over w end as oldest from r window w as (partition by event_type order by event_id)")
 def stream_queue(spark: SparkSession, d: str) -> DataFrame:
     """ST1: a queue of 32 for each event type as stream state."""
-    at = _place(spark)
+    at = new_folder(spark)
     out = queue.queue_stream(_events(spark, d).select("event_type", "event_id", "user_id"), "event_type", "event_id", "user_id", 32)
     queue.run_to_end(out, f"{at}/out", f"{at}/state")
     return spark.read.parquet(f"{at}/out")
@@ -52,7 +44,7 @@ def stream_queue(spark: SparkSession, d: str) -> DataFrame:
 @query("select count(*) as n, count(distinct user_id) as users, 'reused' as again from events")
 def publish_once(spark: SparkSession, d: str) -> DataFrame:
     """SK3, SK5: publish a table, publish it again as a no-op, and read it."""
-    at = f"{_place(spark)}/published"
+    at = f"{new_folder(spark)}/published"
     df = table(spark, d, "events").select("event_id", "user_id", "event_type")
     publish.publish_immutable(df, at)
     again = publish.publish_immutable(df, at)

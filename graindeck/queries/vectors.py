@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graindeck.functions import vector as V
 from graindeck.operators import drift, loss, retrieval
-from graindeck.queries import query
+from graindeck.queries import query, rounded
 from graindeck.schema import table
 
 
@@ -40,7 +40,7 @@ _SUMMARY = "count(*) as n_queries, round(avg((rank <= 1)::int), 6) as r1, round(
 @query(_SELF + f"select {_SUMMARY} from ranks")
 def retrieval_recall(spark: SparkSession, d: str) -> DataFrame:
     """W1, J9, AG11: Recall@1, 5, 10 and ranks of self-retrieval."""
-    return retrieval.recall_summary(ranks(spark, d))
+    return rounded(retrieval.recall_summary(ranks(spark, d)))
 
 
 @query(_SELF + "select qid, grp, rank from ranks")
@@ -52,7 +52,7 @@ def retrieval_ranks(spark: SparkSession, d: str) -> DataFrame:
 @query(_SELF + "select count(*) as n_groups, round(avg(r1), 6) as r1, round(avg(r5), 6) as r5, round(avg(r10), 6) as r10 from (select grp, avg((rank <= 1)::int) as r1, avg((rank <= 5)::int) as r5, avg((rank <= 10)::int) as r10 from ranks group by grp)")
 def retrieval_group_balanced(spark: SparkSession, d: str) -> DataFrame:
     """AG13."""
-    return retrieval.group_balanced(ranks(spark, d))
+    return rounded(retrieval.group_balanced(ranks(spark, d)))
 
 
 _TWO = "with v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), " + ", ".join(
@@ -60,43 +60,48 @@ _TWO = "with v as (select vec_id, label, list_transform(embedding, lambda x: cas
 )
 
 
-@query(_TWO + f" select 'image_to_text' as direction, {_SUMMARY} from i2t union all select 'text_to_image', {_SUMMARY} from t2i")
-def retrieval_two_directions(spark: SparkSession, d: str) -> DataFrame:
-    """SC2, J7, J8, AG11: even vectors as images, odd ones as texts, both ways."""
+def _both_ways(spark: SparkSession, d: str) -> DataFrame:
     df = _emb(spark, d)
     a = retrieval.recall_summary(retrieval.best_positive_ranks(_queries(df, "vec_id % 2 = 0"), _candidates(df, "vec_id % 2 = 1")))
     b = retrieval.recall_summary(retrieval.best_positive_ranks(_queries(df, "vec_id % 2 = 1"), _candidates(df, "vec_id % 2 = 0")))
     return a.withColumn("direction", F.lit("image_to_text")).unionByName(b.withColumn("direction", F.lit("text_to_image")))
 
 
-@query(_TWO + ", r as (select round(avg((rank <= 1)::int), 6) as r1, round(avg((rank <= 5)::int), 6) as r5, round(avg((rank <= 10)::int), 6) as r10 from i2t union all select round(avg((rank <= 1)::int), 6), round(avg((rank <= 5)::int), 6), round(avg((rank <= 10)::int), 6) from t2i) select round(avg((r1 + r5 + r10) / 3), 6) as mean_recall from r")
+@query(_TWO + f" select 'image_to_text' as direction, {_SUMMARY} from i2t union all select 'text_to_image', {_SUMMARY} from t2i")
+def retrieval_two_directions(spark: SparkSession, d: str) -> DataFrame:
+    """SC2, J7, J8, AG11: two modalities, even vectors as images and odd ones as texts, both ways."""
+    return rounded(_both_ways(spark, d))
+
+
+_MEANS = "select avg((rank <= 1)::int) as r1, avg((rank <= 5)::int) as r5, avg((rank <= 10)::int) as r10 from {}"
+
+
+@query(f"{_TWO}, r as ({_MEANS.format('i2t')} union all {_MEANS.format('t2i')}) select round(avg((r1 + r5 + r10) / 3), 6) as mean_recall from r")
 def retrieval_mean_recall(spark: SparkSession, d: str) -> DataFrame:
     """AG12."""
-    return retrieval.mean_recall(retrieval_two_directions(spark, d))
+    return rounded(retrieval.mean_recall(_both_ways(spark, d)))
 
 
-_PROTO = """with v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), f as (select label, unnest(range(64)) as dim, unnest(e) as x from v where vec_id % 2 = 0),
+_PROTO = """with v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), f as (select label, unnest(range(64)) as dim, unnest(e) as x from v),
  m as (select label, dim, avg(x) as x from f group by label, dim), n as (select label, list(x order by dim) as p from m group by label), u as (select label, list_transform(p, lambda x: x / greatest(sqrt(list_dot_product(p, p)), 1e-12)) as p from n),
- s as (select vec_id, v.label as truth, u.label as predicted, row_number() over (partition by vec_id order by list_dot_product(e, p) desc, u.label) as rn from v join u on true where vec_id % 2 = 1), r as (select truth, count(*) as n, avg((truth = predicted)::int) as acc from s where rn = 1 group by truth) """
+ s as (select vec_id, v.label as truth, u.label as predicted, row_number() over (partition by vec_id order by list_dot_product(e, p) desc, u.label) as rn from v join u on true), r as (select truth, count(*) as n, avg((truth = predicted)::int) as acc from s where rn = 1 group by truth) """
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
     df = _emb(spark, d)
-    protos = retrieval.prototypes(df.where("vec_id % 2 = 0"), "label", "embedding")
-    return retrieval.classify(df.where("vec_id % 2 = 1"), protos, "vec_id", "label", "embedding")
+    return retrieval.classify(df, retrieval.prototypes(df, "label", "embedding"), "vec_id", "label", "embedding")
 
 
 @query(_PROTO + "select sum(n)::bigint as n, round(sum(acc * n) / sum(n), 6) as accuracy, round(avg(acc), 6) as mean_class_accuracy from r")
 def prototype_classification(spark: SparkSession, d: str) -> DataFrame:
-    """AG14, AG16, L7: prototypes of even vectors classify odd ones."""
-    return retrieval.accuracy(_classified(spark, d))[1]
+    """AG14, AG16, L7: prototypes of the labels classify all vectors."""
+    return rounded(retrieval.accuracy(_classified(spark, d))[1])
 
 
 @query(_PROTO + "select truth, n, round(acc, 6) as acc from r")
 def prototype_per_class(spark: SparkSession, d: str) -> DataFrame:
     """AG14 by class."""
-    per, _ = retrieval.accuracy(_classified(spark, d))
-    return per.select("truth", "n", F.round("acc", 6).alias("acc"))
+    return rounded(retrieval.accuracy(_classified(spark, d))[0])
 
 
 def _perturbed(spark: SparkSession, d: str) -> DataFrame:
@@ -110,13 +115,17 @@ _PERTURBED = """with p as (select vec_id, label, list_transform(embedding, lambd
 
 
 def _dist(c: str, n: str) -> str:
-    return f"round(avg({c}), 6) as {n}_mean, round(stddev_pop({c}), 6) as {n}_std, round(min({c}), 6) as {n}_min, round(quantile_cont({c}, 0.05), 6) as {n}_p05, round(quantile_disc({c}, 0.5), 6) as {n}_median, round(quantile_cont({c}, 0.95), 6) as {n}_p95, round(max({c}), 6) as {n}_max"
+    named = {"mean": "avg({})", "std": "stddev_pop({})", "min": "min({})", "p05": "quantile_cont({}, 0.05)", "median": "quantile_disc({}, 0.5)", "p95": "quantile_cont({}, 0.95)", "max": "max({})"}
+    return ", ".join(f"round({x.format(c)}, 9) as {n}_{k}" for k, x in named.items())
+
+
+_ABOVE = ", ".join(f"round(avg((cd > {t})::int), 9) as above_{i}" for i, t in enumerate(("1e-4", "1e-3", "1e-2")))
 
 
-@query(_PERTURBED + f"select label, count(*) as n, {_dist('cd', 'cosine_distance')}, {_dist('l2', 'l2')}, round(avg((cd > 1e-4)::int), 6) as above_0, round(avg((cd > 1e-3)::int), 6) as above_1, round(avg((cd > 1e-2)::int), 6) as above_2 from x group by label")
+@query(_PERTURBED + f"select label, count(*) as n, {_dist('cd', 'cosine_distance')}, {_dist('l2', 'l2')}, {_ABOVE} from x group by label")
 def embedding_drift(spark: SparkSession, d: str) -> DataFrame:
     """AG5, AG7, AG8, AG15, M1 to M3: vectors against a shifted copy, by label."""
-    return drift.drift_summary(_perturbed(spark, d), "a", "b", "label")
+    return rounded(drift.drift_summary(_perturbed(spark, d), "a", "b", "label"), places=9)
 
 
 @query("""with p as (select vec_id, label, unnest(list_transform(embedding, lambda x: cast(x as double))) as r, unnest(range(64)) as i from embeddings), o as (select label, r, r + 0.0001::double * (vec_id % 3) as o from p)
@@ -142,7 +151,7 @@ def _loss_sql(kind: str) -> str:
 
 
 def _loss(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    return loss.weighted_loss(loss.group_losses(_batches(spark, d), "batch", "vec_id", "a", "b", "label", 0.05, kind))
+    return rounded(loss.weighted_loss(loss.group_losses(_batches(spark, d), "batch", "vec_id", "a", "b", "label", 0.05, kind)))
 
 
 @query(_loss_sql("multi_positive"))
@@ -160,7 +169,7 @@ def contrastive_loss_masked(spark: SparkSession, d: str) -> DataFrame:
 @query("select vec_id // 16 as batch, sum(n)::bigint as n_rows, count(*) as n_groups, round(sum(n * n) / sum(n), 6) as positives_per_query, sum(n * (n - 1))::bigint as off_diagonal, round(sum((n = 1)::int) / sum(n), 6) as singleton_share from (select vec_id // 16 * 16 as vec_id, label, count(*) as n from embeddings group by 1, 2) group by 1")
 def batch_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """AG24."""
-    return loss.batch_diagnostics(_batches(spark, d), "batch", "label")
+    return rounded(loss.batch_diagnostics(_batches(spark, d), "batch", "label"))
 
 
 def _arrivals(spark: SparkSession, d: str) -> DataFrame:

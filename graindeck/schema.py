@@ -11,6 +11,9 @@ def _strings(*names: str) -> list[StructField]:
     return [StructField(n, StringType(), False) for n in names]
 
 
+# Field names of the manifest and log formats, and suffixes of image files (of manifests, of references).
+IMAGE_SUFFIXES = (".jpeg", ".jpg", ".png", ".tif", ".tiff")
+REFERENCE_SUFFIXES = (".bmp", ".jpeg", ".jpg", ".png", ".tif", ".tiff", ".webp")
 CANONICAL = StructType(_strings("id", "image", "caption", "split", "source"))
 GROUPED = StructType([*CANONICAL.fields, *_strings("group_id")])
 RESTORED = StructType([*GROUPED.fields, *_strings("csv_filepath"), StructField("reference_representative", BooleanType(), False), StructField("extras", MapType(StringType(), StringType()))])

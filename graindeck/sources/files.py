@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import json
 import os
+import re
 import tarfile
 import tomllib
 import zipfile
@@ -13,15 +15,17 @@ from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graindeck.schema import ConstraintError
+from graindeck.schema import IMAGE_SUFFIXES, REFERENCE_SUFFIXES, ConstraintError
 
-SUFFIXES = (".jpeg", ".jpg", ".png", ".tif", ".tiff")
+#: Bytes of an archive that a task reads as a whole; of larger ones only the directory is read.
+MOST_INLINE = 256 << 20
 
 
-def list_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+def list_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
     """SC11: path relative to the root, name, length. Contents are not read: only listing columns are selected."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     base = "/" + root.split(":", 1)[-1].strip("/") + "/"
@@ -40,30 +44,74 @@ def class_directories(files: DataFrame, expected: int | None = None) -> DataFram
     return out
 
 
-def archive_members(spark: SparkSession, paths: str) -> DataFrame:
-    """SC13: archive, member, size, crc of every file in ZIP archives; a task reads the directories of its archives."""
+class HadoopFile(io.RawIOBase):
+    """A file of any Hadoop file system, read by the driver where it is asked for: seeking reads nothing."""
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+    def __init__(self, spark: SparkSession, path: str):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.size, self.stream, self.at = fs.getFileStatus(p).getLen(), fs.open(p), 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.at = offset + {io.SEEK_SET: 0, io.SEEK_CUR: self.at, io.SEEK_END: self.size}[whence]
+        return self.at
+
+    def readinto(self, buffer) -> int:
+        self.stream.seek(min(self.at, self.size))
+        data = bytes(self.stream.readNBytes(max(0, min(len(buffer), self.size - self.at))))
+        buffer[: len(data)] = data
+        self.at += len(data)
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self.stream.close()
+        super().close()
+
+
+def _listed(path: str, archive) -> list[tuple]:
+    with zipfile.ZipFile(archive) as z:
+        return [(path, m.filename, m.file_size, m.CRC) for m in z.infolist() if not m.is_dir()]
 
+
+def archive_members(spark: SparkSession, paths: str, most_inline: int = MOST_INLINE) -> DataFrame:
+    """SC13: archive, member, size, crc of every file in ZIP archives. Tasks read archives of up to ``most_inline`` bytes; of
+    larger ones, which a row cannot hold, the driver reads the directories at their ends, one archive after the other."""
+    schema = "archive string, member string, size bigint, crc bigint"
+
+    def run(batches: Iterator) -> Iterator:
         for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows += [(path, m.filename, m.file_size, m.CRC) for m in z.infolist() if not m.is_dir()]
+            rows = [x for path, content in zip(pdf["path"], pdf["content"], strict=True) for x in _listed(path, io.BytesIO(content))]
             yield pd.DataFrame(rows, columns=["archive", "member", "size", "crc"])
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "archive string, member string, size bigint, crc bigint")
+    files = spark.read.format("binaryFile").load(paths)
+    out = files.where(F.col("length") <= most_inline).select("path", "content").mapInPandas(run, schema)
+    large = [r[0] for r in files.where(F.col("length") > most_inline).select("path").orderBy("path").collect()]
+    for path in large:
+        with io.BufferedReader(HadoopFile(spark, path), 1 << 20) as f:
+            out = out.union(spark.createDataFrame(_listed(path, f), schema))
+    return out
 
 
 def member_names(member: Column, stem: str, roots: Iterable[str]) -> Column:
-    """SC14: the names a member may be asked for by, best first: all suffixes of its path, those under the archive's
-    name, and bare names under each root."""
-    parts = F.split(F.regexp_replace(member, r"^(\./)+", ""), "/")
+    """SC14: the names a member may be asked for by, best first: its path and all suffixes of it, its whole path under the
+    archive's name if it does not begin with that, and a bare name under each root in order."""
+    parts = F.filter(F.split(F.replace(member, F.lit("\\"), F.lit("/")), "/"), lambda p: (p != "") & (p != "."))
+    whole = F.array_join(parts, "/")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    under = F.transform(suffixes, lambda s: F.concat(F.lit(f"{stem}/"), s))
-    bare = F.when(F.size(parts) == 1, F.array(*[F.concat(F.lit(f"{r}/"), member) for r in roots])).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(suffixes, under, bare))
+    none = F.array().cast("array<string>")
+    under = F.when(F.element_at(parts, 1) != stem, F.array(F.concat(F.lit(f"{stem}/"), whole))).otherwise(none)
+    bare = F.when(F.size(parts) == 1, F.array(*[F.concat(F.lit(f"{r}/"), whole) for r in sorted(set(roots))])).otherwise(none)
+    return F.when(F.size(parts) > 0, F.array_distinct(F.concat(suffixes, under, bare))).otherwise(none)
 
 
 def match_members(members: DataFrame, wanted: DataFrame, names: Column, path: str, most_bytes: int) -> DataFrame:
@@ -120,8 +168,8 @@ def write_archive(target: str, files: Iterable[tuple[str, bytes]], texts: Iterab
 
 
 def package(target: str, root: str, suffixes: tuple[str, ...] = (".csv", ".json", ".jsonl", ".log", ".md", ".toml", ".txt")) -> list[str]:
-    """SK9: a tar.gz of the reports below a folder, sorted, by a list of suffixes, so never weights."""
-    names = sorted(str(p.relative_to(root)) for p in Path(root).rglob("*") if p.is_file() and p.suffix in suffixes)
+    """SK9: a tar.gz of the reports below a folder, sorted, by a list of suffixes, so never weights; links are left out."""
+    names = sorted(str(p.relative_to(root)) for p in Path(root).rglob("*") if p.is_file() and not p.is_symlink() and p.suffix in suffixes)
     with tarfile.open(f"{target}.part", "w:gz") as t:
         for n in names:
             t.add(Path(root, n), n, filter=lambda i: i.replace(mtime=0, uid=0, gid=0, uname="", gname=""))
@@ -129,6 +177,9 @@ def package(target: str, root: str, suffixes: tuple[str, ...] = (".csv", ".json"
     return names
 
 
+_NAME = re.compile(r"\$(\w+|\{[^}]*\})", re.ASCII)
+
+
 @dataclass(frozen=True)
 class Setting:
     """A typed setting of a configuration file with its default."""
@@ -139,17 +190,18 @@ class Setting:
 
 
 def load_settings(text: str, settings: Iterable[Setting], environment: dict[str, str] | None = None) -> dict[str, Any]:
-    """SC17: TOML to a flat dict of dotted names; $NAME, ${NAME} and ~ are expanded in strings; a bool is no number."""
+    """SC17: TOML to a flat dict of dotted names; ~, $NAME and ${NAME} are expanded in strings, a name being as long as it
+    can be and unknown ones staying as they are; a bool is no number."""
     env = os.environ if environment is None else environment
     tree = tomllib.loads(text)
     out = {}
 
     def expanded(v: Any) -> Any:
-        if isinstance(v, str):
-            for k in sorted(env, key=len, reverse=True):
-                v = v.replace("${" + k + "}", env[k]).replace("$" + k, env[k])
-            return env.get("HOME", "~") + v[1:] if v == "~" or v.startswith("~/") else v
-        return v
+        if not isinstance(v, str):
+            return v
+        if v == "~" or v.startswith("~/"):
+            v = env.get("HOME", "~") + v[1:]
+        return _NAME.sub(lambda m: env.get(m[1].strip("{}"), m[0]), v)
 
     for s in settings:
         at: Any = tree
@@ -174,31 +226,32 @@ def read_pairs(text: str) -> dict[str, str]:
     return out
 
 
-IMAGE_KEYS = ("image", "images", "image_path", "filename", "file_name", "filepath", "path", "img")
+# Names of fields that hold an image's path.
+REFERENCE_FIELDS = ("file_name", "filename", "filepath", "image", "image_path", "path")
 
 
 def image_strings(value: Any) -> Iterator[str]:
-    """texts below image-like keys anywhere in a JSON value."""
-    if isinstance(value, dict):
-        for k, v in value.items():
-            if k.lower() in IMAGE_KEYS:
-                yield from ((x for x in (v if isinstance(v, list) else [v]) if isinstance(x, str) and x.lower().endswith(SUFFIXES)))
-            if isinstance(v, dict | list):
-                yield from image_strings(v)
-    elif isinstance(value, list):
-        for v in value:
-            if isinstance(v, dict | list):
-                yield from image_strings(v)
-
-
-def image_references(df: DataFrame, json_text: str) -> DataFrame:
-    """F14 over a column of JSON texts: one row a reference."""
-    import json
-
-    import pandas as pd
-
+    """texts with an image's suffix in fields that hold a path, anywhere in a JSON value."""
+    pending = [value] if isinstance(value, dict | list) else []
+    while pending:
+        at = pending.pop()
+        if isinstance(at, dict):
+            named = [(k.lower() in REFERENCE_FIELDS, v) for k, v in at.items()]
+        elif isinstance(at, list):
+            named = [(False, v) for v in at]
+        elif isinstance(at, str):  # was found in such a field
+            yield at
+            continue
+        else:
+            continue
+        wanted = lambda v: isinstance(v, str) and Path(v).suffix.lower() in REFERENCE_SUFFIXES
+        pending += [v for field, v in reversed(named) if isinstance(v, dict | list) or (field and wanted(v))]
+
+
+def image_references(df: DataFrame, json_text: str, *keep: str) -> DataFrame:
+    """F14 over a column of JSON texts: one row a reference, with the columns to keep."""
     @F.pandas_udf("array<string>")
     def found(text: pd.Series) -> pd.Series:
         return text.map(lambda t: [] if t is None else list(image_strings(json.loads(t))))
 
-    return df.select(F.explode(found(json_text)).alias("reference"))
+    return df.select(*keep, F.explode(found(json_text)).alias("reference"))

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graindeck.functions.text import first_filled, normalized, words
+from graindeck.functions.text import normalized, stripped
 from graindeck.operators.select import running_sum
 from graindeck.schema import CANONICAL, CLASSIFICATION, GROUPED, MULTI_CAPTION, ConstraintError, filled, require, require_functional, require_unique
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and ord, the 0-based line number of a file, from the lines themselves and not from partitions.
+    """value and ord, the 0-based number of a line over all files of the path in the order of their names.
 
-    A file is read as one text and split, so order is the file's; manifests of many files are given as tables with ord.
+    Files are read in splits, each by a task. Lines are numbered within a split as they are read, and the splits' line
+    counts, one row for each, give a split's first number.
     """
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "value"), F.size(F.split("value", "\r?\n")).alias("n"))
-    return lines.where((F.col("ord") < F.col("n") - 1) | (F.col("value") != "")).select(F.col("ord").cast("long"), "value")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("row"))
+    splits = lines.groupBy("file", "start").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return lines.join(splits, ["file", "start"]).select((F.col("offset") + F.col("row") - F.col("first")).cast("long").alias("ord"), "value")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType = CANONICAL, blank: str = "skip") -> DataFrame:
@@ -82,17 +88,17 @@ def captions_only(rows: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, required: list[str], exact: bool = False) -> DataFrame:
     """SC8: all columns as text. A missing header column is an error, as is a row with too many cells; exact: the header
-    is this list in this order. A byte-order mark is taken off."""
+    is this list in this order. A byte-order mark is taken off; a quoted name may hold commas."""
     head = spark.read.text(path).first()
     if head is None:
         raise ConstraintError(f"{path} is empty")
-    names = [c.strip().strip('"') for c in head[0].lstrip("﻿").rstrip("\r").split(",")]
+    names = [c.strip() for c in next(csv.reader([head[0].lstrip("\ufeff").rstrip("\r")]))]
     if (names != required) if exact else not set(required) <= set(names):
         raise ConstraintError(f"columns of {path}: {names}; needed: {required}")
     schema = StructType()
     for c in [*names, "_corrupt_record"]:
         schema = schema.add(c, "string")
-    rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record").cache()
+    rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
     bad = rows.where("_corrupt_record is not null").limit(1).collect()
     if bad:
         raise ConstraintError(f"a row of {path} has not as many cells as the header: {bad[0]['_corrupt_record'][:80]}")
@@ -115,11 +121,14 @@ def nested_records(spark: SparkSession, path: str, record: str, keys: tuple[str,
 
 
 def annotation_captions(rows: DataFrame, sentences: str = "sentences") -> DataFrame:
-    """One row a sentence with its first usable caption: raw, caption, text or the joined tokens."""
+    """One row a sentence with its first usable text: raw, caption, text (those of them that the structs have) or the
+    joined tokens. A sentence without any is an error."""
     out = rows.select("*", F.posexplode(sentences).alias("number", "s"))
-    return out.withColumn("caption", first_filled(F.col("s.raw"), F.array_join(F.filter("s.tokens", lambda t: F.trim(t) != ""), " "))).drop("s")
-
-
-def truncation(rows: DataFrame, text: Column, most: int) -> DataFrame:
-    """Rows with the number of words, and whether a whitespace tokenizer with two marks passes ``most``."""
-    return rows.withColumn("n_tokens", F.size(words(text)).cast("long") + 2).withColumn("overflow", F.col("n_tokens") > most)
+    fields = out.schema["s"].dataType.fieldNames()
+    found = [F.col(f"s.{f}") for f in ("raw", "caption", "text") if f in fields]
+    if "tokens" in fields:
+        tokens = F.filter(F.transform("s.tokens", stripped), lambda t: t != "")
+        found.append(F.when(F.forall("s.tokens", lambda t: t.isNotNull()), F.array_join(tokens, " ")))
+    usable = F.coalesce(*[F.nullif(stripped(c), F.lit("")) for c in found])
+    caption = F.when(usable.isNull(), F.raise_error(F.lit("a sentence has no usable text")).cast("string")).otherwise(usable)
+    return out.withColumn("caption", caption).drop("s")

@@ -8,14 +8,14 @@ from graindeck.schema import ConstraintError
 
 def test_canonical_and_audit(spark):
     rows = spark.createDataFrame([("./i2/a1_US_20.jpg", "A lake. It shows: a lake"), ("i2/a2_US_18.jpg", "a  LAKE"), ("i2/a3_CH_21.jpg", "Forest")], "filepath string, title string")
-    c = manifest.canonical(rows, "filepath", "title", "train", "sky", "auto")
-    assert {r.id: r.caption for r in c.collect()}["sky:i2/a1_US_20.jpg"] == "An aerial image. It shows: a lake"
+    c = manifest.canonical(rows, "filepath", "title", "train", "src", "auto")
+    assert {r.id: r.caption for r in c.collect()}["src:i2/a1_US_20.jpg"] == "An aerial image. It shows: a lake"
     a = manifest.audit(c)
     assert a["countries"] == {"US": 2, "CH": 1} and a["zooms"] == {"18": 1, "20": 1, "21": 1} and a["records"] == 3
     with pytest.raises(ConstraintError):
-        manifest.canonical(rows, "filepath", "title", "train", "sky", "summary")
+        manifest.canonical(rows, "filepath", "title", "train", "src", "summary")
     with pytest.raises(ConstraintError):
-        manifest.canonical(rows.withColumn("filepath", F.lit("../x.jpg")), "filepath", "title", "train", "sky")
+        manifest.canonical(rows.withColumn("filepath", F.lit("../x.jpg")), "filepath", "title", "train", "src")
     assert manifest.of_split(spark.createDataFrame([("Train ",), ("val",)], "split string"), "train").count() == 1
 
 

@@ -1,15 +1,21 @@
+import dataclasses
 import hashlib
+import json
 import math
+import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graindeck.functions import text as T
-from graindeck.functions.hashing import blake2b_hex, priority
+from graindeck.functions.hashing import blake2b_hex, priority, tensor_sha256
 from graindeck.functions.stats import warmup_cosine
 from graindeck.operators import decide, drift, loss, quality, runlog, select
-from graindeck.plans import verify
+from graindeck.plans import gates, verify
+from graindeck.queries import quality as quality_queries
+from graindeck.queries import selection
 from graindeck.schema import ConstraintError
 
 
@@ -24,8 +30,10 @@ def test_normalized_equals_python(spark):
 
 
 def test_sentence_and_fit(spark):
-    assert one(spark, T.first_sentence(F.col("x")), "One, two. Three.", "No end", "A! B?") == ["One, two.", "No end", "A!"]
+    assert one(spark, T.first_sentence(F.col("x")), "One, two. Three.", "No end", "A! B?", "\tA b. C", "A b.\u00a0C", " \x1fD. \u2003") == ["One, two.", "No end", "A!", "A b.", "A b.", "D."]
     assert one(spark, T.fit_words(F.col("x"), 5), "one two three, four five six. Second sentence.", "one two") == ["one two three", "one two"]
+    with pytest.raises(Exception):
+        one(spark, T.fit_words(F.col("x"), 4), "; , : words")
     fit = T.fit_words_with(lambda s: len(s.split()) + 2, 5)
     assert one(spark, fit(F.col("x")), "one two three four five six. Second sentence.") == ["one two three"]
 
@@ -38,7 +46,7 @@ def test_captions(spark):
     assert one(spark, T.country(F.col("x")), "a_US_20", "a_b") == ["US", "unknown"]
     assert one(spark, T.object_key(F.col("x")), "d/a12_US.jpg", "d/b12_US.jpg") == ["a12", None]
     assert one(spark, T.plain_path(F.col("x")), " ././a\\b.jpg") == ["a/b.jpg"]
-    assert one(spark, T.safe_path(F.col("x")), "a/b.jpg", "/a.jpg", "a/../b.jpg", "a.gif") == [True, False, False, False]
+    assert one(spark, T.safe_path(F.col("x")), "a/b.jpg", "/a.jpg", "a/../b.jpg", "a.gif", ".jpg", "a/.png", "a..jpg") == [True, False, False, False, False, False, True]
 
 
 def test_meaningful_difference(spark):
@@ -85,28 +93,72 @@ def test_split_and_caps(spark):
         select.capped_top(rows, F.col("g"), "id", 1, 3, 3, exact=True)
 
 
-def test_rotation():
-    sizes = [3, 3, 4]
-    plan, at = select.rotating_plan(sizes, [0, 1, 2], [0, 0, 0], 4, 2, True)
-    assert [len(b) for b in plan] == [4] and at == [2, 2, 0]
-    plan, at = select.rotating_plan(sizes, [0, 1, 2], [0, 0, 0], 4, 2, False)
-    assert [len(b) for b in plan] == [4, 2] and at[2] == 2
-    plan, _ = select.rotating_plan([1, 3, 2], [0, 1, 2], [0, 0, 0], 2, 2, True)
-    assert [[g for g, _ in b] for b in plan] == [[0, 1], [2, 2]]
-
-
-def test_sampler_resumes():
-    a = select.ResumableSampler(10, 3, 5)
-    first = list(a)
-    assert a.batches_per_epoch == 3 and a.offset == 0  # reading ahead moves nothing
-    a.advance()
-    b = select.ResumableSampler.restored(a.state(), rows=10)
-    assert list(b) == first[1:]
-    b.advance()
-    b.advance()
-    assert (b.epoch, b.offset) == (1, 0) and list(b) != first
-    with pytest.raises(ValueError):
-        select.ResumableSampler.restored(a.state(), rows=11)
+def loop_rotation(sizes, orders, batch_size, per_group, drop_last):
+    """Batches of (group, row), group by group and row by row."""
+    at, out = [0] * len(sizes), []
+    for epoch, order in enumerate(orders):
+        batches, cursors = [[]], [dict()]
+        for g in order:
+            for _ in range(min(per_group, sizes[g])):
+                if len(batches[-1]) < batch_size:
+                    row = cursors[-1].get(g, at[g])
+                    batches[-1].append((int(g), row))
+                    cursors[-1][g] = (row + 1) % sizes[g]
+            if len(batches[-1]) == batch_size:
+                batches.append([])
+                cursors.append({})
+        for b, (batch, moved) in enumerate(zip(batches, cursors, strict=True)):
+            if len(batch) == batch_size or (batch and not drop_last):
+                out += [(epoch, b, s, *x) for s, x in enumerate(batch)]
+                for g, c in moved.items():
+                    at[g] = c
+    return out
+
+
+def test_rotation_equals_plain_loop():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        sizes = rng.integers(1, 9, rng.integers(1, 12))
+        orders = [rng.permutation(len(sizes)) for _ in range(4)]
+        batch, per, drop = int(rng.integers(1, 10)), int(rng.integers(1, 6)), bool(rng.integers(2))
+        runs = np.concatenate(list(select.rotating_epochs(sizes, orders, batch, per, drop)))
+        got = [(e, b, slot + k, g, (first + k) % sizes[g]) for e, b, slot, g, first, n in runs.tolist() for k in range(n)]
+        assert got == loop_rotation(sizes.tolist(), orders, batch, per, drop)
+
+
+def test_rotating_query_equals_plain_loop(spark, data):
+    docs = [(r.doc_id, r.source or "") for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    names = sorted({s for _, s in docs})
+    rows = [sorted((i for i, s in docs if s == n), key=lambda i: hashlib.sha256(f"9\0{i}".encode()).hexdigest()[:32]) for n in names]
+    want = loop_rotation([len(x) for x in rows], selection.epoch_orders(len(names)), 16, 3, True)
+    got = selection.rotating_batches(spark, data).collect()
+    assert sorted(map(tuple, got)) == sorted((e, b, s, rows[g][i]) for e, b, s, g, i in want) and len(want) >= 64
+
+
+def test_positions_resume(spark):
+    start = select.EpochPosition(10, 3, 5)
+    df = spark.range(10)
+    whole = {(r.batch_no, r.slot): r.id for r in select.epoch_batches(df, "id", start).collect()}
+    order = sorted(range(10), key=lambda i: hashlib.sha256(f"5:0\0{i}".encode()).hexdigest()[:32])
+    assert whole == {(i // 3, i % 3): x for i, x in enumerate(order[:9])} and start.batches == 3
+    saved = dataclasses.asdict(start.after())
+    rest = {(r.batch_no, r.slot): r.id for r in select.epoch_batches(df, "id", start.resumed(saved)).collect()}
+    assert rest == {k: v for k, v in whole.items() if k[0] > 0}
+    later = start.after(4)
+    assert (later.epoch, later.offset) == (1, 1) and select.EpochPosition(10, 3, 5, False).batches == 4
+    for bad in (saved | {"rows": 11}, saved | {"offset": 9}, saved | {"epoch": True}):
+        with pytest.raises(ValueError):
+            start.resumed(bad)
+    with pytest.raises(RuntimeError):
+        select.EpochPosition(2, 3, 5).after()
+
+
+def test_seeded_shuffle():
+    want = list(range(50))
+    random.Random(7).shuffle(want)
+    assert select.seeded_shuffle(list(range(50)), 7) == want
+    with pytest.raises(ConstraintError):
+        select.seeded_shuffle([1, 2], 7, most=1)
 
 
 def test_greedy(spark):
@@ -117,6 +169,44 @@ def test_greedy(spark):
     assert rejected == {"duplicate_object": 1}
     with pytest.raises(ConstraintError):
         select.greedy_quota(df, {"train": 40, "val": 2})
+    with pytest.raises(ConstraintError):
+        select.greedy_quota(df, {"train": 4, "val": 2}, most=3)
+
+
+def test_greedy_query_equals_plain_loop(spark, data):
+    """Every decision by looking through all rows accepted before."""
+    rows = sorted((r.asDict() for r in selection.quota_candidates(spark, data).collect()), key=lambda r: (r["priority"], r["path"]))
+    norm = lambda t: " ".join(t.split()).casefold()
+    kept = []
+    for split, half in (("train", 4), ("val", 1)):
+        for kind in ["short"] * half + ["detail"] * half:
+            for r in (x for x in rows if x["split"] == split and (not kept or kept[-1][0]["split"] != split or (x["priority"], x["path"]) > (kept[-1][0]["priority"], kept[-1][0]["path"]))):
+                own = {norm(r["short"]), norm(r["detail"])}
+                clash = any(r["object"] == k["object"] or r["group"] == k["group"] or own & {norm(k["short"]), norm(k["detail"])} for k, _ in kept)
+                if len(own) == 2 and not clash:
+                    kept.append((r, kind))
+                    break
+    want = [(r["split"], r["path"], kind, i) for i, (r, kind) in enumerate(kept)]
+    assert [tuple(r) for r in selection.greedy_quota(spark, data).orderBy("place").collect()] == want and len(want) == 10
+
+
+def test_hashes_of_the_table_equal_python(spark, data):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    crc = {r.doc_id: r.crc for r in quality_queries.content_checksums(spark, data).collect()}
+    assert crc == {i: zlib.crc32(r.text.encode()) for i, r in docs.items()}
+    first = {}
+    for i, r in docs.items():
+        at = hashlib.blake2b(f"5\0{i}".encode(), digest_size=16).hexdigest()
+        first[r.source] = min(first.get(r.source, (at, i)), (at, i))
+    assert {r.source: (r.priority, r.doc_id) for r in selection.argmin_per_group_blake2b(spark, data).collect()} == first
+
+
+def test_tensor_digest(spark):
+    data = bytes(range(24))
+    header = json.dumps({"dtype": "torch.float32", "shape": [2, 3]}, sort_keys=True, separators=(",", ":")).encode()
+    want = hashlib.sha256(len(header).to_bytes(8, "big") + header + data).hexdigest()
+    df = spark.createDataFrame([("torch.float32", [2, 3], bytearray(data))], "dtype string, shape array<int>, data binary")
+    assert df.select(tensor_sha256(F.col("dtype"), F.col("shape"), F.col("data"))).first()[0] == want
 
 
 def test_losses(spark):
@@ -132,6 +222,9 @@ def test_drift(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 2.0])], "a array<double>, b array<double>")
     r = drift.drift_summary(df, "a", "b").collect()[0]
     assert r.cosine_distance_mean == 0.5 and r.above_2 == 0.5
+    near = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0055524]), ([1.0, 0.0], [1.0, 0.0055524])], "a array<double>, b array<double>")
+    want = 1 - 1 / math.sqrt(1 + 0.0055524**2)
+    assert abs(drift.drift_summary(near, "a", "b").collect()[0].cosine_distance_mean - want) < 1e-9 and 1.5e-5 < want < 1.6e-5
 
 
 def test_run_log(spark):
@@ -171,3 +264,27 @@ def test_final_gate_and_parity(spark):
     assert verify.init_parity(a, a.withColumn("v", F.col("v") + 1e-9), "name", "i", "v", 1e-6, 0.0).collect()[0].close
     with pytest.raises(ConstraintError):
         verify.init_parity(a, a.where("i = 0"), "name", "i", "v", 1e-6, 0.0)
+
+
+def test_report_fields():
+    report = {"steps": 100, "completed": True, "left": {"sha": "a"}, "best": 25}
+    gates.require_fields(report, {"steps": 100, "completed": True, "left.sha": "a", "best": {0, 25}})
+    for bad in ({"steps": 99}, {"completed": 1}, {"left.none": "a"}, {"best": {0, 50}}):
+        with pytest.raises(ConstraintError):
+            gates.require_fields(report, bad)
+
+
+def test_stage_gate(spark):
+    """Each broken rule fails its own check."""
+    losses = {"ok": [3.0, 2.0, 1.0], "best": [1.0, 2.0, 0.5], "worse": [1.0, 2.0, 3.0], "short": [3.0, 2.0], "nan": [3.0, float("nan"), 1.0]}
+    v = spark.createDataFrame([(k, i * 50, x) for k, xs in losses.items() for i, x in enumerate(xs)], "run string, step long, loss double")
+    recalls = [("own", 0, 0.2), ("own", 100, 0.3), ("other", None, 0.5), ("other", 0, 0.5), ("other", 100, 0.495)]
+    e = spark.createDataFrame([(k, *x) for k in losses for x in recalls], "run string, task string, step long, mean_recall double")
+    best = {"ok": 100, "best": 0, "worse": 0, "short": 50, "nan": 100}
+    reports = spark.createDataFrame([(k, 100, False, 0, b, [50]) for k, b in best.items()], "run string, steps int, completed boolean, final_queue_size int, best_step long, resume_steps array<bigint>")
+    got = {r.run: r for r in gates.stage_gate(reports, v, e, "run", 100, 50, 500, [50]).collect()}
+    assert got["ok"].passed and not got["best"].best_step_agrees and not got["worse"].validation_improves and got["worse"].valid
+    assert not got["short"].validation_complete and not got["nan"].validation_complete and [k for k, r in got.items() if r.passed] == ["ok"]
+    low = e.withColumn("mean_recall", F.when((F.col("task") == "other") & (F.col("step") == 100), 0.48).otherwise(F.col("mean_recall")))
+    assert not gates.stage_gate(reports, v, low, "run", 100, 50, 500, [50]).where("run = 'ok'").first().other_recall_holds
+    assert not gates.stage_gate(reports, v, e, "run", 100, 50, 100, [50]).where("run = 'ok'").first().valid  # the last stage has to be complete

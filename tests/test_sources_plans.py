@@ -58,6 +58,9 @@ def test_csv(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text('﻿filepath,title\na.jpg,"x, y"\nb.jpg,z\n', encoding="utf-8")
     assert [tuple(r) for r in manifests.read_csv(spark, str(p), ["filepath", "title"], exact=True).collect()] == [("a.jpg", "x, y"), ("b.jpg", "z")]
+    p3 = tmp_path / "c.csv"
+    p3.write_text('"a, b","c"\n1,"two\nlines"\n')
+    assert [tuple(r) for r in manifests.read_csv(spark, str(p3), ["a, b", "c"], exact=True).collect()] == [("1", "two\nlines")]
     p2 = tmp_path / "b.csv"
     p2.write_text("filepath,title\na.jpg,x,extra\n")
     with pytest.raises(ConstraintError):
@@ -66,12 +69,30 @@ def test_csv(spark, tmp_path):
         manifests.read_csv(spark, str(p), ["nothing"])
 
 
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    for name, lo, hi in (("b.txt", 700, 1000), ("a.txt", 0, 700)):
+        (tmp_path / name).write_text("".join(f"line {i}\r\n" if i % 3 else f"line {i}\n" for i in range(lo, hi)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        rows = manifests.numbered_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        assert sorted(map(tuple, rows.collect())) == [(i, f"line {i}") for i in range(1000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_nested(spark, tmp_path):
     kind = "filename string, sentences array<struct<raw: string, tokens: array<string>>>"
     p = tmp_path / "n.json"
     p.write_text(json.dumps({"images": [{"filename": "a.jpg", "sentences": [{"raw": "A cat."}, {"raw": " ", "tokens": ["b", "dog"]}]}]}))
     rows = manifests.annotation_captions(manifests.nested_records(spark, str(p), kind))
     assert [r.caption for r in rows.orderBy("number").collect()] == ["A cat.", "b dog"]
+    other = spark.createDataFrame([([(" ", "cap", "t"), (None, None, "\u00a0text ")],)], "sentences array<struct<raw: string, caption: string, text: string>>")
+    assert [r.caption for r in manifests.annotation_captions(other).orderBy("number").collect()] == ["cap", "text"]
+    with pytest.raises(Exception):
+        manifests.annotation_captions(spark.createDataFrame([([("  ", ["", " "])],)], "sentences array<struct<raw: string, tokens: array<string>>>")).collect()
     p.write_text(json.dumps([{"filename": "b.jpg", "sentences": []}]))
     assert manifests.nested_records(spark, str(p), kind).collect()[0].filename == "b.jpg"
 
@@ -87,14 +108,20 @@ def test_files_and_archives(spark, tmp_path):
         files.class_directories(files.list_files(spark, str(tmp_path / "x")), 4)
     z = str(tmp_path / "images1.zip")
     files.write_archive(z, [("wrap/a.jpg", b"aa"), ("b.jpg", b"bbb")], [("meta.txt", "m")])
+    both = [sorted(map(tuple, files.archive_members(spark, z, n).select("member", "size", "crc").collect())) for n in (1 << 20, 0)]
+    assert both[0] == both[1] and [m for m, _, _ in both[0]] == ["b.jpg", "meta.txt", "wrap/a.jpg"]  # read whole, and only its directory
     members = files.archive_members(spark, z).where("member <> 'meta.txt'")
     names = files.member_names(F.col("member"), "images1", ["images1"])
-    wanted = spark.createDataFrame([("images1/a.jpg",), ("images1/b.jpg",)], "path string")
+    asked = spark.createDataFrame([("wrap/a.jpg",), (".\\\\wrap//a.jpg",), ("images1/c.jpg",), ("d.jpg",)], "member string").select(files.member_names(F.col("member"), "images1", ["r2", "r1"]).alias("n")).collect()
+    assert [r.n for r in asked] == [["wrap/a.jpg", "a.jpg", "images1/wrap/a.jpg"]] * 2 + [["images1/c.jpg", "c.jpg"], ["d.jpg", "images1/d.jpg", "r1/d.jpg", "r2/d.jpg"]]
+    with pytest.raises(ConstraintError):  # no suffix of a path is a name under the archive's
+        files.match_members(members, spark.createDataFrame([("images1/a.jpg",)], "path string"), names, "path", 10)
+    wanted = spark.createDataFrame([("images1/wrap/a.jpg",), ("images1/b.jpg",)], "path string")
     got = {r.path: r for r in files.match_members(members, wanted, names, "path", 10).collect()}
-    assert {k: v.member for k, v in got.items()} == {"images1/a.jpg": "wrap/a.jpg", "images1/b.jpg": "b.jpg"}
+    assert {k: v.member for k, v in got.items()} == {"images1/wrap/a.jpg": "wrap/a.jpg", "images1/b.jpg": "b.jpg"}
     with pytest.raises(ConstraintError):
         files.match_members(members, wanted, names, "path", 2)
-    r = got["images1/a.jpg"]
+    r = got["images1/wrap/a.jpg"]
     out = str(tmp_path / "out/a.jpg")
     assert [files.extract_member(z, r.member, out, r.size, r.crc) for _ in range(2)] == ["written", "reused"]
     (tmp_path / "out/a.jpg").write_bytes(b"zz")
@@ -111,7 +138,11 @@ def test_settings_and_references():
     assert files.read_pairs("a=1\n\nb = 2") == {"a": "1", "b": "2"}
     with pytest.raises(ConstraintError):
         files.read_pairs("a=1\na=2")
-    assert list(files.image_strings({"x": [{"file_name": "a.jpg"}, {"images": ["b.png", 3]}], "note": "c.jpg"})) == ["a.jpg", "b.png"]
+    tree = {"x": [{"file_name": "a.jpg"}, {"images": ["b.png", 3]}, "d.jpg"], "note": "c.jpg", "Path": {"image": "e.WEBP"}, "filename": ".jpg", "image_path": ["f.png", {"path": "g.bmp"}]}
+    assert list(files.image_strings(tree)) == ["a.jpg", "e.WEBP", "g.bmp"] and list(files.image_strings("a.jpg")) == []
+    text = 'a = "$HOMEX/y ${HOME}/z $NONE"\nb = "~/w"\nc = "$HOME-$HOME"\n'
+    found = files.load_settings(text, [files.Setting(n, str) for n in "abc"], {"HOME": "/h", "X": "x"})
+    assert found == {"a": "$HOMEX/y /h/z $NONE", "b": "/h/w", "c": "/h-/h"}
 
 
 def test_publish(spark, tmp_path):
