@@ -30,6 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,16 @@ def tokens_of(text: str | None) -> list[bytes]:
     return words
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and the number of words of each: ``tokens_of`` less the ends, by batch."""
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lists = pc.ascii_split_whitespace(plain)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes[pc.equal(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False)] = 0  # split to one empty word
+    flat = lists.flatten()
+    return flat.filter(pc.greater(pc.binary_length(flat), 0)), sizes
+
+
 def packed(a: np.ndarray) -> bytes:
     """Numbers of eight bytes as compressed planes of bytes; planes of small or sorted numbers take little room."""
     a = a if a.dtype == np.float64 else a.astype(np.int64)
@@ -146,12 +157,6 @@ class Model:
         return np.log10((c + 1) / (self.total + (self.types + 1)))
 
 
-class _Places(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 #: Rows of all exchanges. kind: _OWN (a chunk), _SLICE (n-grams), _SPREAD (counts of counts), _MAP (how slices were
 #: merged), _FOUND (answers), _HEAVY (sums of a part of a context).
 _ROW = "grp bigint, realm bigint, src bigint, kind int, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -179,37 +184,46 @@ def _chunks(docs: DataFrame, modulus: int, held_out: int, chunk_tokens: int) ->
     that order, e = ids of the documents as an Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lens, held, places, parts, number, size = [], [], [], _Places(), [], 0, 0
+        ids, sizes, words, number, size = [], [], [], 0, 0
         home = TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
-            flat = np.concatenate(parts)
-            seen = np.bincount(flat, minlength=len(places))
-            order = np.argsort(-seen, kind="stable")  # frequent words get small places
+            coded = pa.concat_arrays(words).dictionary_encode()
+            distinct = [*coded.dictionary.cast(pa.binary()).to_pylist(), _END]
+            lens = np.concatenate(sizes) + 1
+            flat = np.full(int(lens.sum()), len(distinct) - 1)
+            word = np.ones(len(flat), dtype=bool)
+            word[np.cumsum(lens) - 1] = False
+            flat[word] = coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(-np.bincount(flat, minlength=len(distinct)), kind="stable")  # frequent words get small places
             to = np.empty_like(order)
             to[order] = np.arange(len(order))
-            words = list(places)
-            hashes = np.array([xxhash.xxh3_64_intdigest(words[i]) for i in order], dtype=np.uint64).view(np.int64)
+            hashes = np.array([xxhash.xxh3_64_intdigest(distinct[i]) for i in order], dtype=np.uint64).view(np.int64)
             by_hash = np.argsort(hashes)
+            held = np.array([fold_of(i, modulus) == held_out for i in ids])
             names = pa.RecordBatch.from_arrays([pa.array(ids, type=id_type)], names=["doc_id"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, names.schema) as out:
                 out.write_batch(names)
-            columns = (np.array(lens) * 2 + np.array(held), to[flat], np.diff(hashes[by_hash], prepend=0), by_hash)
+            columns = (lens * 2 + held, to[flat], np.diff(hashes[by_hash], prepend=0), by_hash)
             return _batch(home + number, 0, home + number, _OWN, *[packed(x) for x in columns], sink.getvalue().to_pybytes())
 
         for b in batches:
             id_type = b.schema.field(0).type
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = tokens_of(t.as_py())
-                parts.append(np.fromiter(map(places.__getitem__, words), np.int64, len(words)))
-                ids.append(i)
-                lens.append(len(words))
-                held.append(fold_of(i, modulus) == held_out)
-                size += len(words)
+            flat, n = split_words(b.column(1))
+            keys, tokens, begin, at = b.column(0).to_pylist(), np.cumsum(n + 1), 0, 0
+            while begin < len(keys):
+                # as many texts as fill the chunk; a text is not cut
+                before = int(tokens[begin - 1]) if begin else 0
+                end = min(len(keys), int(np.searchsorted(tokens, before + chunk_tokens - size)) + 1)
+                count = int(n[begin:end].sum())
+                ids += keys[begin:end]
+                sizes.append(n[begin:end])
+                words.append(flat.slice(at, count))
+                size, at, begin = size + int(tokens[end - 1]) - before, at + count, end
                 if size >= chunk_tokens:
                     yield flush()
-                    ids, lens, held, places, parts, number, size = [], [], [], _Places(), [], number + 1, 0
+                    ids, sizes, words, number, size = [], [], [], number + 1, 0
                     trimmed(cycles=False)
         if ids:
             yield flush()
@@ -281,6 +295,21 @@ def _opened(row: dict) -> list:
     return [context, sizes, words, low, seen, base]
 
 
+def _numbered(row: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs among the distinct ones in their order, and a pair for each place."""
+    low, high = (int(ids.min()), int(ids.max())) if len(ids) else (0, 0)
+    many = int(row.max()) + 1 if len(row) else 1
+    if many * (high - low + 1) < 1 << 62:
+        code = row * (high - low + 1) + (ids - low)
+    else:
+        values, place = np.unique(ids, return_inverse=True)
+        code = row * len(values) + place
+    _, at = np.unique(code, return_inverse=True)
+    one = np.zeros(int(at.max()) + 1 if len(at) else 0, np.int64)
+    one[at] = np.arange(len(at))
+    return at, one
+
+
 class _Slices:
     """The slices of a realm, together: distinct n-grams in the order of context and word, and where each slice's are."""
 
@@ -296,13 +325,11 @@ class _Slices:
         del parts
         self.context_at = np.zeros(len(sizes), np.int64)
         for ids in context:
-            values, at = np.unique(ids, return_inverse=True)
-            _, first, self.context_at = np.unique(self.context_at * max(1, len(values)) + at, return_index=True, return_inverse=True)
+            self.context_at, first = _numbered(self.context_at, ids)
         self.context = [ids[first] for ids in context]
         self.base, self.heavy = base[first] >> 1, (base[first] & 1) == 1
         row = np.repeat(self.context_at, sizes)
-        ids, column = np.unique(words, return_inverse=True)
-        _, one, self.gram_at = np.unique(row * max(1, len(ids)) + column, return_index=True, return_inverse=True)
+        self.gram_at, one = _numbered(row, words)
         self.owner, self.words, self.low = row[one], words[one], low[one]
         self.counts = np.bincount(self.gram_at, weights=seen >> 1, minlength=len(one)).astype(np.int64)
         self.shared = (np.bincount(self.gram_at, minlength=len(one)) > 1) | (np.bincount(self.gram_at, weights=seen & 1, minlength=len(one)) > 0)
@@ -526,14 +553,16 @@ class _Chunk:
             below = np.concatenate([unpacked(r["e"], np.float64) for r in found])
             contexts = g.prefix[out[asked]]
             weight[contexts], full[contexts] = model.backoff(n, low.counts[contexts], rare.reshape(-1, REACH), more, below)
-            heavy = np.unique(g.prefix[out])
-            heavy = heavy[low.counts[heavy] > model.bar]
+            heavy = low.counts > model.bar
+            there = np.zeros(len(heavy), dtype=bool)
+            there[g.prefix[out]] = True
+            heavy = np.flatnonzero(heavy & there)
             if len(heavy):
                 weight[heavy], full[heavy] = model.backoff(n, low.counts[heavy], *model.heavy[n].of(low.key[heavy]))
         alone = np.flatnonzero(low.alone[g.prefix] & (g.own > 0))
         if len(alone):
-            contexts, owner = np.unique(g.prefix[alone], return_inverse=True)
-            c = g.own[alone]
+            begin, c = _starts(g.prefix[alone]), g.own[alone]
+            contexts, owner = g.prefix[alone[begin]], np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(alone)]))
             rare = np.stack([np.bincount(owner[c == r], minlength=len(contexts)) for r in range(1, REACH + 1)], axis=1)
             more = np.bincount(owner, weights=np.where(c > REACH, c, 0)).astype(np.int64)
             below = np.bincount(owner, weights=low.p[g.suffix[alone]])
