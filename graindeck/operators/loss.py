@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graindeck.functions.vector import dot
@@ -52,9 +52,13 @@ def batch_diagnostics(rows: DataFrame, batch: str, group: str) -> DataFrame:
     )
 
 
-def queue_size(arrival: Column, capacity: int) -> Column:
-    """ST1: entries that the queue holds when a row arrives (0-based), as rows are queued after their own use."""
-    return F.least(arrival, F.lit(capacity)).cast("long")
+def queue_window(rows: DataFrame, arrival: str, item: str, capacity: int) -> DataFrame:
+    """ST1 over a table: the number of entries that the queue holds when a row arrives (0-based, without gaps), as rows are
+    queued after their own use, and the oldest of them. A join with the row ``capacity`` arrivals before, not a window."""
+    gone = rows.select((F.col(arrival) + capacity).alias(arrival), F.col(item).alias("oldest"))
+    first = rows.where(F.col(arrival) == 0).agg(F.max(item)).scalar()
+    out = rows.join(gone, arrival, "left").withColumn("queue_size", F.least(F.col(arrival), F.lit(capacity)).cast("long"))
+    return out.withColumn("oldest", F.when((F.col(arrival) > 0) & (F.col(arrival) < capacity), first).otherwise(F.col("oldest")))
 
 
 def queue_collisions(rows: DataFrame, key: str, batch: str, arrival: str, capacity: int, batch_size: int) -> DataFrame:

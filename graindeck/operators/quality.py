@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graindeck.operators.select import running_sum
 from graindeck.schema import ConstraintError
 
 
@@ -38,11 +39,13 @@ def rounded_percentiles(df: DataFrame, value: str, fractions: dict[str, float],
 
     Values are counted first, so what is ranked is the distinct values, and a rank is a running sum of counts.
     """
-    from pyspark.sql import Window
-
     c = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(value)
-    c = c.withColumn("_upto", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
+    if by:
+        w = Window.partitionBy(*by).orderBy(value)
+        c = c.withColumn("_upto", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
+    else:  # over ranges, as one group would be one task
+        total = c.agg(F.sum("_n")).scalar()
+        c = running_sum(c.where(F.col(value).isNotNull()), value, "_n", "_before").withColumn("_upto", F.col("_before") + F.col("_n")).withColumn("_total", total)
     place = {k: F.bround((F.col("_total") - 1) * F.lit(f), 0) for k, f in fractions.items()}
     return c.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") > p, F.col(value))).alias(k) for k, p in place.items()])
 

@@ -18,7 +18,7 @@ def canonical(rows: DataFrame, path: str, field: str, split: str, source: str, m
 
     Unsafe paths, captions that the mode finds nothing in and repeated ids are errors.
     """
-    out = rows.select("*", T.plain_path(F.col(path)).alias("image"), T.caption_from(F.col(field), mode).alias("caption"))
+    out = rows.select(T.plain_path(F.col(path)).alias("image"), T.caption_from(F.col(field), mode).alias("caption"))
     out = out.select(T.record_id(F.lit(source), F.col("image")).alias("id"), "image", "caption", F.lit(split).alias("split"), F.lit(source).alias("source"))
     return require_unique(require(out, filled("caption") | {"path is unsafe": T.safe_path(F.col("image"))}), "id")
 
@@ -91,6 +91,7 @@ def mixed_candidates(rows: DataFrame, splits: DataFrame, seed: int) -> tuple[Dat
     keyed = keyed.join(splits.select("group", "split"), "group", "left")
     crossing = keyed.where("split is not null").groupBy("object").agg((F.min("split") != F.max("split")).alias("crossing"))
     n_short, n_detail = T.word_count(F.col("short")), T.word_count(F.col("detail"))
+    # fixed values: names of the reasons, in the order that they are tried
     reason = select.first_reason(
         ("missing_detail", F.coalesce(F.trim("detail"), F.lit("")) == ""), ("short_over_20_words", n_short > 20), ("detail_outside_12_50_words", ~n_detail.between(12, 50)),
         ("detail_not_meaningfully_different", ~T.meaningfully_differs(F.col("short"), F.col("detail"))), ("object_in_both_original_splits", F.coalesce("crossing", F.lit(False))),

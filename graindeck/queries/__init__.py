@@ -32,4 +32,4 @@ def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
 
 
 def load() -> None:
-    from graindeck.queries import decisions, gates, quality, relational, runlog, scans, selection, streams, vectors  # noqa: F401
+    from graindeck.queries import decisions, gates, manifests, quality, relational, runlog, scans, selection, streams, vectors  # noqa: F401

@@ -89,10 +89,11 @@ def config_diff(spark: SparkSession, d: str) -> DataFrame:
     return decide.config_difference(a, b)
 
 
-@query(_ARMS + "select arm, count(*) as n_reports, count(distinct dataset) as n_datasets, round(avg(v), 6) as mean_value, min(seed > 0) = max(seed > 0) and count(seed) = count(*) as same_assets from a group by arm")
+@query(_ARMS + "select arm, count(*) as n_reports, count(distinct dataset) as n_datasets, round(avg(v), 6) as mean_value, min(asset) = max(asset) and count(asset) = count(*) as same_assets from (select *, case when arm = 'F' then 'x' when seed < 7 then 'y' else 'z' end as asset from a) group by arm")
 def downstream_summary(spark: SparkSession, d: str) -> DataFrame:
     """D14."""
-    return verify.downstream_summary(_arms(spark, d).withColumn("asset", F.col("seed") > 0), "arm", "dataset", "v", "asset")
+    asset = F.when(F.col("arm") == "F", "x").when(F.col("seed") < 7, "y").otherwise("z")
+    return rounded(verify.downstream_summary(_arms(spark, d).withColumn("asset", asset), "arm", "dataset", "v", "asset"))
 
 
 @query(_ARMS + ", g as (select seed, avg(v) filter (arm = 'F') as f, avg(v) filter (arm = 'O') as o, count(*) as k from a group by seed) select seed, f > o as gains, abs(f - o) < 0.01 as close, k >= 3 as complete, f > o and abs(f - o) < 0.01 and k >= 3 as passed from g")

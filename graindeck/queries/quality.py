@@ -168,13 +168,13 @@ _STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _MARKS = T.PUNCTUATION.replace("'", "''")
 
 
-def _added(a: str, b: str) -> str:
+def added_words(a: str, b: str) -> str:
     """Bare words of b that a has not, without stop words, in DuckDB."""
     new = f"list_filter(string_split({b}, ' '), lambda w: not list_contains(string_split({a}, ' '), w))"
     return f"list_filter(list_distinct(list_transform({new}, lambda w: trim(w, '{_MARKS}'))), lambda w: w not in ({_STOPS}))"
 
 
-@query("with t as (select c.conv_id, c.turn, " + NORM.format("c.text") + " as a, " + NORM.format("n.text") + " as b from conversations c join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1) select conv_id, turn, a <> b and len(" + _added("a", "b") + ") >= 3 as differs from t")
+@query("with t as (select c.conv_id, c.turn, " + NORM.format("c.text") + " as a, " + NORM.format("n.text") + " as b from conversations c join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1) select conv_id, turn, a <> b and len(" + added_words("a", "b") + ") >= 3 as differs from t")
 def meaningful_difference(spark: SparkSession, d: str) -> DataFrame:
     """each turn against the next."""
     c = table(spark, d, "conversations")

@@ -110,10 +110,21 @@ def recovery_inventory(spark: SparkSession, d: str) -> DataFrame:
     return verify.recovery_inventory(expected, _kept(spark, d), log.where("step % 25 = 0 and user_id % 2 = 0"), "run", "step")
 
 
-@query(LOG + "select run, true as values_finite, count(*) = max(step) as steps_complete, true as steps_increase, min(value) < arg_min(value, step) as improves, count(*) = max(step) and min(value) < arg_min(value, step) as passed from log group by run")
+_FAULTS = """with s as (select user_id as run, event_id, row_number() over (partition by user_id order by event_id) - 1 as i, value from events),
+log as (select run, event_id, i + case when run % 7 = 0 and i = 2 then 1 else 0 end as step, case when run % 5 = 0 and i = 1 then 'nan'::double else value end as value from s),
+n as (select run, max(step) as last, count(distinct step) as steps, count(*) as rows, count(*) filter (isnan(value)) as bad, arg_min(value, (step, event_id)) as start, min(value) filter (not isnan(value)) as least from log group by run)
+"""
+
+
+@query(_FAULTS + """, c as (select run, bad = 0 as values_finite, steps = last + 1 as steps_complete, steps = rows as steps_increase, coalesce(least < start, false) as improves from n)
+select *, values_finite and steps_complete and steps_increase and improves as passed from c""")
 def verify_run(spark: SparkSession, d: str) -> DataFrame:
-    """All checks of a run's log together."""
-    return verify.verify_run(_log(spark, d).withColumn("step", F.col("step") - 1), "run", "step", "value", None, 1)
+    """D13, F10, W11, W13, AG20: logs by user, some with a value that is no number, some with a step twice and one missing."""
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long") - 1
+    log = table(spark, d, "events").select(F.col("user_id").alias("run"), "value", i.alias("step"))
+    log = log.withColumn("value", F.when((F.col("run") % 5 == 0) & (F.col("step") == 1), F.lit(float("nan"))).otherwise(F.col("value")))
+    log = log.withColumn("step", F.col("step") + F.when((F.col("run") % 7 == 0) & (F.col("step") == 2), 1).otherwise(0))
+    return verify.verify_run(log, "run", "step", "value", None, 1)
 
 
 @query(LOG + "select 'kept' as part, count(*) as n, max(step) as last_step from log where step <= 500 union all select 'archived', count(*), max(step) from log where step > 500")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graindeck.functions import vector as V
-from graindeck.operators import drift, loss, retrieval
+from graindeck.operators import drift, loss, retrieval, select
 from graindeck.queries import query, rounded
 from graindeck.schema import table
 
@@ -183,10 +183,12 @@ def queue_collisions(spark: SparkSession, d: str) -> DataFrame:
     return loss.queue_collisions(_arrivals(spark, d), "user_id", "batch", "arrival", 256, 16)
 
 
-@query("select event_id, least(event_id, 256) as queue_size from events")
+@query("""with e as (select event_id, user_id, row_number() over (order by event_id) - 1 as i from events)
+select event_id, least(i, 256) as queue_size, case when i = 0 then null when i <= 256 then first_value(user_id) over w else lag(user_id, 256) over w end as oldest from e window w as (order by event_id)""")
 def queue_window(spark: SparkSession, d: str) -> DataFrame:
-    """ST1 in batch form: entries held on arrival."""
-    return table(spark, d, "events").select("event_id", loss.queue_size(F.col("event_id"), 256).alias("queue_size"))
+    """ST1 in batch form: entries held on arrival, and the oldest of them."""
+    rows = select.running_sum(table(spark, d, "events").select("event_id", "user_id", F.lit(1).alias("one")), "event_id", "one", "arrival")
+    return loss.queue_window(rows, "arrival", "user_id", 256).select("event_id", "queue_size", "oldest")
 
 
 @query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))), 6) as norm from embeddings")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,14 +17,14 @@ def queue_stream(rows: DataFrame, key: str, order: str, item: str, capacity: int
     kinds = dict(rows.dtypes)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        for pdf in (pd.concat(list(batches)).sort_values(order),):
-            out = []
-            for o, i in zip(pdf[order], pdf[item], strict=True):
-                out.append((k[0], o, i, len(held), held[0] if held else None))
-                held = [*held, i][-capacity:]
-            state.update((held,))
-            yield pd.DataFrame(out, columns=[key, order, item, "queue_size", "oldest"])
+        held = deque(state.get[0] if state.exists else (), maxlen=capacity)
+        # the rows of a micro-batch come unordered; table_stream bounds how many there are
+        pdf, out = pd.concat(list(batches)).sort_values(order), []
+        for o, i in zip(pdf[order], pdf[item], strict=True):
+            out.append((k[0], o, i, len(held), held[0] if held else None))
+            held.append(i)
+        state.update((list(held),))
+        yield pd.DataFrame(out, columns=[key, order, item, "queue_size", "oldest"])
 
     schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {item} {kinds[item]}, queue_size bigint, oldest {kinds[item]}"
     return rows.groupBy(key).applyInPandasWithState(step, schema, f"held array<{kinds[item]}>", "append", GroupStateTimeout.NoTimeout)
