@@ -44,7 +44,7 @@ SMALL, PIVOTS, BLOCK = 256, 1024, 1024
 #: Coordinates of a sketch, and the share of equal ones from which a pair is verified: 4.6 deviations below 0.8.
 SKETCH, CANDIDATE = 128, 0.64
 #: Shingles and sets of a component that one task verifies; larger components are verified in pairs of blocks.
-BLOCK_SHINGLES, BLOCK_SETS = 4_000_000, 512
+BLOCK_SHINGLES, BLOCK_SETS = 4_000_000, 256
 #: Bits of the map that picks the texts to verify.
 FILTER_BITS = 1 << 25
 
