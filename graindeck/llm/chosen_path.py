@@ -258,7 +258,13 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 paths.append(mixed(m[:RUNS] + np.arange(RUNS, dtype=np.uint64)).astype(np.int64).tolist())
                 tokens.append((m[RUNS:_TOKENS] >> np.uint64(32)).astype(np.uint32).tobytes())
                 sketches.append((m[_TOKENS:] >> np.uint64(56)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, type=pa.binary()), pa.array(sizes, type=pa.int64()), pa.array(paths, type=pa.list_(pa.int64())), pa.array(tokens, type=pa.binary()), pa.array(sketches, type=pa.binary())], names=["doc_id", "id", "size", "paths", "tokens", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), pa.array(ids, type=pa.binary()), pa.array(sizes, type=pa.int64()), pa.array(paths, type=pa.list_(pa.int64())),
+                    pa.array(tokens, type=pa.binary()), pa.array(sketches, type=pa.binary())
+                ],
+                names=["doc_id", "id", "size", "paths", "tokens", "sketch"]
+            )
 
     return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, id binary, size bigint, paths array<bigint>, tokens binary, sketch binary")
 
@@ -341,7 +347,9 @@ def _among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     It spares the shuffle rows that no join needs; where hashes coincide a row stays, and the join decides.
     """
     bits = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("long")
-    maps = wanted.select(bits(key).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
+    maps = wanted.select(bits(key).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap")
+    )
     place = F.bitmap_bit_position(bits(key))
     found = rows.withColumn("bucket", F.bitmap_bucket_number(bits(key))).withColumn("place", place).join(F.broadcast(maps), "bucket")
     byte = F.conv(F.hex(F.substring("bitmap", (F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -350,7 +358,9 @@ def _among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     """id, links and label (an id) by members (rid, id, comp, size), for each block pair of each component."""
-    sums = members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("size") / F.lit(float(BLOCK_SHINGLES))), F.ceil(F.count("*") / F.lit(float(BLOCK_SETS)))).alias("blocks"))
+    sums = members.groupBy("comp").agg(
+        F.greatest(F.ceil(F.sum("size") / F.lit(float(BLOCK_SHINGLES))), F.ceil(F.count("*") / F.lit(float(BLOCK_SETS)))).alias("blocks")
+    )
     members = members.join(sums, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     texts = _among(docs.select(F.col("doc_id").alias("rid"), "text"), members, "rid").join(members.select("rid", "id", "comp", "blocks", "block"), "rid")
 
@@ -358,10 +368,18 @@ def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
         hashes = WordHashes()
         for b in batches:
             found = [shingle_set(words_of(t.as_py()), hashes) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in (2, 3, 4, 5)], pa.array([s.tobytes() if set_id(s) == i.as_py() else None for s, i in zip(found, b.column(2), strict=True)], type=pa.binary())], names=["id", "comp", "blocks", "block", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[b.column(i) for i in (2, 3, 4, 5)],
+                    pa.array([s.tobytes() if set_id(s) == i.as_py() else None for s, i in zip(found, b.column(2), strict=True)], type=pa.binary())
+                ],
+                names=["id", "comp", "blocks", "block", "shingles"]
+            )
 
     # an id may have two rows in docs; those whose set is not this one are left out, and of equal ones one stays
-    rows = arrow_map(texts.select("rid", "text", "id", "comp", "blocks", "block"), sets, "id binary, comp binary, blocks bigint, block bigint, shingles binary").where("shingles is not null")
+    rows = arrow_map(
+        texts.select("rid", "text", "id", "comp", "blocks", "block"), sets, "id binary, comp binary, blocks bigint, block bigint, shingles binary"
+    ).where("shingles is not null")
     nameless = members.where("rid is null").select("id", "comp", "blocks", "block")
     if not nameless.isEmpty():  # sets of null ids only have no row to fetch by id: their rows are found by the set
 
@@ -369,13 +387,23 @@ def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
             hashes = WordHashes()
             for b in batches:
                 found = [s for t in b.column(0) if len(s := shingle_set(words_of(t.as_py()), hashes))]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], type=pa.binary()), pa.array([s.tobytes() for s in found], type=pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([set_id(s) for s in found], type=pa.binary()), pa.array([s.tobytes() for s in found], type=pa.binary())],
+                    names=["id", "shingles"]
+                )
 
         own = arrow_map(docs.where("doc_id is null").select("text"), own_sets, "id binary, shingles binary")
         own = _among(own, nameless, "id").groupBy("id").agg(F.any_value("shingles").alias("shingles"))
         rows = rows.union(own.join(nameless, "id").select("id", "comp", "blocks", "block", "shingles"))
-    pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
-    rows = rows.withColumn("p", pairs).select(F.xxhash64("comp", "p.i", "p.j").alias("task"), F.col("comp"), F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "id", "shingles", "blocks")
+    pairs = F.explode(
+        F.transform(
+            F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+            lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))
+        )
+    )
+    rows = rows.withColumn("p", pairs).select(
+        F.xxhash64("comp", "p.i", "p.j").alias("task"), F.col("comp"), F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "id", "shingles", "blocks"
+    )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in runs_of(batches):
@@ -387,7 +415,10 @@ def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
                 sides = np.array([by[k][0] for k in ids]) if i != j else None
                 counts, forest = links_within([np.frombuffer(by[k][1], dtype=np.uint64) for k in ids], sides)
                 labels = [ids[forest.root(x)] for x in range(len(ids))]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.binary()), pa.array(counts), pa.array(labels, type=pa.binary()), pa.array([blocks] * len(ids), type=pa.int64())], names=["id", "links", "label", "blocks"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, type=pa.binary()), pa.array(counts), pa.array(labels, type=pa.binary()), pa.array([blocks] * len(ids), type=pa.int64())],
+                    names=["id", "links", "label", "blocks"]
+                )
 
     return arrow_map(rows.repartition("task").sortWithinPartitions("task"), verify, "id binary, links bigint, label binary, blocks bigint")
 
@@ -397,16 +428,23 @@ def _classes(run: Run, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = run.stored(_sketched(docs), "sketched")
     # one row a set; equal sets have equal sketches, so any of them will do
     first = [F.any_value(c).alias(c) for c in ("paths", "tokens", "sketch")]
-    reps = run.stored(rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("rid"), F.count("*").alias("n_copies"), F.max("size").alias("size"), *first), "reps")
+    reps = run.stored(
+        rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("rid"), F.count("*").alias("n_copies"), F.max("size").alias("size"), *first),
+        "reps"
+    )
     edges = _candidates(run, reps.select("id", F.posexplode("paths").alias("run", "path")), reps)
     near = components(run, edges)
     members = near.join(reps.select("id", "rid", "size"), "id").select("rid", "id", F.col("label").alias("comp"), "size")
     checked = run.stored(_verified(docs, run.stored(members, "members")), "verified")
     counts = checked.groupBy("id").agg(F.sum("links").alias("n_links"), F.max("blocks").alias("blocks"), F.min("label").alias("own"))
-    wide = components(run, checked.where("blocks > 1 and id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))).withColumnRenamed("label", "joined")
+    wide = components(
+        run, checked.where("blocks > 1 and id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+    ).withColumnRenamed("label", "joined")
     label = F.coalesce(F.when(F.col("blocks") > 1, F.coalesce("joined", "id")), "own").alias("label")
     counts = counts.join(wide, "id", "left").select("id", "n_links", label)
-    every = reps.select("id", "rid", "n_copies").join(counts, "id", "left").select("id", "rid", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "id").alias("label"))
+    every = reps.select("id", "rid", "n_copies").join(counts, "id", "left").select(
+        "id", "rid", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "id").alias("label")
+    )
     every = run.stored(every, "classes")
     classes = every.groupBy("label").agg(F.min("rid").alias("class_id"))
     return rows.select("doc_id", "id"), every.join(classes, "label").select("id", F.col("rid").alias("copy_id"), "n_copies", "n_links", "class_id", "label")

@@ -134,7 +134,10 @@ class LanguageField:
     first: np.ndarray
 
     @classmethod
-    def fit(cls, texts: list[tuple[str, list[str]]], epochs: int = 60, rate: float = 0.08, l2: float = 1e-6, sequences: int = 2500, length: int = 40, seed: int = 3) -> LanguageField:
+    def fit(
+        cls, texts: list[tuple[str, list[str]]], epochs: int = 60, rate: float = 0.08, l2: float = 1e-6, sequences: int = 2500, length: int = 40,
+        seed: int = 3
+    ) -> LanguageField:
         """texts: label and words of each."""
         labels = sorted({y for y, w in texts if w})
         k, rng = len(labels), np.random.default_rng(seed)
@@ -279,7 +282,9 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, bound: int = MAX_TRA
     share = F.coalesce(*[F.when(F.col("lang") == y, F.lit(min(1.0, 2.0 * each / n))) for y, n in sizes.items()])
     picked = train.where((F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30))) < share)
     # repeated ids count once, so there are no more rows than ids
-    sample = picked.groupBy("doc_id").agg(F.min_by("lang", F.struct("text", "lang")).alias("lang"), F.min("text").alias("text")).select("lang", "text", h.alias("h"))
+    sample = picked.groupBy("doc_id").agg(
+        F.min_by("lang", F.struct("text", "lang")).alias("lang"), F.min("text").alias("text")
+    ).select("lang", "text", h.alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -315,7 +320,11 @@ def predict(docs: DataFrame, model: LanguageField) -> DataFrame:
                 columns = [pa.array([list(r[j].items()) if j == 4 else r[j] for r in rows], type=k) for j, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "lang_pred", "score", "n_words", "n_switches", "shares"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double, n_words bigint, n_switches bigint, shares map<string,double>")
+    return (
+        arrow_map(
+            docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double, n_words bigint, n_switches bigint, shares map<string,double>"
+        )
+    )
 
 
 def label_words(docs: DataFrame, model: LanguageField) -> DataFrame:
@@ -331,7 +340,12 @@ def label_words(docs: DataFrame, model: LanguageField) -> DataFrame:
             for t in b.column(1):
                 own = words_of(t.as_py())
                 p = tag([t.as_py()])[0] if len(labels) > 1 else np.ones((len(own), len(labels)))
-                out.append([{"word": w, "label": labels[int(x.argmax())] if labels else UNKNOWN, "p": float(x.max(initial=0.0))} for w, x in zip(own, p, strict=True)])
+                out.append(
+                    [
+                        {"word": w, "label": labels[int(x.argmax())] if labels else UNKNOWN, "p": float(x.max(initial=0.0))} for w,
+                        x in zip(own, p, strict=True)
+                    ]
+                )
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, type=words)], names=["doc_id", "words"])
 
     return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, words array<struct<word: string, label: string, p: double>>")

@@ -37,7 +37,9 @@ _CACHE = 400_000
 
 def word_terms(word: str) -> list[int]:
     """Hashes of the word and of its proper prefixes."""
-    return [zlib.crc32(word.encode("utf-8", "surrogatepass"))] + [zlib.crc32(b"^" + word[:k].encode("utf-8", "surrogatepass")) for k in PREFIXES if len(word) > k]
+    return [zlib.crc32(word.encode("utf-8", "surrogatepass"))] + [
+        zlib.crc32(b"^" + word[:k].encode("utf-8", "surrogatepass")) for k in PREFIXES if len(word) > k
+    ]
 
 
 def words_of(text: str | None) -> set[str]:
@@ -56,7 +58,9 @@ class FactorizationMachine:
     factors: np.ndarray
 
     @classmethod
-    def fit(cls, docs: list[np.ndarray], y: np.ndarray, k: int = 6, epochs: int = 250, rate: float = 0.05, prior: float = 0.03, weight: float = 2.0, seed: int = 5) -> FactorizationMachine:
+    def fit(
+        cls, docs: list[np.ndarray], y: np.ndarray, k: int = 6, epochs: int = 250, rate: float = 0.05, prior: float = 0.03, weight: float = 2.0, seed: int = 5
+    ) -> FactorizationMachine:
         """docs: sorted hashes of each document's terms. Rows of label 1 count ``weight`` times, as they are the rarer.
 
         ``prior`` is the penalty against the summed loss, so its part of the mean loss shrinks as rows are added.
@@ -141,7 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_terms(t.as_py()).tobytes() for t in b.column(1)], type=pa.binary())], names=["label", "terms"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([text_terms(t.as_py()).tobytes() for t in b.column(1)], type=pa.binary())], names=["label", "terms"]
+            )
 
     rows = arrow_map(sample, run, "label int, terms binary").collect()
     return FactorizationMachine.fit([np.frombuffer(r[1], dtype=np.uint32) for r in rows], np.array([r[0] for r in rows], dtype=np.float64))

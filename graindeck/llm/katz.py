@@ -40,8 +40,9 @@ from graindeck.llm.common import Run, arrow_map, fold_of, released, runs_of, tri
 
 #: Words of the longest n-gram, and counts that Good-Turing discounts reach to.
 ORDER, REACH = 3, 5
-#: Tokens of a chunk, realms that a chunk deals to, and chunks whose n-grams meet in one step.
-CHUNK_TOKENS, FAN, GROUP = 500_000, 64, 512
+#: Tokens of a chunk, realms that a chunk deals to, and chunks whose n-grams meet in one step (a task holds those of
+#: GROUP / FAN chunks, at any number of levels).
+CHUNK_TOKENS, FAN, GROUP = 500_000, 64, 320
 #: Contexts whose n-grams are dealt by their word too: those with more than this share of the tokens, so at most HEAVY.
 HEAVY = 65_536
 #: Slopes of the line through the counts of counts: what a corpus of words can have.
@@ -439,9 +440,9 @@ def _exchange(run: Run, sends: DataFrame, order: int, model: Model, sources: int
     def gathered(df: DataFrame, grp: Column) -> DataFrame:
         return df.withColumn("grp", grp.cast("bigint")).repartition(max(least, fan), "grp").sortWithinPartitions("grp")
 
-    levels = []
-    while sources > group:
-        sources = -(-sources // group)
+    levels, most = [], group
+    while sources > most:
+        sources, most = -(-sources // most), fan  # what is merged is dealt to fan realms, so fan of them are as much again
         met = F.col("realm") * F.lit(1 << 32) + F.pmod(F.xxhash64("src"), F.lit(sources))
         merged = run.stored(arrow_map(gathered(sends, met), _merge(len(levels) + 1, fan), _ROW), f"merged{order}")
         sends = merged.where(kind != _MAP)
@@ -667,20 +668,29 @@ def _heavy_sums(answers: DataFrame) -> Sums:
                 columns = [unpacked(r["a"]), *unpacked(r["b"]).reshape(-1, REACH).T, unpacked(r["c"]), unpacked(r["d"], np.float64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", *[f"r{i}" for i in range(REACH)], "more", "below"])
 
-    parts = arrow_map(answers.where(F.col("kind") == _HEAVY), run, "key bigint, " + ", ".join(f"r{i} bigint" for i in range(REACH)) + ", more bigint, below double")
+    parts = arrow_map(
+        answers.where(F.col("kind") == _HEAVY), run, "key bigint, " + ", ".join(f"r{i} bigint" for i in range(REACH)) + ", more bigint, below double"
+    )
     # in the order of the values, so that a sum of doubles does not depend on partitions
     sums = parts.groupBy("key").agg(*[F.sum(f"r{i}") for i in range(REACH)], F.sum("more"), F.array_sort(F.collect_list("below")))
     rows = sorted(sums.collect())
     if not rows:
         return Sums()
-    return Sums(np.array([r[0] for r in rows]), np.array([r[1 : REACH + 1] for r in rows]), np.array([r[REACH + 1] for r in rows]), np.array([sum(r[REACH + 2]) for r in rows]))
+    return Sums(
+        np.array([r[0] for r in rows]), np.array([r[1 : REACH + 1] for r in rows]), np.array([r[REACH + 1] for r in rows]),
+        np.array([sum(r[REACH + 2]) for r in rows])
+    )
 
 
-def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = ORDER, chunk_tokens: int = CHUNK_TOKENS, fan: int = FAN, group: int = GROUP) -> DataFrame:
+def score(
+    docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = ORDER, chunk_tokens: int = CHUNK_TOKENS, fan: int = FAN, group: int = GROUP
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (Katz), log10."""
     with Run(docs.sparkSession) as run:
         model, known = learned(run, docs, modulus, held_out, order, chunk_tokens, fan, group)
-        schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+        schema = (
+            f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+        )
         return run.result(arrow_map(known, _score(model, order, fan), schema), "katz")
 
 

@@ -44,11 +44,16 @@ def _fill(nodes: DataFrame, parent: list[str], budget: str) -> DataFrame:
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parent)
     out = nodes.withColumn("fill", fill)
-    out = out.withColumn("full_cap", F.coalesce(F.sum("cap").over(before), F.lit(0)).cast("double")).withColumn("open_w", F.sum("w").over(w.rowsBetween(0, Window.unboundedFollowing)))
+    out = out.withColumn(
+        "full_cap", F.coalesce(F.sum("cap").over(before), F.lit(0)).cast("double")
+    ).withColumn("open_w", F.sum("w").over(w.rowsBetween(0, Window.unboundedFollowing)))
     out = out.withColumn("level", F.when(F.col("open_w") > 0, (F.col(budget) - F.col("full_cap")) / F.col("open_w")))
     # the first node whose own fill is not below the level of those still open sets the level
     out = out.withColumn("line", F.min(F.when((F.col("level") <= F.col("fill")) & (F.col("w") > 0), F.struct("fill", "name", "level"))).over(whole)["level"])
-    return out.withColumn("share", F.when(F.col("w") > 0, F.least(F.col("cap").cast("double"), F.coalesce(F.col("line"), F.lit(float("inf"))) * F.col("w"))).otherwise(F.lit(0.0))).drop("fill", "full_cap", "open_w", "level", "line")
+    return out.withColumn(
+        "share",
+        F.when(F.col("w") > 0, F.least(F.col("cap").cast("double"), F.coalesce(F.col("line"), F.lit(float("inf"))) * F.col("w"))).otherwise(F.lit(0.0))
+    ).drop("fill", "full_cap", "open_w", "level", "line")
 
 
 def weight_column(level: str, weights: dict[str, float]) -> Column:
@@ -65,7 +70,9 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], budget: Col
     shares = None
     for depth, level in enumerate(LEVELS):
         path = list(LEVELS[: depth + 1])
-        nodes = tree.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("name", F.col(level)).withColumn("w", weight_column(level, weights.get(level, {})))
+        nodes = tree.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("name", F.col(level)).withColumn(
+            "w", weight_column(level, weights.get(level, {}))
+        )
         if shares is None:
             nodes = nodes.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one")
             dealt = _fill(nodes, ["one"], "budget").drop("one")
@@ -82,7 +89,10 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], b
     """
     with Run(docs.sparkSession) as run:
         text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-        rows = docs.select("doc_id", text(domain).alias("domain"), text(F.col("lang")).alias("lang"), text(F.col("source")).alias("source"), token_count(F.col("text")).alias("n_tokens"))
+        rows = docs.select(
+            "doc_id", text(domain).alias("domain"), text(F.col("lang")).alias("lang"), text(F.col("source")).alias("source"),
+            token_count(F.col("text")).alias("n_tokens")
+        )
         rows = run.stored(rows.where(F.col("n_tokens") > 0), "mix")
         leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows"))
         shares = run.stored(budgets(leaves, weights, budget, epochs), "shares").select(*LEVELS, F.col("n_tokens").alias("leaf_tokens"), "n_rows", "share")

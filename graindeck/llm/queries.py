@@ -18,7 +18,12 @@ MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.5, 2, 20
 
 def domain() -> Column:
     """The tables have no domains: sources are dealt to four by their number."""
-    return F.concat(F.lit("d"), (F.coalesce(F.try_to_number(F.regexp_extract(F.coalesce("source", F.lit("")), r"([0-9]{1,9})$", 1), F.lit("999999999")), F.lit(0)).cast("int") % 4).cast("string"))
+    return F.concat(
+        F.lit("d"),
+        (
+            F.coalesce(F.try_to_number(F.regexp_extract(F.coalesce("source", F.lit("")), r"([0-9]{1,9})$", 1), F.lit("999999999")), F.lit(0)).cast("int") % 4
+        ).cast("string")
+    )
 
 
 def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +75,10 @@ def op10_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_rule_ensemble, op2_hierarchical_mix, op3_chosen_path_join, op4_crf_language, op5_factorization_toxicity, op6_risk_rules, op7_markov_secrets, op8_wu_manber, op9_katz_backoff, op10_license_minhash]
+    found = [
+        op1_rule_ensemble, op2_hierarchical_mix, op3_chosen_path_join, op4_crf_language, op5_factorization_toxicity, op6_risk_rules, op7_markov_secrets,
+        op8_wu_manber, op9_katz_backoff, op10_license_minhash
+    ]
     return {f.__name__: f for f in found}
 
 

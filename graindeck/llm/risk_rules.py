@@ -63,7 +63,10 @@ def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     t = t.withColumn("_s", F.when(twice, F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     item = lambda i: F.element_at("_s", i)
     same = lambda i, j: item(i)["h"] == item(j)["h"]
-    repeated = F.filter(F.sequence(F.lit(1), F.size("_s")), lambda i: F.when(i > 1, same(i, i - 1)).otherwise(F.lit(False)) | F.when(i < F.size("_s"), same(i, i + 1)).otherwise(F.lit(False)))
+    repeated = F.filter(
+        F.sequence(F.lit(1), F.size("_s")),
+        lambda i: F.when(i > 1, same(i, i - 1)).otherwise(F.lit(False)) | F.when(i < F.size("_s"), same(i, i + 1)).otherwise(F.lit(False))
+    )
     t = t.withColumn("_p", F.when(F.col("_s").isNotNull(), F.sort_array(F.transform(repeated, lambda i: item(i)["i"]))))
     start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("p"))
     covered = F.aggregate("_p", start, lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["p"])).alias("n"), p.alias("p")))["n"]
@@ -72,7 +75,10 @@ def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def rule_columns() -> dict[str, Column]:
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return {"symbol_rate": per("n_symbols", "word_chars"), "dup_line_rate": per("n_dup_lines", "n_words"), "repeat_rate": per("n_repeat_words", "n_words"), "upper_rate": per("n_upper", "word_chars")}
+    return {
+        "symbol_rate": per("n_symbols", "word_chars"), "dup_line_rate": per("n_dup_lines", "n_words"), "repeat_rate": per("n_repeat_words", "n_words"),
+        "upper_rate": per("n_upper", "word_chars")
+    }
 
 
 def log_gamma(x: Column) -> Column:
@@ -112,19 +118,25 @@ def held_out() -> Column:
 
 def cutoffs(run: Run, counts: DataFrame, labels: DataFrame, label: str = "quality", risk: float = 0.05, level: float = 0.05) -> DataFrame:
     """A row for each stratum with a rule that is on: stratum, and the cutoff of each rule, null where it is off."""
-    one = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
+    one = labels.select(
+        "doc_id", F.col(label).cast("int").alias("y")
+    ).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     held = counts.where(~base_failed() & ~held_out()).join(one, "doc_id").select(stratum(), "text_hash", "y", *[c.alias(r) for r, c in rule_columns().items()])
     texts = held.groupBy("stratum", "text_hash").agg(F.max("y").alias("y"), *[F.first(r).alias(r) for r in RULES])
     value = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("x")) for r in RULES])).alias("v")
     good, bad = F.col("y") != 0, F.col("y") == 0
     over = lambda side, g: F.count_if(side & (F.col("v.x") > g))
     tried = F.array(*[F.struct(F.lit(g).alias("g"), over(good, g).alias("lost"), over(bad, g).alias("caught")) for g in GRID])
-    table = texts.select("stratum", "y", value).groupBy("stratum", F.col("v.rule").alias("rule")).agg(F.count_if(good).alias("good"), F.count_if(bad).alias("bad"), tried.alias("tried"))
+    table = texts.select("stratum", "y", value).groupBy("stratum", F.col("v.rule").alias("rule")).agg(
+        F.count_if(good).alias("good"), F.count_if(bad).alias("bad"), tried.alias("tried")
+    )
     table = run.stored(table, "tried")
     tests = table.agg(F.greatest(F.lit(1), F.count("*") * len(GRID))).scalar()
     each = table.select("stratum", "rule", "good", "bad", F.explode("tried").alias("t")).select("*", "t.*")
     gain = F.col("caught") / F.greatest(F.lit(1), F.col("bad")) - LOSS * F.col("lost") / F.col("good")
-    each = each.where("good > 0").withColumn("gain", gain).where((F.col("gain") > 0) & admissible(F.col("lost"), F.col("good"), risk / len(RULES), level / tests))
+    each = each.where("good > 0").withColumn("gain", gain).where(
+        (F.col("gain") > 0) & admissible(F.col("lost"), F.col("good"), risk / len(RULES), level / tests)
+    )
     best = each.groupBy("stratum", "rule").agg(F.max_by("g", F.struct("gain", "g")).alias("g"))
     return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("g"))).alias(f"cut_{r}") for r in RULES])
 
@@ -146,4 +158,7 @@ def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", risk: floa
     for r, c in rule_columns().items():
         rejected = rejected | F.coalesce(c > F.col(f"cut_{r}"), F.lit(False))
     out = counts.withColumn("stratum", stratum()).join(found, "stratum", "left")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
+        (~base_failed() & ~rejected).alias("kept")
+    )

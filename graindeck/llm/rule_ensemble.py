@@ -48,7 +48,9 @@ def statistics(text: str | None) -> list[float]:
     same = sum(map(bytes.__eq__, words, words[1:]))
     return [
         float(n), sum(map(len, words)) / max(n, 1), share["symbols"], share["marks"], share["upper"], share["digits"], share["letters"],
-        len(counts) / max(n, 1), max(counts.values(), default=0) / max(n, 1), 1 - len(set(lines)) / max(len(lines), 1), n / max(len(lines), 1), same / max(n, 1),
+        len(counts) / max(n, 1), max(
+            counts.values(), default=0
+        ) / max(n, 1), 1 - len(set(lines)) / max(len(lines), 1), n / max(len(lines), 1), same / max(n, 1),
     ]
 
 

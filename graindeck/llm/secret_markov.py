@@ -93,12 +93,18 @@ def random_strings(n: int, seed: int = 7) -> list[str]:
 
 #: Words of names in code, ordinary in any corpus.
 COMMON = (
-    "access account action address application argument array attribute block buffer build button cache channel character check class client code collection color column command "
-    "comment component config configuration connection content context control count current database date default definition description detail directory document element error event "
-    "example exception expression factory field file filter format from function global group handler header height helper identifier image index information input instance interface "
-    "international internal item label language layout length level library list local location manager message method model module name network number object operation option order "
-    "output package page parameter parent password path pattern position process property provider query range record reference region register relation request resource response result "
-    "section security selection sequence server service session setting source state status storage string structure style system table target template text thread time transaction "
+    "access account action address application argument array attribute block buffer build button cache channel character check class client code "
+    "collection color column command "
+    "comment component config configuration connection content context control count current database date default definition description detail "
+    "directory document element error event "
+    "example exception expression factory field file filter format from function global group handler header height helper identifier image index "
+    "information input instance interface "
+    "international internal item label language layout length level library list local location manager message method model module name network number "
+    "object operation option order "
+    "output package page parameter parent password path pattern position process property provider query range record reference region register relation "
+    "request resource response result "
+    "section security selection sequence server service session setting source state status storage string structure style system table target template "
+    "text thread time transaction "
     "transform translation type update user utility validation value variable version view width window worker"
 ).split()
 
@@ -156,7 +162,10 @@ class MarkovScanner:
     def fit(cls, secrets: list[str], words: list[str], least: float = 0.25, false_rate: float = 0.001) -> MarkovScanner:
         """The cutoff of each of BANDS is passed by a share ``false_rate`` of other ordinary samples of its lengths, and
         not below ``least``."""
-        ordinary = lambda n, seed: [*joined_words(words, n, seed), *joined_words(COMMON, n // 2, seed + 1), *plain_strings(words, n // 4, seed + 2), *plain_strings(COMMON, n // 4, seed + 3)]
+        ordinary = lambda n, seed: [
+            *joined_words(words, n, seed), *joined_words(COMMON, n // 2, seed + 1), *plain_strings(words, n // 4, seed + 2),
+            *plain_strings(COMMON, n // 4, seed + 3)
+        ]
         out = cls(transition_model(random_strings(4000) + secrets), transition_model(ordinary(8000, 8) + words), ())
         others: list[list[float]] = [[] for _ in BANDS]
         for x in ordinary(20000, 11):
@@ -260,9 +269,17 @@ def scan(docs: DataFrame, model: MarkovScanner) -> DataFrame:
                     n[i].append(sum(k == i for _, k, _ in every))
                 digest.append(hashlib.sha256(written(base).encode()).hexdigest())
                 spans.append(written(every))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, type=pa.int64()) for x in n], pa.array(digest, type=pa.string()), pa.array(spans, type=pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"])
-
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_markov bigint, base_sha256 string, spans string")
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *[pa.array(x, type=pa.int64()) for x in n], pa.array(digest, type=pa.string()), pa.array(spans, type=pa.string())],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"]
+            )
+
+    return (
+        arrow_map(
+            docs.select("doc_id", "text"), run,
+            f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_markov bigint, base_sha256 string, spans string"
+        )
+    )
 
 
 def redact(docs: DataFrame, model: MarkovScanner) -> DataFrame:

@@ -211,7 +211,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, table_bytes: i
             columns = [b.column(0), *numbers, pa.array(digests, type=pa.string()), pa.array([r[3] for r in rows], type=pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    return (
+        arrow_map(
+            docs.select("doc_id", "text"), run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+        )
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, table_bytes: int = TABLE_BYTES, share: int = 20) -> DataFrame:

@@ -30,7 +30,9 @@ def auc(score, y):
 
 def test_fold(spark):
     df = spark.createDataFrame([(5,), (None,), (123456789,)], "doc_id long")
-    assert [r[0] for r in df.select(fold("doc_id", 7)).collect()] == [fold_of(x, 7) for x in (5, None, 123456789)] == [zlib.crc32(s) % 7 for s in (b"5", b"", b"123456789")]
+    assert [
+        r[0] for r in df.select(fold("doc_id", 7)).collect()
+    ] == [fold_of(x, 7) for x in (5, None, 123456789)] == [zlib.crc32(s) % 7 for s in (b"5", b"", b"123456789")]
 
 
 @pytest.mark.parametrize("name,label,least", [("op1_rule_ensemble", "quality", 0.95), ("op5_factorization_toxicity", "toxic", 0.85)])
@@ -43,7 +45,9 @@ def test_held_out(spark, name, label, least):
 
 def test_language_held_out(spark):
     out = queries.op4_crf_language(spark, MID)
-    r = out.join(spark.read.parquet(f"{MID}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
+    r = out.join(
+        spark.read.parquet(f"{MID}/documents.parquet").select("doc_id", "lang"), "doc_id"
+    ).where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
     assert r[0] > 0.97
 
 
@@ -75,8 +79,13 @@ def test_words_take_the_language_around_them(spark):
 
 
 def edge(spark):
-    rows = [(1, None, "en", "a"), (2, "", None, None), (3, " \n\t", "en", "a"), (4, "x " * 50_000, "en", "a"), (5, "plain words here", "en", "a"), (5, "plain words here", "en", "a"), (None, "idiot", "en", "a"), (7, "12 34 !?", "de", "b")]
-    return spark.createDataFrame(rows, DOCS).withColumns({"score": F.lit("x"), "held_out": F.lit(1), "label": F.lit(0), "n_words": F.lit("z"), "h": F.lit(1), "chunk": F.lit(3)})
+    rows = [
+        (1, None, "en", "a"), (2, "", None, None), (3, " \n\t", "en", "a"), (4, "x " * 50_000, "en", "a"), (5, "plain words here", "en", "a"),
+        (5, "plain words here", "en", "a"), (None, "idiot", "en", "a"), (7, "12 34 !?", "de", "b")
+    ]
+    return spark.createDataFrame(rows, DOCS).withColumns(
+        {"score": F.lit("x"), "held_out": F.lit(1), "label": F.lit(0), "n_words": F.lit("z"), "h": F.lit(1), "chunk": F.lit(3)}
+    )
 
 
 def empty(spark):
@@ -137,9 +146,13 @@ def test_statistics_equal_brute_force(spark):
         share = lambda keep: sum(len(c.encode()) for c in t if keep(c)) / size
         repeated = sum(x == y for x, y in zip(words, words[1:], strict=False))
         want = [
-            len(words), sum(len(w.encode()) for w in words) / max(1, len(words)), share(lambda c: c in "#*$%&|<>"), share(lambda c: "!" <= c <= "~" and not c.isalnum()),
+            len(words), sum(len(w.encode()) for w in words) / max(1, len(words)), share(lambda c: c in "#*$%&|<>"), share(
+                lambda c: "!" <= c <= "~" and not c.isalnum()
+            ),
             share(lambda c: "A" <= c <= "Z"), share(lambda c: "0" <= c <= "9"), share(lambda c: c.isascii() and c.isalpha() or ord(c) > 127),
-            len(set(words)) / max(1, len(words)), max(Counter(words).values(), default=0) / max(1, len(words)), 1 - len(set(lines)) / max(1, len(lines)), len(words) / max(1, len(lines)), repeated / max(1, len(words)),
+            len(set(words)) / max(1, len(words)), max(
+                Counter(words).values(), default=0
+            ) / max(1, len(words)), 1 - len(set(lines)) / max(1, len(lines)), len(words) / max(1, len(lines)), repeated / max(1, len(words)),
         ]
         assert rule_ensemble.statistics(text) == pytest.approx(want), t[:80]
 
@@ -339,8 +352,10 @@ def katz_corpus():
     return texts + ["unseen words", None, "", "é É \x0b x", " ".join(["long w1"] * 900)] + ["the same words in each of them"] * 9
 
 
-@pytest.mark.parametrize("order,chunk,fan,group", [(2, 10_000, 64, 512), (3, 10_000, 64, 512), (3, 40, 4, 512), (3, 20, 2, 4), (4, 60, 3, 2), (1, 60, 3, 2)])
-@pytest.mark.parametrize("heavy", [65_536, 12])
+@pytest.mark.parametrize(
+    "order,chunk,fan,group,heavy",
+    [(1, 60, 3, 2, 65_536), (2, 10_000, 64, 512, 65_536), (3, 10_000, 8, 512, 12), (3, 40, 4, 512, 65_536), (3, 20, 2, 4, 12), (4, 60, 3, 2, 12)],
+)
 def test_katz_equals_definition(spark, monkeypatch, order, chunk, fan, group, heavy):
     """One step and several levels, with and without contexts that are dealt by their words."""
     monkeypatch.setattr(katz, "HEAVY", heavy)

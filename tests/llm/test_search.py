@@ -86,7 +86,13 @@ def test_join_equals_brute_force(spark):
     assert joined(spark, rows) == brute_join(rows)
 
 
-@pytest.mark.parametrize("small,pivots,block,shingles,sets", [(3, 1024, 1024, 4_000_000, 4096), (3, 2, 1024, 4_000_000, 4096), (4, 3, 2, 4_000_000, 4096), (256, 1024, 1024, 600, 4096), (256, 1024, 1024, 4_000_000, 3)])
+@pytest.mark.parametrize(
+    "small,pivots,block,shingles,sets",
+    [
+        (3, 1024, 1024, 4_000_000, 4096), (3, 2, 1024, 4_000_000, 4096), (4, 3, 2, 4_000_000, 4096), (256, 1024, 1024, 600, 4096),
+        (256, 1024, 1024, 4_000_000, 3)
+    ]
+)
 def test_join_splits_and_blocks(spark, monkeypatch, small, pivots, block, shingles, sets):
     """Salted parts, recursion, blocks of pivots and of sets, at sizes that make small data use them."""
     for name, value in (("SMALL", small), ("PIVOTS", pivots), ("BLOCK", block), ("BLOCK_SHINGLES", shingles), ("BLOCK_SETS", sets)):
@@ -132,7 +138,10 @@ def test_a_large_bucket_of_near_copies(spark):
 
 def test_one_of_each_judges_rows_that_share_an_id(spark):
     words = " ".join(f"w{i}" for i in range(60))
-    rows = [(3, words), (5, words + " more"), (5, "a text of its own, not like the others"), (5, "a text of its own, not like the others"), (5, None), (5, None), (8, words.upper()), (None, words), (None, "only here"), (9, "only here")]
+    rows = [
+        (3, words), (5, words + " more"), (5, "a text of its own, not like the others"), (5, "a text of its own, not like the others"), (5, None), (5, None),
+        (8, words.upper()), (None, words), (None, "only here"), (9, "only here")
+    ]
     df = clash(spark.createDataFrame(rows, "doc_id long, text string")).repartition(3)
     kept = chosen_path.one_of_each(df)
     assert kept.columns == df.columns
@@ -182,7 +191,10 @@ def test_join_null_ids(spark):
     rows = [*chain, (None, "p q r"), (None, "P q, r"), (None, None), (None, ""), (7, "far off from all of it")]
     df = clash(spark.createDataFrame(rows, "doc_id long, text string"))
     got = [tuple(r) for r in chosen_path.join(df).select("doc_id", "class_id", "n_copies", "n_links").collect()]
-    want = [(1, 1, 1, 1), (None, 1, 2, 2), (None, 1, 2, 2), (2, 1, 1, 1), (None, None, 2, 0), (None, None, 2, 0), (None, None, 1, 0), (None, None, 1, 0), (7, 7, 1, 0)]
+    want = [
+        (1, 1, 1, 1), (None, 1, 2, 2), (None, 1, 2, 2), (2, 1, 1, 1), (None, None, 2, 0), (None, None, 2, 0), (None, None, 1, 0), (None, None, 1, 0),
+        (7, 7, 1, 0)
+    ]
     assert sorted(got, key=str) == sorted(want, key=str)
     kept = chosen_path.one_of_each(df)
     found = kept.collect()
@@ -231,13 +243,19 @@ def test_windows_equal_brute_force(spark, table_bytes):
     rng = random.Random(1)
     item = lambda n: " ".join(rng.choice("ab") for _ in range(n))
     items = [(1, item(20)), (2, item(13)), (30, item(5)), (4, "Zebra"), (5, None), (6, "?!"), (7, item(15)), (7, item(15)), (8, "Ünder the x")]
-    docs = [(i, " ".join(rng.choice("abab") for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(100, None), (101, ""), (102, "a zebra; ünder THE x"), (103, items[0][1] + " c " * 400), (105, "a b " * 12_000), (104, items[0][1].upper().replace(" ", "--"))]
+    docs = [(i, " ".join(rng.choice("abab") for _ in range(rng.randint(0, 60)))) for i in range(40)] + [
+        (100, None), (101, ""), (102, "a zebra; ünder THE x"), (103, items[0][1] + " c " * 400), (105, "a b " * 12_000),
+        (104, items[0][1].upper().replace(" ", "--"))
+    ]
     assert scanned(spark, docs, items, table_bytes=table_bytes) == brute_windows(docs, items)
 
 
 def test_windows_on_the_table(spark):
     sf = "/root/testdata/sf0.001"
-    docs, items = ([tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    docs, items = (
+        [tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(k, "text").collect()] for t,
+        k in (("documents", "doc_id"), ("benchmark", "item_id"))
+    )
     assert {r.doc_id: tuple(r)[1:] for r in queries.op8_wu_manber(spark, sf).collect()} == brute_windows(docs, items)
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert wu_manber.clean(d, b).count() == sum(not v[4] for v in brute_windows(docs, items).values())
@@ -247,7 +265,10 @@ def test_windows_on_the_table(spark):
 @pytest.mark.parametrize("table_bytes", [1 << 20, 60])
 def test_clean_judges_rows_in_place(spark, table_bytes):
     items = [(i, " ".join(f"k{i}n{j}" for j in range(14))) for i in range(3)]
-    docs = [(None, items[0][1]), (None, "fine"), (5, items[2][1]), (5, "fine too"), (6, items[1][1] + " c" * 300), (7, " ".join(items[i][1] + " c" * 150 for i in range(3)))]
+    docs = [
+        (None, items[0][1]), (None, "fine"), (5, items[2][1]), (5, "fine too"), (6, items[1][1] + " c" * 300),
+        (7, " ".join(items[i][1] + " c" * 150 for i in range(3)))
+    ]
     d = clash(spark.createDataFrame(docs, "doc_id long, text string"))
     out = wu_manber.clean(d, spark.createDataFrame(items, "item_id long, text string"), table_bytes=table_bytes)
     assert out.columns == d.columns and sorted(r.text for r in out.collect()) == sorted(["fine", "fine too", docs[4][1]])
@@ -263,7 +284,9 @@ def test_shared_windows_and_small_tables(spark):
     assert len(table.shift) == 256 and len(table.begin) == 301
     for _, t in docs:
         w = wu_manber.words_of(t)
-        assert [s for s, _ in table.search(w)] == [i for i in range(len(w) - 12) if w[i : i + 13] in [x[j : j + 13] for x in map(wu_manber.words_of, [t for _, t in items]) for j in (0, 1)]]
+        assert [s for s, _ in table.search(w)] == [
+            i for i in range(len(w) - 12) if w[i : i + 13] in [x[j : j + 13] for x in map(wu_manber.words_of, [t for _, t in items]) for j in (0, 1)]
+        ]
 
 
 # Quality rules
@@ -281,7 +304,9 @@ def brute_counts(t):
 
 def test_counts_equal_brute_force(spark):
     rng = random.Random(2)
-    texts = [None, "", "  \n ", "a", "x " * 7, "x " * 8, "x " * 9, "é 😀 # \x0b b|c", "l\nl\n \nl", "a\x0db\n" * 3] + [" ".join(rng.choice("ab") for _ in range(rng.randint(5, 60))) for _ in range(60)] + ["y z " * 20_000]
+    texts = [
+        None, "", "  \n ", "a", "x " * 7, "x " * 8, "x " * 9, "é 😀 # \x0b b|c", "l\nl\n \nl", "a\x0db\n" * 3
+    ] + [" ".join(rng.choice("ab") for _ in range(rng.randint(5, 60))) for _ in range(60)] + ["y z " * 20_000]
     df = clash(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS))
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in risk_rules.with_counts(df, ["doc_id"]).collect()}
     assert got == {i: brute_counts(t) for i, t in enumerate(texts)}
@@ -337,7 +362,9 @@ def test_binomial_bound(spark):
     for p in {c[2] for c in cases}:
         for r in df.where(F.col("p") == p).select("k", "n", risk_rules.binomial_cdf(F.col("k"), F.col("n"), p).alias("got")).collect():
             assert r.got == pytest.approx(sum(math.comb(r.n, j) * p**j * (1 - p) ** (r.n - j) for j in range(r.k + 1)), rel=1e-8)
-    x = spark.createDataFrame([(0, 300), (0, 298), (10**6, 10**9)], "k long, n long").select(risk_rules.admissible(F.col("k"), F.col("n"), 0.01, F.lit(0.05))).collect()
+    x = spark.createDataFrame([(0, 300), (0, 298), (10**6, 10**9)], "k long, n long").select(
+        risk_rules.admissible(F.col("k"), F.col("n"), 0.01, F.lit(0.05))
+    ).collect()
     assert [r[0] for r in x] == [True, False, True]
 
 
@@ -346,7 +373,11 @@ def test_binomial_bound(spark):
 
 def test_licenses(spark):
     apache = license_minhash.NOTICES[1][1]
-    docs = [(1, None), (2, ""), (3, "words " * 300 + apache + " more words" * 300), (4, "Released under the MIT License. And: " + "filler text " * 50 + "Licensed under CC BY-NC 4.0."), (5, "the license of this work"), (6, apache.upper().replace(" ", "\n * ")), (7, "x " * 60_000), (7, "released  UNDER the mit license")]
+    docs = [
+        (1, None), (2, ""), (3, "words " * 300 + apache + " more words" * 300),
+        (4, "Released under the MIT License. And: " + "filler text " * 50 + "Licensed under CC BY-NC 4.0."), (5, "the license of this work"),
+        (6, apache.upper().replace(" ", "\n * ")), (7, "x " * 60_000), (7, "released  UNDER the mit license")
+    ]
     df = clash(spark.createDataFrame(docs, "doc_id long, text string"))
     got = sorted((r.doc_id, r.licenses) for r in license_minhash.scan(df).collect())
     assert got == [(1, ""), (2, ""), (3, "Apache-2.0"), (4, "CC-BY-NC-4.0,MIT"), (5, ""), (6, "Apache-2.0"), (7, ""), (7, "MIT")]
@@ -388,7 +419,10 @@ def test_licenses_equal_brute_force(spark):
 
 def test_license_lines_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    lines = {"Apache-2.0": "licensed under the apache license, version 2.0.", "MIT": "released under the mit license.", "CC-BY-NC-4.0": "licensed under cc by-nc 4.0.", "GPL-3.0": "this work is licensed under the gnu general public license, version 3."}
+    lines = {
+        "Apache-2.0": "licensed under the apache license, version 2.0.", "MIT": "released under the mit license.",
+        "CC-BY-NC-4.0": "licensed under cc by-nc 4.0.", "GPL-3.0": "this work is licensed under the gnu general public license, version 3."
+    }
     found = {r.doc_id: r.licenses.split(",") for r in license_minhash.scan(docs).where("n_licenses > 0").collect()}
     for name, line in lines.items():
         ids = {r.doc_id for r in docs.where(F.lower("text").contains(line)).select("doc_id").collect()}
@@ -493,8 +527,12 @@ def test_pipeline(spark):
 
 def odd_documents(spark):
     rows = [
-        (1, None, "en", "src0"), (2, "", None, None), (3, " \n\t", "en", "src1"), (4, "x " * 60_000, "en", "src0"), (5, "plain words in a short text", "en", "src2"), (5, "plain words in a short text", "en", "src2"),
-        (None, "plain words in a short text", "en", "src2"), (None, "nobody has this one", "de", "src3"), (7, "the key is token=abcdef123456 here", "de", "src3"), (8, "the key is token=abcdef123456 here", "de", "src3"),
+        (1, None, "en", "src0"), (2, "", None, None), (3, " \n\t", "en", "src1"), (4, "x " * 60_000, "en", "src0"), (
+            5, "plain words in a short text", "en", "src2"
+        ), (5, "plain words in a short text", "en", "src2"),
+        (None, "plain words in a short text", "en", "src2"), (None, "nobody has this one", "de", "src3"), (
+            7, "the key is token=abcdef123456 here", "de", "src3"
+        ), (8, "the key is token=abcdef123456 here", "de", "src3"),
         (9, "tail " * 30 + "é😀 ½", "fr", "src9999999999"), (9, "another text with the same id", "fr", ""),
     ]
     return clash(spark.createDataFrame(rows, DOCS)).withColumn("score", F.lit("x")).withColumn("_set", F.lit(1))
@@ -515,7 +553,9 @@ def test_stages_on_odd_tables(spark, tmp_path):
         if name in ("toxicity", "decontamination"):
             assert rows == every
         elif name == "secrets":
-            assert [i for i, _ in rows] == [i for i, _ in every] and sum(t is None for _, t in rows) == 1 and not any("abcdef123456" in (t or "") for _, t in rows)
+            assert [i for i, _ in rows] == [i for i, _ in every] and sum(t is None for _, t in rows) == 1 and not any(
+                "abcdef123456" in (t or "") for _, t in rows
+            )
         elif name == "near_duplicates":
             assert [i for i, _ in rows] == ["1", "2", "3", "4", "5", "7", "9", "9", "None"]
         else:
@@ -543,6 +583,8 @@ def test_pipeline_equals_its_operators(spark):
     texts = {i: secret_markov.redacted(t, model.spans(t)[1]) for i, t in kept.items()}
     weights = queries.MIX_WEIGHTS
     number = lambda s: int((re.search(r"[0-9]{1,9}$", s or "") or ["999999999"])[0]) % 4
-    leaves = [(i, f"d{number(rows[i].source)}", rows[i].lang or "", rows[i].source or "", len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in texts.items()]
+    leaves = [
+        (i, f"d{number(rows[i].source)}", rows[i].lang or "", rows[i].source or "", len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in texts.items()
+    ]
     want = brute_mix(leaves, weights, queries.MIX_SHARE, queries.MIX_EPOCHS, queries.MIX_SEED)
     assert {r.doc_id: r.copies for r in corpus_pipeline.run(spark, sf).collect()} == want and len(want) > 20
