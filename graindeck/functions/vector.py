@@ -27,4 +27,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_distance(a: Column, b: Column) -> Column:
     """M3."""
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
+    return F.sqrt(
+        F.aggregate(
+            F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x
+        )
+    )

@@ -66,7 +66,9 @@ def pareto_frontier(df: DataFrame, loss: str, recall: str) -> DataFrame:
     best = best.withColumn("best_before", F.max("best_here").over(before("range").orderBy(loss))).join(F.broadcast(tops), "range")
     best = best.withColumn("best_before", F.greatest("best_before", "top_before")).drop("range", "top_before")
     out = df.join(best, loss)
-    return out.where((F.col(recall) == F.col("best_here")) & (F.col("best_before").isNull() | (F.col("best_before") < F.col(recall)))).drop("best_here", "best_before")
+    return out.where(
+        (F.col(recall) == F.col("best_here")) & (F.col("best_before").isNull() | (F.col("best_before") < F.col(recall)))
+    ).drop("best_here", "best_before")
 
 
 def ranking(df: DataFrame, eligible: str, order: list[Column], fall_back: bool = False) -> DataFrame:
@@ -78,10 +80,14 @@ def ranking(df: DataFrame, eligible: str, order: list[Column], fall_back: bool =
 
 def config_difference(a: DataFrame, b: DataFrame, path: str = "path", value: str = "value") -> DataFrame:
     """Leaf paths of two flattened configurations that differ or are on one side only."""
-    left, right = a.select(path, F.col(value).alias("left_value"), F.lit(True).alias("l")), b.select(path, F.col(value).alias("right_value"), F.lit(True).alias("r"))
+    left, right = a.select(path, F.col(value).alias("left_value"), F.lit(True).alias("l")), b.select(
+        path, F.col(value).alias("right_value"), F.lit(True).alias("r")
+    )
     out = left.join(right, path, "full")
     kind = F.when(F.col("r").isNull(), "left only").when(F.col("l").isNull(), "right only").otherwise("differs")
-    return out.where(F.col("l").isNull() | F.col("r").isNull() | ~F.col("left_value").eqNullSafe(F.col("right_value"))).select(path, "left_value", "right_value", kind.alias("kind"))
+    return out.where(
+        F.col("l").isNull() | F.col("r").isNull() | ~F.col("left_value").eqNullSafe(F.col("right_value"))
+    ).select(path, "left_value", "right_value", kind.alias("kind"))
 
 
 def flattened(tree: dict, above: str = "") -> dict[str, str]:

@@ -12,7 +12,9 @@ from graindeck.functions.vector import cosine, l2_distance, unit
 def distances(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Cosine, cosine distance and L2 distance of the unit vectors of each row."""
     u = pairs.withColumn("ua", unit(F.col(a))).withColumn("ub", unit(F.col(b)))
-    return u.withColumn("cosine", cosine(F.col("ua"), F.col("ub"))).withColumn("cosine_distance", 1 - F.col("cosine")).withColumn("l2", l2_distance(F.col("ua"), F.col("ub"))).drop("ua", "ub")
+    return u.withColumn("cosine", cosine(F.col("ua"), F.col("ub"))).withColumn("cosine_distance", 1 - F.col("cosine")).withColumn(
+        "l2", l2_distance(F.col("ua"), F.col("ub"))
+    ).drop("ua", "ub")
 
 
 def distribution(value: str) -> list[Column]:
@@ -31,7 +33,9 @@ def fractions_above(value: str, thresholds: tuple[float, ...] = (1e-4, 1e-3, 1e-
 
 
 def drift_summary(pairs: DataFrame, a: str, b: str, *by: str) -> DataFrame:
-    return distances(pairs, a, b).groupBy(*by).agg(F.count("*").alias("n"), *distribution("cosine_distance"), *distribution("l2"), *fractions_above("cosine_distance"))
+    return distances(pairs, a, b).groupBy(*by).agg(
+        F.count("*").alias("n"), *distribution("cosine_distance"), *distribution("l2"), *fractions_above("cosine_distance")
+    )
 
 
 def parity(pairs: DataFrame, name: str, reference: str, observed: str, atol: float, rtol: float) -> DataFrame:
@@ -39,4 +43,7 @@ def parity(pairs: DataFrame, name: str, reference: str, observed: str, atol: flo
     r, o = F.col(reference).cast("double"), F.col(observed).cast("double")
     err = F.abs(r - o)
     least = max(atol, 2.220446049250313e-16)
-    return pairs.groupBy(name).agg(F.max(err).alias("max_abs"), F.max(err / F.greatest(F.abs(r), F.lit(least))).alias("max_rel"), F.bool_and(err <= atol + rtol * F.abs(o)).alias("close"))
+    return pairs.groupBy(name).agg(
+        F.max(err).alias("max_abs"), F.max(err / F.greatest(F.abs(r), F.lit(least))).alias("max_rel"),
+        F.bool_and(err <= atol + rtol * F.abs(o)).alias("close")
+    )

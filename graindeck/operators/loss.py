@@ -12,7 +12,9 @@ def _logits(rows: DataFrame, batch: str, pos: str, a: str, b: str, group: str, s
     """Scaled scores of every pair of a batch; batches have a bounded size, and a batch is one join key."""
     left = rows.select(batch, F.col(pos).alias("i"), F.col(a).alias("va"), F.col(group).alias("gi"))
     right = rows.select(batch, F.col(pos).alias("j"), F.col(b).alias("vb"), F.col(group).alias("gj"))
-    return left.join(right, batch).select(batch, "i", "j", (F.col("gi") == F.col("gj")).alias("positive"), (dot(F.col("va"), F.col("vb")) * scale).alias("logit"))
+    return left.join(right, batch).select(
+        batch, "i", "j", (F.col("gi") == F.col("gj")).alias("positive"), (dot(F.col("va"), F.col("vb")) * scale).alias("logit")
+    )
 
 
 def _cross_entropy(pairs: DataFrame, batch: str, row: str, objective: str) -> DataFrame:

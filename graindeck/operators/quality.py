@@ -42,10 +42,14 @@ def rounded_percentiles(df: DataFrame, value: str, fractions: dict[str, float],
     c = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
     if by:
         w = Window.partitionBy(*by).orderBy(value)
-        c = c.withColumn("_upto", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
+        c = c.withColumn(
+            "_upto", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ).withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
     else:  # over ranges, as one group would be one task
         total = c.agg(F.sum("_n")).scalar()
-        c = running_sum(c.where(F.col(value).isNotNull()), value, "_n", "_before").withColumn("_upto", F.col("_before") + F.col("_n")).withColumn("_total", total)
+        c = running_sum(
+            c.where(F.col(value).isNotNull()), value, "_n", "_before"
+        ).withColumn("_upto", F.col("_before") + F.col("_n")).withColumn("_total", total)
     place = {k: F.bround((F.col("_total") - 1) * F.lit(f), 0) for k, f in fractions.items()}
     return c.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") > p, F.col(value))).alias(k) for k, p in place.items()])
 
@@ -54,7 +58,9 @@ def group_sizes(df: DataFrame, key: Column) -> DataFrame:
     """AG9: one row: groups, singletons, p50 and p95 (AG6), largest."""
     sizes = df.groupBy(digest(key).alias("key")).agg(F.count("*").alias("size"))
     p = rounded_percentiles(sizes, "size", {"p50": 0.5, "p95": 0.95})
-    return sizes.agg(F.count("*").alias("n_groups"), F.count_if(F.col("size") == 1).alias("n_singletons"), F.max("size").alias("largest")).select("*", *[p.select(c).scalar().alias(c) for c in p.columns])
+    return sizes.agg(
+        F.count("*").alias("n_groups"), F.count_if(F.col("size") == 1).alias("n_singletons"), F.max("size").alias("largest")
+    ).select("*", *[p.select(c).scalar().alias(c) for c in p.columns])
 
 
 def size_histogram(df: DataFrame, key: Column) -> DataFrame:
@@ -77,7 +83,9 @@ def audit_overlap(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> D
     """A row for each key: pairs and the verdict clear or overlap."""
     out = None
     for k in keys:
-        one = overlap_counts(left, right, k).agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs")).select(F.lit(k).alias("key"), "n_pairs", F.when(F.col("n_pairs") > 0, "overlap").otherwise("clear").alias("status"))
+        one = overlap_counts(left, right, k).agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs")).select(
+            F.lit(k).alias("key"), "n_pairs", F.when(F.col("n_pairs") > 0, "overlap").otherwise("clear").alias("status")
+        )
         out = one if out is None else out.union(one)
     return out
 
@@ -125,7 +133,9 @@ def resolve_references(refs: DataFrame, files: DataFrame, ref: str, path: str) -
     by_name = files.select(path).distinct().groupBy(base(F.col(path)).alias("name")).agg(F.count("*").alias("n_files"), F.min(path).alias("any_file"))
     out = refs.join(by_path, refs[ref] == by_path["direct"], "left").withColumn("name", base(F.col(ref))).join(by_name, "name", "left")
     status = F.when(F.col("direct").isNotNull() | (F.col("n_files") == 1), "resolved").when(F.col("n_files") > 1, "ambiguous").otherwise("missing")
-    return out.withColumn("status", status).withColumn("file", F.when(F.col("status") == "resolved", F.coalesce("direct", "any_file"))).drop("direct", "n_files", "any_file", "name")
+    return out.withColumn("status", status).withColumn(
+        "file", F.when(F.col("status") == "resolved", F.coalesce("direct", "any_file"))
+    ).drop("direct", "n_files", "any_file", "name")
 
 
 def edges_not_reciprocal(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -136,9 +146,13 @@ def edges_not_reciprocal(a: DataFrame, b: DataFrame) -> DataFrame:
 def restore_groups(rows: DataFrame, references: DataFrame, extras: list[str]) -> DataFrame:
     """Rows (path, caption, group_id) joined to reference groups; the reference's own image is marked, and an
     image that the reference names with another group is an error."""
-    groups = references.groupBy("group_id").agg(F.min_by(F.struct("ord", F.col("image").alias("ref_image"), F.col("caption").alias("ref_caption"), *extras), F.struct("ord")).alias("ref"))
+    groups = references.groupBy("group_id").agg(
+        F.min_by(F.struct("ord", F.col("image").alias("ref_image"), F.col("caption").alias("ref_caption"), *extras), F.struct("ord")).alias("ref")
+    )
     out = rows.join(groups, "group_id").withColumn("reference_representative", F.col("path") == F.col("ref.ref_image"))
-    wrong = rows.join(references.select(F.col("image").alias("path"), F.col("group_id").alias("ref_group")), "path").where("group_id <> ref_group").limit(1).collect()
+    wrong = rows.join(
+        references.select(F.col("image").alias("path"), F.col("group_id").alias("ref_group")), "path"
+    ).where("group_id <> ref_group").limit(1).collect()
     if wrong:
         raise ConstraintError(f"an image has another caption than its reference: {wrong[0]['path']}")
     return out

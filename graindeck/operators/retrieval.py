@@ -33,7 +33,9 @@ def checked_size(rows: DataFrame, name: str) -> tuple[int, int]:
     """Bytes of the vectors as doubles, and their dimension. Empty tables, empty vectors, several dimensions and numbers
     that are not finite are errors."""
     bad = F.exists("vec", lambda x: ~finite(x))
-    n, low, high, broken, total = rows.agg(F.count("*"), F.min(F.size("vec")), F.max(F.size("vec")), F.count_if(F.coalesce(bad, F.lit(True))), F.sum(F.size("vec"))).first()
+    n, low, high, broken, total = rows.agg(
+        F.count("*"), F.min(F.size("vec")), F.max(F.size("vec")), F.count_if(F.coalesce(bad, F.lit(True))), F.sum(F.size("vec"))
+    ).first()
     if not n or broken or low != high or low < 1:
         raise ConstraintError(f"{name}: {n} vectors of {low} to {high} numbers, {broken} of them null or not finite")
     return 8 * total, low
@@ -112,7 +114,9 @@ def _in_grid(queries: DataFrame, candidates: DataFrame, exclude_self: bool, base
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
     # new names, as both sides may come from one table
-    dealt = candidates.select(F.col("idx").alias("c_idx"), F.col("grp").alias("c_grp"), F.col("vec").alias("c_vec"), block("idx", columns).alias("c_j"), every(rows).alias("c_i"))
+    dealt = candidates.select(
+        F.col("idx").alias("c_idx"), F.col("grp").alias("c_grp"), F.col("vec").alias("c_vec"), block("idx", columns).alias("c_j"), every(rows).alias("c_i")
+    )
 
     def cells(asking: DataFrame):
         asking = asking.withColumn("i", block("qid", rows)).withColumn("j", every(columns))
@@ -128,9 +132,13 @@ def _in_grid(queries: DataFrame, candidates: DataFrame, exclude_self: bool, base
         n = _ahead(q, q["top"].to_numpy(), q["at"].to_numpy(), _columns(c), exclude_self) if len(c) else 0
         return pd.DataFrame({"qid": q["qid"], "grp": q["grp"], "at": q["at"], "n": n})
 
-    tops = cells(queries).applyInPandas(best, f"{base}, top double, at bigint").groupBy("qid").agg(F.max_by(F.struct("top", "at"), F.struct("top", (-F.col("at")).alias("first"))).alias("b"))
+    tops = cells(queries).applyInPandas(best, f"{base}, top double, at bigint").groupBy("qid").agg(
+        F.max_by(F.struct("top", "at"), F.struct("top", (-F.col("at")).alias("first"))).alias("b")
+    )
     found = cells(queries.join(tops.select("qid", "b.*"), "qid")).applyInPandas(ahead, f"{base}, at bigint, n bigint")
-    return found.groupBy("qid", "grp", "at").agg(F.sum("n").alias("n")).select("qid", "grp", F.when(F.col("at") >= 0, F.col("n") + 1).cast("bigint").alias("rank"))
+    return found.groupBy("qid", "grp", "at").agg(F.sum("n").alias("n")).select(
+        "qid", "grp", F.when(F.col("at") >= 0, F.col("n") + 1).cast("bigint").alias("rank")
+    )
 
 
 def _hit(k: int) -> Column:
@@ -142,7 +150,9 @@ def _hit(k: int) -> Column:
 def recall_summary(ranks: DataFrame, *by: str) -> DataFrame:
     """AG11: queries, Recall@1, 5, 10 (a hit is any positive), lower median and mean rank."""
     at = [F.avg(_hit(k)).alias(f"r{k}") for k in (1, 5, 10)]
-    return ranks.groupBy(*by).agg(F.count("*").alias("n_queries"), *at, lower_median("rank").cast("long").alias("median_rank"), F.avg("rank").alias("mean_rank"))
+    return ranks.groupBy(*by).agg(
+        F.count("*").alias("n_queries"), *at, lower_median("rank").cast("long").alias("median_rank"), F.avg("rank").alias("mean_rank")
+    )
 
 
 def mean_recall(summary: DataFrame) -> DataFrame:
@@ -175,7 +185,9 @@ def classify(df: DataFrame, protos: DataFrame, key: str, label: str, vec: str) -
         raise ConstraintError(f"more than {MAX_CLASSES} classes")
     every = protos.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("cls"), "proto")))).scalar()
     scores = F.transform(F.col("classes"), lambda c: F.struct(dot(F.col("v"), c["proto"]).alias("s"), (-c["cls"]).alias("c")))
-    return df.select(key, F.col(label).alias("truth"), F.col(vec).alias("v"), every.alias("classes")).select(key, "truth", (-F.array_max(scores)["c"]).alias("predicted"))
+    return df.select(
+        key, F.col(label).alias("truth"), F.col(vec).alias("v"), every.alias("classes")
+    ).select(key, "truth", (-F.array_max(scores)["c"]).alias("predicted"))
 
 
 def accuracy(pred: DataFrame) -> tuple[DataFrame, DataFrame]:

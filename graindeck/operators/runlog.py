@@ -14,7 +14,10 @@ def series_summary(log: DataFrame, run: str, step: str, value: str, window: int
     """
     rows = log.select(run, F.col(step).alias("s"), F.col(value).alias("v"))
     parts = [run, F.pmod(F.xxhash64("s"), F.lit(32))]
-    base = rows.groupBy(run).agg(F.count("*").alias("n"), F.min_by("v", "s").alias("first_value"), F.max_by("v", "s").alias("last_value"), F.min("v").alias("min_value"), F.max("v").alias("max_value"))
+    base = rows.groupBy(run).agg(
+        F.count("*").alias("n"), F.min_by("v", "s").alias("first_value"), F.max_by("v", "s").alias("last_value"), F.min("v").alias("min_value"),
+        F.max("v").alias("max_value")
+    )
 
     def end(order: Column, name: str) -> DataFrame:
         near = rows.withColumn("i", F.row_number().over(Window.partitionBy(*parts).orderBy(order))).where(F.col("i") <= window)
@@ -32,7 +35,9 @@ def argmin_step(log: DataFrame, run: str, step: str, value: str) -> DataFrame:
 def change_from_start(log: DataFrame, run: str, step: str, value: str) -> DataFrame:
     """AG20: best less first value, absolute and relative to the first."""
     a = log.groupBy(run).agg(F.min_by(value, step).alias("start_value"), F.min(value).alias("best_value"))
-    return a.withColumn("change", F.col("best_value") - F.col("start_value")).withColumn("relative_change", F.try_divide(F.col("best_value") - F.col("start_value"), F.col("start_value")))
+    return a.withColumn("change", F.col("best_value") - F.col("start_value")).withColumn(
+        "relative_change", F.try_divide(F.col("best_value") - F.col("start_value"), F.col("start_value"))
+    )
 
 
 def running_best(log: DataFrame, run: str, step: str, value: str) -> DataFrame:
@@ -59,7 +64,9 @@ def step_gaps(log: DataFrame, run: str, step: str, last: int | None, every: int,
     """Expected steps that are missing, and steps not expected."""
     want = expected_steps(log, run, step, last, every, terminal)
     have = log.select(run, F.col(step).cast("long").alias(step)).distinct()
-    return want.join(have, [run, step], "left_anti").withColumn("kind", F.lit("missing")).unionByName(have.join(want, [run, step], "left_anti").withColumn("kind", F.lit("unexpected")))
+    return want.join(have, [run, step], "left_anti").withColumn("kind", F.lit("missing")).unionByName(
+        have.join(want, [run, step], "left_anti").withColumn("kind", F.lit("unexpected"))
+    )
 
 
 def not_increasing(log: DataFrame, run: str, order: str, step: str) -> DataFrame:

@@ -49,10 +49,12 @@ def least_per_group(df: DataFrame, group: str, *order: str) -> DataFrame:
 
 
 def split_by_group(df: DataFrame, group: Column, validation: int, seed: int) -> DataFrame:
-    """H1 split: the ``validation`` groups of smallest priority go to val, all rows of a group together."""
-    keyed = df.withColumn("group_key", group)
-    held = keyed.select("group_key").distinct().withColumn("priority", priority(seed, F.col("group_key"))).orderBy("priority", "group_key").limit(validation).select("group_key", F.lit(True).alias("held"))
-    return keyed.join(held, "group_key", "left").withColumn("split", F.when(F.col("held"), "val").otherwise("train")).drop("held")
+    """H1 split: the ``validation`` groups of smallest priority go to val, all rows of a group together; a null group stays
+    in train. A group is known by its priority, a digest of its name, so long names are not shuffled."""
+    keyed = df.withColumn("group_priority", priority(seed, group))
+    held = keyed.select("group_priority").where("group_priority is not null").distinct().orderBy("group_priority").limit(validation)
+    marked = keyed.join(held.withColumn("held", F.lit(True)), "group_priority", "left")
+    return marked.withColumn("split", F.when(F.col("held"), "val").otherwise("train")).drop("held", "group_priority")
 
 
 def prefix(df: DataFrame, order: str, n: int, rule: Column | None = None) -> DataFrame:
@@ -102,7 +104,9 @@ class Claims:
             self.held[k].update(v)
 
 
-def greedy_quota(candidates: DataFrame, targets: dict[str, int], splits: tuple[str, ...] = ("train", "val"), most: int = 1_000_000) -> tuple[list[dict], Counter]:
+def greedy_quota(
+    candidates: DataFrame, targets: dict[str, int], splits: tuple[str, ...] = ("train", "val"), most: int = 1_000_000
+) -> tuple[list[dict], Counter]:
     """Fill each split's places, half of them for short captions and then half for detailed ones, with the next
     candidates (split, priority, path, object, group, short, detail) that claim nothing an accepted one holds.
 
@@ -139,7 +143,9 @@ def rank_in_group(df: DataFrame, group: str, digest: str, key: str, name: str =
     sizes = part.groupBy(group, "part").agg(F.count("*").alias("size"))
     ahead = F.coalesce(F.sum("size").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     here = F.row_number().over(Window.partitionBy(group, "part").orderBy(digest, key)) - 1
-    return part.withColumn("here", here).join(sizes.select(group, "part", ahead.alias("ahead")), [group, "part"]).withColumn(name, F.col("ahead") + F.col("here")).drop("part", "here", "ahead")
+    return part.withColumn("here", here).join(
+        sizes.select(group, "part", ahead.alias("ahead")), [group, "part"]
+    ).withColumn(name, F.col("ahead") + F.col("here")).drop("part", "here", "ahead")
 
 
 def chunked_epoch(df: DataFrame, group: str, key: str, per_group: int, seed: int, epoch: int = 0) -> DataFrame:
@@ -147,8 +153,12 @@ def chunked_epoch(df: DataFrame, group: str, key: str, per_group: int, seed: int
 
     The global position is a rank over chunks, whose number is the rows' by ``per_group`` at least.
     """
-    rows = rank_in_group(df.withColumn("at", priority(f"{seed}:{epoch}", F.col(key))), group, "at", key).drop("at").withColumn("chunk", F.floor(F.col("rn") / per_group).cast("long"))
-    chunks = rows.groupBy(group, "chunk").agg(F.count("*").alias("size")).withColumn("place", priority(f"{seed}:{epoch}:chunk", F.concat_ws("\0", F.col(group).cast("string"), F.col("chunk").cast("string"))))
+    rows = rank_in_group(
+        df.withColumn("at", priority(f"{seed}:{epoch}", F.col(key))), group, "at", key
+    ).drop("at").withColumn("chunk", F.floor(F.col("rn") / per_group).cast("long"))
+    chunks = rows.groupBy(group, "chunk").agg(F.count("*").alias("size")).withColumn(
+        "place", priority(f"{seed}:{epoch}:chunk", F.concat_ws("\0", F.col(group).cast("string"), F.col("chunk").cast("string")))
+    )
     chunks = running_sum(chunks, "place", "size", "before")
     out = rows.join(chunks.select(group, "chunk", "before"), [group, "chunk"])
     return out.withColumn("pos", F.col("before") + F.col("rn") - F.col("chunk") * per_group).drop("rn", "before")
@@ -174,7 +184,9 @@ def running_sum(df: DataFrame, order: str, size: str, name: str) -> DataFrame:
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     offsets = sums.select("range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return part.withColumn("inside", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(F.broadcast(offsets), "range").withColumn(name, F.col("offset") + F.col("inside")).drop("range", "inside", "offset")
+    return part.withColumn(
+        "inside", F.coalesce(F.sum(size).over(inside), F.lit(0))
+    ).join(F.broadcast(offsets), "range").withColumn(name, F.col("offset") + F.col("inside")).drop("range", "inside", "offset")
 
 
 def batches(df: DataFrame, pos: str, size: int, drop_last: bool) -> DataFrame:
@@ -232,7 +244,9 @@ class EpochPosition:
 
     def __post_init__(self) -> None:
         numbers = (self.rows, self.batch_size, self.seed, self.epoch, self.offset)
-        if any(type(x) is not int for x in numbers) or type(self.drop_last) is not bool or min(self.rows, self.batch_size) < 1 or self.epoch < 0 or not 0 <= self.offset <= self.batches:
+        if any(
+            type(x) is not int for x in numbers
+        ) or type(self.drop_last) is not bool or min(self.rows, self.batch_size) < 1 or self.epoch < 0 or not 0 <= self.offset <= self.batches:
             raise ValueError(f"no position of a run: {self}")
 
     @property
@@ -259,7 +273,9 @@ def epoch_batches(df: DataFrame, key: str, at: EpochPosition) -> DataFrame:
     """ST3: the rows that are left of the position's epoch, with batch_no and slot: a seeded order of a unique key, ranked
     over ranges."""
     ranked = running_sum(df.withColumn("order_key", priority(f"{at.seed}:{at.epoch}", F.col(key))).withColumn("one", F.lit(1)), "order_key", "one", "pos")
-    out = ranked.drop("order_key", "one").withColumn("batch_no", F.floor(F.col("pos") / at.batch_size).cast("long")).withColumn("slot", (F.col("pos") % at.batch_size).cast("long"))
+    out = ranked.drop("order_key", "one").withColumn(
+        "batch_no", F.floor(F.col("pos") / at.batch_size).cast("long")
+    ).withColumn("slot", (F.col("pos") % at.batch_size).cast("long"))
     return out.drop("pos").where((F.col("batch_no") >= at.offset) & (F.col("batch_no") < at.batches))
 
 

@@ -30,7 +30,10 @@ def exact_steps(step: str, last: int, every: int) -> Column:
     return (F.count("*") == n) & (F.count_if(on) == n) & (F.countDistinct(step) == n)
 
 
-def stage_gate(reports: DataFrame, validation: DataFrame, evaluations: DataFrame, run: str, stage: int, every: int, last_stage: int, resumed_at: list[int], margin: float = 0.01, tolerance: float = 1e-12) -> DataFrame:
+def stage_gate(
+    reports: DataFrame, validation: DataFrame, evaluations: DataFrame, run: str, stage: int, every: int, last_stage: int, resumed_at: list[int],
+    margin: float = 0.01, tolerance: float = 1e-12
+) -> DataFrame:
     """A run at a stage of its training.
 
     reports (run, steps, completed, final_queue_size, best_step, resume_steps), validation (run, step, loss), evaluations
@@ -54,11 +57,16 @@ def stage_gate(reports: DataFrame, validation: DataFrame, evaluations: DataFrame
     out = reports.join(v, run, "left").join(e, run, "left")
     out = out.withColumn("own_change", F.col("own_now") - F.col("own_0")).withColumn("other_change", F.col("other_now") - F.col("official"))
     integrity = {
-        "report_describes_stage": (F.col("steps") == stage) & (F.col("completed") == F.lit(stage == last_stage)) & (F.col("final_queue_size") == 0) & (F.col("resume_steps") == F.array(*map(F.lit, resumed_at)).cast("array<bigint>")),
+        "report_describes_stage": (F.col("steps") == stage) & (F.col("completed") == F.lit(stage == last_stage)) & (F.col("final_queue_size") == 0) & (
+            F.col("resume_steps") == F.array(*map(F.lit, resumed_at)).cast("array<bigint>")
+        ),
         "validation_complete": F.col("steps_ok"), "best_step_agrees": F.col("best") == F.col("best_step"),
         "start_is_official": F.col("recalls_finite") & (F.abs(F.col("other_0") - F.col("official")) <= tolerance),
     }
-    checks = {"validation_improves": (F.col("loss_now") < F.col("loss_0")) & (F.col("best") != 0), "own_recall_rises": F.col("own_change") > 0, "other_recall_holds": F.col("other_change") >= -margin}
+    checks = {
+        "validation_improves": (F.col("loss_now") < F.col("loss_0")) & (F.col("best") != 0), "own_recall_rises": F.col("own_change") > 0,
+        "other_recall_holds": F.col("other_change") >= -margin
+    }
     return verdict(out, integrity, checks).select(run, "best", "own_change", "other_change", *integrity, *checks, "valid", "passed")
 
 
@@ -67,8 +75,12 @@ def final_gate(stages: DataFrame, run: str, expected: list[int]) -> DataFrame:
     each with checks whose conjunction is its verdict, and one commit; the verdict is that of all stages."""
     agrees = F.coalesce(F.forall(F.map_values("checks"), lambda x: x) == F.col("passed"), F.lit(False)) & (F.size("checks") > 0)
     out = stages.groupBy(run).agg(
-        (F.sort_array(F.collect_list("stage")) == F.sort_array(F.array(*map(F.lit, expected)).cast(dict(stages.dtypes)["stage"].join(("array<", ">"))))).alias("all_stages"),
-        F.bool_and(agrees).alias("verdicts_agree"), ((F.countDistinct("commit") == 1) & (F.count("commit") == F.count("*"))).alias("one_commit"), F.bool_and(F.coalesce("passed", F.lit(False))).alias("stages_pass"),
+        (
+            F.sort_array(F.collect_list("stage")) == F.sort_array(F.array(*map(F.lit, expected)).cast(dict(stages.dtypes)["stage"].join(("array<", ">"))))
+        ).alias("all_stages"),
+        F.bool_and(agrees).alias("verdicts_agree"), (
+            (F.countDistinct("commit") == 1) & (F.count("commit") == F.count("*"))
+        ).alias("one_commit"), F.bool_and(F.coalesce("passed", F.lit(False))).alias("stages_pass"),
     )
     integrity = {n: F.col(n) for n in ("all_stages", "verdicts_agree", "one_commit")}
     return verdict(out, integrity, {"stages_pass": F.col("stages_pass")}).select(run, *integrity, "stages_pass", "valid", "passed")
@@ -80,7 +92,9 @@ def seeds_gate(seeds: DataFrame, by: str, expected: list[int], *values: str) ->
     kind = dict(seeds.dtypes)["seed"]
     out = seeds.groupBy(by).agg(
         (F.sort_array(F.collect_list("seed")) == F.sort_array(F.array(*map(F.lit, expected)).cast(f"array<{kind}>"))).alias("all_seeds"),
-        ((F.countDistinct("protocol") == 1) & (F.count("protocol") == F.count("*"))).alias("one_protocol"), F.bool_and(F.coalesce("passed", F.lit(False))).alias("seeds_pass"),
+        (
+            (F.countDistinct("protocol") == 1) & (F.count("protocol") == F.count("*"))
+        ).alias("one_protocol"), F.bool_and(F.coalesce("passed", F.lit(False))).alias("seeds_pass"),
         *[f(v).alias(f"{v}_{n}") for v in values for n, f in (("mean", F.avg), ("std", F.stddev_samp))],
     )
     integrity = {n: F.col(n) for n in ("all_seeds", "one_protocol")}
@@ -93,14 +107,20 @@ def pilot_gate(reports: DataFrame, run: str, steps: int, target: int, allow_degr
     kinds = ["complete", "degraded"] if allow_degraded else ["complete"]
     integrity = {
         "cut_off": (F.col("steps") == steps) & (F.col("target_steps") == target) & ~F.col("completed"), "improvement_finite": finite(F.col("improvement")),
-        "best_agrees": F.col("best_step_agrees") & F.col("best_loss_agrees") & F.col("best_file_agrees"), "evidence_known": F.col("evidence").isin("complete", "degraded"),
+        "best_agrees": F.col("best_step_agrees") & F.col("best_loss_agrees") & F.col("best_file_agrees"), "evidence_known": F.col("evidence").isin(
+            "complete", "degraded"
+        ),
     }
     checks = {"improves": F.col("improvement") < 0, "evidence_suffices": F.col("evidence").isin(kinds)}
     out = verdict(reports, integrity, checks)
-    return out.select(run, *integrity, *checks, "valid", "passed", F.when(F.col("passed") & (F.col("evidence") == "degraded"), "degraded evidence").alias("warning"))
+    return out.select(
+        run, *integrity, *checks, "valid", "passed", F.when(F.col("passed") & (F.col("evidence") == "degraded"), "degraded evidence").alias("warning")
+    )
 
 
-def training_gate(metrics: DataFrame, summaries: DataFrame, validation: DataFrame, run: str, steps: int, target: int, validation_every: int, completed: bool) -> DataFrame:
+def training_gate(
+    metrics: DataFrame, summaries: DataFrame, validation: DataFrame, run: str, steps: int, target: int, validation_every: int, completed: bool
+) -> DataFrame:
     """A run's own records against each other.
 
     metrics (run, ord, step, loss, gradient_norm, logit_scale, peak_bytes), summaries (run, steps, target_steps, completed,
@@ -113,19 +133,27 @@ def training_gate(metrics: DataFrame, summaries: DataFrame, validation: DataFram
     number = lambda c: F.bool_and(finite(F.col(c)))
     gaps = metrics.select(run, "ord", "step").join(metrics.select(run, (F.col("ord") + 1).alias("ord"), F.col("step").alias("previous")), [run, "ord"])
     order = gaps.groupBy(run).agg(F.bool_and(F.col("step") > F.col("previous")).alias("rising"))
-    m = metrics.join(summaries.select(run, "log_every", "log_at_end", "device", "resume_steps"), run).withColumn("logged", F.col("step") % F.col("log_every") == 0)
+    m = metrics.join(
+        summaries.select(run, "log_every", "log_at_end", "device", "resume_steps"), run
+    ).withColumn("logged", F.col("step") % F.col("log_every") == 0)
     extra = F.col("log_at_end") & ((F.col("step") == steps) | F.array_contains(F.coalesce("resume_steps", F.array().cast("array<bigint>")), F.col("step")))
     inside = (F.col("step") > 0) & (F.col("step") <= steps)
     peak = F.when(F.col("peak_bytes").isNull(), F.col("device") == "cpu").otherwise(F.col("peak_bytes") > 0)
     m = m.groupBy(run).agg(
-        F.bool_and(inside & (F.col("logged") | extra)).alias("steps_allowed"), F.countDistinct(F.when(F.col("logged") & inside, F.col("step"))).alias("n_logged"), F.bool_or(F.col("step") == steps).alias("has_last"),
+        F.bool_and(inside & (F.col("logged") | extra)).alias("steps_allowed"), F.countDistinct(
+            F.when(F.col("logged") & inside, F.col("step"))
+        ).alias("n_logged"), F.bool_or(F.col("step") == steps).alias("has_last"),
         (number("loss") & number("gradient_norm") & number("logit_scale")).alias("metrics_finite"), F.bool_and(peak).alias("peaks_positive"), last,
     )
-    v = validation.where(F.col("step") <= steps).groupBy(run).agg((exact_steps("step", steps, validation_every) & number("loss")).alias("validation_complete"), F.min_by("step", F.struct("loss", "step")).alias("best"))
+    v = validation.where(F.col("step") <= steps).groupBy(run).agg(
+        (exact_steps("step", steps, validation_every) & number("loss")).alias("validation_complete"), F.min_by("step", F.struct("loss", "step")).alias("best")
+    )
     out = summaries.join(m, run, "left").join(v, run, "left").join(order, run, "left")
     skipped = F.col("all_applied_gradients_finite") & (F.col("skipped_optimizer_steps") > 0)
     integrity = {
-        "metric_steps": F.col("steps_allowed") & (F.col("n_logged") == F.floor(F.lit(steps) / F.col("log_every"))) & (~F.col("log_at_end") | F.col("has_last")) & F.coalesce("rising", F.lit(True)),
+        "metric_steps": F.col("steps_allowed") & (
+            F.col("n_logged") == F.floor(F.lit(steps) / F.col("log_every"))
+        ) & (~F.col("log_at_end") | F.col("has_last")) & F.coalesce("rising", F.lit(True)),
         "metrics_finite": F.col("metrics_finite"), "peaks_positive": F.col("peaks_positive"),
         "summary_steps": (F.col("steps") == steps) & (F.col("target_steps") == target) & (F.col("completed") == F.lit(completed)),
         "summary_finite": F.col("all_losses_finite") & (F.col("all_gradients_finite") | F.coalesce(skipped, F.lit(False))) & finite(F.col("final_loss")),

@@ -52,7 +52,9 @@ def text_audit(rows: DataFrame, context: int, preview: int = 20, length: Column
         raise ConstraintError("the manifest is empty")
     p = quality.rounded_percentiles(t, "n", {"p50": 0.5, "p95": 0.95, "max": 1.0}).first().asDict()
     worst = [r.asDict() for r in t.where(F.col("n") > context).orderBy("id").limit(preview).select("id", "n", "caption").collect()]
-    return {"records": a[0], "unique": a[1], "duplicates": a[0] - a[1], "duplicate_rate": (a[0] - a[1]) / a[0], "overflow": a[2], "lengths": p, "examples": worst}
+    return {
+        "records": a[0], "unique": a[1], "duplicates": a[0] - a[1], "duplicate_rate": (a[0] - a[1]) / a[0], "overflow": a[2], "lengths": p, "examples": worst
+    }
 
 
 def fitted(rows: DataFrame, context: int, first_sentence: bool = False) -> DataFrame:
@@ -70,7 +72,10 @@ def restored(rows: DataFrame, references: DataFrame, prefixes: Iterable[str]) ->
     keyed = rows.withColumn("group_id", T.normalized(F.col("caption"))).withColumn("ok", select.in_prefixes(F.col("path"), prefixes))
     known = references.select("group_id").distinct().withColumn("known", F.lit(True))
     marked = keyed.join(known, "group_id", "left")
-    n = marked.agg(F.count_if(F.expr("ok and known")).alias("eligible"), F.count_if(F.expr("not ok")).alias("excluded_prefix"), F.count_if(F.expr("ok and known is null")).alias("unknown_group")).first().asDict()
+    n = marked.agg(
+        F.count_if(F.expr("ok and known")).alias("eligible"), F.count_if(F.expr("not ok")).alias("excluded_prefix"),
+        F.count_if(F.expr("ok and known is null")).alias("unknown_group")
+    ).first().asDict()
     eligible = marked.where("ok and known").drop("ok", "known")
     out = quality.restore_groups(eligible, references, ["id"])
     if lost := references.join(out.where("reference_representative"), references["image"] == out["path"], "left_anti").limit(1).collect():
@@ -93,8 +98,12 @@ def mixed_candidates(rows: DataFrame, splits: DataFrame, seed: int) -> tuple[Dat
     n_short, n_detail = T.word_count(F.col("short")), T.word_count(F.col("detail"))
     # fixed values: names of the reasons, in the order that they are tried
     reason = select.first_reason(
-        ("missing_detail", F.coalesce(F.trim("detail"), F.lit("")) == ""), ("short_over_20_words", n_short > 20), ("detail_outside_12_50_words", ~n_detail.between(12, 50)),
-        ("detail_not_meaningfully_different", ~T.meaningfully_differs(F.col("short"), F.col("detail"))), ("object_in_both_original_splits", F.coalesce("crossing", F.lit(False))),
+        (
+            "missing_detail", F.coalesce(F.trim("detail"), F.lit("")) == ""
+        ), ("short_over_20_words", n_short > 20), ("detail_outside_12_50_words", ~n_detail.between(12, 50)),
+        (
+            "detail_not_meaningfully_different", ~T.meaningfully_differs(F.col("short"), F.col("detail"))
+        ), ("object_in_both_original_splits", F.coalesce("crossing", F.lit(False))),
     )
     judged = keyed.join(crossing, "object", "left").withColumn("reason", reason)
     kept = require(judged.where("reason is null"), {"group without a split": F.col("split").isNotNull()})

@@ -13,7 +13,9 @@ from graindeck.schema import ConstraintError
 
 def recovery_inventory(expected: DataFrame, retained: DataFrame, history: DataFrame, run: str, step: str) -> DataFrame:
     """Each expected checkpoint step: present, recoverable (named in the history) or lost."""
-    out = expected.join(retained.select(run, step).distinct().withColumn("kept", F.lit(True)), [run, step], "left").join(history.select(run, step).distinct().withColumn("noted", F.lit(True)), [run, step], "left")
+    out = expected.join(
+        retained.select(run, step).distinct().withColumn("kept", F.lit(True)), [run, step], "left"
+    ).join(history.select(run, step).distinct().withColumn("noted", F.lit(True)), [run, step], "left")
     return out.select(run, step, F.when(F.col("kept"), "present").when(F.col("noted"), "recoverable").otherwise("lost").alias("status"))
 
 
@@ -24,12 +26,22 @@ def verify_run(log: DataFrame, run: str, step: str, value: str, last: int | None
     unordered = runlog.not_increasing(log, run, step, step).groupBy(run).agg(F.count("*").alias("n_repeats"))
     base = log.groupBy(run).agg(F.count_if(~finite(F.col(value))).alias("n_bad"))
     out = base.join(change, run).join(gaps, run, "left").join(unordered, run, "left").na.fill(0, ["n_gaps", "n_repeats"])
-    return gate(out, {"values_finite": F.col("n_bad") == 0, "steps_complete": F.col("n_gaps") == 0, "steps_increase": F.col("n_repeats") == 0, "improves": F.col("change") < 0}, run)
+    return gate(
+        out,
+        {
+            "values_finite": F.col("n_bad") == 0, "steps_complete": F.col("n_gaps") == 0, "steps_increase": F.col("n_repeats") == 0,
+            "improves": F.col("change") < 0
+        },
+        run
+    )
 
 
 def downstream_summary(reports: DataFrame, model: str, dataset: str, value: str, asset: str) -> DataFrame:
     """Mean value by model, with every dataset seen once and one asset digest over all."""
-    return reports.groupBy(model).agg(F.count("*").alias("n_reports"), F.countDistinct(dataset).alias("n_datasets"), F.avg(value).alias("mean_value"), ((F.min(asset) == F.max(asset)) & (F.count(asset) == F.count("*"))).alias("same_assets"))
+    return reports.groupBy(model).agg(
+        F.count("*").alias("n_reports"), F.countDistinct(dataset).alias("n_datasets"), F.avg(value).alias("mean_value"),
+        ((F.min(asset) == F.max(asset)) & (F.count(asset) == F.count("*"))).alias("same_assets")
+    )
 
 
 def asset_inventory(files: DataFrame) -> DataFrame:

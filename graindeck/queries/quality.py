@@ -28,13 +28,19 @@ def caption_norm_dups(spark: SparkSession, d: str) -> DataFrame:
     return quality.most_common(_docs(spark, d), T.normalized(F.col("text")), "doc_id")
 
 
-@query(f"select count(*) as n_rows, count(distinct {N}) as n_distinct, count(*) - count(distinct {N}) as n_duplicates, round((count(*) - count(distinct {N})) / count(*), 6) as rate from documents")
+@query(
+    f"select count(*) as n_rows, count(distinct {N}) as n_distinct, count(*) - count(distinct {N}) as n_duplicates, round((count(*) - count(distinct {N})) "
+    f"/ count(*), 6) as rate from documents"
+)
 def duplicate_rate(spark: SparkSession, d: str) -> DataFrame:
     """AG2."""
     return rounded(quality.duplicate_rate(_docs(spark, d), T.normalized(F.col("text"))))
 
 
-@query(f"select source, count(*) as n_rows, count(distinct {N}) as n_distinct, count(*) - count(distinct {N}) as n_duplicates, round((count(*) - count(distinct {N})) / count(*), 6) as rate from documents group by source")
+@query(
+    f"select source, count(*) as n_rows, count(distinct {N}) as n_distinct, count(*) - count(distinct {N}) as n_duplicates, round((count(*) - "
+    f"count(distinct {N})) / count(*), 6) as rate from documents group by source"
+)
 def duplicate_rate_by_source(spark: SparkSession, d: str) -> DataFrame:
     """AG2 by source."""
     return rounded(quality.duplicate_rate(_docs(spark, d), T.normalized(F.col("text")), "source"))
@@ -42,7 +48,8 @@ def duplicate_rate_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with w as (select lang, len({WORDS}) as n from documents),
  r as (select lang, n, row_number() over (partition by lang order by n) - 1 as i, count(*) over (partition by lang) as c from w)
- select lang, max(case when i = cast(round_even((c - 1) * 0.5, 0) as bigint) then n end) as p50, max(case when i = cast(round_even((c - 1) * 0.95, 0) as bigint) then n end) as p95,
+ select lang, max(case when i = cast(round_even((c - 1) * 0.5, 0) as bigint) then n end) as p50, max(case when i = cast(round_even((c - 1) * 0.95, 0)
+  as bigint) then n end) as p95,
  max(case when i = cast(round_even((c - 1) * 0.99, 0) as bigint) then n end) as p99 from r group by lang""")
 def length_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """AG6, S6: word counts at rounded-index percentiles."""
@@ -50,8 +57,10 @@ def length_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quality.rounded_percentiles(df, "n_words", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, "lang")
 
 
-@query(f"""with g as (select count(*) as size from documents group by {N}), r as (select size, row_number() over (order by size) - 1 as i, count(*) over () as c from g)
- select count(*) as n_groups, count(*) filter (size = 1) as n_singletons, max(size) as largest, max(case when i = cast(round_even((c - 1) * 0.5, 0) as bigint) then size end) as p50,
+@query(f"""with g as (select count(*) as size from documents group by {N}), r as (select size, row_number() over (order by size) - 1 as i, count(*)
+  over () as c from g)
+ select count(*) as n_groups, count(*) filter (size = 1) as n_singletons, max(size) as largest, max(case when i = cast(round_even((c - 1) * 0.5, 0) as
+  bigint) then size end) as p50,
  max(case when i = cast(round_even((c - 1) * 0.95, 0) as bigint) then size end) as p95 from r""")
 def group_size_stats(spark: SparkSession, d: str) -> DataFrame:
     """AG9."""
@@ -70,10 +79,16 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return df.where(even == 0), df.where(even == 1)
 
 
-_SIDES = f"with k as (select doc_id, sha256({N}) as key, cast(regexp_extract(source, '(\\d+)$', 1) as int) % 2 as side from documents), l as (select * from k where side = 0), r as (select * from k where side = 1) "
+_SIDES = (
+    f"with k as (select doc_id, sha256({N}) as key, cast(regexp_extract(source, '(\\d+)$', 1) as int) % 2 as side from documents), l as (select * from k "
+    f"where side = 0), r as (select * from k where side = 1) "
+)
 
 
-@query(_SIDES + "select l.key, count(distinct l.doc_id) as n_left, count(distinct r.doc_id) as n_right, count(*) as n_pairs from l join r using (key) group by l.key")
+@query(
+    _SIDES
+    + "select l.key, count(distinct l.doc_id) as n_left, count(distinct r.doc_id) as n_right, count(*) as n_pairs from l join r using (key) group by l.key"
+)
 def overlap_between_sources(spark: SparkSession, d: str) -> DataFrame:
     """J1 as counts: texts that sources of even and of odd number share."""
     return quality.overlap_counts(*_sides(spark, d), "key")
@@ -91,7 +106,9 @@ def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
  select key, n_pairs, case when n_pairs > 0 then 'overlap' else 'clear' end as status from c""")
 def overlap_documents_benchmark(spark: SparkSession, d: str) -> DataFrame:
     """J2 over two keys, the raw and the normalised text; H5."""
-    keys = lambda df: df.select(F.sha2(F.encode("text", "UTF-8"), 256).alias("raw"), F.sha2(F.encode(T.normalized(F.col("text")), "UTF-8"), 256).alias("norm"))
+    keys = lambda df: df.select(
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("raw"), F.sha2(F.encode(T.normalized(F.col("text")), "UTF-8"), 256).alias("norm")
+    )
     return quality.audit_overlap(keys(_docs(spark, d)), keys(table(spark, d, "benchmark")), ("raw", "norm"))
 
 
@@ -117,7 +134,8 @@ def digest_exclusion_counts(spark: SparkSession, d: str) -> DataFrame:
     return removed.withColumnRenamed("count", "n")
 
 
-@query(f"""with r as (select page_id, regexp_extract(url, '([^/]+)$', 1) as name from pages), f as (select name, count(*) as n from (select distinct url, regexp_extract(url, '([^/]+)$', 1) as name from pages where page_id % 3 <> 0) group by name)
+@query(f"""with r as (select page_id, regexp_extract(url, '([^/]+)$', 1) as name from pages), f as (select name, count(*) as n from (select distinct
+  url, regexp_extract(url, '([^/]+)$', 1) as name from pages where page_id % 3 <> 0) group by name)
  select case when n = 1 then 'resolved' when n > 1 then 'ambiguous' else 'missing' end as status, count(*) as n from r left join f using (name) group by 1""")
 def reference_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Pages referred to by their last path part, files being the pages of other ids than multiples of 3."""
@@ -134,13 +152,17 @@ def token_overflow(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with w as (select doc_id, {WORDS} as w from documents)
- select doc_id, case when len(w) + 2 <= 20 then array_to_string(w, ' ') else regexp_replace(array_to_string(w[1:18], ' '), '[ ,;:]+$', '') end as fitted from w""")
+ select doc_id, case when len(w) + 2 <= 20 then array_to_string(w, ' ') else regexp_replace(array_to_string(w[1:18], ' '), '[ ,;:]+$', '') end as
+  fitted from w""")
 def fit_words(spark: SparkSession, d: str) -> DataFrame:
     """Whole words within a context of 20."""
     return _docs(spark, d).select("doc_id", T.fit_words(F.col("text"), 20).alias("fitted"))
 
 
-@query(r"select doc_id, trim(regexp_extract(trim(text, e' \t\n\r'), '^((?s:.*?)[.!?])(\s|$)', 1)) as sentence from documents where regexp_matches(trim(text, e' \t\n\r'), '[.!?](\s|$)')")
+@query(
+    r"select doc_id, trim(regexp_extract(trim(text, e' \t\n\r'), '^((?s:.*?)[.!?])(\s|$)', 1)) as sentence from documents where regexp_matches(trim(text, "
+    r"e' \t\n\r'), '[.!?](\s|$)')"
+)
 def first_sentence(spark: SparkSession, d: str) -> DataFrame:
     """S7, of texts with a sentence's end."""
     df = _docs(spark, d).where(F.col("text").rlike(r"[.!?](\s|$)"))
@@ -148,11 +170,14 @@ def first_sentence(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""with w as (select doc_id, lang, {C} as t, {WORDS} as w from documents)
- select coalesce(case when len(w) < 12 then 'short' when len(w) > 2000 then 'long' when not regexp_matches(t, '[.!?]') then 'no_sentence' when regexp_matches(t, '[#$%&*]') then 'symbols' end, 'kept') as reason, count(*) as n from w group by 1""")
+ select coalesce(case when len(w) < 12 then 'short' when len(w) > 2000 then 'long' when not regexp_matches(t, '[.!?]') then 'no_sentence' when
+  regexp_matches(t, '[#$%&*]') then 'symbols' end, 'kept') as reason, count(*) as n from w group by 1""")
 def filter_reason_counts(spark: SparkSession, d: str) -> DataFrame:
     """rows by the first rule that rejects them."""
     df = _docs(spark, d).select(T.word_count(F.col("text")).alias("n"), F.col("text").alias("t"))
-    reason = select.first_reason(("short", F.col("n") < 12), ("long", F.col("n") > 2000), ("no_sentence", ~F.col("t").rlike("[.!?]")), ("symbols", F.col("t").rlike("[#$%&*]")))
+    reason = select.first_reason(
+        ("short", F.col("n") < 12), ("long", F.col("n") > 2000), ("no_sentence", ~F.col("t").rlike("[.!?]")), ("symbols", F.col("t").rlike("[#$%&*]"))
+    )
     return df.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -160,7 +185,7 @@ def filter_reason_counts(spark: SparkSession, d: str) -> DataFrame:
  select doc_id, split from k where key not in (select key from k group by key having count(distinct split) > 1)""")
 def cross_split_object_exclusion(spark: SparkSession, d: str) -> DataFrame:
     """F8: texts that occur in one split only."""
-    df = _docs(spark, d).select("doc_id", T.normalized(F.col("text")).alias("key"), F.when(F.col("doc_id") % 10 == 0, "val").otherwise("train").alias("split"))
+    df = _docs(spark, d).select("doc_id", quality.digest(T.normalized(F.col("text"))).alias("key"), F.when(F.col("doc_id") % 10 == 0, "val").otherwise("train").alias("split"))
     return select.one_split_only(df, "key", "split").select("doc_id", "split")
 
 
@@ -174,7 +199,15 @@ def added_words(a: str, b: str) -> str:
     return f"list_filter(list_distinct(list_transform({new}, lambda w: trim(w, '{_MARKS}'))), lambda w: w not in ({_STOPS}))"
 
 
-@query("with t as (select c.conv_id, c.turn, " + NORM.format("c.text") + " as a, " + NORM.format("n.text") + " as b from conversations c join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1) select conv_id, turn, a <> b and len(" + added_words("a", "b") + ") >= 3 as differs from t")
+@query(
+    "with t as (select c.conv_id, c.turn, "
+    + NORM.format("c.text")
+    + " as a, "
+    + NORM.format("n.text")
+    + " as b from conversations c join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1) select conv_id, turn, a <> b and len("
+    + added_words("a", "b")
+    + ") >= 3 as differs from t"
+)
 def meaningful_difference(spark: SparkSession, d: str) -> DataFrame:
     """each turn against the next."""
     c = table(spark, d, "conversations")
@@ -186,7 +219,10 @@ def meaningful_difference(spark: SparkSession, d: str) -> DataFrame:
 def path_functions(spark: SparkSession, d: str) -> DataFrame:
     """Paths and ids of pages."""
     url = F.col("url")
-    return table(spark, d, "pages").select("page_id", T.plain_path(url).alias("path"), T.record_id(F.lit("pages"), url).alias("id"), F.regexp_replace(F.regexp_extract(url, "([^/]+)$", 1), r"\.[^.]*$", "").alias("stem"))
+    return table(spark, d, "pages").select(
+        "page_id", T.plain_path(url).alias("path"), T.record_id(F.lit("pages"), url).alias("id"),
+        F.regexp_replace(F.regexp_extract(url, "([^/]+)$", 1), r"\.[^.]*$", "").alias("stem")
+    )
 
 
 @query(f"select doc_id, sha256(text) as digest, len(sha256(text)) = 64 as valid from documents")
@@ -203,7 +239,8 @@ def content_checksums(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""with t as (select doc_id, """ + C + r""" || ' It shows: item ' || doc_id as t from documents)
- select doc_id, trim(regexp_extract(t, '(?i)(?:^|\s)It\s+shows\s*:\s*(.+?)\s*$', 1)) as summary, 'An aerial image. It shows: ' || trim(regexp_extract(t, '(?i)(?:^|\s)It\s+shows\s*:\s*(.+?)\s*$', 1)) as context from t""")
+ select doc_id, trim(regexp_extract(t, '(?i)(?:^|\s)It\s+shows\s*:\s*(.+?)\s*$', 1)) as summary, 'An aerial image. It shows: ' ||
+  trim(regexp_extract(t, '(?i)(?:^|\s)It\s+shows\s*:\s*(.+?)\s*$', 1)) as context from t""")
 def caption_modes(spark: SparkSession, d: str) -> DataFrame:
     """S3: summary and its context, of texts with a mark put on."""
     t = F.concat(T.collapsed(F.col("text")), F.lit(" It shows: item "), F.col("doc_id").cast("string"))

@@ -24,7 +24,10 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     """Documents as canonical rows; a blank text gets a caption of its own."""
     caption = F.when(T.stripped(F.coalesce("text", F.lit(""))) == "", F.concat(F.lit("blank "), "doc_id")).otherwise(F.col("text"))
     key = F.col("doc_id").cast("string")
-    return table(spark, d, "documents").select("doc_id", key.alias("id"), F.concat(key, F.lit(".jpg")).alias("image"), caption.alias("caption"), F.lit("val").alias("split"), F.coalesce("source", F.lit("none")).alias("source"))
+    return table(spark, d, "documents").select(
+        "doc_id", key.alias("id"), F.concat(key, F.lit(".jpg")).alias("image"), caption.alias("caption"), F.lit("val").alias("split"),
+        F.coalesce("source", F.lit("none")).alias("source")
+    )
 
 
 def _lines(df: DataFrame, order: str, at: str) -> str:
@@ -42,7 +45,10 @@ def write_file(spark: SparkSession, path: str, data: bytes) -> None:
 
 
 _CAPTION = r"case when trim(regexp_replace(coalesce(text, ''), '[\s\x0b\x1c-\x1f\x{85}\x{a0}]+', ' ', 'g')) = '' then 'blank ' || doc_id else text end"
-_BASE = f"with c as (select doc_id, cast(doc_id as varchar) as id, {_CAPTION} as caption, coalesce(source, 'none') as source, row_number() over (order by doc_id) - 1 as ord from documents) "
+_BASE = (
+    f"with c as (select doc_id, cast(doc_id as varchar) as id, {_CAPTION} as caption, coalesce(source, 'none') as source, row_number() over (order by "
+    f"doc_id) - 1 as ord from documents) "
+)
 
 
 @query(_BASE + "select ord, id, id || '.jpg' as image, md5(caption) as caption, source from c")
@@ -68,13 +74,17 @@ def scan_tolerant(spark: SparkSession, d: str) -> DataFrame:
     return manifests.read_jsonl_tolerant(spark, at, CANONICAL).groupBy(F.col("error").isNotNull().alias("broken")).agg(F.count("*").alias("n"))
 
 
-@query("""with t as (select conv_id, conv_id || ':' || turn as id from conversations), i as (select conv_id, row_number() over (order by cast(conv_id as varchar)) - 1 as image_idx from conversations group by conv_id)
+@query("""with t as (select conv_id, conv_id || ':' || turn as id from conversations), i as (select conv_id, row_number() over (order by cast(conv_id
+  as varchar)) - 1 as image_idx from conversations group by conv_id)
 select id, row_number() over (order by id) - 1 as idx, image_idx from t join i using (conv_id)""")
 def scan_multi_caption(spark: SparkSession, d: str) -> DataFrame:
     """SC2: conversations as images, turns as their captions; both numbered by id."""
     image = F.col("conv_id").cast("string")
     caption = F.concat(F.lit("turn "), F.col("turn").cast("string"))
-    rows = table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), image.alias("image_id"), F.concat(image, F.lit(".jpg")).alias("image"), caption.alias("caption"), F.lit("test").alias("split"), F.lit("talk").alias("source"))
+    rows = table(spark, d, "conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("id"), image.alias("image_id"), F.concat(image, F.lit(".jpg")).alias("image"), caption.alias("caption"),
+        F.lit("test").alias("split"), F.lit("talk").alias("source")
+    )
     _, captions = manifests.multi_caption(rows, "test")
     return captions.select("id", "idx", "image_idx")
 
@@ -83,12 +93,19 @@ def scan_multi_caption(spark: SparkSession, d: str) -> DataFrame:
 def scan_one_to_one(spark: SparkSession, d: str) -> DataFrame:
     """SC3: ids, images and captions that are all unique."""
     key = F.col("vec_id").cast("string")
-    rows = table(spark, d, "embeddings").select("vec_id", key.alias("id"), F.concat(key, F.lit(".png")).alias("image"), F.concat(F.lit("Vector "), key).alias("caption"), F.lit("Val").alias("split"), F.lit("vectors").alias("source"))
+    rows = table(spark, d, "embeddings").select(
+        "vec_id", key.alias("id"), F.concat(key, F.lit(".png")).alias("image"), F.concat(F.lit("Vector "), key).alias("caption"), F.lit("Val").alias("split"),
+        F.lit("vectors").alias("source")
+    )
     read = manifests.read_jsonl(spark, _lines(rows, "vec_id", new_folder(spark)))
     return manifests.one_to_one(read, "val", "vectors").select("id", "ord")
 
 
-@query(_BASE + f", g as (select {N.replace('text', 'caption')} as group_id, caption, ord from c) select md5(group_id) as group_id, md5(arg_min(caption, ord)) as caption, min(ord) as first from g group by 1")
+@query(
+    _BASE
+    + f", g as (select {N.replace('text', 'caption')} as group_id, caption, ord from c) select md5(group_id) as group_id, md5(arg_min(caption, ord)) as "
+    f"caption, min(ord) as first from g group by 1"
+)
 def scan_caption_groups(spark: SparkSession, d: str) -> DataFrame:
     """SC4, F13: groups of equal captions, their first one leading."""
     rows = _rows(spark, d).withColumn("group_id", T.normalized(F.col("caption")))
@@ -101,7 +118,10 @@ def scan_classification(spark: SparkSession, d: str) -> DataFrame:
     """SC5: labels of a fixed set, all of which occur."""
     key = F.col("vec_id").cast("string")
     e = table(spark, d, "embeddings")
-    rows = e.select(key.alias("id"), F.concat(key, F.lit(".tif")).alias("image"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"), F.lit("test").alias("split"), F.lit("v").alias("source"))
+    rows = e.select(
+        key.alias("id"), F.concat(key, F.lit(".tif")).alias("image"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"),
+        F.lit("test").alias("split"), F.lit("v").alias("source")
+    )
     classes = [f"c{r[0]}" for r in e.select("label").distinct().collect()]
     return manifests.classification(rows, classes).groupBy("label").agg(F.count("*").alias("n"))
 
@@ -117,13 +137,24 @@ def scan_captions_only(spark: SparkSession, d: str) -> DataFrame:
 def scan_csv(spark: SparkSession, d: str) -> DataFrame:
     """SC8: CSV with quotes, commas and line ends in its cells, and a quoted header."""
     at = new_folder(spark)
-    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id, as text"), F.regexp_replace(F.regexp_replace("text", "\r", "\\\\r"), "\\\\r", "\r").alias("text"), F.coalesce("source", F.lit("")).alias("source"))
-    rows.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="", lineSep="\n").csv(at)
+    rows = table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("id, as text"), F.regexp_replace(F.regexp_replace("text", "\r", "\\\\r"), "\\\\r", "\r").alias("text"),
+        F.coalesce("source", F.lit("")).alias("source")
+    )
+    rows.write.options(
+        header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="", lineSep="\n"
+    ).csv(at)
     out = manifests.read_csv(spark, at, ["id, as text", "text", "source"], exact=True)
-    return out.select(F.col("id, as text").cast("bigint").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.coalesce("source", F.lit("")).alias("source"))
+    return out.select(
+        F.col("id, as text").cast("bigint").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"),
+        F.coalesce("source", F.lit("")).alias("source")
+    )
 
 
-@query("select cast(conv_id as varchar) as image, row_number() over (partition by conv_id order by turn) - 1 as number, md5(trim(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}]+', ' ', 'g'))) as caption from conversations")
+@query(
+    "select cast(conv_id as varchar) as image, row_number() over (partition by conv_id order by turn) - 1 as number, md5(trim(regexp_replace(text, "
+    "'[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}]+', ' ', 'g'))) as caption from conversations"
+)
 def scan_nested(spark: SparkSession, d: str) -> DataFrame:
     """SC9, SC10, S13: one JSON document of images with sentences, some with their text, some with tokens."""
     at, c = new_folder(spark), table(spark, d, "conversations")
@@ -133,15 +164,25 @@ def scan_nested(spark: SparkSession, d: str) -> DataFrame:
     images = c.groupBy(F.col("conv_id").cast("string").alias("filename")).agg(F.array_sort(F.collect_list(sentence)).alias("sentences"))
     images.select(F.concat(F.lit("["), F.to_json(F.struct("filename", "sentences")), F.lit("]")).alias("value")).write.text(at, lineSep="\n")
     # a file holds one list here, as an annotation file does: a list a line
-    rows = spark.read.text(at).select(F.posexplode(F.from_json("value", "array<struct<filename: string, sentences: array<struct<caption: string, tokens: array<string>>>>>")).alias("ord", "record")).select("record.*")
-    return manifests.annotation_captions(rows).select(F.col("filename").alias("image"), F.col("number").cast("bigint").alias("number"), F.md5(T.collapsed(F.col("caption")).cast("binary")).alias("caption"))
+    rows = spark.read.text(at).select(
+        F.posexplode(
+            F.from_json("value", "array<struct<filename: string, sentences: array<struct<caption: string, tokens: array<string>>>>>")
+        ).alias("ord", "record")
+    ).select("record.*")
+    return manifests.annotation_captions(rows).select(
+        F.col("filename").alias("image"), F.col("number").cast("bigint").alias("number"), F.md5(T.collapsed(F.col("caption")).cast("binary")).alias("caption")
+    )
 
 
 @query("select n_name as image, len(n_name) as n_chars, n_regionkey as region from nation")
 def scan_nested_object(spark: SparkSession, d: str) -> DataFrame:
     """SC9: records below a key of one JSON object, in a file of its own. A nation is one record, at every scale."""
     at = new_folder(spark)
-    records = [r.asDict() for r in table(spark, d, "nation").select(F.col("n_name").alias("image"), F.col("n_name").alias("text"), F.col("n_regionkey").cast("int").alias("region")).collect()]
+    records = [
+        r.asDict() for r in table(spark, d, "nation").select(
+            F.col("n_name").alias("image"), F.col("n_name").alias("text"), F.col("n_regionkey").cast("int").alias("region")
+        ).collect()
+    ]
     write_file(spark, f"{at}/annotations.json", json.dumps({"info": 1, "images": records}).encode())
     rows = manifests.nested_records(spark, f"{at}/annotations.json", "image string, text string, region int")
     return rows.select("image", F.char_length("text").cast("bigint").alias("n_chars"), "region")
@@ -150,7 +191,9 @@ def scan_nested_object(spark: SparkSession, d: str) -> DataFrame:
 def _tree(spark: SparkSession, d: str) -> tuple[str, list]:
     """Files by region: 25 nations, at every scale."""
     at = new_folder(spark)
-    rows = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", "n_nationkey").collect()
+    rows = table(spark, d, "nation").join(
+        F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")
+    ).select("n_name", "r_name", "n_nationkey").collect()
     for r in rows:
         write_file(spark, f"{at}/{r.r_name}/{r.n_name}{'.JPG' if r.n_nationkey % 2 else '.png'}", (r.n_name * 3).encode())
     return at, rows
@@ -164,14 +207,19 @@ def scan_class_directories(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("label").agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"))
 
 
-@query("select case when n_nationkey % 2 = 1 then '.jpg' else '.png' end as suffix, count(*) as n_files, sum(strlen(n_name) * 3)::bigint as bytes from nation group by 1")
+@query(
+    "select case when n_nationkey % 2 = 1 then '.jpg' else '.png' end as suffix, count(*) as n_files, sum(strlen(n_name) * 3)::bigint as bytes from "
+    "nation group by 1"
+)
 def asset_inventory(spark: SparkSession, d: str) -> DataFrame:
     """D17, AG29: files and bytes by suffix."""
     return verify.asset_inventory(files.list_files(spark, _tree(spark, d)[0]))
 
 
-@query("""select 'images' || n_regionkey || '/' || replace(n_name, ' ', '_') || '.jpg' as path, 'wrap/' || replace(n_name, ' ', '_') || '.jpg' as member, strlen(n_name) * 3 as size from nation where n_regionkey % 2 = 0
-union all select 'pack/' || replace(n_name, ' ', '_') || '.jpg', replace(n_name, ' ', '_') || '.jpg', strlen(n_name) * 3 from nation where n_regionkey % 2 = 1""")
+@query("""select 'images' || n_regionkey || '/' || replace(n_name, ' ', '_') || '.jpg' as path, 'wrap/' || replace(n_name, ' ', '_') || '.jpg' as
+  member, strlen(n_name) * 3 as size from nation where n_regionkey % 2 = 0
+union all select 'pack/' || replace(n_name, ' ', '_') || '.jpg', replace(n_name, ' ', '_') || '.jpg', strlen(n_name) * 3 from nation where n_regionkey
+  % 2 = 1""")
 def scan_archive(spark: SparkSession, d: str) -> DataFrame:
     """SC13, SC14, SC15: members of a ZIP archive, matched to the paths that they are wanted by."""
     at, rows = new_folder(spark), table(spark, d, "nation").select(F.replace("n_name", F.lit(" "), F.lit("_")).alias("n_name"), "n_regionkey").collect()
@@ -210,7 +258,12 @@ def scan_references(spark: SparkSession, d: str) -> DataFrame:
     """image paths anywhere in JSON texts, by the names of their fields."""
     key = F.col("page_id").cast("string")
     deep = F.when(F.col("page_id") % 3 == 0, F.struct(F.concat(F.lit("deep/"), key, F.lit(".WEBP")).alias("File_Name"), F.lit("no.jpg").alias("title")))
-    tree = F.to_json(F.struct(F.struct(F.concat(key, F.lit(".jpg")).alias("image")).alias("a"), F.array(deep).alias("b"), F.col("url").alias("path"), F.array(F.lit("x.png")).alias("image")))
+    tree = F.to_json(
+        F.struct(
+            F.struct(F.concat(key, F.lit(".jpg")).alias("image")).alias("a"), F.array(deep).alias("b"), F.col("url").alias("path"),
+            F.array(F.lit("x.png")).alias("image")
+        )
+    )
     return files.image_references(table(spark, d, "pages").select("page_id", tree.alias("tree")), "tree", "page_id")
 
 

@@ -15,7 +15,9 @@ from graindeck.streaming import queue
 def _events(spark: SparkSession, d: str) -> DataFrame:
     """The table as a stream: its folder, or the folder of its file with the file's name as a filter."""
     schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*events*").parquet(d) if not _is_folder(spark, f"{d}/events.parquet") else spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    return spark.readStream.schema(schema).option(
+        "pathGlobFilter", "*events*"
+    ).parquet(d) if not _is_folder(spark, f"{d}/events.parquet") else spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -23,16 +25,25 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-@query("with t as (select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, round(avg(value), 6) as mean_value from events group by 1, 2) select * from t where window_start + interval '1 hour' <= (select max(ts) - interval '10 minutes' from events)")
+@query(
+    "with t as (select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, round(avg(value), 6) as mean_value from events "
+    "group by 1, 2) select * from t where window_start + interval '1 hour' <= (select max(ts) - interval '10 minutes' from events)"
+)
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Event-time windows with a watermark: those that the watermark has passed are final."""
     at = new_folder(spark)
     out = queue.windowed_counts(_events(spark, d), "ts", "event_type", "value")
     queue.run_to_end(out, f"{at}/out", f"{at}/state")
-    return spark.read.schema("window_start timestamp, event_type string, n bigint, mean_value double").parquet(f"{at}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+    return spark.read.schema("window_start timestamp, event_type string, n bigint, mean_value double").parquet(f"{at}/out").select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value")
+    )
 
 
-@query("with r as (select event_type, event_id, user_id, row_number() over (partition by event_type order by event_id) - 1 as i from events) select event_type, event_id, user_id, least(i, 32) as queue_size, case when i = 0 then null when i <= 32 then first_value(user_id) over w else lag(user_id, 32) over w end as oldest from r window w as (partition by event_type order by event_id)")
+@query(
+    "with r as (select event_type, event_id, user_id, row_number() over (partition by event_type order by event_id) - 1 as i from events) select "
+    "event_type, event_id, user_id, least(i, 32) as queue_size, case when i = 0 then null when i <= 32 then first_value(user_id) over w else lag(user_id, "
+    "32) over w end as oldest from r window w as (partition by event_type order by event_id)"
+)
 def stream_queue(spark: SparkSession, d: str) -> DataFrame:
     """ST1: a queue of 32 for each event type as stream state."""
     at = new_folder(spark)

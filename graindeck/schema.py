@@ -16,11 +16,26 @@ IMAGE_SUFFIXES = (".jpeg", ".jpg", ".png", ".tif", ".tiff")
 REFERENCE_SUFFIXES = (".bmp", ".jpeg", ".jpg", ".png", ".tif", ".tiff", ".webp")
 CANONICAL = StructType(_strings("id", "image", "caption", "split", "source"))
 GROUPED = StructType([*CANONICAL.fields, *_strings("group_id")])
-RESTORED = StructType([*GROUPED.fields, *_strings("csv_filepath"), StructField("reference_representative", BooleanType(), False), StructField("extras", MapType(StringType(), StringType()))])
+RESTORED = StructType(
+    [
+        *GROUPED.fields, *_strings("csv_filepath"), StructField("reference_representative", BooleanType(), False),
+        StructField("extras", MapType(StringType(), StringType()))
+    ]
+)
 MULTI_CAPTION = StructType(_strings("id", "image_id", "image", "caption", "split", "source"))
 CLASSIFICATION = StructType(_strings("id", "image", "label", "split", "source"))
-MIXED_PILOT = StructType([*CANONICAL.fields, *_strings("image_id", "original_caption", "csv_filepath", "caption_kind", "selected_caption_group", "short_caption", "detail_caption")])
-STEP_LOG = StructType([StructField("run", StringType(), False), StructField("step", LongType(), False), StructField("loss", DoubleType()), StructField("learning_rates", MapType(StringType(), DoubleType()))])
+MIXED_PILOT = StructType(
+    [
+        *CANONICAL.fields,
+        *_strings("image_id", "original_caption", "csv_filepath", "caption_kind", "selected_caption_group", "short_caption", "detail_caption")
+    ]
+)
+STEP_LOG = StructType(
+    [
+        StructField("run", StringType(), False), StructField("step", LongType(), False), StructField("loss", DoubleType()),
+        StructField("learning_rates", MapType(StringType(), DoubleType()))
+    ]
+)
 
 
 class ConstraintError(ValueError):

@@ -43,7 +43,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType = CANONICAL, b
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """SC16: rows with ord, and error where a line is no JSON object of the schema."""
-    row = F.from_json("value", StructType([*schema.fields]).add("_corrupt_record", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    row = F.from_json(
+        "value", StructType([*schema.fields]).add("_corrupt_record", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    )
     return numbered_lines(spark, path).where(F.trim("value") != "").withColumn("row", row).select("ord", "row.*").withColumnRenamed("_corrupt_record", "error")
 
 
@@ -98,7 +100,9 @@ def read_csv(spark: SparkSession, path: str, required: list[str], exact: bool =
     schema = StructType()
     for c in [*names, "_corrupt_record"]:
         schema = schema.add(c, "string")
-    rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    rows = spark.read.csv(
+        path, schema=schema, header=True, enforceSchema=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record"
+    )
     bad = rows.where("_corrupt_record is not null").limit(1).collect()
     if bad:
         raise ConstraintError(f"a row of {path} has not as many cells as the header: {bad[0]['_corrupt_record'][:80]}")

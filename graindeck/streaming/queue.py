@@ -32,7 +32,9 @@ def queue_stream(rows: DataFrame, key: str, order: str, item: str, capacity: int
 
 def windowed_counts(rows: DataFrame, time: str, kind: str, value: str, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Counts and means by tumbling event-time window and kind, with a watermark for late rows."""
-    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, size).alias("w"), kind).agg(F.count("*").alias("n"), F.avg(value).alias("mean_value")).select(F.col("w.start").alias("window_start"), kind, "n", "mean_value")
+    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, size).alias("w"), kind).agg(F.count("*").alias("n"), F.avg(value).alias("mean_value")).select(
+        F.col("w.start").alias("window_start"), kind, "n", "mean_value"
+    )
 
 
 def run_to_end(stream: DataFrame, target: str, checkpoint: str, mode: str = "append", kind: str = "parquet") -> None:

@@ -13,7 +13,13 @@ def spark(tmp_path_factory):
     from graindeck.session import session
 
     home = tmp_path_factory.mktemp("spark")
-    s = session("local[4]", 4, **{"spark.driver.memory": "4g", "spark.sql.warehouse.dir": str(home / "warehouse"), "spark.checkpoint.dir": str(home / "shared"), "spark.local.dir": str(home / "local")})
+    s = session(
+        "local[4]", 4,
+        **{
+            "spark.driver.memory": "4g", "spark.sql.warehouse.dir": str(home / "warehouse"), "spark.checkpoint.dir": str(home / "shared"),
+            "spark.local.dir": str(home / "local")
+        }
+    )
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -7,7 +7,9 @@ from graindeck.schema import ConstraintError
 
 
 def test_canonical_and_audit(spark):
-    rows = spark.createDataFrame([("./i2/a1_US_20.jpg", "A lake. It shows: a lake"), ("i2/a2_US_18.jpg", "a  LAKE"), ("i2/a3_CH_21.jpg", "Forest")], "filepath string, title string")
+    rows = spark.createDataFrame(
+        [("./i2/a1_US_20.jpg", "A lake. It shows: a lake"), ("i2/a2_US_18.jpg", "a  LAKE"), ("i2/a3_CH_21.jpg", "Forest")], "filepath string, title string"
+    )
     c = manifest.canonical(rows, "filepath", "title", "train", "src", "auto")
     assert {r.id: r.caption for r in c.collect()}["src:i2/a1_US_20.jpg"] == "An aerial image. It shows: a lake"
     a = manifest.audit(c)
@@ -20,7 +22,9 @@ def test_canonical_and_audit(spark):
 
 
 def test_audit_counts_every_zoom(spark):
-    rows = spark.range(1100).select(F.col("id").cast("string").alias("id"), F.format_string("a_DE_%d.jpg", "id").alias("image"), F.lit("a field").alias("caption"))
+    rows = spark.range(1100).select(
+        F.col("id").cast("string").alias("id"), F.format_string("a_DE_%d.jpg", "id").alias("image"), F.lit("a field").alias("caption")
+    )
     a = manifest.audit(rows)
     assert a["countries"] == {"DE": 1100} and len(a["zooms"]) == 1100
 
@@ -36,8 +40,14 @@ def test_text_audit(spark):
 
 
 def test_restore_groups(spark):
-    refs = spark.createDataFrame([(0, "r0", "p1/a.jpg", "Airport", "airport"), (1, "r1", "p1/f.jpg", "Forest", "forest")], "ord long, id string, image string, caption string, group_id string")
-    rows = spark.createDataFrame([("p1/b.jpg", "airport"), ("p1/a.jpg", " Airport"), ("p1/f.jpg", "forest"), ("p1/g.jpg", "FOREST"), ("p9/z.jpg", "forest"), ("p1/u.jpg", "unknown")], "path string, caption string")
+    refs = spark.createDataFrame(
+        [(0, "r0", "p1/a.jpg", "Airport", "airport"), (1, "r1", "p1/f.jpg", "Forest", "forest")],
+        "ord long, id string, image string, caption string, group_id string"
+    )
+    rows = spark.createDataFrame(
+        [("p1/b.jpg", "airport"), ("p1/a.jpg", " Airport"), ("p1/f.jpg", "forest"), ("p1/g.jpg", "FOREST"), ("p9/z.jpg", "forest"), ("p1/u.jpg", "unknown")],
+        "path string, caption string"
+    )
     out, n = manifest.restored(rows, refs, ["p1"])
     assert n == {"eligible": 4, "excluded_prefix": 1, "unknown_group": 1}
     assert [(r.path, r.reference_representative) for r in out.collect()] == [("p1/a.jpg", True), ("p1/b.jpg", False), ("p1/f.jpg", True), ("p1/g.jpg", False)]
@@ -47,11 +57,15 @@ def test_restore_groups(spark):
 
 def test_mixed_selection(spark):
     long = "a wide lake with many small boats beside tall green trees and houses {}"
-    rows = [(f"i/a{i}_x.jpg", f"lake {i}", long.format(i)) for i in range(8)] + [("i/a90_x.jpg", "lake 90", ""), ("i/a91_x.jpg", "w " * 21, long), ("i/a92_x.jpg", "lake 92", "too few"), ("i/a93_x.jpg", "a lake", "the lake " * 8)]
+    rows = [(f"i/a{i}_x.jpg", f"lake {i}", long.format(i)) for i in range(8)] + [
+        ("i/a90_x.jpg", "lake 90", ""), ("i/a91_x.jpg", "w " * 21, long), ("i/a92_x.jpg", "lake 92", "too few"), ("i/a93_x.jpg", "a lake", "the lake " * 8)
+    ]
     df = spark.createDataFrame(rows, "path string, short string, detail string")
     splits = spark.createDataFrame([(f"lake {i}", "val" if i > 5 else "train") for i in range(8)], "`group` string, split string")
     c, why = manifest.mixed_candidates(df, splits, 3)
-    assert {r.reason: r.n for r in why.collect()} == {"missing_detail": 1, "short_over_20_words": 1, "detail_outside_12_50_words": 1, "detail_not_meaningfully_different": 1}
+    assert {r.reason: r.n for r in why.collect()} == {
+        "missing_detail": 1, "short_over_20_words": 1, "detail_outside_12_50_words": 1, "detail_not_meaningfully_different": 1
+    }
     got, _ = select.greedy_quota(c, {"train": 4, "val": 2})
     assert [r["caption_kind"] for r in got] == ["short", "short", "detail", "detail", "short", "detail"]
     short, detail = df.select("path", "short"), df.select("path", "detail").where("detail <> ''")

@@ -30,7 +30,9 @@ def test_normalized_equals_python(spark):
 
 
 def test_sentence_and_fit(spark):
-    assert one(spark, T.first_sentence(F.col("x")), "One, two. Three.", "No end", "A! B?", "\tA b. C", "A b.\u00a0C", " \x1fD. \u2003") == ["One, two.", "No end", "A!", "A b.", "A b.", "D."]
+    assert one(
+        spark, T.first_sentence(F.col("x")), "One, two. Three.", "No end", "A! B?", "\tA b. C", "A b.\u00a0C", " \x1fD. \u2003"
+    ) == ["One, two.", "No end", "A!", "A b.", "A b.", "D."]
     assert one(spark, T.fit_words(F.col("x"), 5), "one two three, four five six. Second sentence.", "one two") == ["one two three", "one two"]
     with pytest.raises(Exception):
         one(spark, T.fit_words(F.col("x"), 4), "; , : words")
@@ -46,7 +48,9 @@ def test_captions(spark):
     assert one(spark, T.country(F.col("x")), "a_US_20", "a_b") == ["US", "unknown"]
     assert one(spark, T.object_key(F.col("x")), "d/a12_US.jpg", "d/b12_US.jpg") == ["a12", None]
     assert one(spark, T.plain_path(F.col("x")), " ././a\\b.jpg") == ["a/b.jpg"]
-    assert one(spark, T.safe_path(F.col("x")), "a/b.jpg", "/a.jpg", "a/../b.jpg", "a.gif", ".jpg", "a/.png", "a..jpg") == [True, False, False, False, False, False, True]
+    assert one(
+        spark, T.safe_path(F.col("x")), "a/b.jpg", "/a.jpg", "a/../b.jpg", "a.gif", ".jpg", "a/.png", "a..jpg"
+    ) == [True, False, False, False, False, False, True]
 
 
 def test_meaningful_difference(spark):
@@ -162,10 +166,14 @@ def test_seeded_shuffle():
 
 
 def test_greedy(spark):
-    rows = [("train", f"{i:02d}", f"p{i}", f"o{i % 5}", f"g{i}", f"short {i}", f"detail {i % 7}") for i in range(12)] + [("val", "00", "v0", "o0", "gv", "s", "d"), ("val", "01", "v1", "ov", "gw", "s1", "d1"), ("val", "02", "v2", "ow", "gx", "s2", "d2")]
+    rows = [("train", f"{i:02d}", f"p{i}", f"o{i % 5}", f"g{i}", f"short {i}", f"detail {i % 7}") for i in range(12)] + [
+        ("val", "00", "v0", "o0", "gv", "s", "d"), ("val", "01", "v1", "ov", "gw", "s1", "d1"), ("val", "02", "v2", "ow", "gx", "s2", "d2")
+    ]
     df = spark.createDataFrame(rows, "split string, priority string, path string, object string, `group` string, short string, detail string")
     got, rejected = select.greedy_quota(df, {"train": 4, "val": 2})
-    assert [(r["path"], r["caption_kind"]) for r in got] == [("p0", "short"), ("p1", "short"), ("p2", "detail"), ("p3", "detail"), ("v1", "short"), ("v2", "detail")]
+    assert [(r["path"], r["caption_kind"]) for r in got] == [
+        ("p0", "short"), ("p1", "short"), ("p2", "detail"), ("p3", "detail"), ("v1", "short"), ("v2", "detail")
+    ]
     assert rejected == {"duplicate_object": 1}
     with pytest.raises(ConstraintError):
         select.greedy_quota(df, {"train": 40, "val": 2})
@@ -180,7 +188,11 @@ def test_greedy_query_equals_plain_loop(spark, data):
     kept = []
     for split, half in (("train", 4), ("val", 1)):
         for kind in ["short"] * half + ["detail"] * half:
-            for r in (x for x in rows if x["split"] == split and (not kept or kept[-1][0]["split"] != split or (x["priority"], x["path"]) > (kept[-1][0]["priority"], kept[-1][0]["path"]))):
+            for r in (
+                x for x in rows if x["split"] == split and (
+                    not kept or kept[-1][0]["split"] != split or (x["priority"], x["path"]) > (kept[-1][0]["priority"], kept[-1][0]["path"])
+                )
+            ):
                 own = {norm(r["short"]), norm(r["detail"])}
                 clash = any(r["object"] == k["object"] or r["group"] == k["group"] or own & {norm(k["short"]), norm(k["detail"])} for k, _ in kept)
                 if len(own) == 2 and not clash:
@@ -210,7 +222,9 @@ def test_tensor_digest(spark):
 
 
 def test_losses(spark):
-    rows = spark.createDataFrame([(0, i, [1.0, 0.0], [0.0, 0.0], g) for i, g in enumerate("aab")], "batch long, pos long, a array<double>, b array<double>, g string")
+    rows = spark.createDataFrame(
+        [(0, i, [1.0, 0.0], [0.0, 0.0], g) for i, g in enumerate("aab")], "batch long, pos long, a array<double>, b array<double>, g string"
+    )
     masked = loss.group_losses(rows, "batch", "pos", "a", "b", "g", 1.0, "mask_same_caption").collect()[0].loss
     assert masked == pytest.approx((2 * math.log(2) + math.log(3)) / 3)
     same = rows.withColumn("g", F.lit("a"))
@@ -258,7 +272,9 @@ def test_strict_pairs(spark):
 
 
 def test_final_gate_and_parity(spark):
-    stages = spark.createDataFrame([("a", True, "x"), ("a", True, "x"), ("b", True, "x"), ("b", None, "x"), ("c", True, "x"), ("c", True, "y")], "run string, ok boolean, digest string")
+    stages = spark.createDataFrame(
+        [("a", True, "x"), ("a", True, "x"), ("b", True, "x"), ("b", None, "x"), ("c", True, "x"), ("c", True, "y")], "run string, ok boolean, digest string"
+    )
     assert {r.run: r.passed for r in verify.final_gate(stages, "run", "ok", "digest").collect()} == {"a": True, "b": False, "c": False}
     a = spark.createDataFrame([("w", 0, 1.0), ("w", 1, 2.0)], "name string, i int, v double")
     assert verify.init_parity(a, a.withColumn("v", F.col("v") + 1e-9), "name", "i", "v", 1e-6, 0.0).collect()[0].close
@@ -281,7 +297,12 @@ def test_stage_gate(spark):
     recalls = [("own", 0, 0.2), ("own", 100, 0.3), ("other", None, 0.5), ("other", 0, 0.5), ("other", 100, 0.495)]
     e = spark.createDataFrame([(k, *x) for k in losses for x in recalls], "run string, task string, step long, mean_recall double")
     best = {"ok": 100, "best": 0, "worse": 0, "short": 50, "nan": 100}
-    reports = spark.createDataFrame([(k, 100, False, 0, b, [50]) for k, b in best.items()], "run string, steps int, completed boolean, final_queue_size int, best_step long, resume_steps array<bigint>")
+    reports = (
+        spark.createDataFrame(
+            [(k, 100, False, 0, b, [50]) for k, b in best.items()],
+            "run string, steps int, completed boolean, final_queue_size int, best_step long, resume_steps array<bigint>"
+        )
+    )
     got = {r.run: r for r in gates.stage_gate(reports, v, e, "run", 100, 50, 500, [50]).collect()}
     assert got["ok"].passed and not got["best"].best_step_agrees and not got["worse"].validation_improves and got["worse"].valid
     assert not got["short"].validation_complete and not got["nan"].validation_complete and [k for k, r in got.items() if r.passed] == ["ok"]

@@ -36,7 +36,9 @@ def test_equals_sql(name, spark, duck, data):
     assert rows(queries.QUERIES[name](spark, data)) == (cols, want)
 
 
-@pytest.mark.parametrize("name", ["retrieval_ranks", "cap_per_group_topk", "chunked_epoch", "representative_first", "length_percentiles", "pareto_frontier", "queue_collisions"])
+@pytest.mark.parametrize(
+    "name", ["retrieval_ranks", "cap_per_group_topk", "chunked_epoch", "representative_first", "length_percentiles", "pareto_frontier", "queue_collisions"]
+)
 def test_partitions_do_not_matter(name, spark, data):
     found = []
     for n in ("1", "13"):

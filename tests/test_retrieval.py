@@ -11,7 +11,9 @@ def ranks(spark, scores, positives, block_bytes=1 << 20):
     out = []
     for i in range(n):  # positives differ by query, so each query is its own call
         q = spark.createDataFrame([(i, 1, [float(i == j) for j in range(n)])], "qid long, grp int, vec array<double>")
-        c = spark.createDataFrame([(j, int(j in positives[i]), [float(scores[k][j]) for k in range(n)]) for j in range(m)], "idx long, grp int, vec array<double>")
+        c = spark.createDataFrame(
+            [(j, int(j in positives[i]), [float(scores[k][j]) for k in range(n)]) for j in range(m)], "idx long, grp int, vec array<double>"
+        )
         out.append(retrieval.best_positive_ranks(q, c, block_bytes=block_bytes).collect()[0]["rank"])
     return out
 

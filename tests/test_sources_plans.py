@@ -47,7 +47,9 @@ def test_manifest_rules(spark, tmp_path):
     grouped = [row(0, caption="Airport", group_id="airport"), row(1, caption="  airport ", group_id="airport"), row(2, caption="Forest", group_id="forest")]
     _, texts = manifests.caption_groups(manifests.read_jsonl(spark, write(tmp_path / "g.jsonl", grouped), GROUPED))
     assert [r.caption for r in texts.orderBy("first").collect()] == ["Airport", "Forest"]
-    multi = spark.createDataFrame([("b", "i2", "y"), ("a", "i2", "y"), ("c", "i1", "x")], "id string, image_id string, image string").withColumns({"caption": F.lit("t"), "split": F.lit("test"), "source": F.lit("s")})
+    multi = spark.createDataFrame(
+        [("b", "i2", "y"), ("a", "i2", "y"), ("c", "i1", "x")], "id string, image_id string, image string"
+    ).withColumns({"caption": F.lit("t"), "split": F.lit("test"), "source": F.lit("s")})
     images, captions = manifests.multi_caption(multi, "test")
     assert {r.image_id: r.idx for r in images.collect()} == {"i1": 0, "i2": 1} and {r.id: r.idx for r in captions.collect()} == {"a": 0, "b": 1, "c": 2}
     with pytest.raises(ConstraintError):
@@ -112,8 +114,12 @@ def test_files_and_archives(spark, tmp_path):
     assert both[0] == both[1] and [m for m, _, _ in both[0]] == ["b.jpg", "meta.txt", "wrap/a.jpg"]  # read whole, and only its directory
     members = files.archive_members(spark, z).where("member <> 'meta.txt'")
     names = files.member_names(F.col("member"), "images1", ["images1"])
-    asked = spark.createDataFrame([("wrap/a.jpg",), (".\\\\wrap//a.jpg",), ("images1/c.jpg",), ("d.jpg",)], "member string").select(files.member_names(F.col("member"), "images1", ["r2", "r1"]).alias("n")).collect()
-    assert [r.n for r in asked] == [["wrap/a.jpg", "a.jpg", "images1/wrap/a.jpg"]] * 2 + [["images1/c.jpg", "c.jpg"], ["d.jpg", "images1/d.jpg", "r1/d.jpg", "r2/d.jpg"]]
+    asked = spark.createDataFrame(
+        [("wrap/a.jpg",), (".\\\\wrap//a.jpg",), ("images1/c.jpg",), ("d.jpg",)], "member string"
+    ).select(files.member_names(F.col("member"), "images1", ["r2", "r1"]).alias("n")).collect()
+    assert [r.n for r in asked] == [["wrap/a.jpg", "a.jpg", "images1/wrap/a.jpg"]] * 2 + [
+        ["images1/c.jpg", "c.jpg"], ["d.jpg", "images1/d.jpg", "r1/d.jpg", "r2/d.jpg"]
+    ]
     with pytest.raises(ConstraintError):  # no suffix of a path is a name under the archive's
         files.match_members(members, spark.createDataFrame([("images1/a.jpg",)], "path string"), names, "path", 10)
     wanted = spark.createDataFrame([("images1/wrap/a.jpg",), ("images1/b.jpg",)], "path string")
@@ -138,7 +144,10 @@ def test_settings_and_references():
     assert files.read_pairs("a=1\n\nb = 2") == {"a": "1", "b": "2"}
     with pytest.raises(ConstraintError):
         files.read_pairs("a=1\na=2")
-    tree = {"x": [{"file_name": "a.jpg"}, {"images": ["b.png", 3]}, "d.jpg"], "note": "c.jpg", "Path": {"image": "e.WEBP"}, "filename": ".jpg", "image_path": ["f.png", {"path": "g.bmp"}]}
+    tree = {
+        "x": [{"file_name": "a.jpg"}, {"images": ["b.png", 3]}, "d.jpg"], "note": "c.jpg", "Path": {"image": "e.WEBP"}, "filename": ".jpg",
+        "image_path": ["f.png", {"path": "g.bmp"}]
+    }
     assert list(files.image_strings(tree)) == ["a.jpg", "e.WEBP", "g.bmp"] and list(files.image_strings("a.jpg")) == []
     text = 'a = "$HOMEX/y ${HOME}/z $NONE"\nb = "~/w"\nc = "$HOME-$HOME"\n'
     found = files.load_settings(text, [files.Setting(n, str) for n in "abc"], {"HOME": "/h", "X": "x"})
