@@ -173,9 +173,15 @@ def _batch(*row) -> pa.RecordBatch:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows of equal grp together, in the order of kind, realm and source."""
+    """Rows of equal grp together, in the order of kind, realm and source.
+
+    Here and where they are read, what belongs to a group is let go of before the next one comes.
+    """
     for _, t in runs_of(batches):
-        yield sorted(t.to_pylist(), key=lambda r: (r["kind"], r["realm"], r["src"]))
+        rows = sorted(t.to_pylist(), key=lambda r: (r["kind"], r["realm"], r["src"]))
+        del t
+        yield rows
+        del rows
         trimmed(cycles=False)
     trimmed()
 
@@ -366,6 +372,7 @@ def _merge(level: int, fan: int):
             for src, contexts, at in s.each():
                 yield _batch(0, realm, src, _MAP, packed(to[at]), packed(_starts(s.owner[at])), packed(first[contexts]))
             yield _batch(0, realm * fan, group, _SPREAD, packed(_spread(rows)))
+            del rows, s, part, order, to, first
 
     return run
 
@@ -428,6 +435,7 @@ def _count(order: int, model: Model, realms: int):
                 yield _batch(0, realm, 0, _HEAVY, packed(_key(s.context)[h]), packed(rare[h].ravel()), packed(more[h]), packed(below[h]))
             totals = np.bincount(c[c <= REACH + 1], minlength=REACH + 2)[1:] + _spread(rows)
             yield _batch(0, realm, 0, _SPREAD, packed(np.r_[len(c), c.sum(), totals]))
+            del rows, s, there, owner, c, ids, rare, more, below, full
 
     return run
 
@@ -639,12 +647,14 @@ def _known(rows: Iterator[pa.RecordBatch], model: Model, upto: int, fan: int) ->
             if n in chunk.answers or n < upto:
                 chunk.learn()
         yield chunk
+        del group, chunk
 
 
 def _send(model: Model, order: int, fan: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _known(batches, model, order, fan):
             yield from chunk.slices()
+            del chunk
 
     return run
 
@@ -655,6 +665,7 @@ def _score(model: Model, order: int, fan: int):
             if chunk.orders[-1].counts is None:  # all contexts are of this chunk only
                 chunk.learn()
             yield chunk.scores()
+            del chunk
 
     return run
 
